@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from staveframe.llm import bpe, packing
+from staveframe.llm import bpe, packing, secrets, url_filter
 from staveframe.llm._batches import table
 
 
@@ -12,12 +12,20 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_secrets(spark, sf_dir):
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op7_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
