@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from staveframe.llm import bpe, packing, secrets, url_filter
+from pyspark.sql import functions as F
+
+from staveframe.llm import bpe, line_dedup, packing, secrets, url_filter
 from staveframe.llm._batches import table
 
 
@@ -20,13 +22,36 @@ def op3_secrets(spark, sf_dir):
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark, sf_dir):
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op7_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op6_line_dedup, op7_packing)}
+
+
+#: Lines by key, the keys of three documents or more, and each document's lines without them.
+OP6_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, u.pos, u.line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS pos) AS u
+), keyed AS (
+    SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), gone AS (
+    SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT keyed.*, gone.k IS NOT NULL AND keyed.doc_id <> gone.keeper AS lost FROM keyed LEFT JOIN gone USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
