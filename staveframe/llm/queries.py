@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from staveframe.llm import bpe, fingerprints, line_dedup, packing, secrets, url_filter
+from staveframe.llm import bpe, fingerprints, line_dedup, packing, quality, secrets, url_filter
 from staveframe.llm._batches import table
 
 
@@ -22,6 +22,10 @@ def op3_secrets(spark, sf_dir):
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "posterior", "score", "keep")
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op7_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op5_fingerprints, op6_line_dedup, op7_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_quality, op5_fingerprints, op6_line_dedup, op7_packing)}
 
 
 #: Lines by key, the keys of three documents or more, and each document's lines without them.
