@@ -141,7 +141,7 @@ def merge_all(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.nd
 class Coder:
     """Encodes and decodes texts; holds the ids of up to ``keep`` distinct pieces between calls."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         self.vocab, self.keep = Vocabulary(path), keep
         self.pattern = regex.compile(PATTERN)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(vocabulary)
-        for batch in chunks(batches, "text", 16 << 20):
+        for batch in chunks(batches, "text"):
             ids, counts = coder.encode(texts(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
@@ -243,7 +243,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(vocabulary)
-        for batch in chunks(batches, "text", 16 << 20):
+        for batch in chunks(batches, "text"):
             ids, counts = coder.encode(texts(batch.column("text")))
             back = coder.decode(ids, counts)
             raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
