@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from staveframe.llm import bpe, fingerprints, jaccard, line_dedup, packing, quality, secrets, url_filter
+from staveframe.llm import bpe, fingerprints, hnsw, jaccard, line_dedup, packing, quality, secrets, url_filter
 from staveframe.llm._batches import table
 
 
@@ -39,12 +39,16 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_hnsw(spark, sf_dir):
+    return hnsw.join(table(spark, sf_dir, "embeddings"))
+
+
 def op10_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "component_id", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_quality, op5_fingerprints, op6_line_dedup, op7_packing, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_quality, op5_fingerprints, op6_line_dedup, op7_packing, op9_hnsw, op10_jaccard)}
 
 
 #: Lines by key, the keys of three documents or more, and each document's lines without them.
