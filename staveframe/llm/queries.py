@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from staveframe.llm import bpe, fingerprints, hnsw, jaccard, line_dedup, packing, quality, secrets, url_filter
+from staveframe.llm import bpe, fingerprints, hnsw, html_text, jaccard, line_dedup, packing, quality, secrets, url_filter
 from staveframe.llm._batches import table
 
 
@@ -39,6 +39,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_hnsw(spark, sf_dir):
     return hnsw.join(table(spark, sf_dir, "embeddings"))
 
@@ -48,7 +52,7 @@ def op10_jaccard(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_quality, op5_fingerprints, op6_line_dedup, op7_packing, op9_hnsw, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_quality, op5_fingerprints, op6_line_dedup, op7_packing, op8_html, op9_hnsw, op10_jaccard)}
 
 
 #: Lines by key, the keys of three documents or more, and each document's lines without them.
