@@ -122,26 +122,27 @@ def edited(text: str, following: str) -> str:
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``doc_id, text, range, copy`` so dealt and sorted that each row's next document follows it in its partition
-    and range; rows with ``copy`` = 1 only stand there to be the next one. Order: id (null first), hash of the text."""
+    and range; rows with ``copy`` = 1 only stand there to be the next one. Order: id (null first), hash of the text. Rows
+    equal in both share a range, through which rows are streamed one after the other."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r"))
+    keyed = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"))
     size = rows.select(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     ranges = max(1, -(-size // max(range_bytes, size // MOST_RANGES)))
-    key = F.struct("k", "h", "r")
-    firsts = keyed.select("k", "h", "r").repartitionByRange(ranges, "k", "h", "r").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")).collect()
-    bounds = sorted(tuple(x["first"]) for x in firsts)  # one key for each range
+    key = F.struct("k", "h")
+    firsts = keyed.select("k", "h").repartitionByRange(ranges, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")).collect()
+    bounds = sorted({tuple(x["first"]) for x in firsts})  # one key for each range
 
     @F.pandas_udf("struct<range:int,first:boolean>")
-    def place(k: pd.Series, h: pd.Series, r: pd.Series) -> pd.DataFrame:
-        keys = list(zip(k.tolist(), h.tolist(), r.tolist(), strict=True))
+    def place(k: pd.Series, h: pd.Series) -> pd.DataFrame:
+        keys = list(zip(k.tolist(), h.tolist(), strict=True))
         at = [bisect.bisect_right(bounds, x) - 1 for x in keys]
         return pd.DataFrame({"range": at, "first": [bounds[i] == x for i, x in zip(at, keys, strict=True)]})
 
     own, n = F.col("place.range"), max(1, len(bounds))
     before = F.pmod(own - 1, F.lit(n))
     spots = F.when(F.col("place.first"), F.array(F.struct(own.alias("range"), F.lit(0).alias("copy")), F.struct(before.alias("range"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(0).alias("copy"))))
-    dealt = keyed.withColumn("place", place("k", "h", "r")).withColumn("spot", F.explode(spots)).select("doc_id", "text", "k", "h", "r", "spot.range", "spot.copy")
-    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "copy", "k", "h", "r").select("doc_id", "text", "range", "copy")
+    dealt = keyed.withColumn("place", place("k", "h")).withColumn("spot", F.explode(spots)).select("doc_id", "text", "k", "h", "spot.range", "spot.copy")
+    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "copy", "k", "h").select("doc_id", "text", "range", "copy")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -328,6 +328,7 @@ def join(embeddings: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
     graph = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     told = classes.join(counted, "node", "left").join(graph.select(F.col("id").alias("node"), "component"), "node", "left")
     told = told.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    told = told.where((F.col("n_links") > 0))
-    out = source.join(told, "vector", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True))).alias("kept"))
+    told = told.where(F.col("n_links") > 0)
+    out = source.withColumn("vector", F.when(F.col("vec_id").isNotNull(), F.col("vector"))).join(told, "vector", "left")
+    own = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))

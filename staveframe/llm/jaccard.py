@@ -83,29 +83,29 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """``doc_id, row, digest, n, samples`` of each row that has shingles and an id."""
+    """``doc_id, row, digest, n, samples`` of each row; without shingles or id, all but the first two are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in chunks(batches, "text"):
             sets = shingler.sets(texts(batch.column("text")))
-            held = [i for i, s in enumerate(sets) if len(s)]
-            if not held:
-                continue
-            sets = [sets[i] for i in held]
-            at = pa.array(held)
-            columns = [
-                batch.column("doc_id").take(at), batch.column("row").take(at), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in samples(sets)]),
-            ]
+            held = [i for i, (s, d) in enumerate(zip(sets, batch.column("doc_id").to_pylist(), strict=True)) if len(s) and d is not None]
+            digest, n, sampled = ([None] * len(sets) for _ in range(3))
+            for i, x in zip(held, samples([sets[i] for i in held]) if held else (), strict=True):
+                digest[i], n[i], sampled[i] = digest_of(sets[i]), len(sets[i]), x.tobytes()
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sampled, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "n", "samples"])
 
-    return rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, row long, digest binary, n long, samples binary")
+    return rows.mapInArrow(run, "doc_id long, row long, digest binary, n long, samples binary")
 
 
 def paths(classes: DataFrame) -> DataFrame:
@@ -295,21 +295,23 @@ def _links(group: pa.Table, run: int) -> list[tuple[np.ndarray, ...]]:
 
 
 def tokens_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """``node, tokens`` (hashes as little-endian 64-bit integers) of the rows named by ``needed(node)``."""
+    """``node, tokens`` (hashes as little-endian 64-bit integers) of the classes ``needed(node, class_id, digest)``, made
+    again from the row of that id and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in chunks(batches, "text"):
             sets = shingler.sets(texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+            held = [(n, s.tobytes()) for n, d, s in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), sets, strict=True) if digest_of(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t for _, t in held], pa.binary())], ["node", "tokens"])
 
-    small = needed.count() <= BROADCAST_ROWS
-    wanted = needed.select(F.col("node").alias("row"))
-    return rows.join(F.broadcast(wanted) if small else wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "node long, tokens binary")
+    wanted = needed.select("node", F.col("class_id").alias("doc_id"), "digest")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return rows.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(run, "node long, tokens binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, class_id, n_links, component_id, kept, row``.
+    """One row for each row of ``docs``: ``doc_id, class_id, n_links, component_id, kept, digest``.
 
     ``class_id`` is the smallest id with the same set of shingles, ``n_links`` counts the other documents with a
     similarity of 0.8 or more, copies included, ``component_id`` is the smallest id that links lead to, and ``kept``
@@ -318,7 +320,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = _rows(docs, id_col, text_col)
     every = cut(digests(rows))
-    classes = cut(every.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("samples").alias("samples")).select("digest", F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("class_id"), "copies", "n", "samples"))
+    classes = cut(every.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("samples").alias("samples")).select("digest", F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("class_id"), "copies", "n", "samples"))
     ended = cut(buckets(classes))
     spread = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.element_at("by", r), F.lit(0).cast("long")))
     # Each class's bucket in every run, to tell which run brings a pair together first.
@@ -333,7 +335,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct((F.least("block", b).cast("long") * 1_000_000 + F.greatest("block", b)).alias("part"), F.when(b < F.col("block"), 1).otherwise(0).alias("side")))
     blocks = large.join(parts, ["run", "key"]).withColumn("block", block).select("run", "key", "node", F.explode(spots).alias("spot")).select("run", "key", "node", "spot.part", "spot.side")
     spots_ = cut(small.unionByName(blocks))
-    tokens = tokens_of(rows, spots_.select("node").distinct())
+    tokens = tokens_of(rows, spots_.select("node").distinct().join(classes.select("node", "class_id", "digest"), "node"))
     found = cut(compared(spots_.join(facts.select("node", "n", "copies", "keys").join(tokens, "node"), "node")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
@@ -341,17 +343,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     graph = graph.select("digest", "node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     heads = graph.groupBy("component").agg(F.min(F.struct("class_id", "node")).alias("head"))
     verdict = cut(graph.join(heads, "component").select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.class_id").alias("component_id"), F.col("head.node").alias("keeper")))
-    told = every.select("row", "digest").join(verdict, "digest").drop("digest")
-    out = rows.select("doc_id", "row").join(told, "row", "left")
+    out = every.select("doc_id", "row", "digest").join(verdict, "digest", "left")
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("keeper") == F.col("row"), F.lit(True)).alias("kept"), "row",
+        F.coalesce(F.col("keeper") == F.col("row"), F.lit(True)).alias("kept"), "digest",
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component left; all rows that link with nothing stay."""
-    gone = cut(join(docs, id_col, text_col).where(~F.col("kept")).select("row"))
-    numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    left = numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row", "left_anti")
-    return left.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    found = cut(join(docs, id_col, text_col).select("doc_id", "digest", "kept"))
+    gone = cut(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where(~F.col("all")))
+    small = gone.count() <= BROADCAST_ROWS
+    with_id = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"))
+    left = with_id.join(F.broadcast(gone) if small else gone, "doc_id", "left").where(F.col("some").isNull() | F.col("some"))
+    if gone.where("some").limit(1).count() == 0:  # ids tell rows apart
+        return left.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    # Rows that share an id, of which some go: they are told apart by their shingles, and equal ones by their place.
+    clear = left.where(F.col("some").isNull())
+    mixed = left.where(F.col("some")).select("doc", "doc_id", F.col(f"doc.`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in chunks(batches, "text"):
+            sets = shingler.sets(texts(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())], ["doc", "doc_id", "digest"])
+
+    told = mixed.mapInArrow(run, f"doc {mixed.schema['doc'].dataType.simpleString()}, doc_id long, digest binary")
+    keepers = found.where("kept and digest is not null").select("doc_id", "digest").distinct()
+    one = told.join(keepers, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    rest = told.where(F.col("digest").isNull())
+    return clear.select("doc").unionByName(one.select("doc")).unionByName(rest.select("doc")).select(*[F.col(f"doc.`{c}`") for c in docs.columns])

@@ -42,14 +42,14 @@ def line_key(line: str) -> bytes | None:
     return key.encode().lower() if len(key) >= MIN_CHARS else None
 
 
-def positions(hashes: np.ndarray, slices: int, probes: int) -> np.ndarray:
+def positions(hashes: np.ndarray, slices: int, probes: int, slice_bits: int = SLICE_BITS) -> np.ndarray:
     """Bit positions of each hash, a row for each; all within one slice."""
-    base = (hashes >> np.uint64(40)) % np.uint64(slices) * np.uint64(SLICE_BITS)
+    base = (hashes >> np.uint64(40)) % np.uint64(slices) * np.uint64(slice_bits)
     step = (hashes >> np.uint64(20)) | np.uint64(1)
     with np.errstate(over="ignore"):
         inner = hashes[:, None] + step[:, None] * np.arange(probes, dtype=np.uint64)[None, :]
         inner ^= inner >> np.uint64(29)
-    return (base[:, None] + inner % np.uint64(SLICE_BITS)).astype(np.int64)
+    return (base[:, None] + inner % np.uint64(slice_bits)).astype(np.int64)
 
 
 def set_bits(bits: np.ndarray, at: np.ndarray) -> None:
@@ -70,29 +70,29 @@ def _doc_hashes(text: str) -> list[int]:
     return list({xxhash.xxh3_64_intdigest(k) for k in map(line_key, text.split("\n")) if k is not None})
 
 
-def seen_twice(docs: DataFrame, lines: int, text_col: str = "text") -> tuple[np.ndarray, int, int]:
+def seen_twice(docs: DataFrame, lines: int, text_col: str = "text", slice_bits: int = SLICE_BITS) -> tuple[np.ndarray, int, int]:
     """The packed bits of the seen-twice filter, its number of slices and of probes, for about ``lines`` lines."""
     bits = min(lines * BITS_PER_LINE, FILTER_BYTES * 8)
-    slices = max(1, -(-bits // SLICE_BITS))
-    probes = int(min(7, max(1, round(0.69 * slices * SLICE_BITS / max(1, lines)))))
+    slices = max(1, -(-bits // slice_bits))
+    probes = int(min(7, max(1, round(0.69 * slices * slice_bits / max(1, lines)))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(slices * SLICE_BITS // 8, dtype=np.uint8), np.zeros(slices * SLICE_BITS // 8, dtype=np.uint8)
+        once, twice = np.zeros(slices * slice_bits // 8, dtype=np.uint8), np.zeros(slices * slice_bits // 8, dtype=np.uint8)
         for batch in chunks(batches, "text", 4 << 20):
             own = np.fromiter((h for t in texts(batch.column("text")) for h in _doc_hashes(t)), dtype=np.uint64)
             own, count = np.unique(own, return_counts=True)
-            at = positions(own, slices, probes)
+            at = positions(own, slices, probes, slice_bits)
             # A hash of which all bits are set counts as seen before: there may be more suspects, never fewer.
             set_bits(twice, at[(count > 1) | get_bits(once, at).all(axis=1)].ravel())
             set_bits(once, at.ravel())
         for k in range(slices):
-            part = slice(k * SLICE_BITS // 8, (k + 1) * SLICE_BITS // 8)
+            part = slice(k * slice_bits // 8, (k + 1) * slice_bits // 8)
             if once[part].any():
                 packed = [zlib.compress(x[part].tobytes(), 1) for x in (once, twice)]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "once", "twice"])
 
     def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(SLICE_BITS // 8, dtype=np.uint8), np.zeros(SLICE_BITS // 8, dtype=np.uint8)
+        once, twice = np.zeros(slice_bits // 8, dtype=np.uint8), np.zeros(slice_bits // 8, dtype=np.uint8)
         for part in parts:
             for a, b in zip(part["once"], part["twice"], strict=True):
                 new = np.frombuffer(zlib.decompress(a), dtype=np.uint8)
@@ -102,9 +102,9 @@ def seen_twice(docs: DataFrame, lines: int, text_col: str = "text") -> tuple[np.
 
     built = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(build, "slice int, once binary, twice binary")
     merged = built.groupBy("slice").applyInPandas(merge, "slice int, twice binary").collect()  # FILTER_BYTES at most
-    whole = np.zeros(slices * (SLICE_BITS // 8), dtype=np.uint8)
+    whole = np.zeros(slices * (slice_bits // 8), dtype=np.uint8)
     for row in merged:
-        whole[row["slice"] * (SLICE_BITS // 8) : (row["slice"] + 1) * (SLICE_BITS // 8)] = np.frombuffer(zlib.decompress(row["twice"]), dtype=np.uint8)
+        whole[row["slice"] * (slice_bits // 8) : (row["slice"] + 1) * (slice_bits // 8)] = np.frombuffer(zlib.decompress(row["twice"]), dtype=np.uint8)
     return whole, slices, probes
 
 
@@ -112,7 +112,8 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``doc_id, digest``: the lines that may repeat, once for each row of ``docs``."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = source.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    bits, slices, probes = seen_twice(source, lines)
+    slice_bits = SLICE_BITS
+    bits, slices, probes = seen_twice(source, lines, slice_bits=slice_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows += [i] * len(own)
             if not keys:
                 continue
-            at = positions(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), dtype=np.uint64, count=len(keys)), slices, probes)
+            at = positions(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), dtype=np.uint64, count=len(keys)), slices, probes, slice_bits)
             held = np.flatnonzero(get_bits(bits, at).all(axis=1))
             digests = pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in held.tolist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.array(rows)[held])), digests], ["doc_id", "digest"])
