@@ -1,0 +1,42 @@
+import hashlib
+import re
+
+from staveframe.llm import secrets
+
+PATTERNS = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+]
+
+
+def expected(text):
+    found = sorted((m.start(), k, m.end()) for k, (_, p, keep) in enumerate(PATTERNS) for m in p.finditer(text) if keep(m))
+    return ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in found)
+
+
+def test_base_spans(spark, docs, empty, rows):
+    more = ["password= token:abcdefghij", "Token==abcdefgh secret: 'x' api_key=\"12345678\"", "AKIAAKIAAKIAAKIA1 AKIA1", "é" * 5 + "token:12345678é", "f" * 31 + " " + "f" * 32, "secret" + "=" * 40]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(more)], "doc_id long, text string"))
+    texts = {i: t or "" for i, t in rows} | {100 + k: t for k, t in enumerate(more)}
+    for r in secrets.report(secrets.scan(table)).collect():
+        want = expected(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k) for k in ("assign", "access", "hex"))
+    assert secrets.scan(empty).count() == 0
+
+
+def test_models_tell_random_from_ordinary(spark):
+    """Trained on the table and identifiers, held out strings of both kinds are told apart."""
+    names = [f"{a}{b}Handler{c}" for a in ("get", "set", "remove") for b in ("User", "Account", "Preference", "Session") for c in ("Factory", "Manager", "Internals")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    model = secrets.train(docs.unionByName(spark.createDataFrame([(" ".join(names),)] * 30, "text string")))
+    held_out = [("q9Xv2LmZ84TbRw7KpN3cYh5D", True), ("ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7", True), ("removeAccountSessionManager", False), ("setUserPreferenceFactory", False), ("thereationthingoneredent", False)]
+    got = secrets.report(secrets.scan(spark.createDataFrame([(k, f"x {t} y") for k, (t, _) in enumerate(held_out)], "doc_id long, text string"), model)).collect()
+    assert {r.doc_id: r.n_markov > 0 for r in got} == {k: s for k, (_, s) in enumerate(held_out)}
+
+
+def test_redact(docs, empty):
+    got = {(r.doc_id, r.text) for r in secrets.redact(docs).collect()}
+    assert (13, "[SECRET] and [SECRET] and [SECRET]!") in got and (4, None) in got and (5, "") in got
+    assert secrets.redact(docs).columns == docs.columns and secrets.redact(empty).count() == 0
