@@ -46,7 +46,7 @@ class WordTokens:
     """Ids of texts by a tokenizer whose pieces never reach across white space: the tokenizer encodes each
     distinct word once, until ``keep`` words are held."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,7 +66,7 @@ class WordTokens:
         words = [split_words(t) for t in rows]
         fresh = list(set(chain.from_iterable(words)).difference(self.seen))
         if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            got = [e.ids for k in range(0, len(fresh), 16384) for e in self.tokenizer.encode_batch_fast(fresh[k : k + 16384], add_special_tokens=False)]
             counts = np.array([len(x) for x in got], dtype=np.int64)
             self.seen.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
             self.at = np.r_[self.at, len(self.ids) + np.cumsum(counts) - counts]
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_for(vocabulary)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 2 << 20):
             ids, counts = tokens.encode(texts(batch.column("text")))
             at = np.cumsum(counts) - counts
             out = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
