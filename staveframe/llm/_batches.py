@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once by a Python worker. A single longer text is handled alone, whole.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark, sf_dir: str, name: str):
@@ -17,6 +18,15 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns memory that this worker no longer uses to the system; idle workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the named text column holds about ``limit`` bytes; never cuts a row."""
     for batch in batches:
@@ -27,6 +37,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+    del batches
+    give_back()
 
 
 def texts(column: pa.Array) -> list[str]:

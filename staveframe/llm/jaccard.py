@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staveframe.llm._batches import chunks, texts
+from staveframe.llm._batches import chunks, give_back, texts
 from staveframe.llm._lineage import cut
 from staveframe.llm.components import components
 
@@ -168,6 +168,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
             n = table.num_rows - first
     if waiting:
         yield pa.Table.from_batches(waiting).combine_chunks()
+    del waiting
+    give_back()
 
 
 def _keys(column: pa.ChunkedArray) -> np.ndarray:

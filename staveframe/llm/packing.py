@@ -25,6 +25,8 @@ from staveframe.llm._batches import chunks, ragged, texts
 
 CAPACITY = 4096
 END_ID = 2
+#: Distinct words whose ids a worker keeps between chunks and tasks.
+KEEP = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
 #: Separators that Python's split() takes for white space and Unicode does not.
 ODD = re.compile("[\x1c-\x1f]")
@@ -46,7 +48,7 @@ class WordTokens:
     """Ids of texts by a tokenizer whose pieces never reach across white space: the tokenizer encodes each
     distinct word once, until ``keep`` words are held."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,9 +83,11 @@ class WordTokens:
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def tokens_for(path: str) -> WordTokens:
+def tokens_for(path: str, keep: int) -> WordTokens:
+    """This worker's tokenizer; later tasks of the same worker find up to ``keep`` words encoded."""
     if path not in _TOKENS:
         _TOKENS[path] = WordTokens(path)
+    _TOKENS[path].keep = keep
     return _TOKENS[path]
 
 
@@ -131,12 +135,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
     return bins, offsets
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP) -> DataFrame:
     """Tokenizes every text (null: empty), adds ``end_id``, and cuts into full pieces and a rest: ``doc_id, start,
     length, ids_crc32, doc_tokens, row``; ``row`` tells repeated rows apart. Each id lies in exactly one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_for(vocabulary)
+        tokens = tokens_for(vocabulary, keep)
         for batch in chunks(batches, "text", 2 << 20):
             ids, counts = tokens.encode(texts(batch.column("text")))
             at = np.cumsum(counts) - counts
@@ -173,6 +177,6 @@ def pack(cut: DataFrame, rows: int, capacity: int = CAPACITY, group_size: int =
     return dealt.groupBy("grp").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group_size: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group_size: int = 4000, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP) -> DataFrame:
     """:func:`pieces` and :func:`pack` together: one row for each piece of each row of ``docs``."""
-    return pack(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), docs.count(), capacity, group_size)
+    return pack(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, keep), docs.count(), capacity, group_size)
