@@ -45,7 +45,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences; not the columns of ``documents``."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=60_000)  # workers serve all stages: little is kept
 
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near duplicates", near_stage), ("secrets", secret_stage), ("packing", packing_stage)]
