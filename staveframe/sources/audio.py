@@ -158,7 +158,8 @@ def stem_mix(stems: list[tuple[Column, float]], peak: float = 0.98) -> Column:
     weight = sum(w for _, w in stems)
     mixed = None
     for column, w in stems:
-        part = F.transform(column, lambda v, w=w: v.cast("double") * w / weight)
+        share = F.lit(w / weight)
+        part = F.transform(column, lambda v: v.cast("double") * share)  # noqa: B023
         mixed = part if mixed is None else F.zip_with(mixed, part, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
     most = F.array_max(F.transform(mixed, F.abs))
     return F.when(most > peak, F.transform(mixed, lambda v: v * (F.lit(peak) / most))).otherwise(mixed)

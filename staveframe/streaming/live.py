@@ -24,9 +24,10 @@ def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> Dat
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def confirmed_changes(events: DataFrame, key: str, needed: int = 2, idle: int = 3_600_000) -> DataFrame:
+def confirmed_changes(events: DataFrame, key: str, needed: int = 2, idle: int | None = None) -> DataFrame:
     """``key, id, label, changed`` of events ``(key, id, label)`` in the order that they come: a key's label changes once
-    ``needed`` events in a row have another one. State is one label and one count for each key, dropped when idle."""
+    ``needed`` events in a row have another one. State is two labels and a count for each key, dropped after ``idle``
+    milliseconds without events if that is given (such a query goes on until it is stopped)."""
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,9 +49,10 @@ def confirmed_changes(events: DataFrame, key: str, needed: int = 2, idle: int =
                         current, rival, run, changed = seen, None, 0, True
                 out.append((name[0], i, current, changed))
         state.update((current, rival, run))
-        state.setTimeoutDuration(idle)
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[key, "id", "label", "changed"])
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(key, "id", "label").groupBy(key)
-    return rows.applyInPandasWithState(step, f"{key} {kind}, id long, label string, changed boolean", "current string, rival string, run int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.applyInPandasWithState(step, f"{key} {kind}, id long, label string, changed boolean", "current string, rival string, run int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
