@@ -15,9 +15,10 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _held(side: pd.DataFrame, *columns: str) -> pd.DataFrame:
-    """A side of a cogroup; one without rows comes without columns."""
-    return side if len(side) else pd.DataFrame({c: [] for c in columns})
+def _both(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], run, schema: str) -> DataFrame:
+    """``run(a, b)`` on the rows of both sides for every value of the keys on either side; a side may have no rows."""
+    sides = left.select(*keys, *columns, F.lit(0).alias("side")).unionByName(right.select(*keys, *columns, F.lit(1).alias("side")))
+    return sides.groupBy(*keys).applyInPandas(lambda g: run(g[g["side"] == 0], g[g["side"] == 1]), schema)
 
 
 def viterbi_labels(frames: DataFrame, key: str, labels: list[str], penalty: float = 4.0) -> DataFrame:
@@ -35,13 +36,13 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys: list[str], tolerance
     """``keys, left_id, right_id``: one-to-one pairs of ``(keys, id, at)`` within the tolerance, taken in order of ``at``."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (_held(x, *keys, "id", "at").sort_values(["at", "id"], kind="stable") for x in (a, b))
+        a, b = a.sort_values(["at", "id"], kind="stable"), b.sort_values(["at", "id"], kind="stable")
         pairs = kernels.greedy_match(a["at"].to_numpy(float), b["at"].to_numpy(float), tolerance)
         out = {k: [a[k].iloc[0]] * len(pairs) if len(pairs) else [] for k in keys}
         return pd.DataFrame(out | {"left_id": a["id"].to_numpy()[[i for i, _ in pairs]], "right_id": b["id"].to_numpy()[[j for _, j in pairs]]}) if pairs else pd.DataFrame(columns=[*keys, "left_id", "right_id"])
 
     schema = ", ".join(f"{k} {_type(left, k)}" for k in keys) + ", left_id long, right_id long"
-    return left.select(*keys, "id", "at").groupBy(*keys).cogroup(right.select(*keys, "id", "at").groupBy(*keys)).applyInPandas(run, schema)
+    return _both(left, right, keys, ["id", "at"], run, schema)
 
 
 def boundary_scores(left: DataFrame, right: DataFrame, key: str, tolerances: list[float]) -> DataFrame:
@@ -50,25 +51,24 @@ def boundary_scores(left: DataFrame, right: DataFrame, key: str, tolerances: lis
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         head = (a if len(a) else b).iloc[0]
-        a, b = _held(a, "at"), _held(b, "at")
         n = len(kernels.greedy_match(np.sort(a["at"].to_numpy(float)), np.sort(b["at"].to_numpy(float)), head["tolerance"]))
         p, r = n / len(b) if len(b) else 0.0, n / len(a) if len(a) else 0.0
         return pd.DataFrame({key: [head[key]], "tolerance": [head["tolerance"]], "precision": [p], "recall": [r], "f1": [2 * p * r / (p + r) if p + r else 0.0]})
 
-    by = [key, "tolerance"]
-    return left.select(key, "at", grid.alias("tolerance")).groupBy(*by).cogroup(right.select(key, "at", grid.alias("tolerance")).groupBy(*by)).applyInPandas(run, f"{key} {_type(left, key)}, tolerance double, precision double, recall double, f1 double")
+    spread = lambda side: side.select(key, "at", grid.alias("tolerance"))
+    return _both(spread(left), spread(right), [key, "tolerance"], ["at"], run, f"{key} {_type(left, key)}, tolerance double, precision double, recall double, f1 double")
 
 
 def sequence_alignment(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``key, place, left_place, right_place``: the cheapest alignment of two label sequences ``(key, place, label)``."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (_held(x, key, "place", "label").sort_values("place") for x in (a, b))
+        a, b = a.sort_values("place"), b.sort_values("place")
         pairs = kernels.align(a["label"].tolist(), b["label"].tolist())
         owner = (a if len(a) else b)[key].iloc[0]
         return pd.DataFrame({key: [owner] * len(pairs), "place": range(len(pairs)), "left_place": pd.array([i for i, _ in pairs], "Int64"), "right_place": pd.array([j for _, j in pairs], "Int64")})
 
-    return left.select(key, "place", "label").groupBy(key).cogroup(right.select(key, "place", "label").groupBy(key)).applyInPandas(run, f"{key} {_type(left, key)}, place long, left_place long, right_place long")
+    return _both(left, right, [key], ["place", "label"], run, f"{key} {_type(left, key)}, place long, left_place long, right_place long")
 
 
 def label_decoder(rows: DataFrame, key: str, decide) -> DataFrame:
