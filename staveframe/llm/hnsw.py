@@ -3,9 +3,10 @@
 Vectors that are equal are one class; the classes are dealt to shards, and each shard gets a graph of layers, of
 which every one holds a sixteenth of the one below. A search goes down from the top and keeps a beam of the best
 vectors met; it is done for many queries at once. Every class is searched for in every other shard (for each two
-shards, from one of the two sides) and in its own. Beams start at ``BEAM``. In each task a sample of the queries is held
-against an exact comparison; while less than ``RECALL`` of the sample's links are found, the beam is doubled. A query
-whose beam is full of links goes on with a wider one. Links are verified by their cosine in double precision.
+shards, from one of the two sides) and in its own. Beams start at ``BEAM``. In each shard a sample of its own vectors,
+and a hashed sample of the queries that come to it from other shards, are held against an exact comparison; while less
+than ``RECALL`` of a sample's links are found, the beam is doubled. A sample of few links or none proves nothing: the
+beam is ``WIDE`` at least then. A query whose beam is full of links goes on with a wider one. Links are verified by their cosine in double precision.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from staveframe.llm.components import components
 LEAST = 0.95
 DEGREE, BUILD_BEAM, BEAM = 16, 32, 16
 RECALL, AUDIT = 0.98, 128
+#: Vectors that an audit looks at, at most; the links that it must rest on, and the beam where there are fewer.
+SAMPLE, AUDIT_LINKS, WIDE = 4096, 32, 256
 #: Shards: an odd number, at least so many, and so that none has more classes than this.
 SHARDS, SHARD_ROWS = 9, 50_000
 #: Room that a search may take for an exact margin below the bound, as it runs in single precision.
@@ -198,18 +201,26 @@ class Graph:
             beam *= 4
         return (np.concatenate(found_q), np.concatenate(found_v)) if found_q else (np.zeros(0, dtype=np.int64),) * 2
 
-    def audited(self, least: float, beam: int) -> int:
-        """The beam, doubled until at least ``RECALL`` of the links of a sample of the shard's own vectors are found;
-        the sample is of vectors that have links to others."""
-        exact, q = [], self.x
-        for a in range(0, min(len(q), 16 * AUDIT), 256):
+    def audited(self, least: float, beam: int, foreign: np.ndarray | None = None) -> int:
+        """The beam, doubled until at least ``RECALL`` of the links of a sample are found; the sample is of vectors that
+        have links: of ``foreign`` or, without it, of the shard's own. With less than ``AUDIT_LINKS`` links to go by,
+        the beam is ``WIDE`` at least."""
+        own = foreign is None
+        exact, q, seen = [], self.x[:SAMPLE] if own else foreign[:SAMPLE].astype(np.float32), 0
+        for a in range(0, len(q), 256):
             r, c = np.nonzero(q[a : a + 256] @ self.x.T >= least)
-            r, c = r[r + a != c], c[r + a != c]
-            exact += zip((r + a).tolist(), self.order[c].tolist(), strict=True)
-            if len({r for r, _ in exact}) >= AUDIT:
+            r += a
+            if own:
+                r, c = r[r != c], c[r != c]
+            exact += zip(r.tolist(), self.order[c].tolist(), strict=True)
+            seen += len(np.unique(r))
+            if seen >= AUDIT:
                 break
         sample = np.array(sorted({r for r, _ in exact})[:AUDIT], dtype=np.int64)
-        true = {(r, c) for r, c in exact if r in set(sample.tolist())}
+        kept = set(sample.tolist())
+        true = {(r, c) for r, c in exact if r in kept}
+        if len(true) < AUDIT_LINKS:
+            beam = max(beam, WIDE)
         while len(sample) and beam < len(self.x):
             r, c = self.links_from(q[sample], least, beam)
             if len(true & set(zip(sample[r].tolist(), c.tolist(), strict=True))) >= RECALL * len(true):
@@ -239,16 +250,19 @@ def linked(rows: DataFrame, least: float) -> DataFrame:
     """``node, links, least`` from rows ``target, role, node, copies, vector``: role 0 makes up a shard, role 1 looks for links in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, waiting, state = None, [], None
+        target, waiting, first, state = None, [], [], None
 
         def build():
             node, copies = np.concatenate([np.asarray(b.column("node")) for b in waiting]), np.concatenate([np.asarray(b.column("copies")) for b in waiting])
             unit = np.concatenate([_unit(b.column("vector")) for b in waiting])
             graph = Graph(unit)
-            return node, copies, unit, graph, graph.audited(least - SLACK, BEAM)
+            inner = graph.audited(least - SLACK, BEAM)
+            outer = graph.audited(least - SLACK, BEAM, np.concatenate([_unit(b.column("vector")) for b in first])) if first else inner
+            return node, copies, unit, graph, inner, outer
 
         def answer(state, node, copies, unit, own: bool):
-            members, their, vectors, graph, beam = state
+            members, their, vectors, graph, inner, outer = state
+            beam = inner if own else outer
             for a in range(0, len(node), 4096):
                 part = slice(a, a + 4096)
                 i, j = graph.links_from(unit[part], least - SLACK, beam)
@@ -275,6 +289,21 @@ def linked(rows: DataFrame, least: float) -> DataFrame:
             if len(both):
                 yield told(both // n, both % n, state[0], state[0], state[1], state[1])
 
+        def foreign_links(state, part):
+            node, copies, unit = np.asarray(part.column("node")), np.asarray(part.column("copies")), _unit(part.column("vector"))
+            for i, j in answer(state, node, copies, unit, False):
+                yield told(i, j, node, state[0], copies, state[1])
+
+        def begin():
+            """The graph of the rows that wait, audited by the first queries from other shards; its own links and theirs."""
+            nonlocal state, waiting, first
+            state = build()
+            waiting = []
+            yield from own_links(state)
+            for part in first:
+                yield from foreign_links(state, part)
+            first = []
+
         for batch in batches:
             ids, role = np.asarray(batch.column("target")), np.asarray(batch.column("role"))
             cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(role) != 0)) + 1
@@ -283,25 +312,25 @@ def linked(rows: DataFrame, least: float) -> DataFrame:
                     continue
                 if ids[a] != target:
                     if waiting:
-                        yield from own_links(build())
-                    target, waiting, state = ids[a], [], None
+                        yield from begin()
+                    target, waiting, first, state = ids[a], [], [], None
                 part = batch.slice(a, b - a)
                 if role[a] == 0:
                     waiting.append(part)
-                    continue
-                if waiting:
-                    state, waiting = build(), []
-                    yield from own_links(state)
-                if state is None:  # nothing to search in
-                    continue
-                node, copies, unit = np.asarray(part.column("node")), np.asarray(part.column("copies")), _unit(part.column("vector"))
-                for i, j in answer(state, node, copies, unit, False):
-                    yield told(i, j, node, state[0], copies, state[1])
+                elif waiting:
+                    room = SAMPLE - sum(len(x) for x in first)
+                    first.append(part.slice(0, room))
+                    if len(part) >= room:
+                        yield from begin()
+                    if len(part) > room:
+                        yield from foreign_links(state, part.slice(room))
+                elif state is not None:  # else nothing to search in
+                    yield from foreign_links(state, part)
         if waiting:
-            yield from own_links(build())
+            yield from begin()
 
     count = rows.select("target").distinct().count()
-    return rows.repartition(max(1, count), "target").sortWithinPartitions("target", "role").mapInArrow(run, "node long, links long, least long")
+    return rows.repartition(max(1, count), "target").sortWithinPartitions("target", "role", F.xxhash64("node", F.lit(9))).mapInArrow(run, "node long, links long, least long")
 
 
 def join(embeddings: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

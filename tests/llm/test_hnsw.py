@@ -24,6 +24,33 @@ def test_graph_recall():
     assert len(found & true) >= 0.98 * len(true)
 
 
+def test_audit_of_queries_from_other_shards():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    q = x[:400] + 0.28 / 8 * rng.normal(size=(400, 64)) * np.linalg.norm(x[:400], axis=1, keepdims=True)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+    g = hnsw.Graph(x)
+    true = set(zip(*(k.tolist() for k in np.nonzero(q @ x.T >= 0.95)), strict=True))
+    beam = g.audited(0.95, 1, q)
+    i, j = g.links_from(q, 0.95, beam)
+    assert len(true) > 100 and len(true & set(zip(i.tolist(), j.tolist(), strict=True))) >= 0.98 * len(true)
+    # No vector of the shard has a link in it: a sample without links has shown nothing, whichever side it is from.
+    assert g.audited(0.95, 16) >= hnsw.WIDE and g.audited(0.95, 16, -q) >= hnsw.WIDE and g.audited(0.95, 16, q[:3]) >= hnsw.WIDE
+
+
+def test_first_queries_of_a_shard_are_answered_once(spark):
+    x = clustered(6000, d=8)
+    rows = [(0, 0 if k < 200 else 1, k, 1, [float(v) for v in x[k]]) for k in range(6000)] + [(1, 1, 9000, 1, [1.0] * 8), (2, 0, 9001, 1, [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "target int, role int, node long, copies long, vector array<double>")
+    got = hnsw.linked(frame, 0.95).groupBy("node").agg(F.sum("links").alias("n")).collect()
+    hit = np.array(x @ x.T >= 0.95)
+    np.fill_diagonal(hit, False)
+    hit[200:, 200:] = False
+    want = {k: int(n) for k, n in enumerate(hit.sum(axis=1)) if n}
+    found = {r.node: r.n for r in got}
+    assert all(found[k] <= want.get(k, 0) for k in found) and sum(found.values()) >= 0.98 * sum(want.values())
+
+
 def brute(rows):
     good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, up = {i: 0 for i, _ in rows}, {}
