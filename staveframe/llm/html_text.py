@@ -2,9 +2,11 @@
 
 Each page is cut into tokens: its tags and its blocks of text, each together with the path of elements above it. Tokens
 of a host that occur equally often in each of its pages (that have the same occurrence vector) are one equivalence
-class. Classes that occur in most of the host's pages are valid; they are nested by the paths of their tokens and make
-up the host's template. What is left of a page are the slots of the template. Text of the template is no content, and
-neither are slots that, over all pages of the host, hold mostly links, nor those in elements that by name are menus,
+class. Classes are judged as a whole: one is valid if it occurs in most of the host's pages, has enough tokens, tags
+among them, and leaves slots: below its outermost tags, text that differs must make up a share of all text. Constant
+text without tags or slots of its own (as copies of one article are) is content. Valid classes are nested by the paths
+of their tokens and make up the host's template; what is left of a page are its slots. Text of the template is no
+content, and neither are slots that, over all pages of the host, hold mostly links, nor those in elements that by name are menus,
 headers, footers, sidebars, notices, adverts, forms or comments. If a page has an article, the rest goes too.
 
 Occurrence vectors are never gathered: two tokens have the same one if the sums over pages of (count x hash of the
@@ -45,6 +47,8 @@ NAMES = frozenset(
 )
 #: A class is valid if it is found in this share of a host's pages; a text inside an article needs the higher share.
 SHARE, ARTICLE_SHARE, LEAST_PAGES = 0.5, 0.9, 8
+#: Tokens of a valid class, and the share of the text below its tags that its slots hold: of all text, and of text in articles.
+LEAST_TOKENS, SLOTS, ARTICLE_SLOTS = 3, 0.05, 0.5
 #: Hosts' templates are broadcast while they have fewer tokens than this together; beyond, pages are joined to them by host.
 BROADCAST_TOKENS = 1_000_000
 CAMEL, WORD = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[A-Za-z]+")
@@ -161,38 +165,56 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``host, token, parent, kind, times, page, chars, linked``: the distinct tokens of every page, and of its slots how much text they hold."""
+    """``host, token, parent, kind, times, page, chars, linked, below, below_article``: the distinct tokens of every page.
+
+    ``chars`` is how much text a text token holds, or a slot outside articles, of it ``linked`` in links; ``below`` is
+    all text in an element and in those inside it, ``below_article`` that in articles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 2 << 20):
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(10)]
             for host, source, mark in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("page").to_pylist(), strict=True):
                 page = Page(source or "")
                 sizes: Counter = Counter()
                 links: Counter = Counter()
-                for text, _, slot, article, barred, linked in page.blocks:
-                    if not barred and not article:
-                        sizes[slot] += len(text)
-                        links[slot] += linked
-                for (token, parent, kind), times in Counter(page.tokens).items():
-                    for column, value in zip(out, (host, token, parent, kind, times, mark, sizes[token] if kind == 0 else 0, links[token] if kind == 0 else 0), strict=True):
+                below: Counter = Counter()
+                below_article: Counter = Counter()
+                for text, token, slot, article, barred, linked in page.blocks:
+                    if not barred:
+                        sizes[token] += len(text)
+                        below[slot] += len(text)
+                        if article:
+                            below_article[slot] += len(text)
+                        else:
+                            sizes[slot] += len(text)
+                            links[slot] += linked
+                counted = Counter(page.tokens)
+                for token, parent, kind in reversed(counted):  # elements are first met after those around them
+                    if kind == 0:
+                        below[parent] += below[token]
+                        below_article[parent] += below_article[token]
+                for (token, parent, kind), times in counted.items():
+                    of_slot = (links[token], below[token], below_article[token]) if kind == 0 else (0, 0, 0)
+                    for column, value in zip(out, (host, token, parent, kind, times, mark, sizes[token], *of_slot), strict=True):
                         column.append(value)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "token", "parent", "kind", "times", "page", "chars", "linked"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "token", "parent", "kind", "times", "page", "chars", "linked", "below", "below_article"])
 
     source = rows.select("host", "html", F.xxhash64(F.monotonically_increasing_id(), F.lit(8)).alias("page"))
-    return source.mapInArrow(run, "host string, token long, parent long, kind int, times long, page long, chars long, linked long")
+    return source.mapInArrow(run, "host string, token long, parent long, kind int, times long, page long, chars long, linked long, below long, below_article long")
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """The template of each host: its valid classes as ``host, class_id, within, tokens, slots_of_links, pages``.
+    """The classes of most pages of each host as ``host, class_id, within, tokens, slots_of_links, pages``.
 
     ``class_id`` is a class's occurrence sum; ``within`` is that of the class around it (null for the outermost);
-    ``tokens`` are its tokens of text; ``slots_of_links`` its elements of which the text is mostly links.
+    ``tokens`` are its tokens of text if the class is valid, else empty, and without those in articles if they are most
+    of the text of the articles; ``slots_of_links`` its elements of which the text is mostly links.
     """
     big = "decimal(38,0)"
     vector = F.sum((F.col("times") * F.col("page").cast(big) % F.lit(1 << 61).cast(big)).cast(big))  # equal for equal occurrence vectors
-    each = occurrences(rows).groupBy("host", "token", "parent", "kind").agg(F.count("*").alias("pages"), vector.alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    each = occurrences(rows).groupBy("host", "token", "parent", "kind").agg(F.count("*").alias("pages"), vector.alias("vector"), *[F.sum(c).alias(c) for c in ("chars", "linked", "below", "below_article")])
     each = cut(each.where(F.col("pages") > 1))
     # The element that most pages of a host have tells how many pages there are.
     total = each.groupBy("host").agg(F.max("pages").alias("of"))
@@ -201,10 +223,18 @@ def templates(rows: DataFrame) -> DataFrame:
     above = valid.where(F.col("kind") == 0).select("host", F.col("token").alias("parent"), F.col("vector").alias("outer"))
     nested = valid.join(above, ["host", "parent"], "left")
     links = (F.col("kind") == 0) & (F.col("chars") > 0) & (2 * F.col("linked") > F.col("chars"))
-    return nested.groupBy("host", F.col("vector").alias("class_id")).agg(
-        F.min(F.when(F.col("outer") != F.col("vector"), F.col("outer"))).alias("within"), F.collect_list(F.when(F.col("kind") > 0, F.col("token"))).alias("tokens"),
-        F.collect_list(F.when(links, F.col("token"))).alias("slots_of_links"), F.max("pages").alias("pages"),
+    tag, outermost = F.col("kind") == 0, F.coalesce(F.col("outer") != F.col("vector"), F.lit(True))
+    total_of = lambda c, which: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0)).alias(f"{c}_of")
+    classes = nested.groupBy("host", F.col("vector").alias("class_id")).agg(
+        F.min(F.when(F.col("outer") != F.col("vector"), F.col("outer"))).alias("within"), F.collect_list(F.when(F.col("kind") == 1, F.col("token"))).alias("texts"), F.collect_list(F.when(F.col("kind") == 2, F.col("token"))).alias("article_texts"),
+        F.collect_list(F.when(links, F.col("token"))).alias("slots_of_links"), F.max("pages").alias("pages"), F.count("*").alias("n"), F.count_if(tag).alias("tags"),
+        total_of("below", tag & outermost), total_of("below_article", tag & outermost), F.sum(F.when(~tag, F.col("chars")).otherwise(0)).alias("own"), F.sum(F.when(F.col("kind") == 2, F.col("chars")).otherwise(0)).alias("own_article"),
     )
+    valid = (F.col("n") >= LEAST_TOKENS) & (F.col("tags") > 0) & (F.col("own") <= (1 - SLOTS) * F.col("below_of"))
+    small = F.col("own_article") <= (1 - ARTICLE_SLOTS) * F.col("below_article_of")
+    none = F.array().cast("array<bigint>")
+    tokens = F.when(valid, F.concat("texts", F.when(small, F.col("article_texts")).otherwise(none))).otherwise(none)
+    return classes.select("host", "class_id", "within", tokens.alias("tokens"), "slots_of_links", "pages")
 
 
 def extract(pages: DataFrame, template: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

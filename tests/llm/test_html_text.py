@@ -37,3 +37,22 @@ def test_copied_articles_stay(spark):
     rows = [(k, "http://a.com/", f"<nav><a>n{k}</a></nav><article><p>The same article on many pages</p></article>") for k in range(12)] + [(50 + k, "http://a.com/", f"<nav><a>m{k}</a></nav><article><p>Own {k}</p></article>") for k in range(12)]
     got = {r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id < 50").collect()}
     assert got == {"The same article on many pages"}
+
+
+def test_hosts_of_copies_keep_their_text(spark):
+    frame = "<html><body><div class=top>Hello to all readers</div>{}<div class=low>Kept by us since long ago</div></body></html>"
+    text = "".join(f"<p>Paragraph {k} of the one text that every page of this host has</p>" for k in range(4))
+    own = "<p>Page {} alone has this text, which is about as long as any of the paragraphs</p>"
+    rows = [(k, "http://all.com/", frame.format(f"<article>{text}</article><div>{k}</div>")) for k in range(20)]
+    rows += [(100 + k, "http://plain.com/", frame.format(f"<div class=post>{text}</div>")) for k in range(20)]
+    rows += [(200 + k, "http://most.com/", frame.format(f"<div class=post>{text if k < 18 else own.format(k)}</div>")) for k in range(20)]
+    rows += [(300 + k, "http://marked.com/", frame.format(f"<article>{text if k < 19 else own.format(k)}</article>")) for k in range(20)]
+    rows += [(400 + k, "http://line.com/", frame.format(f"<article>{own.format(k)}<p>Write to the editors</p></article>")) for k in range(20)]
+    got = {r.page_id: r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    lines = [f"Paragraph {k} of the one text that every page of this host has" for k in range(4)]
+    other = lambda k: f"Page {k} alone has this text, which is about as long as any of the paragraphs"
+    assert all(got[k].split("\n") == lines for k in range(20))
+    assert all(got[100 + k].split("\n") == ["Hello to all readers", *lines, "Kept by us since long ago"] for k in range(20))
+    assert all(got[200 + k].split("\n") == (lines if k < 18 else [other(k)]) for k in range(20))
+    assert all(got[300 + k].split("\n") == (lines if k < 19 else [other(k)]) for k in range(20))
+    assert all(got[400 + k] == other(k) for k in range(20))
