@@ -7,7 +7,8 @@ among them, and leaves slots: below its outermost tags, text that differs must m
 text without tags or slots of its own (as copies of one article are) is content. Valid classes are nested by the paths
 of their tokens and make up the host's template; what is left of a page are its slots. Text of the template is no
 content, and neither are slots that, over all pages of the host, hold mostly links, nor those in elements that by name are menus,
-headers, footers, sidebars, notices, adverts, forms or comments. If a page has an article, the rest goes too.
+headers, footers, sidebars, notices, adverts, forms or comments. If a page has an article, the rest goes too. Names around an
+article bar it only if the page has an article with fewer of them.
 
 Occurrence vectors are never gathered: two tokens have the same one if the sums over pages of (count x hash of the
 page) are equal, which Spark adds up by host and token, before and after one shuffle. A host may have any share of the pages.
@@ -51,6 +52,8 @@ SHARE, ARTICLE_SHARE, LEAST_PAGES = 0.5, 0.9, 8
 LEAST_TOKENS, SLOTS, ARTICLE_SLOTS = 3, 0.05, 0.5
 #: Hosts' templates are broadcast while they have fewer tokens than this together; beyond, pages are joined to them by host.
 BROADCAST_TOKENS = 1_000_000
+#: An element barred for good; lower numbers count the elements around an article that only their names bar.
+FIRM = 1 << 30
 CAMEL, WORD = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[A-Za-z]+")
 
 
@@ -60,24 +63,34 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, int, bool, bool, int]] = []  # text, token, slot, in an article, by name no content, characters in links
         self.tokens: list[tuple[int, int, int]] = []
-        self.stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path, article, no content, link
+        self.stack: list[tuple[str, int, bool, int, bool]] = []  # name, path, article, names that bar it or FIRM, link
         self.parts: list[str] = []
         self.linked = 0
         self._read(source)
+        self._judge()
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                _, slot, article, barred, _ = self.stack[-1] if self.stack else ("", 0, False, False, False)
+                _, slot, article, barred, _ = self.stack[-1] if self.stack else ("", 0, False, 0, False)
                 slot = next((path for name, path, *_ in reversed(self.stack) if name in BLOCK), 0)
                 token = xxhash.xxh3_64_intdigest(f"{slot}#{text}") >> 1
                 self.blocks.append((text, token, slot, article, barred, min(self.linked, len(text))))
-                if not barred:
-                    self.tokens.append((token, slot, 2 if article else 1))
         self.linked = 0
 
+    def _judge(self) -> None:
+        """Which blocks are no content: of articles, those with more names around them than the page's best ones have."""
+        least = min((barred for _, _, _, article, barred, _ in self.blocks if article and barred < FIRM), default=0)
+        size = [0, 0]
+        for text, _, _, article, barred, linked in self.blocks:
+            size[article] += len(text) if barred == (least if article else 0) and (article or 2 * linked <= len(text)) else 0
+        # If text outside is longer, the article may be a teaser in a sidebar: both stay.
+        lone = least == 0 or size[1] > size[0]
+        self.blocks = [(text, token, slot, article and lone, barred != (least if article else 0), linked) for text, token, slot, article, barred, linked in self.blocks]
+        self.tokens += [(token, slot, 2 if article else 1) for _, token, slot, article, barred, _ in self.blocks if not barred]
+
     def _pop_to(self, index: int) -> None:
         if any(s[0] in BLOCK for s in self.stack[index:]):
             self._flush()
@@ -99,19 +112,22 @@ class Page:
             return
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        _, path, article, barred, link = self.stack[-1] if self.stack else ("", 0, False, False, False)
+        _, path, article, barred, link = self.stack[-1] if self.stack else ("", 0, False, 0, False)
         if name in BLOCK:
             own = xxhash.xxh3_64_intdigest(f"{path}/{name}.{names}") >> 1
             self.tokens.append((own, path, 0))
             path = own
+        outside = not article
         article = article or name in ("article", "main") or found.get("role") in ("main", "article")
-        if not barred:
-            barred = name in NO_CONTENT or name == "header" and not article or found.get("role", "") in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", "")
-            if not barred and names and name not in ("html", "body", "main", "article"):
+        if barred < FIRM:
+            if name in NO_CONTENT or name == "header" and not article or found.get("role", "") in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", ""):
+                barred = FIRM
+            elif names and name not in ("html", "body", "main") and (name == "article" or not (outside and article)):
                 words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", names))}
-                barred = not NAMES.isdisjoint(words) or "header" in words and not article
-            elif not barred and names and name == "article":
-                barred = not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}.isdisjoint(w.lower() for w in WORD.findall(CAMEL.sub(" ", names)))
+                if name == "article":
+                    barred = barred if {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}.isdisjoint(words) else FIRM
+                elif not NAMES.isdisjoint(words) or "header" in words and not article:
+                    barred = barred + 1 if outside and not article else FIRM
         self.stack.append((name, path, article, barred, link or name == "a"))
 
     def _close(self, name: str) -> None:

@@ -56,3 +56,14 @@ def test_hosts_of_copies_keep_their_text(spark):
     assert all(got[200 + k].split("\n") == (lines if k < 18 else [other(k)]) for k in range(20))
     assert all(got[300 + k].split("\n") == (lines if k < 19 else [other(k)]) for k in range(20))
     assert all(got[400 + k] == other(k) for k in range(20))
+
+
+def test_names_of_wrappers_do_not_bar_articles():
+    for wrapper in ('class="layout has-sidebar"', 'class="with-comments"', 'id="page" class="menu-open"', 'class="side left"', 'class="has-header"'):
+        for kind in ("article", "main"):
+            page = f"<body><div {wrapper}><{kind}><p>The article</p><div class=comments>bad</div></{kind}><div class=sidebar><article>Teaser</article></div><p>not</p></div><p>out</p></body>"
+            assert ht.Page(page).main_text(set()) == "The article", (wrapper, kind)
+    assert ht.Page("<article>Own</article><div class=related><article>Other article, and longer</article></div>").main_text(set()) == "Own"
+    assert ht.Page("<nav class=x><article>no</article></nav><div class=comments><article class=comment>no</article></div><p>Text</p>").main_text(set()) == "Text"
+    assert ht.Page("<p>Text without any article element</p><div class=page-with-sidebar><article>Short</article></div>").main_text(set()) == "Text without any article element\nShort"
+    assert ht.Page("<div role=main class=has-sidebar><p>Text</p></div>").main_text(set()) == "Text"
