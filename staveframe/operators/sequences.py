@@ -60,8 +60,13 @@ def gap_merge(rows: DataFrame, key: str, gap: int) -> DataFrame:
 
 def anchored_clusters(rows: DataFrame, key: str, tolerance: int) -> DataFrame:
     """Adds ``anchor`` to rows ``(key, id, at)``: a new cluster begins where ``at`` is more than ``tolerance`` after the
-    FIRST of the cluster, so this is no session. An ordered fold over a key's distinct times finds the anchors."""
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_set("at")).alias("ts"))
+    FIRST of the cluster, so this is no session. A gap over the tolerance always begins a cluster; an ordered fold over
+    the distinct times between two such gaps finds the anchors."""
+    ordered = W.partitionBy(key).orderBy("at")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(ordered) > tolerance, F.lit(True)).cast("int")
+    distinct = rows.where(F.col("at").isNotNull()).select(key, "at").distinct().select(key, "at", begins.alias("begins"))
+    islands = distinct.select(key, "at", F.sum("begins").over(ordered.rowsBetween(W.unboundedPreceding, 0)).alias("island"))
+    times = islands.groupBy(key, "island").agg(F.array_sort(F.collect_list("at")).alias("ts"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
 
     def step(state: Column, t: Column) -> Column:

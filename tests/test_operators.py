@@ -1,5 +1,7 @@
 """Hand-worked cases of operators that have no SQL twin, and edge cases of those that have."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def test_alignment_of_the_worked_example(spark):
     assert intervals.agreement(intervals.aligned_segments(left.limit(0), right, "k"), "k").count() == 0
 
 
+def test_anchored_clusters_of_one_long_track(spark):
+    """One key with 300,000 times, in threes: a fold over all of them in one array grows with their square."""
+    at = (F.col("id") - F.col("id") % 3) * 100 + F.col("id") % 3 * 40
+    began = time.monotonic()
+    got = sequences.anchored_clusters(spark.range(300_000).select(F.lit("a").alias("k"), "id", at.alias("at")), "k", 50)
+    wrong = F.col("anchor") != F.when(F.col("id") % 3 == 2, F.col("at")).otherwise(F.col("at") - F.col("id") % 3 * 40)
+    assert got.where(wrong).count() == 0 and got.count() == 300_000
+    assert time.monotonic() - began < 60
+
+
 def test_gap_merge_weights_in_order(spark):
     rows = spark.createDataFrame([("p", 1, 0, 10, 1.0), ("p", 2, 12, 22, 0.5), ("p", 3, 40, 50, 0.2)], "k string, id long, at long, end long, score double")
     got = {r.island: (r.start, r.end, round(r.score, 4)) for r in sequences.gap_merge(rows, "k", 5).collect()}
