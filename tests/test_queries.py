@@ -1,6 +1,9 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; the others run and give rows."""
 
 import os
+import shutil
+import subprocess
+import sys
 from glob import glob
 
 import duckdb
@@ -57,3 +60,17 @@ def test_imports_without_the_optional_part():
         if "/llm/" not in path:
             with open(path) as file:
                 assert "staveframe.llm" not in file.read()
+
+
+@pytest.mark.parametrize("without_pipeline", [False, True])
+def test_entry_without_the_optional_part(tmp_path, without_pipeline):
+    """With the optional folders deleted, and the pipeline's file too or not, the other queries and their SQL are there."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__", *(["corpus_pipeline.py"] if without_pipeline else []))
+    shutil.copytree(root, tmp_path / "repo", ignore=gone)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=120, check=True)
+    names, sql = (line.split() for line in done.stdout.splitlines())
+    assert names == sorted(OWN)
+    assert sql == sorted(SQL)
