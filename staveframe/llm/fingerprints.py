@@ -1,7 +1,7 @@
 """Operator 5: homomorphic multiset fingerprints of documents.
 
 A text is the multiset of its paragraphs (lines that aren't blank). Each paragraph is hashed to a wide vector, and
-the fingerprint is the sum of the vectors modulo 2**16 in every lane. So the order of paragraphs doesn't matter,
+the fingerprint is the sum of the vectors modulo 2**32 in every lane. So the order of paragraphs doesn't matter,
 and a paragraph is inserted or deleted by adding or subtracting its vector. A vector has two parts: ``EQUAL`` lanes
 of a 512-bit hash of the whole paragraph, for equality, and ``ALIKE`` lanes to which each run of three words of the
 paragraph adds +1 or -1 in one hashed lane; inner products of those sums estimate how much two texts share.
@@ -13,7 +13,6 @@ alone; the first row of a range is also sent to the range before it. Texts are s
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from staveframe.llm._batches import chunks, texts
 
-EQUAL, ALIKE, RUN = 32, 256, 3
+EQUAL, ALIKE, RUN = 16, 256, 3
 LANES = EQUAL + ALIKE
 #: Text of a range of ids in bytes, at least; ranges grow beyond that once there are ``MOST_RANGES`` of them.
 RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000
@@ -45,14 +44,14 @@ class Hasher:
         if len(self.words) > self.keep:
             self.words.clear()
         parts = [[p for p in t.split("\n") if p and not p.isspace()] for t in rows]
-        out = np.zeros((len(rows), LANES), dtype=np.uint16)
+        out = np.zeros((len(rows), LANES), dtype=np.uint32)
         paragraphs = list(chain.from_iterable(parts))
         if not paragraphs:
             return out
         owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-        digests = np.frombuffer(b"".join(hashlib.blake2b(p.encode()).digest() for p in paragraphs), dtype="<u2").reshape(-1, EQUAL)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(p.encode()).digest() for p in paragraphs), dtype="<u4").reshape(-1, EQUAL)
         first = np.flatnonzero(np.r_[True, np.diff(owner) > 0])
-        out[owner[first], :EQUAL] = np.add.reduceat(digests, first, axis=0, dtype=np.uint16)
+        out[owner[first], :EQUAL] = np.add.reduceat(digests, first, axis=0, dtype=np.uint32)
         words = [p.split() for p in paragraphs]
         for w in set(chain.from_iterable(words)).difference(self.words):
             self.words[w] = xxhash.xxh3_64_intdigest(w)
@@ -72,35 +71,35 @@ class Hasher:
         lane = (g >> np.uint64(40)).astype(np.int64) % ALIKE
         sign = np.where(g & np.uint64(1 << 33), 1.0, -1.0)
         sums = np.bincount(owner[paragraph[begins]] * ALIKE + lane, weights=sign, minlength=len(rows) * ALIKE)
-        out[:, EQUAL:] = sums.reshape(-1, ALIKE).astype(np.int64).astype(np.uint16)
+        out[:, EQUAL:] = sums.reshape(-1, ALIKE).astype(np.int64).astype(np.uint32)
         return out
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Fingerprint of the union of two multisets of paragraphs."""
-    return (a + b).astype(np.uint16)
+    return (a + b).astype(np.uint32)
 
 
 def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Fingerprint after the paragraphs of ``b`` are deleted from ``a``."""
-    return (a - b).astype(np.uint16)
+    return (a - b).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows: 1 for equal fingerprints, else the cosine of the ALIKE lanes, 0 at least."""
-    x, y = (v[:, EQUAL:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[:, EQUAL:].astype(np.int32).astype(np.float64) for v in (a, b))
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where((a == b).all(axis=1), 1.0, np.clip(cosine, 0.0, 1.0))
 
 
 def written(vectors: np.ndarray) -> list[str]:
-    """Fingerprints as text: base64 of the lanes as little-endian unsigned 16-bit integers."""
-    return [base64.b64encode(v.astype("<u2").tobytes()).decode() for v in vectors]
+    """Fingerprints as text: base64 of the lanes as little-endian unsigned 32-bit integers."""
+    return [base64.b64encode(v.astype("<u4").tobytes()).decode() for v in vectors]
 
 
 def read(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), dtype="<u2").astype(np.uint16)
+    return np.frombuffer(base64.b64decode(text), dtype="<u4").astype(np.uint32)
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,11 +131,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     firsts = keyed.select("k", "h").repartitionByRange(ranges, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")).collect()
     bounds = sorted({tuple(x["first"]) for x in firsts})  # one key for each range
 
+    first_k, first_h = (np.array([x[i] for x in bounds], dtype=np.int64) for i in (0, 1))
+
     @F.pandas_udf("struct<range:int,first:boolean>")
     def place(k: pd.Series, h: pd.Series) -> pd.DataFrame:
-        keys = list(zip(k.tolist(), h.tolist(), strict=True))
-        at = [bisect.bisect_right(bounds, x) - 1 for x in keys]
-        return pd.DataFrame({"range": at, "first": [bounds[i] == x for i, x in zip(at, keys, strict=True)]})
+        k, h = k.to_numpy(), h.to_numpy()
+        low, high = np.searchsorted(first_k, k, "left"), np.searchsorted(first_k, k, "right")
+        while (low < high).any():  # among bounds of the same id, by the hash
+            middle = (low + high) // 2
+            inside = low < high
+            up = inside & (first_h[np.minimum(middle, len(first_h) - 1)] <= h)
+            low, high = np.where(up, middle + 1, low), np.where(inside & ~up, middle, high)
+        at = np.maximum(low - 1, 0)
+        return pd.DataFrame({"range": at.astype(np.int32), "first": (first_k[at] == k) & (first_h[at] == h)})
 
     own, n = F.col("place.range"), max(1, len(bounds))
     before = F.pmod(own - 1, F.lit(n))

@@ -53,3 +53,19 @@ def test_many_ranges(spark):
         if a.range == b.range and not a.copy:
             line[a.doc_id] = b.doc_id
     assert line == {k: (k + 1) % 1009 for k in by_id}
+
+
+def test_long_repetitive_texts():
+    """Counts beyond 16 bits do not wrap round."""
+    a, b, c, d = fp.Hasher().vectors(["a b c\n" * k for k in (20_000, 40_000, 32_767, 32_769)])
+    near = fp.likeness(np.stack([a, c]), np.stack([b, d]))
+    assert (near > 0.999).all() and not (a == b).all()
+
+
+def test_ranges_within_one_id(spark):
+    """Rows of one id are dealt to ranges by the hash of their text, and each still has one next row."""
+    frame = spark.createDataFrame([(5, f"text {k} " * 9) for k in range(300)] + [(4, "first"), (6, "last")], "doc_id long, text string").repartition(3)
+    dealt = fp.with_next(frame, range_bytes=2000).mapInPandas(lambda it: it, "doc_id long, text string, range int, copy int").collect()
+    follows = [(a.text, b.text) for a, b in zip(dealt, dealt[1:], strict=False) if a.range == b.range and not a.copy]
+    assert len({x.range for x in dealt}) > 5
+    assert len(follows) == 302 and len({a for a, _ in follows}) == len({b for _, b in follows}) == 302
