@@ -3,8 +3,9 @@
 Three fixed patterns give the base spans. Further tokens are scored by two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers: a token is a secret if the log-likelihood
 ratio passes a bound. Both are trained from labelled samples that the table itself gives: what the fixed
-patterns find counts as random, other long tokens as ordinary. Only DataFrame functions run here; one pass over
-the rows, without a shuffle (training adds a pass over a bounded sample).
+patterns find counts as random, in its own case and in upper case; other tokens count as ordinary if letters and digits
+meet in them once at most (words, names, numbers), and are left out of training if they meet more often. Only DataFrame
+functions run here; one pass over the rows, without a shuffle (training adds a pass over a bounded sample).
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 characters or more
 HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 characters or more
 KINDS = ("assign", "access", "hex", "markov")
 #: What the models score: runs of the characters that keys are written with.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{8,}"
+#: Where a letter meets a digit; ordinary tokens have one such place at most.
+MEETS = r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 K = len(ALPHABET) + 1
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
@@ -48,29 +50,37 @@ def spans(text: Column, pattern: str, kind: int, keep: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """All base spans ``struct(start, kind, end)``, in order of start and kind."""
+    """All base spans ``struct(start, kind, end)``, in order of start and kind. Patterns are only tried on texts that
+    hold one of their words, or a run of enough characters, which is cheaper to tell."""
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     whole = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda _: F.lit(True))
-    each = [spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= 8)), spans(text, ACCESS, 1, whole(ACCESS)), spans(text, HEX, 2, whole(HEX))]
+    named = F.lower(text)
+    may_assign = F.contains(named, F.lit("passw")) | F.contains(named, F.lit("secret")) | F.contains(named, F.lit("token")) | F.contains(named, F.lit("api"))
+    none = F.array().cast(f"array<{SPAN}>")
+    each = [
+        F.when(may_assign, spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= 8))).otherwise(none),
+        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, 1, whole(ACCESS))).otherwise(none),
+        F.when(text.rlike(HEX), spans(text, HEX, 2, whole(HEX))).otherwise(none),
+    ]
     return F.array_sort(F.concat(*each))
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS, text_col: str = "text") -> list[float]:
     """Log-likelihood ratio of each transition, random against ordinary, row by row of the alphabet (index 0: other).
 
-    Fitted on about ``fit_rows`` rows drawn by hash; all rows where there are fewer. With no labelled strings of a
-    kind, the even prior stands for it, which is what random strings are like.
+    Fitted on about ``fit_rows`` rows drawn by a hash of all their columns; all rows where there are fewer. With no
+    labelled strings of a kind, the even prior stands for it, which is what random strings are like.
     """
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = texts.count()
-    if n > fit_rows:
-        texts = texts.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
+    n = docs.count()
+    drawn = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)) if n > fit_rows else docs
+    texts = drawn.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     secret = F.concat(F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 8), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
-    both = texts.select(secret.alias("secret"), F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)).alias("token"))
-    random = both.select(F.lit(True).alias("random"), F.explode("secret").alias("word"))
+    both = texts.select(secret.alias("secret"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("token"))
+    random = both.select(F.lit(True).alias("random"), F.explode("secret").alias("found")).select("random", F.explode(F.array("found", F.upper("found"))).alias("word"))
     # Tokens that hold a secret aren't ordinary ones.
     ordinary = both.select(F.lit(False).alias("random"), F.explode(F.filter("token", lambda t: ~F.exists("secret", lambda s: F.contains(t, s) | F.contains(s, t)))).alias("word"))
+    ordinary = ordinary.where(F.regexp_count("word", F.lit(MEETS)) <= 1)
     words = random.unionByName(ordinary)
     codes = F.transform(F.split("word", ""), lambda c: F.instr(F.lit(ALPHABET), c))
     steps = words.select("random", codes.alias("c")).select("random", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c")).alias("b"))).alias("x"))
@@ -88,7 +98,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_i
     ``struct(start, kind, end)`` with kind an index into :data:`KINDS`.
 
     Null texts count as empty; a text without matches has empty arrays; repeated rows are scanned once each; an
-    added span never overlaps a base span; other columns are left out.
+    added span never lies within a base span, but may go beyond one that it meets; other columns are left out.
     """
     model = train(docs, text_col=text_col) if model is None else model
     return _found(docs.select(F.col(id_col).cast("long").alias("carried"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), model).withColumnRenamed("carried", "doc_id")
@@ -112,8 +122,8 @@ def _found(rows: DataFrame, model: list[float]) -> DataFrame:
     keep = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), secret)
     rows = rows.select("carried", "text", base_spans(text).alias("base"), keep.alias("keep"))
     rows = rows.select("carried", "text", "base", spans(text, CANDIDATE, 3, F.col("keep")).alias("scored"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.select("carried", "text", "base", F.filter("scored", clear).alias("added"))
+    new = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    return rows.select("carried", "text", "base", F.filter("scored", new).alias("added"))
 
 
 def listed(found: Column) -> Column:
