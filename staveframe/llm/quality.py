@@ -29,12 +29,15 @@ STOP = frozenset(
     "de la le les et des en un une du que pour dans est qui sur par pas au "
     "el los las y del se por con una para su al lo como más que no".split()
 )
+#: Signs that a word may carry at its ends.
+EDGES = ".,;:!?'\"()"
 LABELLERS = ("symbols", "capitals", "digits", "stop_words", "word_length", "variety", "neighbours", "closing", "lines")
 #: Characters by class: 0 space, 1 line feed, 2 lower case, 3 upper case, 4 digit, 5 other letter, from 6 on own classes of signs, last: other sign.
 SIGNS = ".,;:!?'\"-()|*#$%&@/_=<>"
 CLASSES = 7 + len(SIGNS)
 DIMENSIONS = 1 << 10
-FIT_ROWS = 8_000
+#: Rows that the scorer is fitted on, at most, and the partitions that they are dealt to.
+FIT_ROWS, FIT_PARTS = 8_000, 8
 
 
 def class_table() -> np.ndarray:
@@ -79,7 +82,7 @@ class Reader:
         closing = int(many[6:8].sum())  # full stops and commas
         return {
             "words": len(words), "symbols": float(many[6 + SIGNS.index("|") :].sum() + many[6 + SIGNS.index("!")]) / solid, "capitals": many[3] / letters, "digits": many[4] / solid,
-            "stop_words": sum(kinds[s] for s in STOP if s in kinds) / n, "word_length": solid / n, "variety": len(kinds) / n, "neighbours": sum(map(eq, words, words[1:])) / n,
+            "stop_words": sum(k for w, k in kinds.items() if w.strip(EDGES).lower() in STOP) / n, "word_length": solid / n, "variety": len(kinds) / n, "neighbours": sum(map(eq, words, words[1:])) / n,
             "closing": closing / n, "lines": 1 - len(set(lines)) / max(1, len(lines)),
         }
 
@@ -159,30 +162,32 @@ def fit_labels(docs: DataFrame, text_col: str = "text") -> LabelModel:
 
 
 def fit_scorer(docs: DataFrame, labels: LabelModel, fit_rows: int = FIT_ROWS, text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights and intercept of the linear scorer, trained on posteriors of about ``fit_rows`` rows drawn by hash
-    (all, where there are fewer): each row counts as good and as bad with the weights that the posterior gives."""
-    source = docs.select(F.col(text_col).cast("string").alias("text"))
-    n = source.count()
-    if n > fit_rows:
-        source = source.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
+    """Weights and intercept of the linear scorer, trained on posteriors of about ``fit_rows`` rows drawn by a hash of
+    all their columns (all, where there are fewer): each row counts as good and as bad with the weights that the
+    posterior gives. The rows are fitted in the order of that hash, so that it does not matter how they are dealt."""
+    n = docs.count()
+    place = F.xxhash64(*docs.columns)
+    drawn = docs.where(F.pmod(place, F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)) if n > fit_rows else docs
+    source = drawn.select(place.alias("place"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in chunks(batches, "text"):
-            columns: list[list] = [[], [], []]
-            for t in (x or "" for x in batch.column("text").to_pylist()):
+            columns: list[list] = [[], [], [], []]
+            for place, t in zip(batch.column("place").to_pylist(), (x or "" for x in batch.column("text").to_pylist()), strict=True):
                 classes = reader.classes(t)
                 m = reader.measure(t, classes)
                 p = float(labels.posterior(np.array([reader.votes(m)]))[0])
                 x = reader.features(classes, m).tolist()
                 for label, weight in ((1.0, p), (0.0, 1 - p)):
                     if weight > 1e-3:
-                        for column, value in zip(columns, (label, weight, x), strict=True):
+                        for column, value in zip(columns, (place, label, weight, x), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(pa.float64()))], ["label", "weight", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.list_(pa.float64()))], ["place", "label", "weight", "x"])
 
-    rows = source.mapInArrow(run, "label double, weight double, x array<double>").select("label", "weight", array_to_vector("x").alias("features"))
-    rows = rows.repartition(8).persist()
+    rows = source.mapInArrow(run, "place long, label double, weight double, x array<double>")
+    part = F.pmod(F.col("place"), F.lit(FIT_PARTS)).cast("int")
+    rows = rows.repartitionById(FIT_PARTS, part).sortWithinPartitions("place", "label").select("label", "weight", array_to_vector("x").alias("features")).persist()
     try:
         kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         if len(kinds) < 2:  # nothing to tell apart: every text scores as the labels say

@@ -30,3 +30,11 @@ def test_odd_rows(docs, empty, rows):
     got = quality.score(docs).select("doc_id", "text", "score", "keep").collect()
     assert len(got) == len(rows) and all(r.keep for r in got if not (r.text or "").strip())
     assert quality.score(empty).count() == 0
+
+
+def test_same_scores_however_rows_are_dealt(spark):
+    """Labels, sample and scorer depend on the rows alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = quality.fit_labels(docs)
+    first, second = (quality.fit_scorer(d, labels, fit_rows=300) for d in (docs, docs.repartition(7)))
+    assert np.abs(first[0] - second[0]).max() < 1e-6 and abs(first[1] - second[1]) < 1e-6
