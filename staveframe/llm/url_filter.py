@@ -4,12 +4,16 @@ Spark's FP-growth mines combinations of URL tokens from labelled URLs. Of its as
 conclude the label "block" and pass the bounds on support and confidence are kept, without those that a shorter
 one implies. They are indexed by their rarest token: a URL meets only the rules under its own tokens, and blocks
 if one of these has all its tokens in the URL. Only DataFrame functions and Spark's own FP-growth run here.
+
+FP-growth lists every combination of tokens that is frequent, so k tokens that come together would cost 2^k. Tokens
+that occur in exactly the same labelled URLs are therefore one (the least of them stands for all, in rules and in the
+URLs that are judged), and of each labelled URL the ``WIDTH`` frequent tokens are mined that tell most about blocking.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staveframe.llm._lineage import cut
@@ -20,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many mined rules are broadcast; beyond, they are joined by a shuffle on the token.
 BROADCAST_RULES = 20_000
 LABEL = "label:block"
+#: Tokens of a labelled URL that are mined, at most; a parameter of the model, as are its bounds on support and confidence.
+WIDTH = 10
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -48,47 +54,75 @@ def explicit(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length int, rule string, verdict string>")
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, fit_rows: int = 200_000) -> DataFrame:
-    """Association rules ``key, antecedent, confidence, support`` for blocking from ``tokens array<string>, block boolean``.
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, fit_rows: int = 200_000, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Association rules ``key, antecedent, confidence, support`` for blocking from ``tokens array<string>, block
+    boolean``, and ``token, stands``: the token that stands for each in the rules, where it is another or occurs often.
 
-    Fitted on all labelled rows, or on a sample of about ``fit_rows`` of them where there are more. A table without
-    labels or without frequent combinations gives no rules. Rules of one token count as combinations of one.
+    Fitted on all labelled rows, or on a sample of about ``fit_rows`` of them (by a hash of all columns) where there are
+    more. A table without labels or without frequent combinations gives no rules. Rules of one token count as
+    combinations of one.
     """
-    rows = labelled.where(F.size("tokens") > 0)
+    rows = labelled.where((F.size("tokens") > 0) & F.col("block").isNotNull())
     n = rows.count()
     if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("tokens", F.monotonically_increasing_id()), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    items = rows.select(F.concat("tokens", F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+        rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
+    # Equal rows are one, with their number, so that a hot URL costs no more than others.
+    rows = cut(rows.select(F.array_sort("tokens").alias("tokens"), "block").groupBy("tokens", "block").agg(F.count("*").alias("copies")))
+    n = rows.agg(F.sum("copies")).first()[0] or 0
+    big, place = "decimal(38,0)", F.xxhash64("tokens", "block")
+    # Two tokens occur in the same rows if the sums over rows of (a hash of the row) are equal.
+    met = rows.select("block", "copies", place.cast(big).alias("place"), F.explode("tokens").alias("token"))
+    known = met.groupBy("token").agg(F.sum("copies").alias("freq"), F.sum(F.when(F.col("block"), F.col("copies")).otherwise(0)).alias("bad"), F.sum("place").alias("vector"))
+    known = known.where(F.col("freq") >= max(1.0, min_support * n))  # at most (tokens a row) / min_support of them
+    stands = F.min("token").over(Window.partitionBy("vector", "freq", "bad"))
+    known = cut(known.select("token", stands.alias("stands"), "freq", "bad"))
+    # What a token tells: how far its share of blocked rows is from that of all, by the rows that it rests on.
+    share = rows.agg(F.sum(F.when(F.col("block"), F.col("copies")).otherwise(0)).alias("bad")).first()[0] or 0
+    tells = (F.abs(F.col("bad") / F.col("freq") - F.lit(share / max(1, n))) * F.sqrt("freq")).alias("tells")
+    chosen = known.where(F.col("token") == F.col("stands")).select("token", tells, "freq")
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("tells")).alias("tells"), "token"))), 1, width)["token"]
+    keyed = rows.select("tokens", "block", "copies", F.explode("tokens").alias("token")).join(F.broadcast(chosen), "token")
+    narrow = keyed.groupBy("tokens", "block").agg(ranked.alias("items"), F.first("copies").alias("copies"))
+    # Blocked rows carry the label; rows without a frequent token count too, as the support is a share of all rows.
+    items = F.concat("items", F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>")))
+    each = rows.join(narrow.drop("copies"), ["tokens", "block"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    each = each.select(items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("items")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(each)
     found = model.associationRules.where(F.col("consequent")[0] == LABEL).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     found = cut(found)
     # A rule goes if a rule over part of its tokens is kept: look up each rule without one of its tokens.
     less = found.where(F.size("antecedent") > 1).select("antecedent", F.explode("antecedent").alias("out")).select("antecedent", F.array_remove("antecedent", F.col("out")).alias("part"))
     implied = less.join(found.select(F.col("antecedent").alias("part")), "part", "left_semi").select("antecedent").distinct()
     kept = found.join(implied, "antecedent", "left_anti")
-    common = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    keyed = kept.select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(common, "token")
-    return cut(keyed.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key")).select("key", "antecedent", "confidence", "support"))
+    keyed = kept.select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(known.select("token", "freq"), "token")
+    rules = cut(keyed.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key")).select("key", "antecedent", "confidence", "support"))
+    return rules, known.select("token", "stands").where(F.col("token") != F.col("stands"))
 
 
-def judge(pages: DataFrame, rules=RULES, mined: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, mined: tuple[DataFrame, DataFrame] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, confidence`` for every row.
 
     An explicit rule decides where one fits (longest wins). Elsewhere the mined rules do: a URL is blocked if one
-    fits, with its confidence; else it is allowed. Without ``mined``, they are mined from these rows: those that
-    explicit rules block are labelled so, all others count as not blocked. Null URLs and those without ``://`` have
-    empty host and path and are allowed; repeated rows are judged once each; other columns are left out.
+    fits, with its confidence; else it is allowed. Without ``mined`` (what :func:`mine` gives), they are mined from the
+    rows that explicit rules block or allow; rows without such a rule have no label and are left out. Null URLs and
+    those without ``://`` have empty host and path and are allowed; repeated rows are judged once each; other columns
+    are left out.
     """
     host, path = host_path(F.col(url_col).cast("string"))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
     base = base.select("page_id", "host", "path", explicit(F.col("host"), F.col("path"), rules).alias("own"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
     if mined is None:
-        mined = mine(base.select("tokens", F.coalesce(F.col("own.verdict") == "block", F.lit(False)).alias("block")))
-    by_token = F.broadcast(mined) if mined.count() <= BROADCAST_RULES else mined
+        mined = mine(base.where(F.col("own").isNotNull()).select("tokens", (F.col("own.verdict") == "block").alias("block")))
+    rules_, stands = mined
+    by_token = F.broadcast(rules_) if rules_.count() <= BROADCAST_RULES else rules_
     by_token = by_token.select(F.col("key").alias("token"), "antecedent", F.col("confidence").alias("rule_confidence"))
+    stands = F.broadcast(stands) if stands.count() <= BROADCAST_RULES else stands
     decided = base.where(F.col("own").isNotNull()).select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("verdict"), F.lit(None).cast("double").alias("confidence"))
     open_ = base.where(F.col("own").isNull()).withColumn("row", F.monotonically_increasing_id())
-    met = open_.select("row", "page_id", "host", "path", "tokens", F.explode_outer("tokens").alias("token")).join(by_token, "token", "left")
+    each = open_.select("row", "page_id", "host", "path", F.explode_outer("tokens").alias("token")).join(stands, "token", "left")
+    # Tokens by what stands for them; a URL of several tokens that one stands for has it once.
+    own = each.groupBy("row", "page_id", "host", "path").agg(F.collect_set(F.coalesce("stands", "token")).alias("tokens"))
+    met = own.select("row", "page_id", "host", "path", "tokens", F.explode_outer("tokens").alias("token")).join(by_token, "token", "left")
     hit = F.when(F.forall("antecedent", lambda x: F.array_contains("tokens", x)), F.col("rule_confidence"))
     judged = met.groupBy("row", "page_id", "host", "path").agg(F.max(hit).alias("confidence"))
     rest = judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow").alias("verdict"), "confidence")

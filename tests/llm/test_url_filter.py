@@ -1,3 +1,7 @@
+import random
+import time
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from staveframe.llm import url_filter
@@ -11,8 +15,9 @@ CASES = [
 
 def test_rules(spark):
     pages = spark.createDataFrame([(k, c[0]) for k, c in enumerate(CASES)] * 2, "page_id long, url string").withColumns({c: F.lit(1) for c in ("row", "host", "path", "rule", "token", "tokens", "own")})
-    got = url_filter.judge(pages).collect()
-    assert len(got) == 2 * len(CASES)
+    nothing = spark.createDataFrame([], "key string, antecedent array<string>, confidence double, support double"), spark.createDataFrame([], "token string, stands string")
+    got = url_filter.judge(pages, mined=nothing).collect()
+    assert len(got) == 2 * len(CASES) == url_filter.judge(pages).count()
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == CASES[r.page_id][1:]
 
@@ -20,7 +25,7 @@ def test_rules(spark):
 def test_mined_rules_block_and_are_pruned(spark):
     rows = [(["h:bad", "h:org", "p:x"], True)] * 40 + [(["h:good", "h:org", "p:x"], False)] * 60 + [(["h:good", "h:org", "p:buy"], True)] * 20 + [(["h:shop", "h:org", "p:buy"], False)] * 30
     mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, block boolean"), min_support=0.05, min_confidence=0.9)
-    found = {tuple(r.antecedent) for r in mined.collect()}
+    found = {tuple(r.antecedent) for r in mined[0].collect()}
     assert ("h:bad",) in found and ("h:good", "p:buy") in found
     assert not any(set(a) > {"h:bad"} for a in found)
     pages = spark.createDataFrame([(1, "http://bad.org/q"), (2, "http://good.org/q"), (3, "http://good.org/buy"), (4, "http://shop.org/buy")], "page_id long, url string")
@@ -30,3 +35,47 @@ def test_mined_rules_block_and_are_pruned(spark):
 
 def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_against_all_combinations(spark):
+    """The mined rules block the URLs that all frequent combinations of tokens with enough confidence would."""
+    rng = random.Random(2)
+    names = ["p:a", "p:b", "p:c", "p:d", "h:x", "h:y", "q:twin", "q:other"]
+    rows = []
+    for _ in range(400):
+        own = {t for t in names[:6] if rng.random() < 0.4} | ({"q:twin", "q:other"} if rng.random() < 0.3 else set())
+        rows.append((sorted(own), ("p:a" in own and "h:x" in own) or ("q:twin" in own and "p:d" in own and rng.random() < 0.97)))
+    min_support, min_confidence = 0.02, 0.9
+    rules = []
+    for k in range(1, len(names) + 1):
+        for part in combinations(names, k):
+            held = [b for own, b in rows if set(part) <= set(own)]
+            if sum(held) >= min_support * len(rows) and sum(held) >= min_confidence * len(held):
+                rules.append(set(part))
+    assert rules
+    frame = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    mined = url_filter.mine(frame, min_support, min_confidence)
+    urls = []
+    for k in range(200):
+        own = {t for t in names if rng.random() < 0.4} - {"h:y"}
+        url = f"http://{'x' if 'h:x' in own else 'y'}/" + "/".join(t[2:] for t in sorted(own) if t[0] == "p") + "?" + "&".join(t[2:] + "=1" for t in sorted(own) if t[0] == "q")
+        urls.append((k, url, own if "h:x" in own else own | {"h:y"}))
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame([u[:2] for u in urls], "page_id long, url string"), rules=(), mined=mined).collect()}
+    assert got == {k: "block" if any(r <= own for r in rules) else "allow" for k, _, own in urls} and len(set(got.values())) == 2
+
+
+def test_many_names_that_come_together(spark):
+    """Names that always come together, and URLs of very many names, don't blow up the mining."""
+    query = "&".join(f"n{k}=1" for k in range(30))
+    rows = [(k, f"http://h{k % 7}.net/{'es' if k % 2 else 'de'}/x" + (f"?{query}" if k % 2 else "")) for k in range(600)]
+    rows += [(600 + k, f"http://a.com/{k}?" + "&".join(f"m{j}" for j in range(40) if (k * 31 + j * j) % 3)) for k in range(200)] + [(900, "http://x.org/" + "very/long/" * 20_000)]
+    began = time.time()
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    assert len(got) == len(rows) and time.time() - began < 60
+    assert got[0] == "block"  # every labelled .net URL is blocked, so the mined rules block the others
+
+
+def test_same_verdicts_however_rows_are_dealt(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    first, second = ({r.page_id: (r.verdict, r.confidence) for r in url_filter.judge(p).collect()} for p in (pages, pages.repartition(7)))
+    assert first == second and any(c for _, c in first.values())
