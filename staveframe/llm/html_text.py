@@ -5,10 +5,15 @@ of a host that occur equally often in each of its pages (that have the same occu
 class. Classes are judged as a whole: one is valid if it occurs in most of the host's pages, has enough tokens, tags
 among them, and leaves slots: below its outermost tags, text that differs must make up a share of all text. Constant
 text without tags or slots of its own (as copies of one article are) is content. Valid classes are nested by the paths
-of their tokens and make up the host's template; what is left of a page are its slots. Text of the template is no
-content, and neither are slots that, over all pages of the host, hold mostly links, nor those in elements that by name are menus,
-headers, footers, sidebars, notices, adverts, forms or comments. If a page has an article, the rest goes too. Names around an
-article bar it only if the page has an article with fewer of them.
+of their tokens and make up the host's template; what is left of a page are its slots.
+
+The template also tells which slot holds the article. Every page has a vote: going down from its root as long as one
+element holds most of the text that isn't in links, it names the first article or main element that it meets. An element is the
+host's article if enough of the pages that have it name it; then the rest of a page goes, also where its article is
+short or its comments are long. Other slots are dropped if, over all pages of the host, they hold mostly links, and in
+elements that HTML defines as menus, headers, footers, sidebars, forms or hidden. Class words only decide between
+what is left below the article's element or outside of any; those of elements around the article count for nothing.
+A host that the template does not have has no slots, and its pages no text.
 
 Occurrence vectors are never gathered: two tokens have the same one if the sums over pages of (count x hash of the
 page) are equal, which Spark adds up by host and token, before and after one shuffle. A host may have any share of the pages.
@@ -19,7 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 import xxhash
@@ -34,62 +39,126 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Elements by their part in a page, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg textarea title select canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NO_CONTENT = frozenset("head nav footer aside form menu dialog button label fieldset".split())
+NO_CONTENT = frozenset("head nav footer aside menu dialog button label fieldset".split())
+GROUPS = frozenset("html body div section center form table tbody tr td article main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("table ul ol dl article section div main body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-#: Words in classes and ids that name what isn't content.
+#: Class words of what isn't content; a class or id counts if it has one of them and else only words for places and shapes.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget widgets related recommended share sharing social "
-    "comment comments disqus reply replies respond discussion footer masthead topbar toolbar search pagination pager copyright disclaimer toc".split()
+    "comment comments disqus reply replies respond discussion footer header masthead topbar toolbar search pagination pager copyright disclaimer toc".split()
 )
+SHAPES = frozenset("area bar block bottom box button column container content foot form group head inner item items left line link links list main message outer page panel post posts primary right row secondary section site slot text thread title top unit user users wrap wrapper".split())
 #: A class is valid if it is found in this share of a host's pages; a text inside an article needs the higher share.
-SHARE, ARTICLE_SHARE, LEAST_PAGES = 0.5, 0.9, 8
+SHARE, ARTICLE_SHARE = 0.5, 0.9
+#: An element is gone down into from this share of the text; text in articles counts so many times, below class words so much.
+MOST, ARTICLE_WEIGHT, NAMED_WEIGHT = 0.6, 6.0, 0.05
+#: An element is the article if so many of the pages that have it name it; elements of fewer pages than the second share speak for themselves.
+VOTES, RARE = 0.3, 0.01
 #: Tokens of a valid class, and the share of the text below its tags that its slots hold: of all text, and of text in articles.
 LEAST_TOKENS, SLOTS, ARTICLE_SLOTS = 3, 0.05, 0.5
 #: Hosts' templates are broadcast while they have fewer tokens than this together; beyond, pages are joined to them by host.
 BROADCAST_TOKENS = 1_000_000
-#: An element barred for good; lower numbers count the elements around an article that only their names bar.
-FIRM = 1 << 30
-CAMEL, WORD = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[A-Za-z]+")
+CAMEL, WORD, DIGITS = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
+
+
+def named(names: str) -> bool:
+    """Whether a class or id among ``names`` says that the element isn't content."""
+    for name in names.split():
+        words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", name))}
+        if not NAMES.isdisjoint(words) and words <= NAMES | SHAPES:
+            return True
+    return False
 
 
 class Page:
     """The blocks of a page, and its tokens: ``(token, parent, kind)`` with kind 0 for tags, 1 for text, 2 for text in an article."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int, bool, bool, int]] = []  # text, token, slot, in an article, by name no content, characters in links
+        self.blocks: list[tuple[str, int, int, int, int]] = []  # text, token, slot, node, characters in links
         self.tokens: list[tuple[int, int, int]] = []
-        self.stack: list[tuple[str, int, bool, int, bool]] = []  # name, path, article, names that bar it or FIRM, link
+        #: Elements as they come: token, node above, shut for good, named as no content. Node 0 is the page.
+        self.nodes: list[tuple[int, int, bool, bool]] = [(0, 0, False, False)]
+        #: Tokens of elements: token above, whether it groups others, is an article, is named as no content.
+        self.elements: dict[int, tuple[int, bool, bool, bool]] = {}
+        self.stack: list[tuple[str, int, int, bool, bool]] = []  # name, node, path, article, link
         self.parts: list[str] = []
         self.linked = 0
         self._read(source)
-        self._judge()
+        self.times = Counter(token for token, _, _ in self.tokens)
+        self.article, self.around = self._article()
+        inside, barred = self.marks(self.article)
+        self.tokens += [(token, slot, 2 if inside[node] else 1) for _, token, slot, node, _ in self.blocks if not barred[node]]
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                _, slot, article, barred, _ = self.stack[-1] if self.stack else ("", 0, False, 0, False)
-                slot = next((path for name, path, *_ in reversed(self.stack) if name in BLOCK), 0)
+                slot = next((path for name, _, path, *_ in reversed(self.stack) if name in BLOCK), 0)
                 token = xxhash.xxh3_64_intdigest(f"{slot}#{text}") >> 1
-                self.blocks.append((text, token, slot, article, barred, min(self.linked, len(text))))
+                self.blocks.append((text, token, slot, self.stack[-1][1] if self.stack else 0, min(self.linked, len(text))))
         self.linked = 0
 
-    def _judge(self) -> None:
-        """Which blocks are no content: of articles, those with more names around them than the page's best ones have."""
-        least = min((barred for _, _, _, article, barred, _ in self.blocks if article and barred < FIRM), default=0)
-        size = [0, 0]
-        for text, _, _, article, barred, linked in self.blocks:
-            size[article] += len(text) if barred == (least if article else 0) and (article or 2 * linked <= len(text)) else 0
-        # If text outside is longer, the article may be a teaser in a sidebar: both stay.
-        lone = least == 0 or size[1] > size[0]
-        self.blocks = [(text, token, slot, article and lone, barred != (least if article else 0), linked) for text, token, slot, article, barred, linked in self.blocks]
-        self.tokens += [(token, slot, 2 if article else 1) for _, token, slot, article, barred, _ in self.blocks if not barred]
+    def _article(self) -> tuple[int | None, set[int]]:
+        """The article or main element that this page names, if any, and the elements gone through."""
+        shut = [False]
+        for _, above, closed, _ in self.nodes[1:]:
+            shut.append(closed or shut[above])
+        weight: Counter = Counter()
+        for text, _, slot, node, linked in self.blocks:
+            if not shut[node]:
+                weight[slot] += len(text) - linked
+        full = Counter(weight)
+        for token in reversed(self.elements):  # elements come after those around them
+            full[self.elements[token][0]] += full[token]
+        # Articles with the fewest class words around them are what a page can name; their wrappers' words count for nothing.
+        ways = {t: self._way(t) for t, (_, _, article, _) in self.elements.items() if article and full[t] > 0}
+        words = {t: sum(self.elements[x][3] for x in way) for t, way in ways.items()}
+        best_ones = {t for t, n in words.items() if n == min(words.values())}
+        around = {0}.union(*(ways[t] for t in best_ones))
+
+        def factor(token: int) -> float:
+            return ARTICLE_WEIGHT if token in best_ones else NAMED_WEIGHT if token in self.elements and self.elements[token][3] and token not in around else 1.0
+
+        below: dict[int, list[int]] = {}
+        for token in reversed(self.elements):
+            weight[token] *= factor(token)
+            above = self.elements[token][0]
+            weight[above] += weight[token]
+            below.setdefault(above, []).append(token)
+        at = 0
+        while at in below:
+            best = max(below[at], key=lambda c: (weight[c], -c))
+            if not self.elements[best][1] or weight[best] <= 0 or weight[best] < MOST * weight[at] / factor(at):
+                break
+            if best in best_ones:
+                return best, around
+            if self.times[best] > 1:
+                break
+            around.add(best)
+            at = best
+        return None, around
+
+    def _way(self, token: int) -> list[int]:
+        """The elements around this one."""
+        way = []
+        while token := self.elements[token][0]:
+            way.append(token)
+        return way
+
+    def marks(self, article: int | None) -> tuple[list[bool], list[bool]]:
+        """Of every node: whether it is in the article, and whether it is no content by an element on the way to it."""
+        chain = self.around | ({article, *self._way(article)} if article else set())
+        inside, barred = [False], [False]
+        for token, above, shut, noise in self.nodes[1:]:
+            inside.append(inside[above] or token == article)
+            barred.append(barred[above] or shut or noise and token not in chain)
+        return inside, barred
 
     def _pop_to(self, index: int) -> None:
         if any(s[0] in BLOCK for s in self.stack[index:]):
@@ -112,23 +181,19 @@ class Page:
             return
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        _, path, article, barred, link = self.stack[-1] if self.stack else ("", 0, False, 0, False)
+        _, node, path, article, link = self.stack[-1] if self.stack else ("", 0, 0, False, False)
+        is_article = name in ("article", "main") or found.get("role") in ("main", "article")
+        shut = name in NO_CONTENT or name == "header" and not article or found.get("role", "") in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", "")
+        noise = name == "form" or bool(names) and name not in ("html", "body", "main") and named(names)
         if name in BLOCK:
-            own = xxhash.xxh3_64_intdigest(f"{path}/{name}.{names}") >> 1
+            own = xxhash.xxh3_64_intdigest(f"{path}/{name}.{DIGITS.sub('0', names)}") >> 1
             self.tokens.append((own, path, 0))
+            self.elements.setdefault(own, (path, name in GROUPS or is_article, is_article and not noise, noise))
             path = own
-        outside = not article
-        article = article or name in ("article", "main") or found.get("role") in ("main", "article")
-        if barred < FIRM:
-            if name in NO_CONTENT or name == "header" and not article or found.get("role", "") in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", ""):
-                barred = FIRM
-            elif names and name not in ("html", "body", "main") and (name == "article" or not (outside and article)):
-                words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", names))}
-                if name == "article":
-                    barred = barred if {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}.isdisjoint(words) else FIRM
-                elif not NAMES.isdisjoint(words) or "header" in words and not article:
-                    barred = barred + 1 if outside and not article else FIRM
-        self.stack.append((name, path, article, barred, link or name == "a"))
+        if name in BLOCK or shut or noise:
+            self.nodes.append((path if name in BLOCK else -1, node, shut, noise))
+            node = len(self.nodes) - 1
+        self.stack.append((name, node, path, article or is_article, link or name == "a"))
 
     def _close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -139,6 +204,8 @@ class Page:
             self._flush()
 
     def _text(self, piece: str) -> None:
+        if self.stack and self.stack[-1][0] not in BLOCK and self.nodes[self.stack[-1][1]][2]:
+            return  # in a button, a label or a hidden part of a line
         self.parts.append(piece)
         if self.stack and self.stack[-1][4]:
             self.linked += len(piece.strip())
@@ -167,10 +234,14 @@ class Page:
                 self._open(name, attributes)
         self._flush()
 
-    def main_text(self, template: set[int]) -> str:
-        """The text of the slots that hold content; ``template`` has the host's tokens of text and its slots of links."""
-        kept = [(text, article) for text, token, slot, article, barred, linked in self.blocks if not barred and token not in template and slot not in template and (article or 2 * linked <= len(text))]
-        if any(article for _, article in kept):
+    def main_text(self, gone: Set[int] = frozenset(), articles: Set[int] = frozenset(), others: Set[int] = frozenset()) -> str:
+        """The text of the slots that hold content: ``gone`` has the host's tokens of text and its slots of links,
+        ``articles`` its articles, ``others`` elements that pages name as articles and that aren't."""
+        known = self.article if self.article in articles else next((t for t in self.elements if t in articles), None)
+        article = known or (self.article if self.article not in others else None)
+        inside, barred = self.marks(article)
+        kept = [(text, inside[node]) for text, token, slot, node, linked in self.blocks if not barred[node] and token not in gone and slot not in gone and (inside[node] or 2 * linked <= len(text))]
+        if any(x for _, x in kept):
             kept = [x for x in kept if x[1]]
         return "\n".join(text for text, _ in kept)
 
@@ -181,26 +252,28 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``host, token, parent, kind, times, page, chars, linked, below, below_article``: the distinct tokens of every page.
+    """``host, token, parent, kind, times, page, chars, linked, below, below_article, vote``: the distinct tokens of every page.
 
     ``chars`` is how much text a text token holds, or a slot outside articles, of it ``linked`` in links; ``below`` is
-    all text in an element and in those inside it, ``below_article`` that in articles.
+    all text in an element and in those inside it, ``below_article`` that in articles; ``vote`` is 1 for the element that
+    the page names as its article.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 2 << 20):
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in range(11)]
             for host, source, mark in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("page").to_pylist(), strict=True):
                 page = Page(source or "")
                 sizes: Counter = Counter()
                 links: Counter = Counter()
                 below: Counter = Counter()
                 below_article: Counter = Counter()
-                for text, token, slot, article, barred, linked in page.blocks:
-                    if not barred:
+                inside, barred = page.marks(page.article)
+                for text, token, slot, node, linked in page.blocks:
+                    if not barred[node]:
                         sizes[token] += len(text)
                         below[slot] += len(text)
-                        if article:
+                        if inside[node]:
                             below_article[slot] += len(text)
                         else:
                             sizes[slot] += len(text)
@@ -212,63 +285,75 @@ def occurrences(rows: DataFrame) -> DataFrame:
                         below_article[parent] += below_article[token]
                 for (token, parent, kind), times in counted.items():
                     of_slot = (links[token], below[token], below_article[token]) if kind == 0 else (0, 0, 0)
-                    for column, value in zip(out, (host, token, parent, kind, times, mark, sizes[token], *of_slot), strict=True):
+                    for column, value in zip(out, (host, token, parent, kind, times, mark, sizes[token], *of_slot, int(kind == 0 and token == page.article)), strict=True):
                         column.append(value)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "token", "parent", "kind", "times", "page", "chars", "linked", "below", "below_article"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "token", "parent", "kind", "times", "page", "chars", "linked", "below", "below_article", "vote"])
 
     source = rows.select("host", "html", F.xxhash64(F.monotonically_increasing_id(), F.lit(8)).alias("page"))
-    return source.mapInArrow(run, "host string, token long, parent long, kind int, times long, page long, chars long, linked long, below long, below_article long")
+    return source.mapInArrow(run, "host string, token long, parent long, kind int, times long, page long, chars long, linked long, below long, below_article long, vote long")
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """The classes of most pages of each host as ``host, class_id, within, tokens, slots_of_links, pages``.
-
-    ``class_id`` is a class's occurrence sum; ``within`` is that of the class around it (null for the outermost);
-    ``tokens`` are its tokens of text if the class is valid, else empty, and without those in articles if they are most
-    of the text of the articles; ``slots_of_links`` its elements of which the text is mostly links.
+    """The classes of most pages of each host as ``host, class_id, within, tokens, slots_of_links, articles, others, pages``;
+    every host has at least one row.
+
+    ``class_id`` is a class's occurrence sum (null: tokens of fewer pages); ``within`` is that of the class around it (null for
+    the outermost); ``tokens`` are its tokens of text if the class is valid, else empty, and without those in articles if they
+    are most of the text of the articles; ``slots_of_links`` its elements of which the text is mostly links; ``articles`` its
+    elements that enough of the pages that have them name as the article, ``others`` those that fewer pages name.
+    Shares of pages are counted as if one page more spoke against and one less for it, so that few pages prove little.
     """
     big = "decimal(38,0)"
     vector = F.sum((F.col("times") * F.col("page").cast(big) % F.lit(1 << 61).cast(big)).cast(big))  # equal for equal occurrence vectors
-    each = occurrences(rows).groupBy("host", "token", "parent", "kind").agg(F.count("*").alias("pages"), vector.alias("vector"), *[F.sum(c).alias(c) for c in ("chars", "linked", "below", "below_article")])
-    each = cut(each.where(F.col("pages") > 1))
+    each = occurrences(rows).groupBy("host", "token", "parent", "kind").agg(F.count("*").alias("pages"), vector.alias("vector"), *[F.sum(c).alias(c) for c in ("chars", "linked", "below", "below_article", "vote")])
+    each = cut(each.where((F.col("pages") > 1) | (F.col("parent") == 0) & (F.col("kind") == 0)))
     # The element that most pages of a host have tells how many pages there are.
     total = each.groupBy("host").agg(F.max("pages").alias("of"))
-    valid = each.join(F.broadcast(total) if total.count() <= BROADCAST_TOKENS else total, "host")
-    valid = valid.where((F.col("of") >= LEAST_PAGES) & (F.col("pages") >= F.col("of") * F.when(F.col("kind") == 2, ARTICLE_SHARE).otherwise(SHARE)))
+    counted = each.join(F.broadcast(total) if total.count() <= BROADCAST_TOKENS else total, "host")
+    frequent = (F.col("pages") - 1) >= (F.col("of") + 1) * F.when(F.col("kind") == 2, ARTICLE_SHARE).otherwise(SHARE)
+    chosen = counted.where(frequent | (F.col("vote") > 0) & (F.col("pages") >= RARE * F.col("of"))).withColumn("vector", F.when(frequent, F.col("vector")))
+    valid = chosen.where(F.col("vector").isNotNull())
     above = valid.where(F.col("kind") == 0).select("host", F.col("token").alias("parent"), F.col("vector").alias("outer"))
-    nested = valid.join(above, ["host", "parent"], "left")
-    links = (F.col("kind") == 0) & (F.col("chars") > 0) & (2 * F.col("linked") > F.col("chars"))
+    nested = valid.join(above, ["host", "parent"], "left").unionByName(chosen.where(F.col("vector").isNull()), allowMissingColumns=True)
+    links = (F.col("kind") == 0) & (F.col("chars") > 0) & (2 * F.col("linked") > F.col("chars")) & F.col("vector").isNotNull()
     tag, outermost = F.col("kind") == 0, F.coalesce(F.col("outer") != F.col("vector"), F.lit(True))
     total_of = lambda c, which: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0)).alias(f"{c}_of")
+    held = lambda which, name: F.collect_list(F.when(which, F.col("token"))).alias(name)
+    is_article = tag & (F.col("vote") > 0) & (F.col("vote") >= VOTES * F.col("pages"))
     classes = nested.groupBy("host", F.col("vector").alias("class_id")).agg(
-        F.min(F.when(F.col("outer") != F.col("vector"), F.col("outer"))).alias("within"), F.collect_list(F.when(F.col("kind") == 1, F.col("token"))).alias("texts"), F.collect_list(F.when(F.col("kind") == 2, F.col("token"))).alias("article_texts"),
-        F.collect_list(F.when(links, F.col("token"))).alias("slots_of_links"), F.max("pages").alias("pages"), F.count("*").alias("n"), F.count_if(tag).alias("tags"),
+        F.min(F.when(F.col("outer") != F.col("vector"), F.col("outer"))).alias("within"), held(F.col("kind") == 1, "texts"), held(F.col("kind") == 2, "article_texts"),
+        held(links, "slots_of_links"), held(is_article, "articles"), held(tag & (F.col("vote") > 0) & ~is_article, "others"), F.max("pages").alias("pages"), F.count("*").alias("n"), F.count_if(tag).alias("tags"),
         total_of("below", tag & outermost), total_of("below_article", tag & outermost), F.sum(F.when(~tag, F.col("chars")).otherwise(0)).alias("own"), F.sum(F.when(F.col("kind") == 2, F.col("chars")).otherwise(0)).alias("own_article"),
     )
-    valid = (F.col("n") >= LEAST_TOKENS) & (F.col("tags") > 0) & (F.col("own") <= (1 - SLOTS) * F.col("below_of"))
+    valid = F.col("class_id").isNotNull() & (F.col("n") >= LEAST_TOKENS) & (F.col("tags") > 0) & (F.col("own") <= (1 - SLOTS) * F.col("below_of"))
     small = F.col("own_article") <= (1 - ARTICLE_SLOTS) * F.col("below_article_of")
     none = F.array().cast("array<bigint>")
     tokens = F.when(valid, F.concat("texts", F.when(small, F.col("article_texts")).otherwise(none))).otherwise(none)
-    return classes.select("host", "class_id", "within", tokens.alias("tokens"), "slots_of_links", "pages")
+    found = classes.select("host", "class_id", "within", tokens.alias("tokens"), "slots_of_links", "articles", "others", "pages")
+    bare = rows.select("host").distinct().join(found.select("host").distinct(), "host", "left_anti")
+    return found.unionByName(bare.select("host", F.lit(None).cast(big).alias("class_id"), F.lit(None).cast(big).alias("within"), none.alias("tokens"), none.alias("slots_of_links"), none.alias("articles"), none.alias("others"), F.lit(0).cast("long").alias("pages")))
 
 
 def extract(pages: DataFrame, template: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``: the blocks of its main text, joined by line feeds.
 
     Character references are decoded, white space in a block is one blank. Null or empty html gives the empty text, and
-    so do pages that hold nothing but template. Hosts of fewer than ``LEAST_PAGES`` pages have no template; a null url
+    so do pages that hold nothing but template, and those of hosts that a given ``template`` does not have. A null url
     counts as the empty host. Repeated rows are extracted once each; other columns are left out.
     """
     rows = _pages(pages, id_col, url_col, html_col)
     template = templates(rows) if template is None else template
-    by_host = cut(template.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("tokens", "slots_of_links")))).alias("gone")).where(F.size("gone") > 0))
-    small = (by_host.agg(F.sum(F.size("gone") + 8)).first()[0] or 0) <= BROADCAST_TOKENS
-    joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left").select("page_id", "url", "html", "gone")
+    lists = {"gone": F.concat("tokens", "slots_of_links"), "articles": F.col("articles"), "others": F.col("others")}
+    by_host = cut(template.groupBy("host").agg(*[F.array_distinct(F.flatten(F.collect_list(x))).alias(c) for c, x in lists.items()]))
+    small = (by_host.agg(F.sum(F.size("gone") + F.size("articles") + F.size("others") + 8)).first()[0] or 0) <= BROADCAST_TOKENS
+    joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left").select("page_id", "url", "html", *lists)
+    names = list(lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 2 << 20):
-            out = [Page(source or "").main_text(set(gone or ())) for source, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+            slots = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            out = ["" if own[0] is None else Page(source or "").main_text(*map(set, own)) for source, own in zip(batch.column("html").to_pylist(), slots, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from staveframe.llm import html_text as ht
 
 PAGE = """<html><head><title>T</title><script>if (a < b) "</p>"</script></head><body><div class="cookie-notice">We use cookies</div><header><h1>Site</h1></header>
@@ -67,3 +69,36 @@ def test_names_of_wrappers_do_not_bar_articles():
     assert ht.Page("<nav class=x><article>no</article></nav><div class=comments><article class=comment>no</article></div><p>Text</p>").main_text(set()) == "Text"
     assert ht.Page("<p>Text without any article element</p><div class=page-with-sidebar><article>Short</article></div>").main_text(set()) == "Text without any article element\nShort"
     assert ht.Page("<div role=main class=has-sidebar><p>Text</p></div>").main_text(set()) == "Text"
+
+
+def test_names_alone_decide_little():
+    """Class words that only contain a listed word, or stand for the whole page, leave the text; formulas are text."""
+    for page in ('<div class="content no-sidebar"><p>Text</p></div>', '<div class="post ad-free"><p>Text</p></div>', '<section class="discussion"><p>Text</p></section>', '<div id="side-effects"><p>Text</p></div>',
+                 '<article><p class="share-price">Text</p></article>', "<form><div><p>Text</p></div></form>", "<article><math>Text</math></article>"):
+        assert ht.Page(page).main_text() == "Text", page
+    assert ht.Page("<article><p>Text <button>Press</button><span hidden>not</span> goes on</p><form>Mail</form></article>").main_text() == "Text goes on"
+
+
+def test_pages_of_a_host_tell_its_article(spark):
+    """Comments longer than a short article go, as the other pages say which element the article is; without them both stay."""
+    text = "<article><p>{}</p></article><div class=zz>{}</div>"
+    rows = [(k, "http://a.com/", text.format(f"Words of the article number {k} " * 20, f"answer {k}")) for k in range(20)]
+    rows += [(20, "http://a.com/", text.format("Short", "long answer of a reader " * 90)), (21, "http://b.com/", text.format("Short", "long answer of a reader " * 90))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "gone", "articles", "others", "token", "page", "vector", "text")})
+    got = {r.page_id: r.text for r in ht.extract(pages).collect()}
+    assert got[20] == "Short" and got[21].startswith("Short\nlong answer") and "answer" not in got[3]
+    none = ht.templates(ht._pages(pages, "page_id", "url", "html")).limit(0)
+    assert {r.text for r in ht.extract(pages, none).collect()} == {""}
+
+
+def test_other_class_words_give_the_same_text(spark):
+    """With the class words of all elements exchanged, the texts of the tables' pages are the same."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    first, second = ({r.page_id: r.text for r in ht.extract(p).collect()} for p in (pages, pages.withColumn("html", F.regexp_replace("html", 'class="ad"', 'class="zebra"'))))
+    assert first == second and sum(map(len, first.values())) > 100_000
+
+
+def test_very_long_pages(spark):
+    long = "<div>" * 20_000 + "<p>word</p>" * 50_000
+    got = ht.extract(spark.createDataFrame([(1, "http://a.com", long), (1, "http://a.com", long)], "page_id long, url string, html string")).collect()
+    assert [r.text.count("\n") for r in got] == [49_999] * 2
