@@ -231,6 +231,7 @@ class Graph:
 
 def _unit(column: pa.Array) -> np.ndarray:
     flat = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # squares of very large or small components leave the range
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -246,8 +247,9 @@ def _least_reached(i: np.ndarray, j: np.ndarray, node: np.ndarray) -> np.ndarray
         least = new
 
 
-def linked(rows: DataFrame, least: float) -> DataFrame:
-    """``node, links, least`` from rows ``target, role, node, copies, vector``: role 0 makes up a shard, role 1 looks for links in it."""
+def linked(rows: DataFrame, least: float, shards: int = SHARDS) -> DataFrame:
+    """``node, links, least`` from rows ``target, role, node, copies, vector``: role 0 makes up a shard, role 1 looks for
+    links in it. Each of the shards has a task of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, waiting, first, state = None, [], [], None
@@ -329,8 +331,8 @@ def linked(rows: DataFrame, least: float) -> DataFrame:
         if waiting:
             yield from begin()
 
-    count = rows.select("target").distinct().count()
-    return rows.repartition(max(1, count), "target").sortWithinPartitions("target", "role", F.xxhash64("node", F.lit(9))).mapInArrow(run, "node long, links long, least long")
+    dealt = rows.repartitionById(shards, F.pmod("target", F.lit(shards)).cast("int"))
+    return dealt.sortWithinPartitions("target", "role", F.xxhash64("node", F.lit(9))).mapInArrow(run, "node long, links long, least long")
 
 
 def join(embeddings: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -352,7 +354,7 @@ def join(embeddings: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
     # Vectors of shard i look for links in the shards i + 1 to i + (shards - 1) / 2, so that each two shards meet once.
     spots = F.transform(F.sequence(F.lit(0), F.lit(shards // 2)), lambda k: F.struct((F.pmod(F.col("shard") + k, F.lit(shards)) + F.size("vector") * shards).alias("target"), F.when(k == 0, 0).otherwise(1).alias("role")))
     rows = classes.withColumn("shard", shard).select("node", "copies", "vector", F.explode(spots).alias("spot")).select("spot.target", "spot.role", "node", "copies", "vector")
-    found = cut(linked(rows, least))
+    found = cut(linked(rows, least, shards))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     graph = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     told = classes.join(counted, "node", "left").join(graph.select(F.col("id").alias("node"), "component"), "node", "left")

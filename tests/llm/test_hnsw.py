@@ -82,3 +82,20 @@ def test_table(spark):
         assert (r.n_links, r.component_id) == want[r.vec_id]
         assert r.kept == (r.vec_id is None or r.component_id == r.vec_id)
     assert hnsw.join(frame.limit(0)).count() == 0
+
+
+def test_planted_links_across_shards(spark):
+    """Pairs at a cosine of 0.95 to 0.96, of which most fall into different shards, and components near the ends of the double range."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.normal(size=x.shape)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.96, size=(1500, 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * r
+    scale = np.where(np.arange(3000) % 3 == 0, 1e200, np.where(np.arange(3000) % 3 == 1, 1e-200, 1.0))[:, None]
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]) * scale)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    found = sum(got[1500 + k] == (1, k) for k in range(1500))
+    assert found >= 0.99 * 1500 and all(c in (k, k - 1500) for k, (_, c) in got.items())
