@@ -135,8 +135,16 @@ def buckets(classes: DataFrame) -> DataFrame:
     now, done = paths(classes), None
     for level in range(LEVELS):
         keyed = now.withColumn("key", F.col("p")[level])
-        sizes = keyed.groupBy("run", "key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        keyed = keyed.join(sizes, ["run", "key"])
+        sizes = cut(keyed.groupBy("run", "key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+        # Large buckets are few, and would be hot keys of a shuffle; the others have LIMIT rows each at most.
+        large = sizes.where(F.col("size") > LIMIT)
+        if 0 < large.count() <= BROADCAST_ROWS:
+            keyed = keyed.join(F.broadcast(large.withColumnRenamed("size", "big")), ["run", "key"], "left")
+            spread = F.when(F.col("big").isNotNull(), F.xxhash64("node")).otherwise(F.col("key")).alias("at")
+            small = sizes.where(F.col("size") <= LIMIT).withColumnRenamed("key", "at")
+            keyed = keyed.select("*", spread).join(small, ["run", "at"], "left").withColumn("size", F.coalesce("big", "size")).where(F.col("size").isNotNull()).drop("at", "big")
+        else:
+            keyed = keyed.join(sizes, ["run", "key"])
         ended = keyed if level == LEVELS - 1 else keyed.where(F.col("size") <= LIMIT)
         done = ended.drop("p") if done is None else done.unionByName(ended.drop("p"))
         if level < LEVELS - 1:
@@ -331,7 +339,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = ended.join(facts, "node")
     small = promising(members.where(F.col("size") <= LIMIT).select("run", "key", "node", "n", "keys", "samples")).select("run", "key", "node", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"))
     large = members.where(F.col("size") > LIMIT)
-    parts = large.groupBy("run", "key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    parts = cut(large.groupBy("run", "key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     # Block a is side 0 of the parts (a, b) with b >= a, and side 1 of those (b, a) with b < a.
     block = F.pmod(F.xxhash64("node", "run"), F.col("blocks")).cast("int")
     spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct((F.least("block", b).cast("long") * 1_000_000 + F.greatest("block", b)).alias("part"), F.when(b < F.col("block"), 1).otherwise(0).alias("side")))
