@@ -9,6 +9,7 @@ number of rows, so a task's share stays the same at any size, whatever keys or s
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -18,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +30,42 @@ END_ID = 2
 #: Distinct words whose ids a worker keeps between chunks and tasks.
 KEEP = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
-#: Separators that Python's split() takes for white space and Unicode does not.
-ODD = re.compile("[\x1c-\x1f]")
-#: A full stop or comma beside another sign, with which it makes one piece.
-JOINED = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.)|(?=[^\w\s]|_))")
+#: A full stop or comma beside another sign, with which it makes one piece; separators that Unicode does not take for white space are signs too.
+JOINED = re.compile(r"[\x1c-\x1f]|[.,](?:(?<=[^\w\s].)|(?<=_.)|(?=[^\w\s]|_))")
+#: Words that the tokenizer gets at once.
+WORDS = 2048
 
 
-def split_words(text: str) -> list[str]:
-    """Parts of a text that can be encoded apart. Splits at white space; where it changes no id, also lower-cases
-    and splits off full stops and commas, so that there are fewer distinct parts."""
-    if ODD.search(text):
-        return [text]
+def spaced(text: str) -> str:
+    """The text with parts that can be encoded apart set apart by ASCII white space. Where it changes no id, it is also
+    lower-cased, and full stops and commas are set apart, so that there are fewer distinct parts."""
     if "<|" in text or "Σ" in text or "İ" in text or JOINED.search(text) or not unicodedata.is_normalized("NFC", text):
-        return text.split()
-    return text.lower().replace(",", " , ").replace(".", " . ").split()
+        return text
+    return text.lower().replace(",", " , ").replace(".", " . ")
+
+
+def by_words(path: str) -> bool:
+    """Whether texts may be cut and changed as :func:`spaced` does: the tokenizer in the file lower-cases, and drops white
+    space, across which none of its pieces reaches."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cutters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = cutters[0] if cutters else {}
+    drops_spaces = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and (first.get("pattern") or {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    no_prefix = all(x["type"] == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in cutters[1:])
+    return steps == ["NFC", "Replace", "Lowercase"] and drops_spaces and no_prefix
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """The strings of an array of words, which hold no line feeds; faster than one by one."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, "\n")[0].as_py().split("\n") if len(words) else []
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer whose pieces never reach across white space: the tokenizer encodes each
-    distinct word once, until ``keep`` words are held."""
+    """Ids of texts by a tokenizer. Where its pieces never reach across white space, it encodes each distinct word once,
+    until ``keep`` words are held; else it gets whole texts."""
 
     def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
@@ -54,29 +73,42 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keep = keep
+        self.keep, self.by_words = keep, by_words(path)
         self.clear()
 
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.ids, self.at, self.len = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
+    def _add(self, words: list[str]) -> None:
+        ids, counts = [self.ids], []
+        for k in range(0, len(words), WORDS):
+            part = words[k : k + WORDS]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, dtype=np.int64))
+            counts.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))
+        self.seen.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        count = np.concatenate(counts)
+        self.at, self.len = np.r_[self.at, len(self.ids) + np.cumsum(count) - count], np.r_[self.len, count]
+        self.ids = np.concatenate(ids)
+
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end, and how many each has."""
+        if not self.by_words:
+            got = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+            return np.fromiter(chain.from_iterable(got), dtype=np.int64), np.array([len(x) for x in got], dtype=np.int64)
         if len(self.seen) > self.keep:
             self.clear()
-        words = [split_words(t) for t in rows]
-        fresh = list(set(chain.from_iterable(words)).difference(self.seen))
+        lists = pc.ascii_split_whitespace(pa.array([spaced(t) for t in rows], pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = _strings(coded.dictionary)
+        fresh = [w for w in words if w not in self.seen]
         if fresh:
-            got = [e.ids for k in range(0, len(fresh), 16384) for e in self.tokenizer.encode_batch_fast(fresh[k : k + 16384], add_special_tokens=False)]
-            counts = np.array([len(x) for x in got], dtype=np.int64)
-            self.seen.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
-            self.at = np.r_[self.at, len(self.ids) + np.cumsum(counts) - counts]
-            self.len = np.r_[self.len, counts]
-            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(got), dtype=np.int64)]
-        at = np.array(list(map(self.seen.__getitem__, chain.from_iterable(words))), dtype=np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(own) for own in words])
-        counts = np.bincount(owner, weights=self.len[at], minlength=len(rows)).astype(np.int64) if len(at) else np.zeros(len(rows), dtype=np.int64)
+            self._add(fresh)
+        at = np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))[np.asarray(coded.indices)]
+        total = np.r_[0, np.cumsum(self.len[at])]
+        ends = np.asarray(lists.offsets)
+        counts = np.diff(total[ends - ends[0]])
         return ragged(self.ids, self.at[at], self.len[at]), counts
 
 
