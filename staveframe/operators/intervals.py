@@ -75,7 +75,7 @@ def nearest(probes: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     earlier one among equals, and its signed distance; null where a key has no marks. One window instead of a join."""
     both = probes.select(key, "point_id", "at", F.lit(None).cast("long").alias("mark")).unionByName(marks.select(key, F.lit(None).cast("long").alias("point_id"), "at", F.col("at").alias("mark")))
     back = W.partitionBy(key).orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key).orderBy("at").rangeBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(key).orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, 0)  # runs backwards: a frame that ends with the partition costs its square
     seen = both.select(key, "point_id", "at", F.max("mark").over(back).alias("low"), F.min("mark").over(ahead).alias("high")).where(F.col("point_id").isNotNull())
     near = F.when(F.col("low").isNull() | (F.col("high") - F.col("at") < F.col("at") - F.col("low")), F.col("high")).otherwise(F.col("low"))
     return seen.select(key, "point_id", "at", near.alias("nearest"), (near - F.col("at")).alias("error"))
@@ -94,11 +94,11 @@ def playback_state(points: DataFrame, intervals: DataFrame, key: str) -> DataFra
     """``key, point_id, at, current, following, progress``: index of the interval of a timeline that holds each point, of
     the next to begin, and how far through the interval the point is (0 to 1)."""
     w = W.partitionBy(key).orderBy("at", "probe").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key).orderBy("at", "probe").rowsBetween(1, W.unboundedFollowing)
+    ahead = W.partitionBy(key).orderBy(F.desc("at"), F.desc("probe")).rowsBetween(W.unboundedPreceding, -1)  # runs backwards
     marks = intervals.select(key, F.lit(None).cast("long").alias("point_id"), F.col("start").alias("at"), F.lit(0).alias("probe"), F.struct("idx", "start", "end").alias("i"))
     none = marks.schema["i"].dataType
     both = marks.unionByName(points.select(key, F.col("point_id").cast("long"), F.col("at").cast(marks.schema["at"].dataType), F.lit(1).alias("probe"), F.lit(None).cast(none).alias("i")))
-    seen = both.select(key, "point_id", "at", "probe", F.last("i", ignorenulls=True).over(w).alias("i"), F.first("i", ignorenulls=True).over(ahead).alias("n")).where("probe = 1")
+    seen = both.select(key, "point_id", "at", "probe", F.last("i", ignorenulls=True).over(w).alias("i"), F.last("i", ignorenulls=True).over(ahead).alias("n")).where("probe = 1")
     inside = F.col("i.end") > F.col("at")
     share = F.try_divide((F.col("at") - F.col("i.start")).cast("double"), (F.col("i.end") - F.col("i.start")).cast("double"))
     return seen.select(key, "point_id", "at", F.when(inside, F.col("i.idx")).alias("current"), F.col("n.idx").alias("following"), F.when(inside, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).otherwise(0.0).alias("progress"))

@@ -32,40 +32,20 @@ def chord_scores(roots: np.ndarray, qualities: np.ndarray, silent: np.ndarray) -
 
 
 def greedy_match(left: np.ndarray, right: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of times: for each on the left in order, the nearest unused one on the right within the tolerance."""
-    used, pairs = np.zeros(len(right), dtype=bool), []
-    for i, t in enumerate(left):
-        gap = np.where(used, np.inf, np.abs(right - t))
-        if len(gap) and gap.min() <= tolerance:
-            j = int(np.argmin(gap))
+    """One-to-one pairs of times in order: for each on the left, the nearest unused one on the right within the tolerance,
+    the first among equals. Only the times within the tolerance are looked at."""
+    used, pairs = [False] * len(right), []
+    reach = np.searchsorted(right, left - tolerance, "left"), np.searchsorted(right, left + tolerance, "right")
+    low, high, times = (x.tolist() for x in (*reach, right))
+    for i, t in enumerate(left.tolist()):
+        near = [(abs(times[j] - t), j) for j in range(max(0, low[i] - 1), min(len(times), high[i] + 1)) if not used[j] and abs(times[j] - t) <= tolerance]
+        if near:
+            j = min(near)[1]
             used[j] = True
             pairs.append((i, j))
     return pairs
 
 
-def align(left: list[str], right: list[str], gap: float = 0.72, cost=lambda a, b: 0.0 if a == b else 1.0) -> list[tuple[int | None, int | None]]:
-    """Pairs of places of two label sequences at least cost; among equals a match comes before a missing and that before
-    an extra label."""
-    n, m = len(left), len(right)
-    d = np.zeros((n + 1, m + 1))
-    d[:, 0], d[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + cost(left[i - 1], right[j - 1]), d[i - 1, j] + gap, d[i, j - 1] + gap)
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + cost(left[i - 1], right[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and (not j or d[i, j] == d[i - 1, j] + gap):
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
-
-
 def hysteresis(observed: list[str], decoded: list[str], needed: int = 2) -> list[str]:
     """Labels that change only after ``needed`` windows in a row support the new one, and then from the first of these."""
     out: list[str] = []
@@ -146,38 +126,6 @@ def confirmed_changes(scores: list[dict[str, float]], decay: float = 0.6, lead:
     return out
 
 
-def lead_voice(onsets: list[list[tuple[int, float]]], skip: float = 0.18, leap: float = 0.02) -> list[int | None]:
-    """One level (or none) of each onset's ``(level, score)`` choices with the largest sum of scores less leaps."""
-    paths: dict[int | None, tuple[float, list]] = {None: (0.0, [])}
-    for choices in onsets:
-        new: dict[int | None, tuple[float, list]] = {}
-        for last, (total, path) in paths.items():
-            for level, gain in [(None, -skip), *choices]:
-                value = total + gain - (leap * abs(level - last) if None not in (level, last) else 0.0)
-                state = last if level is None else level
-                if state not in new or value > new[state][0] + 1e-12:
-                    new[state] = (value, [*path, level])
-        paths = new
-    return max(paths.values(), key=lambda x: x[0])[1]
-
-
-def fret_path(choices: list[list[tuple[int, int]]]) -> list[tuple[int, int] | None]:
-    """A (string, fret) for each note with the least movement along the neck and across strings; None where a note has
-    no position."""
-    best: list[tuple[float, list]] = [(0.0, [])]
-    spots: list[tuple[int, int] | None] = [None]
-    for options in choices:
-        if not options:
-            best = [(c, [*p, None]) for c, p in best]
-            continue
-        new = []
-        for string, fret in options:
-            cost, path = min(((c + (0 if s is None else abs(fret - s[1]) + 0.5 * abs(string - s[0])), p) for (c, p), s in zip(best, spots, strict=True)), key=lambda x: x[0])
-            new.append((cost + 0.05 * fret, [*path, (string, fret)]))
-        best, spots = new, list(options)
-    return min(best, key=lambda x: x[0])[1]
-
-
 def row_packing(widths: list[float], room: float) -> list[int]:
     """The row of each item, where a new row begins when the next would overflow."""
     row, used, out = 0, 0.0, []
@@ -209,21 +157,6 @@ def bootstrap_interval(values: np.ndarray, seed: int, rounds: int) -> tuple[floa
     return float(np.floor(low * 1e6 + 0.5) / 1e6), float(np.floor(high * 1e6 + 0.5) / 1e6)
 
 
-def beat_grid(envelope: np.ndarray, rate: float, low: float = 60.0, high: float = 190.0) -> tuple[float, float] | None:
-    """Beats a minute and phase in seconds by autocorrelation of the rises of an envelope; None for one without rises."""
-    rises = np.maximum(0.0, np.diff(envelope, prepend=envelope[:1]))
-    if len(rises) < 8 or not rises.any():
-        return None
-    lags = np.arange(max(1, int(round(rate * 60 / high))), min(len(rises) - 1, int(round(rate * 60 / low))) + 1)
-    if not len(lags):
-        return None
-    tempo = 60 * rate / lags
-    score = np.array([(rises[:-k] * rises[k:]).sum() / (len(rises) - k) for k in lags]) * np.exp(-0.5 * (np.log2(tempo / 110) / 0.9) ** 2)
-    lag = int(lags[np.argmax(score)])
-    phase = int(np.argmax([rises[p::lag].sum() for p in range(lag)]))
-    return 60 * rate / lag, phase / rate
-
-
 def tcn_forward(x: np.ndarray, weights: dict) -> dict[str, np.ndarray]:
     """Temporal convolution network over frames (rows): a projection, residual blocks of dilated width-3 convolutions
     with rectifiers, and linear heads; softmax for ``root`` and ``quality``, a logistic curve for the others."""

@@ -67,14 +67,17 @@ def anchored_clusters(rows: DataFrame, key: str, tolerance: int) -> DataFrame:
     distinct = rows.where(F.col("at").isNotNull()).select(key, "at").distinct().select(key, "at", begins.alias("begins"))
     islands = distinct.select(key, "at", F.sum("begins").over(ordered.rowsBetween(W.unboundedPreceding, 0)).alias("island"))
     times = islands.groupBy(key, "island").agg(F.array_sort(F.collect_list("at")).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    # Anchors only are held in the fold, as long as they are few; each time's anchor is the last one up to it.
+    start = F.array().cast("array<bigint>")
 
-    def step(state: Column, t: Column) -> Column:
-        new = state["last"].isNull() | (t - state["last"] > tolerance)
-        return F.struct(F.when(new, t).otherwise(state["last"]).alias("last"), F.array_append(state["out"], F.when(new, t).otherwise(state["last"])).alias("out"))
+    def step(anchors: Column, t: Column) -> Column:
+        last = F.element_at(anchors, -1)
+        return F.when(F.size(anchors) == 0, F.array(t)).when(t - last > tolerance, F.array_append(anchors, t)).otherwise(anchors)
 
-    anchors = times.select(key, F.explode(F.arrays_zip(F.col("ts").alias("at"), F.aggregate("ts", start, step, lambda s: s["out"]).alias("anchor"))).alias("x"))
-    return rows.join(anchors.select(key, "x.at", "x.anchor"), [key, "at"])
+    found = times.select(key, F.explode(F.aggregate("ts", start, step)).alias("anchor"))
+    marked = distinct.select(key, "at").join(found.select(key, F.col("anchor").alias("at"), F.col("anchor")), [key, "at"], "left")
+    anchors = marked.select(key, "at", F.last("anchor", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, 0)).alias("anchor"))
+    return rows.join(anchors, [key, "at"])
 
 
 def density_filter(rows: DataFrame, key: str, reach: int, most: float, floor: float, high: float) -> DataFrame:
@@ -189,9 +192,9 @@ def gaps_filled(rows: DataFrame, key: str, step: float) -> DataFrame:
     """``key, id, value``: null values of rows ``(key, id, place, value)`` lie on the line between the known ones beside
     them; before the first and after the last known one they go on by ``step`` a place; keys without any stay null."""
     back = W.partitionBy(key).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key).orderBy("place").rowsBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(key).orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, 0)  # runs backwards
     known = F.when(F.col("value").isNotNull(), F.struct("place", "value"))
-    seen = rows.select(key, "id", "place", F.last(known, ignorenulls=True).over(back).alias("a"), F.first(known, ignorenulls=True).over(ahead).alias("b"))
+    seen = rows.select(key, "id", "place", F.last(known, ignorenulls=True).over(back).alias("a"), F.last(known, ignorenulls=True).over(ahead).alias("b"))
     line = F.col("a.value") + (F.col("b.value") - F.col("a.value")) * F.coalesce(F.try_divide((F.col("place") - F.col("a.place")).cast("double"), (F.col("b.place") - F.col("a.place")).cast("double")), F.lit(0.0))
     alone = F.coalesce(F.col("a.value") + step * (F.col("place") - F.col("a.place")), F.col("b.value") - step * (F.col("b.place") - F.col("place")))
     return seen.select(key, "id", F.coalesce(line, alone).alias("value"))

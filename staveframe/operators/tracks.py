@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from staveframe.operators import kernels
+from staveframe.functions import labels as L
+from staveframe.operators import decoders, kernels
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -21,6 +25,47 @@ def _both(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]
     return sides.groupBy(*keys).applyInPandas(lambda g: run(g[g["side"] == 0], g[g["side"] == 1]), schema)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows as frames that never end within a group of the keys, and where the groups begin and end in each."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in _and_none(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) < 10_000:
+                continue
+        if not waiting:
+            continue
+        frame = pa.Table.from_batches(waiting).to_pandas()
+        codes = np.stack([pd.factorize(frame[k])[0] for k in keys])
+        cuts = np.r_[0, np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1, len(frame)]
+        if batch is None:
+            yield frame, cuts
+        elif len(cuts) > 2:
+            yield frame.iloc[: cuts[-2]], cuts[:-1]
+            waiting = [pa.Table.from_batches(waiting).slice(cuts[-2]).combine_chunks().to_batches()[0]]
+
+
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _paired(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], order: list[str], run, schema: str) -> DataFrame:
+    """``run(frame, groups)`` on many whole groups at once, where ``groups`` gives begin, end of the left side and end of
+    each: for operators with very many small groups."""
+    sides = left.select(*keys, *columns, F.lit(0).alias("side")).unionByName(right.select(*keys, *columns, F.lit(1).alias("side")))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, cuts in _whole_groups(batches, keys):
+            side = frame["side"].to_numpy()
+            groups = [(a, a + int(np.searchsorted(side[a:b], 1)), b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield from pa.Table.from_pandas(run(frame, groups), preserve_index=False).to_batches()
+
+    return sides.repartition(*keys).sortWithinPartitions(*keys, "side", *order).mapInArrow(go, schema)
+
+
 def viterbi_labels(frames: DataFrame, key: str, labels: list[str], penalty: float = 4.0) -> DataFrame:
     """``key, place, label``: the best path through ``scores array<double>`` (one for each of ``labels``) of frames ``(key, place)``."""
 
@@ -35,40 +80,55 @@ def viterbi_labels(frames: DataFrame, key: str, labels: list[str], penalty: floa
 def greedy_matches(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """``keys, left_id, right_id``: one-to-one pairs of ``(keys, id, at)`` within the tolerance, taken in order of ``at``."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["at", "id"], kind="stable"), b.sort_values(["at", "id"], kind="stable")
-        pairs = kernels.greedy_match(a["at"].to_numpy(float), b["at"].to_numpy(float), tolerance)
-        out = {k: [a[k].iloc[0]] * len(pairs) if len(pairs) else [] for k in keys}
-        return pd.DataFrame(out | {"left_id": a["id"].to_numpy()[[i for i, _ in pairs]], "right_id": b["id"].to_numpy()[[j for _, j in pairs]]}) if pairs else pd.DataFrame(columns=[*keys, "left_id", "right_id"])
+    def run(frame: pd.DataFrame, groups: list[tuple[int, int, int]]) -> pd.DataFrame:
+        at, i, j = frame["at"].to_numpy(float), [], []
+        for a, m, b in groups:
+            for p, q in kernels.greedy_match(at[a:m], at[m:b], tolerance):
+                i.append(a + p)
+                j.append(m + q)
+        ids = frame["id"].to_numpy(np.int64)
+        return frame.iloc[i][keys].assign(left_id=ids[np.array(i, dtype=np.int64)], right_id=ids[np.array(j, dtype=np.int64)])
 
     schema = ", ".join(f"{k} {_type(left, k)}" for k in keys) + ", left_id long, right_id long"
-    return _both(left, right, keys, ["id", "at"], run, schema)
+    return _paired(left, right, keys, ["id", "at"], ["at", "id"], run, schema)
 
 
 def boundary_scores(left: DataFrame, right: DataFrame, key: str, tolerances: list[float]) -> DataFrame:
     """``key, tolerance, precision, recall, f1`` of the marks on the right against those on the left, matched greedily."""
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in tolerances]))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        head = (a if len(a) else b).iloc[0]
-        n = len(kernels.greedy_match(np.sort(a["at"].to_numpy(float)), np.sort(b["at"].to_numpy(float)), head["tolerance"]))
-        p, r = n / len(b) if len(b) else 0.0, n / len(a) if len(a) else 0.0
-        return pd.DataFrame({key: [head[key]], "tolerance": [head["tolerance"]], "precision": [p], "recall": [r], "f1": [2 * p * r / (p + r) if p + r else 0.0]})
+    def run(frame: pd.DataFrame, groups: list[tuple[int, int, int]]) -> pd.DataFrame:
+        at, owner, out = frame["at"].to_numpy(float), frame[key].to_numpy(), []
+        for a, m, b in groups:
+            for tolerance in tolerances:
+                n = len(kernels.greedy_match(at[a:m], at[m:b], tolerance))
+                p, r = n / (b - m) if b > m else 0.0, n / (m - a) if m > a else 0.0
+                out.append((owner[a], float(tolerance), p, r, 2 * p * r / (p + r) if p + r else 0.0))
+        return pd.DataFrame(out, columns=[key, "tolerance", "precision", "recall", "f1"])
 
-    spread = lambda side: side.select(key, "at", grid.alias("tolerance"))
-    return _both(spread(left), spread(right), [key, "tolerance"], ["at"], run, f"{key} {_type(left, key)}, tolerance double, precision double, recall double, f1 double")
+    return _paired(left, right, [key], ["at"], ["at"], run, f"{key} {_type(left, key)}, tolerance double, precision double, recall double, f1 double")
 
 
 def sequence_alignment(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``key, place, left_place, right_place``: the cheapest alignment of two label sequences ``(key, place, label)``."""
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("place"), b.sort_values("place")
-        pairs = kernels.align(a["label"].tolist(), b["label"].tolist())
-        owner = (a if len(a) else b)[key].iloc[0]
-        return pd.DataFrame({key: [owner] * len(pairs), "place": range(len(pairs)), "left_place": pd.array([i for i, _ in pairs], "Int64"), "right_place": pd.array([j for _, j in pairs], "Int64")})
-
-    return _both(left, right, [key], ["place", "label"], run, f"{key} {_type(left, key)}, place long, left_place long, right_place long")
+    """``key, place, left_place, right_place, cost``: the cheapest alignment of two sequences of chord labels ``(key,
+    place, label)``, where a wrong label costs by how far it is from the right one. Labels that can't be read are told
+    apart by their text, and stand as far from others as no chord does."""
+    read = L.strict(F.col("label"))
+    coded = lambda side: side.select(key, "place", "label", read.alias("c")).select(
+        key, "place", F.coalesce("c.root", F.lit(-1)).alias("root"), F.coalesce(F.col("c.quality").isin(*L.MINOR_LIKE), F.lit(False)).cast("int").alias("minor"),
+        F.coalesce(F.regexp_replace("c.symbol", "/.*", ""), F.concat(F.lit("?"), "label")).alias("symbol"),
+    )
+
+    def run(frame: pd.DataFrame, groups: list[tuple[int, int, int]]) -> pd.DataFrame:
+        codes = np.stack([frame["root"].to_numpy(), frame["minor"].to_numpy(), pd.factorize(frame["symbol"])[0]], axis=1)
+        owner, parts = frame[key].to_numpy(), []
+        for a, m, b in groups:
+            costs = decoders.label_costs(codes[a:m], codes[m:b]) if m > a and b > m else np.zeros((m - a, b - m))
+            pairs = decoders.align(costs)
+            cost = [decoders.GAP_COST if i is None or j is None else float(costs[i, j]) for i, j in pairs]
+            parts.append(pd.DataFrame({key: owner[a], "place": np.arange(len(pairs)), "left_place": pd.array([i for i, _ in pairs], "Int64"), "right_place": pd.array([j for _, j in pairs], "Int64"), "cost": cost}))
+        return pd.concat(parts)
+
+    return _paired(coded(left), coded(right), [key], ["place", "root", "minor", "symbol"], ["place"], run, f"{key} {_type(left, key)}, place long, left_place long, right_place long, cost double")
 
 
 def label_decoder(rows: DataFrame, key: str, decide) -> DataFrame:
@@ -130,36 +190,94 @@ def bootstrap_means(values: DataFrame, key: str, seed: int, rounds: int = 2000)
     return values.select(key, "id", "value").groupBy(key).applyInPandas(run, f"{key} {_type(values, key)}, mean double, low double, high double, n long")
 
 
-def lead_voices(notes: DataFrame, key: str, tolerance: int) -> DataFrame:
-    """``key, anchor, level``: the lead voice through the onset clusters of notes ``(key, id, at, level, score)``."""
+def lead_voices(notes: DataFrame, key: str, tolerance: float, least: float = 0.42, high: float = 0.78, companions: bool = True) -> DataFrame:
+    """``key, id``: the notes ``(key, id, at, end, midi, score)`` of the lead voice through onset clusters, with companions
+    if wanted; times in seconds."""
+    micro = 1_000_000
     from staveframe.operators.sequences import anchored_clusters
 
+    whole = anchored_clusters(notes.select(key, "id", F.round(F.col("at") * micro).cast("long").alias("at"), F.col("at").alias("start"), "end", "midi", "score"), key, int(tolerance * micro))
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        onsets = [(a, list(zip(g["level"].tolist(), g["score"].tolist(), strict=True))) for a, g in group.sort_values(["anchor", "level"]).groupby("anchor")]
-        levels = kernels.lead_voice([c for _, c in onsets])
-        return pd.DataFrame({key: [group[key].iloc[0]] * len(onsets), "anchor": [a for a, _ in onsets], "level": pd.array(levels, "Int64")})
+        group = group.sort_values(["start", "midi", "id"], kind="stable")
+        ids, clusters = [], []
+        for _, g in group.groupby("anchor", sort=True):
+            ids.append(g["id"].tolist())
+            clusters.append(list(zip(g["start"].tolist(), g["end"].tolist(), g["midi"].tolist(), g["score"].tolist(), strict=True)))
+        chosen = decoders.lead_voice(clusters, least, high, companions)
+        return pd.DataFrame({key: group[key].iloc[0], "id": [ids[g][k] for g, k in chosen]})
 
-    return anchored_clusters(notes, key, tolerance).select(key, "anchor", "level", "score").groupBy(key).applyInPandas(run, f"{key} {_type(notes, key)}, anchor long, level long")
+    return whole.groupBy(key).applyInPandas(run, f"{key} {_type(notes, key)}, id {_type(notes, 'id')}")
 
 
-def fretted(notes: DataFrame, key: str, most: int = 20) -> DataFrame:
-    """``key, place, string, fret`` of notes ``(key, place, midi)`` along the cheapest path of positions."""
+def _positions(midi: int, most: int) -> list[tuple[int, int]]:
     from staveframe.functions.scalars import STANDARD_TUNING
 
+    return [(6 - k, midi - o) for k, o in enumerate(STANDARD_TUNING) if 0 <= midi - o <= most]
+
+
+def fretted(notes: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """``key, place, string, fret`` of notes ``(key, place, at, end, midi)``, times in seconds, along the cheapest path of
+    positions; notes without a position are left out."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place", kind="stable")
+        choices = [np.array(_positions(m, most)) for m in group["midi"].tolist()]
+        held = np.array([len(c) > 0 for c in choices], dtype=bool)
+        group = group[held]
+        path = decoders.fret_path(group["at"].to_numpy(float), group["end"].to_numpy(float), [c for c in choices if len(c)])
+        return pd.DataFrame({key: group[key].to_numpy(), "place": group["place"].to_numpy(), "string": [s for s, _ in path], "fret": [f for _, f in path]})
+
+    return notes.select(key, "place", "at", "end", "midi").groupBy(key).applyInPandas(run, f"{key} {_type(notes, key)}, place {_type(notes, 'place')}, string long, fret long")
+
+
+def chord_shapes(notes: DataFrame, key: str, tolerance: float = 0.045) -> DataFrame:
+    """``key, id, string, fret`` of notes ``(key, id, at, end, midi, score)`` that sound together in onset clusters, each
+    cluster one shape of the hand; notes that make a shape unplayable are left out."""
+    micro = 1_000_000
+    from staveframe.operators.sequences import anchored_clusters
+
+    whole = anchored_clusters(notes.select(key, "id", F.round(F.col("at") * micro).cast("long").alias("at"), F.col("at").alias("start"), "end", "midi", "score"), key, int(tolerance * micro))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["start", "midi", "id"], kind="stable")
+        clusters = [list(zip(g["start"].tolist(), g["end"].tolist(), g["midi"].tolist(), g["score"].tolist(), g["id"].tolist(), strict=True)) for _, g in group.groupby("anchor", sort=True)]
+        found = decoders.chord_shapes(clusters, lambda midi: _positions(midi, 20))
+        return pd.DataFrame({key: group[key].iloc[0], "id": [i for i, _, _ in found], "string": [s for _, s, _ in found], "fret": [f for _, _, f in found]})
+
+    return whole.groupBy(key).applyInPandas(run, f"{key} {_type(notes, key)}, id {_type(notes, 'id')}, string long, fret long")
+
+
+def decoded_windows(windows: DataFrame, key: str, labels: list[str], roots: list[int]) -> DataFrame:
+    """``key, place, decoded, label``: the duration-aware best path through a track's windows, and the same with changes
+    only where they are supported. ``roots`` has the root of each label, -1 for no chord.
+
+    Windows: ``key, place, start, end, scores`` (one for each label), ``strength, uncertain, confidence, margin,
+    bass_confidence, root_strength, tonic, mode, key_confidence, adjustment``; a null tonic is no key.
+    """
+    of = np.array(roots)
+    none = int(np.flatnonzero(of < 0)[0])
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place", kind="stable")
-        choices = [[(6 - k, m - o) for k, o in enumerate(STANDARD_TUNING) if 0 <= m - o <= most] for m in group["midi"].tolist()]
-        path = kernels.fret_path(choices)
-        return pd.DataFrame({key: group[key].to_numpy(), "place": group["place"].to_numpy(), "string": pd.array([p and p[0] for p in path], "Int64"), "fret": pd.array([p and p[1] for p in path], "Int64")})
+        number = lambda c: group[c].fillna(0).to_numpy(float)
+        keys = [None if pd.isna(t) else (int(t), m, float(c)) for t, m, c in zip(group["tonic"], group["mode"], group["key_confidence"], strict=True)]
+        w = decoders.Windows(
+            number("start"), number("end"), np.stack(group["scores"].to_numpy()).astype(float), number("strength"), group["uncertain"].fillna(False).to_numpy(bool), number("confidence"), number("margin"),
+            np.stack([number("bass_confidence"), number("root_strength")], axis=1), keys, number("adjustment"),
+        )
+        path = decoders.lasting_path(w, of)
+        stable = decoders.supported_changes(w, path, none)
+        return pd.DataFrame({key: group[key].to_numpy(), "place": group["place"].to_numpy(), "decoded": [labels[k] for k in path], "label": [labels[k] for k in stable]})
 
-    return notes.select(key, "place", "midi").groupBy(key).applyInPandas(run, f"{key} {_type(notes, key)}, place {_type(notes, 'place')}, string long, fret long")
+    return windows.groupBy(key).applyInPandas(run, f"{key} {_type(windows, key)}, place {_type(windows, 'place')}, decoded string, label string")
 
 
 def beat_grids(frames: DataFrame, key: str, rate: float) -> DataFrame:
-    """``key, bpm, phase`` from the envelope ``(key, place, level)`` of each track, ``rate`` frames a second; null without beats."""
+    """``key, bpm, phase`` from the levels ``(key, place, level)`` of each track, ``rate`` a second; null without beats."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.beat_grid(group.sort_values("place")["level"].to_numpy(float), rate)
+        found = decoders.beat_grid(group.sort_values("place")["level"].to_numpy(float), rate)
         return pd.DataFrame({key: [group[key].iloc[0]], "bpm": [found and found[0]], "phase": [found and found[1]]}).astype({"bpm": "float64", "phase": "float64"})
 
     return frames.select(key, "place", "level").groupBy(key).applyInPandas(run, f"{key} {_type(frames, key)}, bpm double, phase double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from staveframe.functions import labels as L
 from staveframe.functions import scalars as X
 from staveframe.operators import fusion, notes
-from staveframe.plans.roles import table
+from staveframe.plans.roles import table, track_notes
 from staveframe.plans.table_queries import V_SQL, _chords, _vectors, half_up_sql
 from staveframe.streaming import live
 
@@ -25,27 +25,21 @@ def query(sql: str):
     return put
 
 
-def _notes(spark, sf_dir):
-    """Events as notes of a track for each user, in seconds; a day of the table is a second of the track's time."""
-    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 86_400_000_000
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("id"), at.alias("at"), (at + F.col("value") / 200).alias("end"), (F.pmod(F.floor("value"), F.lit(49)) + 40).cast("int").alias("midi"), F.pmod(F.col("value") * 7, F.lit(1.0)).alias("score"))
-
-
 @query("")
 def note_cleanup(spark, sf_dir):
-    return notes.cleaned(_notes(spark, sf_dir))
+    return notes.cleaned(track_notes(spark, sf_dir))
 
 
 @query("")
 def note_diagnostics(spark, sf_dir):
-    clean = notes.cleaned(_notes(spark, sf_dir))
-    seconds = _notes(spark, sf_dir).groupBy(F.col("track").cast("string").alias("track")).agg(F.max("end").alias("seconds"))
+    clean = notes.cleaned(track_notes(spark, sf_dir))
+    seconds = track_notes(spark, sf_dir).groupBy(F.col("track").cast("string").alias("track")).agg(F.max("end").alias("seconds"))
     return notes.diagnostics(clean, seconds)
 
 
 @query("")
 def setup_estimate(spark, sf_dir):
-    return notes.setup_estimate(_notes(spark, sf_dir))
+    return notes.setup_estimate(track_notes(spark, sf_dir))
 
 
 @query("")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
+#: Labels that events stand for where a query needs chords: by the whole part of an event's value.
+CHORDS = ("C", "Am", "F", "G7", "Dm", "Em7", "N", "Bb", "Cmaj7", "E", "A/C#", "Gm", "C7")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,23 @@ def timeline(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     return timed.where(F.col("end") > F.col("start"))
 
 
+def chord_of(value):
+    """The chord that an event of this value stands for."""
+    return F.element_at(F.array(*[F.lit(c) for c in CHORDS]), (F.pmod(F.floor(value), F.lit(len(CHORDS))) + 1).cast("int"))
+
+
+def chord_timeline(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """:func:`timeline` with chords as labels."""
+    values = notes(spark, sf_dir).select("id", chord_of(F.col("score")).alias("label"))
+    return timeline(spark, sf_dir, side).drop("label").join(values, "id").select("user_id", "id", "start", "end", "label", "idx")
+
+
+def track_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as notes of a track for each user: ``track, id, at, end`` (seconds; a day of the table is a second), ``midi, score``."""
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 86_400_000_000
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("id"), at.alias("at"), (at + F.col("value") / 200).alias("end"), (F.pmod(F.floor("value"), F.lit(49)) + 40).cast("int").alias("midi"), F.pmod(F.col("value") * 7, F.lit(1.0)).alias("score"))
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd events as points: ``user_id, point_id, at``."""
     return notes(spark, sf_dir).where("id % 2 = 1").select("user_id", F.col("id").alias("point_id"), "at")

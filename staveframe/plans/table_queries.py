@@ -11,7 +11,7 @@ from staveframe.operators import intervals as I
 from staveframe.operators import scores as C
 from staveframe.operators import sequences as S
 from staveframe.operators import tracks as T
-from staveframe.plans.roles import micros, notes, table, timeline
+from staveframe.plans.roles import chord_of, micros, notes, table, timeline, track_notes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -366,7 +366,7 @@ def boundary_scores(spark, sf_dir):
 
 @query("")
 def alignment_dp(spark, sf_dir):
-    rows = notes(spark, sf_dir)
+    rows = notes(spark, sf_dir).withColumn("label", chord_of(F.col("score")))
     left, right = (T.numbered(rows.where(F.col("id") % 2 == k), "user_id").select("user_id", "place", "label") for k in (0, 1))
     return T.sequence_alignment(left, right, "user_id")
 
@@ -405,13 +405,33 @@ def absorbed_regions(spark, sf_dir):
 
 @query("")
 def lead_voice(spark, sf_dir):
-    return T.lead_voices(notes(spark, sf_dir).withColumn("level", F.floor("score").cast("long")).withColumn("score", F.lit(1.0) + F.col("score") / 500), "user_id", 8 * 3_600_000_000)
+    return T.lead_voices(track_notes(spark, sf_dir), "track", 0.3)
 
 
 @query("")
 def fret_path(spark, sf_dir):
-    rows = T.numbered(notes(spark, sf_dir), "user_id").select("user_id", "place", (F.pmod(F.floor("score"), F.lit(45)) + 40).alias("midi"))
-    return T.fretted(rows, "user_id")
+    rows = T.numbered(track_notes(spark, sf_dir), "track").select("track", "place", "at", "end", "midi")
+    return T.fretted(rows, "track")
+
+
+@query("")
+def chord_shapes(spark, sf_dir):
+    return T.chord_shapes(track_notes(spark, sf_dir), "track", 0.3)
+
+
+@query("")
+def duration_decoder(spark, sf_dir):
+    """Chords of each user's events as windows of half a second, by the duration-aware decoder and its check of changes."""
+    labels, roots = ["C", "G", "Am", "F", "N"], [0, 7, 9, 5, -1]
+    rows = T.numbered(notes(spark, sf_dir), "user_id")
+    part = lambda k: F.pmod(F.col("score") * k, F.lit(1.0))
+    windows = rows.select(
+        "user_id", "place", (F.col("place") / 2).alias("start"), (F.col("place") / 2 + 0.5).alias("end"), F.array(*[part(k + 1) / (3 if k == 4 else 1) for k in range(5)]).alias("scores"),
+        F.when(F.col("place") % 4 == 0, 1.0).when(F.col("place") % 2 == 0, 0.86).otherwise(0.72).alias("strength"), (part(7) < 0.1).alias("uncertain"), part(11).alias("confidence"), (part(13) / 10).alias("margin"),
+        part(17).alias("bass_confidence"), part(19).alias("root_strength"), F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 12).cast("int")).alias("tonic"), F.when(F.col("user_id") % 2 == 0, "major").otherwise("minor").alias("mode"),
+        F.lit(0.8).alias("key_confidence"), F.lit(0.0).alias("adjustment"),
+    )
+    return T.decoded_windows(windows, "user_id", labels, roots)
 
 
 @query("")
