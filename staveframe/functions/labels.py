@@ -66,6 +66,12 @@ def strict(label: Column, capo: int = 0) -> Column:
     return F.struct((none | ok).alias("ok"), F.when(none, "N").when(ok, symbol).alias("symbol"), F.when(~none & ok, moved).alias("root"), F.when(~none & ok, quality).alias("quality"), F.when(~none & ok, low).alias("bass"))
 
 
+def strict_once(label: Column, unknown: str = "N") -> Column:
+    """:func:`strict` as one value, which Spark works out once however many of its fields are used; what can't be read
+    counts as ``unknown``."""
+    return F.transform(F.array(label), lambda x: strict(F.coalesce(x, F.lit(unknown))))[0]
+
+
 def lenient(label: Column) -> Column:
     """``struct(symbol, root, family)``; what can't be read is no chord, and the bass is left out."""
     root, quality, _, _ = _parts(label)

@@ -32,15 +32,17 @@ def _plain(symbol: Column) -> Column:
 
 
 def _family(c: Column) -> Column:
-    return F.when(c["root"].isNull(), "N").when(c["quality"].isin(*L.MINOR_LIKE), F.concat(c["root"].cast("string"), F.lit("min"))).otherwise(F.concat(c["root"].cast("string"), F.lit("maj")))
+    return F.when(c["root"].isNull(), "N").when(F.coalesce(c["quality"].isin(*L.MINOR_LIKE), F.lit(False)), F.concat(c["root"].cast("string"), F.lit("min"))).otherwise(F.concat(c["root"].cast("string"), F.lit("maj")))
 
 
 def judged_segments(reference: DataFrame, detected: DataFrame, key: str) -> DataFrame:
-    """Elementary segments of the reference ``key, start, end, span, r, d``: both labels read strictly, where nothing
-    detected and labels that can't be read count as no chord."""
+    """Elementary segments of the reference ``key, start, end, span, reference, detected``; nothing detected is ``N``."""
     cut = I.aligned_segments(reference.select(key, "start", "end", "label"), detected.select(key, "start", "end", "label"), key).where(F.col("left_label").isNotNull())
-    read = lambda c: L.strict(F.when(L.strict(c)["ok"], c).otherwise("N"))
-    return cut.select(key, "start", "end", (F.col("end") - F.col("start")).alias("span"), read(F.col("left_label")).alias("r"), read(F.coalesce("right_label", F.lit("N"))).alias("d"))
+    return cut.select(key, "start", "end", (F.col("end") - F.col("start")).alias("span"), F.col("left_label").alias("reference"), F.coalesce("right_label", F.lit("N")).alias("detected"))
+
+
+def _plain_symbol(label: Column) -> Column:
+    return F.coalesce(_plain(L.strict_once(label)["symbol"]), F.lit("N"))
 
 
 def accuracy_report(reference: DataFrame, detected: DataFrame, key: str) -> DataFrame:
@@ -49,8 +51,10 @@ def accuracy_report(reference: DataFrame, detected: DataFrame, key: str) -> Data
     r, d = F.col("r"), F.col("d")
     span = lambda when: F.sum(F.when(when, F.col("span")).otherwise(0))
     silent_r, silent_d = r["root"].isNull(), d["root"].isNull()
-    sums = judged_segments(reference, detected, key).groupBy(key).agg(
-        F.sum("span").alias("total"), span(r["root"].eqNullSafe(d["root"])).alias("root"), span(_family(r) == _family(d)).alias("family"), span(_plain(r["symbol"]) == _plain(d["symbol"])).alias("detailed"),
+    # Summed up by pairs of labels first, so that few labels are read.
+    pairs = judged_segments(reference, detected, key).groupBy(key, "reference", "detected").agg(F.sum("span").alias("span"))
+    sums = pairs.select(key, "span", L.strict_once(F.col("reference")).alias("r"), L.strict_once(F.col("detected")).alias("d")).groupBy(key).agg(
+        F.sum("span").alias("total"), span(r["root"].eqNullSafe(d["root"])).alias("root"), span(_family(r) == _family(d)).alias("family"), span(F.coalesce(_plain(r["symbol"]), F.lit("N")) == F.coalesce(_plain(d["symbol"]), F.lit("N"))).alias("detailed"),
         span(silent_r & silent_d).alias("both"), span(silent_r).alias("none_r"), span(silent_d).alias("none_d"), span(r["bass"].isNotNull()).alias("bass"), span(r["bass"].isNotNull() & r["bass"].eqNullSafe(d["bass"])).alias("bass_right"),
     )
     share = lambda a, b: half_up(safe_div(F.col(a).cast("double"), F.col(b).cast("double")))
@@ -59,13 +63,15 @@ def accuracy_report(reference: DataFrame, detected: DataFrame, key: str) -> Data
 
 def confusion(reference: DataFrame, detected: DataFrame, key: str) -> DataFrame:
     """``reference, detected, seconds``: time of each pair of different symbols over all keys, in the unit of the timelines."""
-    wrong = judged_segments(reference, detected, key).select(_plain(F.col("r.symbol")).alias("reference"), _plain(F.col("d.symbol")).alias("detected"), "span").where(F.col("reference") != F.col("detected"))
-    return wrong.groupBy("reference", "detected").agg(F.sum("span").alias("seconds"))
+    pairs = judged_segments(reference, detected, key).groupBy("reference", "detected").agg(F.sum("span").alias("span"))
+    read = pairs.select(_plain_symbol(F.col("reference")).alias("reference"), _plain_symbol(F.col("detected")).alias("detected"), "span")
+    return read.where(F.col("reference") != F.col("detected")).groupBy("reference", "detected").agg(F.sum("span").alias("seconds"))
 
 
 def mismatch_runs(reference: DataFrame, detected: DataFrame, key: str) -> DataFrame:
     """``key, start, end, reference, detected``: stretches of one wrong symbol for one right symbol, neighbours merged."""
-    named = judged_segments(reference, detected, key).select(key, "start", "end", _plain(F.col("r.symbol")).alias("reference"), _plain(F.col("d.symbol")).alias("detected")).where(F.col("reference") != F.col("detected"))
+    read = judged_segments(reference, detected, key).select(key, "start", "end", _plain_symbol(F.col("reference")).alias("reference"), _plain_symbol(F.col("detected")).alias("detected"))
+    named = read.where(F.col("reference") != F.col("detected"))
     w = W.partitionBy(key).orderBy("start")
     same = (F.lag("end").over(w) == F.col("start")) & (F.lag("reference").over(w) == F.col("reference")) & (F.lag("detected").over(w) == F.col("detected"))
     marked = named.withColumn("begins", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -117,7 +123,7 @@ def bass_evidence(windows: DataFrame, reference: DataFrame, key: str, width: int
     lines = reference.select(key, (2 * F.col("start")).alias("start"), (2 * F.col("end")).alias("end"), F.col("id").alias("idx"), F.struct("start", "end", "label").alias("label"))
     hit = I.point_in_interval(at, lines, key, 2 * width).select(key, F.col("point_id").alias("id"), F.col("label").alias("ref")).where(F.col("ref").isNotNull())
     shared = F.greatest(F.lit(0), F.least("end", "ref.end") - F.greatest("start", "ref.start"))
-    both = w.join(hit, [key, "id"]).withColumn("shared", shared).withColumn("right", F.coalesce(F.col("bass") == L.strict(F.col("ref.label"))["root"], F.lit(False)))
+    both = w.join(hit, [key, "id"]).withColumn("shared", shared).withColumn("right", F.coalesce(F.col("bass") == L.strict_once(F.col("ref.label"))["root"], F.lit(False)))
     part = lambda when: F.sum(F.when(when, F.col("shared")).otherwise(0)).cast("double")
     sure = F.col("confidence") >= BASS_SURE
     sums = both.groupBy(key).agg(F.sum("shared").cast("double").alias("all"), part(F.col("right")).alias("good"), part(sure).alias("sure"), part(sure & F.col("right")).alias("sure_good"))
