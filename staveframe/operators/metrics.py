@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from staveframe.functions import labels as L
 from staveframe.functions.scalars import clamp, half_up, safe_div
 from staveframe.operators import intervals as I
-from staveframe.operators.fusion import key_estimate
+from staveframe.operators.fusion import BINS, key_estimate
 
 # Weights and bounds of the learned evidence, and the degrees of the two scales with their triads.
 LEARNED_WEIGHT, LEAST_LEARNED, MOST_ENTROPY, PROTECTED, MOST_FULL_MIX, MOST_GUITAR, RULE_TOP = 0.35, 0.6, 0.75, 0.72, 0.3, 0.55, 0.9
@@ -171,15 +171,24 @@ def key_compatibility(root: Column, quality: Column, tonic: Column, mode: Column
     return F.when(tonic.isNull(), 0.0).when(mode == "major", of("major")).otherwise(of("minor"))
 
 
-def local_keys(windows: DataFrame, frames: DataFrame, key: str, reach: int, width: int, least: float = 0.25) -> DataFrame:
-    """``key, id, name, confidence, is_local``: the key of the frames ``(key, start, end, vector)`` that overlap a window
-    ``(key, id, start, end)`` widened by ``reach``, if it is sure enough, else that of all the key's frames."""
-    wide = windows.select(key, "id", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"))
-    own = frames.withColumn("f", F.monotonically_increasing_id())
-    a = wide.select(key, "id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bucket"))
-    b = own.select(key, F.col("start").alias("fs"), F.col("end").alias("fe"), "vector", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bucket"))
-    near = a.join(b, [key, "bucket"]).where((F.col("fe") > F.col("start")) & (F.col("fs") < F.col("end")) & (F.col("bucket") == F.floor(F.greatest("start", "fs") / width)))
-    local = I.vector_mean(near, [key, "id"]).select(key, "id", key_estimate(F.col("mean")).alias("local"))
+def local_keys(windows: DataFrame, frames: DataFrame, key: str, reach: int, least: float = 0.25) -> DataFrame:
+    """``key, id, name, confidence, is_local``: the key of the frames ``(key, start, end, vector)`` of pitch classes that overlap
+    a window ``(key, id, start, end)`` widened by ``reach``, if it is sure enough, else that of all the key's frames.
+
+    What overlaps a window has begun before its end and not ended by its start: two running sums of one window over the
+    ends of frames and windows, without pairs of these. Where no frame overlaps, the count tells exactly.
+    """
+    edge = lambda at, begun, ended: frames.select(key, F.col(at).alias("at"), F.lit(1).alias("o"), F.lit(None).cast("long").alias("id"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"), "vector")
+    probe = lambda at, o: windows.select(key, at.alias("at"), F.lit(o).alias("o"), F.col("id").cast("long").alias("id"), F.lit(0).alias("begun"), F.lit(0).alias("ended"))
+    # At one time, a window's end comes before the frames that begin there, and its start after those that end there.
+    rows = edge("start", 1, 0).unionByName(edge("end", 0, 1)).unionByName(probe(F.col("end") + reach, 0), allowMissingColumns=True).unionByName(probe(F.col("start") - reach, 2), allowMissingColumns=True)
+    w = W.partitionBy(key).orderBy("at", "o").rowsBetween(W.unboundedPreceding, 0)
+    sums = [F.sum(F.when(F.col(c) == 1, F.coalesce(F.col("vector")[i], F.lit(0.0))).otherwise(0.0)).over(w).alias(f"{c}{i}") for c in ("begun", "ended") for i in range(BINS)]
+    run = rows.select(key, "o", "id", F.sum("begun").over(w).alias("b"), F.sum("ended").over(w).alias("e"), *sums).where(F.col("id").isNotNull())
+    high, low = (lambda c: F.max(F.when(F.col("o") == 0, F.col(c)))), (lambda c: F.max(F.when(F.col("o") == 2, F.col(c))))
+    n = high("b") - low("e")
+    mean = F.array(*[F.try_divide(F.greatest(high(f"begun{i}") - low(f"ended{i}"), F.lit(0.0)), n) for i in range(BINS)])
+    local = run.groupBy(key, "id").agg(n.alias("n"), mean.alias("mean")).where("n > 0").select(key, "id", key_estimate(F.col("mean")).alias("local"))
     whole = I.vector_mean(frames, [key]).select(key, key_estimate(F.col("mean")).alias("all"))
     joined = windows.select(key, "id").join(local, [key, "id"], "left").join(whole, key, "left")
     use = F.col("local").isNotNull() & (F.col("all").isNull() | (F.col("local.confidence") >= least))

@@ -284,7 +284,7 @@ def local_keys(spark, sf_dir):
     rows = notes(spark, sf_dir)
     vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.when(p == F.pmod(F.floor(F.col("score")), F.lit(12)), F.col("score")).otherwise(0.0))
     frames = rows.where("id % 2 = 1").select("user_id", F.col("at").alias("start"), "end", vector.alias("vector"))
-    return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR, WIDTH)
+    return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR)
 
 
 @query("")

@@ -109,3 +109,34 @@ def test_stream(spark, tmp_path):
         query.awaitTermination()
     assert [r.label for r in spark.table("confirmed").orderBy("id").collect()] == list("AAAAABB")
     assert sum(r.n for r in spark.table("counted").collect()) == 7
+
+
+def test_local_keys_against_all_pairs(spark):
+    """Frames that overlap a widened window, with starts and ends that only touch it left out, give its key."""
+    import random
+
+    from staveframe.operators import metrics
+    from staveframe.operators.fusion import MAJOR, MINOR
+    from staveframe.functions.labels import SHARPS
+
+    rng = random.Random(4)
+    frames = [(k % 2, a := rng.randrange(200), a + rng.randrange(1, 12), [rng.random() ** 3 for _ in range(12)]) for k in range(80)]
+    windows = [(k % 3, k, a := rng.randrange(-40, 240), a + rng.randrange(1, 9)) for k in range(60)]
+
+    def best(vectors):
+        if not vectors:
+            return None
+        mean = [sum(v[i] for v in vectors) / len(vectors) for i in range(12)]
+        scored = sorted(((sum(m * p[(i - t) % 12] / sum(p) for i, m in enumerate(mean)), f"{SHARPS[t]} {n}") for t in range(12) for n, p in (("major", MAJOR), ("minor", MINOR))), reverse=True)
+        return scored[0][1], max(0.0, min(1.0, (scored[0][0] - scored[1][0]) / 0.018))
+
+    want = {}
+    for key, k, a, b in windows:
+        local, whole = best([v for o, s, e, v in frames if o == key and e > a - 8 and s < b + 8]), best([v for o, *_, v in frames if o == key])
+        use = local is not None and (whole is None or local[1] >= 0.25)
+        want[k] = (*((local if use else whole) or (None, None)), use)
+    got = metrics.local_keys(spark.createDataFrame(windows, "k long, id long, start long, end long"), spark.createDataFrame(frames, "k long, start long, end long, vector array<double>"), "k", 8).collect()
+    assert len(got) == 60
+    for r in got:
+        name, sure, use = want[r.id]
+        assert (r.name, r.is_local) == (name, use) and (sure is None or abs(r.confidence - sure) < 1e-6)
