@@ -450,9 +450,15 @@ def beat_windows(spark, sf_dir):
     return S.beat_windows(tracks, "user_id")
 
 
-@query("")
+@query(f"""
+WITH RECURSIVE o AS (SELECT user_id, value, epoch_us(ts) AS x, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+c AS (SELECT user_id, value, x, k, x AS anchor FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.value, o.x, o.k, CASE WHEN o.x - c.anchor > 28800000000 THEN o.x ELSE c.anchor END FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1),
+m AS (SELECT user_id, anchor, avg(value) AS v FROM c GROUP BY ALL), d AS (SELECT user_id, abs(v - lag(v) OVER (PARTITION BY user_id ORDER BY anchor)) AS d FROM m)
+SELECT user_id, {half_up_sql('coalesce(avg(d), 0)')} AS mean_step, {half_up_sql('coalesce(max(d), 0)')} AS largest_step FROM d GROUP BY user_id
+""")
 def movement(spark, sf_dir):
-    return S.movement(notes(spark, sf_dir).withColumn("level", F.col("score")), "user_id", 8 * 3_600_000_000)
+    found = S.movement(notes(spark, sf_dir).withColumn("level", F.col("score")), "user_id", 8 * 3_600_000_000)
+    return found.select("user_id", X.half_up(F.col("mean_step")).alias("mean_step"), X.half_up(F.col("largest_step")).alias("largest_step"))
 
 
 @query("")
