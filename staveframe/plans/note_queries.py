@@ -8,7 +8,7 @@ from staveframe.functions import labels as L
 from staveframe.functions import scalars as X
 from staveframe.operators import fusion, notes
 from staveframe.plans.roles import table, track_notes
-from staveframe.plans.table_queries import V_SQL, _chords, _vectors, half_up_sql
+from staveframe.plans.table_queries import CHORDS_SQL, V_SQL, _chords, _vectors, half_up_sql
 from staveframe.streaming import live
 
 QUERIES: dict = {}
@@ -37,12 +37,26 @@ def note_diagnostics(spark, sf_dir):
     return notes.diagnostics(clean, seconds)
 
 
-@query("")
+@query(f"""
+WITH n AS (SELECT user_id AS track, CAST(floor(value) AS BIGINT) % 49 + 40 AS midi, greatest(0.05::DOUBLE, value / 200) * greatest(0.1::DOUBLE, (value * 7) % 1) AS w FROM events),
+s(k, name, tuning, capo) AS (VALUES {', '.join(f"({k}, '{name}', {list(tuning)}, {capo})" for k, (name, tuning, capo) in enumerate(notes.SETUPS))}),
+f AS (SELECT track, midi, w, k, name, capo, list_min(list_filter(list_transform(tuning, lambda o: midi - o - capo), lambda x: x BETWEEN 0 AND 20)) AS low, list_contains(tuning, midi - capo) AS open FROM n, s),
+v AS (SELECT track, k, name, sum(CASE WHEN low IS NULL THEN -8 * w ELSE w * (2 - 0.06::DOUBLE * low) + CASE WHEN open THEN 2.4::DOUBLE * w ELSE 0 END END) - 0.2::DOUBLE * max(capo) AS v, count(DISTINCT midi) FILTER (open AND low IS NOT NULL) AS o FROM f GROUP BY ALL),
+b AS (SELECT track, max(v) FILTER (k = 0) AS v0, arg_min({{'name': name, 'v': v, 'o': o}}, (-v, k)) FILTER (k > 0) AS b FROM v GROUP BY track)
+SELECT track, CASE WHEN b.o >= 2 AND b.v > 1.12::DOUBLE * v0 THEN b.name ELSE 'Standard' END AS setup FROM b
+""")
 def setup_estimate(spark, sf_dir):
     return notes.setup_estimate(track_notes(spark, sf_dir))
 
 
-@query("")
+@query(CHORDS_SQL + """
+, k AS (SELECT id, r IN ('N', '') AS none, p IS NOT NULL AND q <> '?' AS ok, p, q, CASE WHEN q = 'min' THEN 'm' ELSE q END AS f, CASE WHEN b <> '' AND p <> 7 THEN '/G' ELSE '' END AS low FROM x),
+y AS (SELECT id, CASE WHEN none THEN 'N' ELSE p || f || low END AS symbol, CASE WHEN NOT none THEN p END AS root, NOT none AND f IN ('m', 'm7', 'dim') AS mi, NOT none AND f IN ('7', 'maj7', 'm7') AS more FROM k WHERE none OR ok),
+j AS (SELECT c.id, c.symbol AS rs, d.symbol AS ds, c.root AS rr, d.root AS dr, c.mi AS rm, d.mi AS dm, c.more AS re, d.more AS de, (d.root - c.root + 12) % 12 AS dist, c.id % 3 = 0 AND c.root IS NOT NULL AS heard FROM y c JOIN y d ON d.id = c.id + 1)
+SELECT CASE WHEN rs = ds THEN NULL WHEN rr IS NULL THEN 'missed N' WHEN dr IS NULL AND heard THEN 'bass root ignored' WHEN dr IS NULL THEN 'false N' WHEN id % 11 = 0 THEN 'boundary snapped to wrong beat' WHEN rr = dr AND NOT re AND de THEN 'transient seventh detected'
+    WHEN rr = dr AND re AND NOT de THEN 'seventh omitted' WHEN rr = dr AND (id / 50) % 1 < 0.12::DOUBLE THEN 'weak third caused major/minor ambiguity' WHEN rr = dr THEN 'wrong chord quality' WHEN (rm AND NOT dm AND dist = 3) OR (NOT rm AND dm AND dist = 9) THEN 'relative major/minor confusion'
+    WHEN heard THEN 'bass root ignored' WHEN id % 5 = 0 THEN 'lead melody contaminated harmony' ELSE 'wrong root' END AS kind, count(*) AS n FROM j GROUP BY 1
+""")
 def mismatch_classes(spark, sf_dir):
     c = _chords(spark, sf_dir).select("id", L.strict(F.col("chord")).alias("c")).where("c.ok")
     pairs = c.join(c.select((F.col("id") - 1).alias("id"), F.col("c").alias("d")), "id")

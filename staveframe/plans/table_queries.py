@@ -342,22 +342,54 @@ def robust_chroma(spark, sf_dir):
     return found.select("user_id", F.posexplode("chroma").alias("i", "x")).select("user_id", F.col("i").cast("long").alias("i"), X.half_up(F.col("x"), 6).alias("share"))
 
 
-@query("")
+KINDS = ("click", "error", "purchase", "signup", "view")
+KINDS_SQL = "['click', 'error', 'purchase', 'signup', 'view']"
+#: A user's events in order, for SQL that goes on from one to the next.
+ORDERED_SQL = "WITH RECURSIVE o AS (SELECT event_id AS id, user_id, event_type AS label, value AS score, epoch_us(ts) AS x, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS k FROM events),"
+#: Of the list ``rs`` of times on the right, the place of the nearest unused one to ``x`` within ``tol``, the first among equals.
+NEAREST_SQL = "struct_extract(list_sort(list_transform(list_filter(range(1, len(rs) + 1), lambda j: abs(rs[j] - x) <= tol AND NOT list_contains(used, j)), lambda j: {'d': abs(rs[j] - x), 'j': j}))[1], 'j')"
+
+
+@query(ORDERED_SQL + f"""
+f AS (SELECT user_id, k, list_transform({KINDS_SQL}, lambda z: CASE WHEN z = label THEN ln(1 + score) ELSE 0::DOUBLE END) AS s FROM o),
+b AS (SELECT user_id, k, s AS best, []::BIGINT[] AS back FROM f WHERE k = 0 UNION ALL
+    SELECT f.user_id, f.k, list_transform(range(1, 6), lambda j: greatest(b.best[j], list_max(b.best) - 4) + f.s[j]), list_transform(range(1, 6), lambda j: CASE WHEN b.best[j] >= list_max(b.best) - 4 THEN j ELSE CAST(list_position(b.best, list_max(b.best)) AS BIGINT) END)
+    FROM b JOIN f ON f.user_id = b.user_id AND f.k = b.k + 1),
+q AS (SELECT user_id, k, CAST(list_position(best, list_max(best)) AS BIGINT) AS j FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS z FROM b) WHERE z = 1 UNION ALL
+    SELECT b.user_id, b.k - 1, b.back[q.j] FROM q JOIN b ON b.user_id = q.user_id AND b.k = q.k WHERE b.k > 0)
+SELECT user_id, k AS place, ({KINDS_SQL})[j] AS label FROM q
+""")
 def viterbi(spark, sf_dir):
     """Best path of event types over each user's events; a type scores the event's value and a bit for what it is."""
-    kinds = ["click", "error", "purchase", "signup", "view"]
     rows = T.numbered(notes(spark, sf_dir), "user_id")
-    scores = F.array(*[F.when(F.col("label") == k, F.ln(1 + F.col("score"))).otherwise(0.0) for k in kinds])
-    return T.viterbi_labels(rows.withColumn("scores", scores), "user_id", kinds, 4.0)
+    scores = F.array(*[F.when(F.col("label") == k, F.ln(1 + F.col("score"))).otherwise(0.0) for k in KINDS])
+    return T.viterbi_labels(rows.withColumn("scores", scores), "user_id", list(KINDS), 4.0)
 
 
-@query("")
+@query(ORDERED_SQL + f"""
+a AS (SELECT user_id, label, id, x, row_number() OVER (PARTITION BY user_id, label ORDER BY x, id) AS i FROM o WHERE id % 2 = 0),
+r AS (SELECT user_id, label, list(x ORDER BY x, id) AS rs, list(id ORDER BY x, id) AS ids FROM o WHERE id % 2 = 1 GROUP BY ALL),
+g AS (SELECT user_id, label, 0::BIGINT AS i, 0::BIGINT AS left_id, NULL::BIGINT AS got, []::BIGINT[] AS used FROM r UNION ALL
+    SELECT user_id, label, i, left_id, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END FROM (
+        SELECT user_id, label, i, left_id, used, {NEAREST_SQL} AS got FROM (SELECT a.user_id, a.label, a.i, a.id AS left_id, a.x, r.rs, g.used, 43200000000 AS tol FROM g JOIN a ON a.user_id = g.user_id AND a.label = g.label AND a.i = g.i + 1 JOIN r ON r.user_id = g.user_id AND r.label = g.label)))
+SELECT g.user_id, g.label, g.left_id, r.ids[g.got] AS right_id FROM g JOIN r USING (user_id, label) WHERE g.got IS NOT NULL
+""")
 def greedy_match(spark, sf_dir):
     n = notes(spark, sf_dir).select("user_id", "label", "id", "at")
     return T.greedy_matches(n.where("id % 2 = 0"), n.where("id % 2 = 1"), ["user_id", "label"], 12.0 * 3_600_000_000)
 
 
-@query("")
+@query(ORDERED_SQL + f"""
+t AS (SELECT unnest([3600000000, 14400000000]) AS tol),
+a AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY x) AS i FROM o SEMI JOIN (SELECT user_id, x FROM o WHERE id % 2 = 0) USING (user_id, x)),
+r AS (SELECT user_id, list(x ORDER BY x) AS rs FROM o WHERE id % 2 = 1 GROUP BY ALL),
+g AS (SELECT user_id, tol, 0::BIGINT AS i, NULL::BIGINT AS got, []::BIGINT[] AS used FROM r, t UNION ALL
+    SELECT user_id, tol, i, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END FROM (
+        SELECT user_id, tol, i, used, {NEAREST_SQL} AS got FROM (SELECT a.user_id, g.tol, a.i, a.x, r.rs, g.used FROM g JOIN a ON a.user_id = g.user_id AND a.i = g.i + 1 JOIN r ON r.user_id = g.user_id))),
+c AS (SELECT user_id, tol, count(got) AS n FROM g GROUP BY ALL), l AS (SELECT user_id, count(*) AS nl FROM a GROUP BY 1), u AS (SELECT DISTINCT user_id FROM o),
+s AS (SELECT u.user_id, t.tol, CASE WHEN r.rs IS NULL THEN 0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / len(r.rs) END AS p, CASE WHEN nl IS NULL THEN 0::DOUBLE ELSE coalesce(n, 0)::DOUBLE / nl END AS r FROM u CROSS JOIN t LEFT JOIN r ON r.user_id = u.user_id LEFT JOIN l ON l.user_id = u.user_id LEFT JOIN c ON c.user_id = u.user_id AND c.tol = t.tol)
+SELECT user_id, tol::DOUBLE AS tolerance, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0::DOUBLE END AS f1 FROM s
+""")
 def boundary_scores(spark, sf_dir):
     n = notes(spark, sf_dir).select("user_id", "at")
     other = notes(spark, sf_dir)
@@ -379,14 +411,28 @@ def bootstrap_ci(spark, sf_dir):
     return T.bootstrap_means(rows, "nation", 20260725, 500)
 
 
-@query("")
+@query(ORDERED_SQL + """
+d AS (SELECT user_id, k, label AS seen, coalesce(lag(label) OVER (PARTITION BY user_id ORDER BY k), label) AS want FROM o),
+h AS (SELECT user_id, k, want AS cur, NULL::VARCHAR AS w, NULL::BIGINT AS since, 0::BIGINT AS n, false AS moved FROM d WHERE k = 0 UNION ALL
+    SELECT user_id, k, CASE WHEN moved THEN w ELSE cur END, CASE WHEN moved THEN NULL ELSE w END, since, n, moved FROM (SELECT *, coalesce(w IS NOT NULL AND n >= 2 AND k - since >= 1, false) AS moved FROM (
+        SELECT user_id, k, cur, w, since, CASE WHEN w IS NULL THEN 0 ELSE CASE WHEN fresh THEN 0 ELSE n END + CASE WHEN seen = w THEN 1 ELSE 0 END END AS n FROM (
+            SELECT d.user_id, d.k, d.seen, h.cur, h.n, CASE WHEN d.want <> h.cur THEN d.want END AS w, d.want IS DISTINCT FROM h.w AS fresh, CASE WHEN d.want IS DISTINCT FROM h.w THEN d.k ELSE h.since END AS since FROM h JOIN d ON d.user_id = h.user_id AND d.k = h.k + 1))))
+SELECT h.user_id, h.k AS place, coalesce(m.cur, h.cur) AS label FROM h LEFT JOIN h m ON m.moved AND m.user_id = h.user_id AND h.k >= m.since AND h.k < m.k
+""")
 def hysteresis_labels(spark, sf_dir):
     rows = T.numbered(notes(spark, sf_dir), "user_id")
     decoded = F.coalesce(F.lag("label").over(W.partitionBy("user_id").orderBy("place")), F.col("label"))
     return T.hysteresis(rows.select("user_id", "place", F.col("label").alias("observed"), decoded.alias("decoded")), "user_id", 2)
 
 
-@query("")
+@query(ORDERED_SQL + f"""
+c AS (SELECT user_id, k, label AS cur, NULL::VARCHAR AS rival, NULL::BIGINT AS since, false AS moved, list_transform({KINDS_SQL}, lambda z: CASE WHEN z = label THEN 1 - 0.6::DOUBLE ELSE 0::DOUBLE END) AS held FROM o WHERE k = 0 UNION ALL
+    SELECT user_id, k, CASE WHEN moved THEN top ELSE cur END, CASE WHEN ahead AND NOT moved THEN top END, since, moved, held FROM (SELECT *, ahead AND k - since >= 1 AS moved FROM (
+        SELECT user_id, k, cur, held, top, ahead, CASE WHEN ahead AND rival IS DISTINCT FROM top THEN k ELSE since END AS since FROM (SELECT *, top <> cur AND list_max(held) - held[list_position({KINDS_SQL}, cur)] >= 0.15::DOUBLE AS ahead FROM (
+            SELECT *, ({KINDS_SQL})[6 - list_position(list_reverse(held), list_max(held))] AS top FROM (
+                SELECT o.user_id, o.k, c.cur, c.rival, c.since, list_transform(range(1, 6), lambda j: 0.6::DOUBLE * c.held[j] + CASE WHEN ({KINDS_SQL})[j] = o.label THEN 1 - 0.6::DOUBLE ELSE 0::DOUBLE END) AS held FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1))))))
+SELECT c.user_id, c.k AS place, coalesce(m.cur, c.cur) AS label FROM c LEFT JOIN c m ON m.moved AND m.user_id = c.user_id AND c.k >= m.since AND c.k < m.k
+""")
 def confirmed_labels(spark, sf_dir):
     rows = T.numbered(notes(spark, sf_dir), "user_id").select("user_id", "place", F.create_map("label", F.lit(1.0)).alias("candidates"))
     return T.confirmed(rows, "user_id")
@@ -398,7 +444,13 @@ def settled_runs(spark, sf_dir):
     return T.settled(runs, "user_id", 12.0)
 
 
-@query("")
+@query(ORDERED_SQL + """
+tl AS (SELECT user_id, label, x AS s, lead(x) OVER (PARTITION BY user_id ORDER BY k) AS t FROM o WHERE id % 2 = 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s) AS i FROM tl WHERE t > s),
+g AS (SELECT user_id, i, s, t, label, 1 AS part FROM l WHERE i = 1 UNION ALL
+    SELECT user_id, i, s, t, CASE WHEN stays THEN old ELSE label END, CASE WHEN stays THEN part ELSE part + 1 END FROM (SELECT l.*, g.label AS old, g.part, l.t - l.s < 43200000000 OR l.label = g.label AS stays FROM g JOIN l ON l.user_id = g.user_id AND l.i = g.i + 1))
+SELECT user_id, min(s) AS start, max(t) AS "end", min(label) AS label FROM g GROUP BY user_id, part
+""")
 def absorbed_regions(spark, sf_dir):
     return T.absorbed(timeline(spark, sf_dir, 0), "user_id", 12 * 3_600_000_000)
 
@@ -434,7 +486,11 @@ def duration_decoder(spark, sf_dir):
     return T.decoded_windows(windows, "user_id", labels, roots)
 
 
-@query("")
+@query(ORDERED_SQL + """
+p AS (SELECT user_id, k, score AS used, 0::BIGINT AS "row" FROM o WHERE k = 0 UNION ALL
+    SELECT user_id, k, CASE WHEN over THEN score ELSE used + score END, CASE WHEN over THEN "row" + 1 ELSE "row" END FROM (SELECT o.user_id, o.k, o.score, p.used, p."row", p.used <> 0 AND p.used + o.score > 600 AS over FROM p JOIN o ON o.user_id = p.user_id AND o.k = p.k + 1))
+SELECT user_id, k AS place, CAST("row" AS INTEGER) AS "row" FROM p
+""")
 def row_packing(spark, sf_dir):
     return T.packed_rows(T.numbered(notes(spark, sf_dir), "user_id").select("user_id", "place", F.col("score").alias("width")), "user_id", 600.0)
 
@@ -444,10 +500,16 @@ def beat_grid(spark, sf_dir):
     return T.beat_grids(T.numbered(notes(spark, sf_dir), "user_id").select("user_id", "place", F.col("score").alias("level")), "user_id", 10.0)
 
 
-@query("")
+@query(f"""
+WITH t AS (SELECT user_id, sum(value) / 100 AS d, CASE WHEN user_id % 3 <> 0 THEN 0.5::DOUBLE + min(value) / 10 END AS beat, max(value) AS phase FROM events GROUP BY user_id),
+b AS (SELECT user_id, d, coalesce(beat, 1) AS b, CASE WHEN beat IS NULL THEN 0::DOUBLE ELSE phase % beat END AS p FROM t), l AS (SELECT *, CASE WHEN p > 0.35::DOUBLE * b THEN p ELSE 0::DOUBLE END AS l FROM b),
+n AS (SELECT *, greatest(1, CAST(ceil((d - l) / b - 0.35::DOUBLE) AS BIGINT)) AS n FROM l), k AS (SELECT *, unnest(range(CASE WHEN l > 0 THEN -1 ELSE 0 END, n)) AS k FROM n)
+SELECT user_id, CAST(k + CASE WHEN l > 0 THEN 1 ELSE 0 END AS INTEGER) AS idx, {half_up_sql('CASE WHEN k < 0 OR (k = 0 AND l = 0) THEN 0::DOUBLE ELSE p + k * b END')} AS start, {half_up_sql('CASE WHEN k = n - 1 THEN d ELSE p + (k + 1) * b END')} AS "end",
+    CASE WHEN (k + 4) % 4 = 0 THEN 1::DOUBLE WHEN (k + 4) % 2 = 0 THEN 0.86::DOUBLE ELSE 0.72::DOUBLE END AS strength FROM k
+""")
 def beat_windows(spark, sf_dir):
     tracks = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum("value") / 100).alias("duration"), F.when(F.col("user_id") % 3 != 0, 0.5 + F.min("value") / 10).alias("beat"), F.max("value").alias("phase"))
-    return S.beat_windows(tracks, "user_id")
+    return S.beat_windows(tracks, "user_id").withColumns({"start": X.half_up(F.col("start")), "end": X.half_up(F.col("end"))})
 
 
 @query(f"""
@@ -461,9 +523,13 @@ def movement(spark, sf_dir):
     return found.select("user_id", X.half_up(F.col("mean_step")).alias("mean_step"), X.half_up(F.col("largest_step")).alias("largest_step"))
 
 
-@query("")
+@query(f"""
+WITH r AS (SELECT event_id AS id, list_transform(range(1, 6), lambda i: (value * i) % 1) AS a, list_transform(range(1, 6), lambda i: (value * (i + 2)) % 1) AS b FROM events),
+w AS (SELECT id, list_transform(a, lambda x: exp((x - list_max(a)) / 0.12::DOUBLE)) AS a, list_transform(b, lambda x: exp((x - list_max(b)) / 0.12::DOUBLE)) AS b FROM r),
+m AS (SELECT id, list_transform(range(1, 6), lambda j: 0.6::DOUBLE * a[j] / list_sum(a) + 0.4::DOUBLE * b[j] / list_sum(b)) AS m FROM w)
+SELECT id, ({KINDS_SQL})[list_position(m, list_max(m))] AS label, {half_up_sql('list_max(m)', 6)} AS score FROM m
+""")
 def fused_labels(spark, sf_dir):
-    kinds = ["click", "error", "purchase", "signup", "view"]
     n = notes(spark, sf_dir)
-    maps = lambda shift: F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.pmod(F.col("score") * (i + shift), F.lit(1.0)) for i in range(1, 6)]))
-    return C.fused(n.select("id", maps(0).alias("rules"), maps(2).alias("learned")), F.lit(0.4))
+    maps = lambda shift: F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.pmod(F.col("score") * (i + shift), F.lit(1.0)) for i in range(1, 6)]))
+    return C.fused(n.select("id", maps(0).alias("rules"), maps(2).alias("learned")), F.lit(0.4)).withColumn("score", X.half_up(F.col("score"), 6))
