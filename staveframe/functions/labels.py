@@ -27,6 +27,7 @@ QUALITIES = {
 SUFFIX = {"maj": "", "min": "m", "7": "7", "maj7": "maj7", "min7": "m7", "sus2": "sus2", "sus4": "sus4", "dim": "dim", "aug": "aug", "add9": "add9", "6": "6", "min6": "m6", "5": "5"}
 MINOR_LIKE = ("min", "min7", "min6", "dim")
 CHORD = r"^([A-G])([#b♯♭]?):?([^/:()]*)(?:\([^)]*\))?(?:/([A-G][#b♯♭]?|[#b]?[0-9]+))?$"
+MANUAL = r"^[A-G](?:#|b)?(?:maj7|m7|sus2|sus4|add9|dim|aug|m|7)?$"
 
 
 def _lookup(values: dict[str, object], key: Column) -> Column:
@@ -95,3 +96,9 @@ def annotated(label: Column) -> Column:
 def transposed(label: Column, semitones: int) -> Column:
     """The strict symbol moved by so many semitones; null if it can't be read."""
     return strict(label, semitones)["symbol"]
+
+
+def manual(label: Column) -> Column:
+    """A label as a user may type it, with plain accidentals; null unless it is no chord or one of few plain forms."""
+    text = F.replace(F.replace(F.trim(label), F.lit("♯"), F.lit("#")), F.lit("♭"), F.lit("b"))
+    return F.when(F.upper(text) == "N", "N").when(text.rlike(MANUAL), text)

@@ -144,3 +144,21 @@ def title_key(title: Column) -> Column:
     """A title without brackets, signs and doubled blanks, lower-cased."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(title), r"\([^)]*\)|\[[^\]]*\]", " "), r"[^\p{L}\p{N}\s]", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+#: How counts of an analysis are put into words.
+COUNT_TEXTS = {"main": "Final arrangement: %d notes", "raw": "Raw detections: %d", "cleaned": "After cleanup: %d", "chords": "Chord regions: %d"}
+
+
+def count_texts(counts: dict[str, Column]) -> list[Column]:
+    """A column of words for each count; null without the count."""
+    return [F.when(n.isNotNull(), F.format_string(COUNT_TEXTS[name], n)).alias(name) for name, n in counts.items()]
+
+
+def stamp_problem(fields: dict[str, tuple[Column, str]], created: Column) -> Column:
+    """Why stored metadata isn't current: the first field that is not the wanted text, or a time of creation that is
+    missing or can't be read; null if all is well."""
+    out = F.when(F.try_to_timestamp(created).isNull(), "createdAt is missing or invalid")
+    for name, (actual, wanted) in reversed(fields.items()):
+        out = F.when(~actual.eqNullSafe(F.lit(wanted)), F.concat(F.lit(f"{name} "), F.coalesce(actual, F.lit("missing")), F.lit(f" does not match {wanted}"))).otherwise(out)
+    return out

@@ -24,6 +24,8 @@ STAGES = (
     "high-rule-confidence-protection", "agreement-bonus", "learned-flicker-suppression", "source-specific-maximum",
 )
 BASS_SURE = 0.35
+# The classes of qualities that a model is trained on; all others are of class 0.
+TARGETS = {"min": 1, "min7": 1, "dim": 1, "7": 2}
 
 
 def _plain(symbol: Column) -> Column:
@@ -297,3 +299,46 @@ def clipped_by_lane(rows: DataFrame, key: str, lane: str, least: int) -> DataFra
     """``key, lane, id, at, end``: ends moved to the next start of the key in the same lane, ``least`` long at least."""
     following = F.lead("at").over(W.partitionBy(key, lane).orderBy("at", "id"))
     return rows.select(key, lane, "id", "at", F.greatest(F.col("at") + least, F.least(F.col("end"), F.coalesce(following, F.col("end")))).alias("end"))
+
+
+def frame_targets(frames: DataFrame, regions: DataFrame, key: str, tolerance: int, width: int) -> DataFrame:
+    """``key, point_id, root, quality, no_chord, boundary`` of frames ``(key, point_id, at)`` for training: root and class of
+    quality (:data:`TARGETS`) of the region ``(key, start, end, idx, label)`` that holds the frame, -1
+    for both without a chord, and how near the start of a region is, from 1 there to 0 at ``tolerance``. A key's first
+    region begins no chord."""
+    held = I.point_in_interval(frames, regions, key, width).select(key, "point_id", "at", "label")
+    first = F.row_number().over(W.partitionBy(key).orderBy("start", "idx"))
+    near = I.nearest(frames, regions.select(key, F.col("start").alias("at"), first.alias("k")).where("k > 1").select(key, "at"), key).select("point_id", "error")
+    told = held.join(near, "point_id").withColumn("c", L.strict_once(F.col("label")))
+    classes = F.create_map(*[F.lit(x) for pair in TARGETS.items() for x in pair])
+    quality = F.when(F.col("c.root").isNotNull(), F.coalesce(F.try_element_at(classes, F.col("c.quality")), F.lit(0))).otherwise(-1)
+    peak = F.greatest(F.lit(0.0), 1 - F.abs("error") / tolerance)
+    return told.select(key, "point_id", F.coalesce("c.root", F.lit(-1)).cast("int").alias("root"), quality.cast("int").alias("quality"), F.col("c.root").isNull().alias("no_chord"), F.coalesce(peak, F.lit(0.0)).alias("boundary"))
+
+
+def disagreements(windows: DataFrame, final: DataFrame, key: str, width: int, most: int = 200) -> DataFrame:
+    """``key, id, start, end, rule, learned, final``: of windows ``(key, id, start, end, rule, learned)`` the first ``most`` of a
+    key in which not all three labels agree; the final one is that of the region that holds the window's start, else the
+    rule's. The limit is the report's."""
+    points = windows.select(key, F.col("id").alias("point_id"), F.col("start").alias("at"))
+    held = I.point_in_interval(points, final, key, width).select(key, F.col("point_id").alias("id"), F.col("label").alias("found"))
+    told = windows.join(held, [key, "id"], "left").withColumn("final", F.coalesce("found", "rule"))
+    apart = told.where(~(F.col("rule").eqNullSafe(F.col("learned")) & F.col("rule").eqNullSafe(F.col("final"))))
+    ranked = apart.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("start", "id")))
+    return ranked.where(F.col("k") <= most).select(key, "id", "start", "end", "rule", "learned", "final")
+
+
+def around_focus(windows: DataFrame, focus: DataFrame, key: str, reach: int, most: int = 12) -> DataFrame:
+    """``key, id, start, end``: the first ``most`` windows of a key of which the middle lies within ``reach`` of its time in
+    ``focus(key, at)``, one row a key."""
+    near = windows.join(focus.select(key, "at"), key).where(F.abs(F.col("start") + F.col("end") - 2 * F.col("at")) <= 2 * reach)
+    return near.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("start", "id"))).where(F.col("k") <= most).select(key, "id", "start", "end")
+
+
+def metric_changes(before: DataFrame, after: DataFrame, key: str, ignored: list[str]) -> DataFrame:
+    """``key, name, before, after`` of the metrics ``(key, name, value)`` that differ between two reports or stand in one only,
+    but for those that depend on the machine, such as run time and memory; empty for equal reports."""
+    sides = [t.where(~F.col("name").isin(ignored)).select(key, "name", F.col("value").alias(v), F.lit(True).alias(f"has_{v}")) for t, v in ((before, "before"), (after, "after"))]
+    both = sides[0].join(sides[1], [key, "name"], "full_outer")
+    same = F.col("has_before").eqNullSafe(F.col("has_after")) & F.col("before").eqNullSafe(F.col("after"))
+    return both.where(~same).select(key, "name", "before", "after")

@@ -136,6 +136,12 @@ def leakage(rows: DataFrame, title: str, split: str) -> DataFrame:
     return named.groupBy("title_key").agg(F.count("*").alias("tracks"), F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
 
 
+def text_leakage(rows: DataFrame, text: str, split: str) -> DataFrame:
+    """:func:`leakage` of whole texts, as ``text_key, tracks, splits``: the key is the SHA-256 of the text without signs and
+    brackets, so that no text is shuffled. Null texts, and those of signs only, are left out."""
+    named = rows.select(title_key(F.col(text)).alias("t"), split).where(F.col("t") != "").select(F.sha2("t", 256).alias("text_key"), split)
+    return named.groupBy("text_key").agg(F.count("*").alias("tracks"), F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
+
 def assigned_splits(rows: DataFrame, artist: str, given: str, seed: int) -> DataFrame:
     """``artist, split, conflict``: a split given for any of an artist's rows holds for all, test before validation before
     development; without one it goes by hash of the artist."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staveframe.functions import labels as L
-from staveframe.functions.scalars import half_up
+from staveframe.functions.scalars import count_texts as words_of
+from staveframe.functions.scalars import half_up, stamp_problem
 from staveframe.operators import metrics as M
 from staveframe.operators import tracks as T
 from staveframe.plans.interval_queries import EVENTS_SQL
-from staveframe.plans.roles import CHORDS, HOUR, chord_of, chord_timeline, notes, table, timeline
+from staveframe.plans.roles import CHORDS, HOUR, chord_of, chord_timeline, notes, probes, table, timeline
 
 WIDTH = 12 * HOUR
 QUERIES: dict = {}
@@ -293,3 +294,83 @@ def fused_regions(spark, sf_dir):
     p = [F.pmod(F.col("score") * k, F.lit(1.0)) for k in (3, 5, 7)]
     regions = chord_timeline(spark, sf_dir, 0).join(rows.select("id", (F.pmod(F.col("score") * 11, F.lit(1.0)) / 4).alias("confidence")), "id")
     return M.fused_regions(regions, rows.where("id % 2 = 1").select("user_id", "at", F.array(*p).alias("vector")), "user_id", WIDTH, ["C", "G", "Am"])
+
+
+@query(CHORD_SQL.rstrip() + f""",
+b AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s, id) AS k FROM lc), d AS (SELECT p.id, min(abs(b.s - p."at")) AS d FROM p JOIN b ON b.user_id = p.user_id AND b.k > 1 GROUP BY p.id)
+SELECT p.user_id, p.id AS point_id, CAST(coalesce(lc.root, -1) AS INTEGER) AS root, CAST(CASE WHEN lc.root IS NULL THEN -1 WHEN lc.sym IN ('Am', 'Dm', 'Em7', 'Gm') THEN 1 WHEN lc.sym IN ('G7', 'C7') THEN 2 ELSE 0 END AS INTEGER) AS quality,
+    lc.root IS NULL AS no_chord, {_half_up(f"coalesce(greatest(0, 1 - d.d::DOUBLE / {WIDTH}::DOUBLE), 0)")} AS boundary
+FROM p LEFT JOIN lc ON lc.user_id = p.user_id AND lc.s <= p."at" AND p."at" < lc.t LEFT JOIN d ON d.id = p.id
+""")
+def frame_targets(spark, sf_dir):
+    return M.frame_targets(probes(spark, sf_dir), chord_timeline(spark, sf_dir, 0), "user_id", WIDTH, WIDTH).withColumn("boundary", half_up(F.col("boundary")))
+
+
+@query(CHORD_SQL.rstrip() + f""",
+w AS (SELECT rc.user_id, rc.id, rc.s, rc.t, rc.name AS rule, ch.name AS learned, coalesce(lc.name, rc.name) AS final FROM rc JOIN e ON e.id = rc.id JOIN ch ON ch.k = CAST(floor(e.score * 3) AS BIGINT) % {len(CHORDS)} LEFT JOIN lc ON lc.user_id = rc.user_id AND lc.s <= rc.s AND rc.s < lc.t),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, id) AS k FROM w WHERE rule <> learned OR rule <> final)
+SELECT user_id, id, s AS start, t AS "end", rule, learned, final FROM k WHERE k <= 10
+""")
+def disagreement_windows(spark, sf_dir):
+    """A report of the first ten windows of each user."""
+    learned = notes(spark, sf_dir).select("id", chord_of(F.col("score") * 3).alias("learned"))
+    windows = chord_timeline(spark, sf_dir, 1).withColumnRenamed("label", "rule").join(learned, "id")
+    return M.disagreements(windows, chord_timeline(spark, sf_dir, 0), "user_id", WIDTH, 10)
+
+
+@query(EVENTS_SQL.rstrip() + """,
+f AS (SELECT user_id, min("at") + (max("at") - min("at")) // 2 AS x FROM e GROUP BY user_id),
+k AS (SELECT l.*, row_number() OVER (PARTITION BY l.user_id ORDER BY l.s, l.id) AS k FROM l JOIN f USING (user_id) WHERE abs(l.s + l.t - 2 * f.x) <= 2 * 172800000000)
+SELECT user_id, id, s AS start, t AS "end" FROM k WHERE k <= 12
+""")
+def focus_windows(spark, sf_dir):
+    """A report of the first twelve windows near the middle of each user's time."""
+    focus = notes(spark, sf_dir).groupBy("user_id").agg((F.min("at") + F.floor((F.max("at") - F.min("at")) / 2)).alias("at"))
+    return M.around_focus(timeline(spark, sf_dir, 0), focus, "user_id", 48 * HOUR)
+
+
+@query("""
+WITH m AS (SELECT l_returnflag AS engine, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS quantity, CAST(sum(CAST(l_quantity AS BIGINT) + CASE WHEN l_returnflag < 'N' AND l_linenumber = 7 THEN 1 ELSE 0 END) AS DOUBLE) AS later FROM lineitem GROUP BY 1)
+SELECT engine, 'quantity' AS name, quantity AS before, later AS after FROM m WHERE quantity <> later UNION ALL SELECT engine, 'lines', n, NULL FROM m WHERE engine = 'R'
+""")
+def metric_changes(spark, sf_dir):
+    """Two reports on lineitems by return flag, of which the later counts some quantities one higher, lacks a metric and took
+    another time."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("engine"), F.col("l_quantity").cast("long").alias("q"), ((F.col("l_returnflag") < "N") & (F.col("l_linenumber") == 7)).cast("long").alias("more"))
+    sums = li.groupBy("engine").agg(F.count("*").cast("double").alias("lines"), F.sum("q").cast("double").alias("quantity"), F.sum(F.col("q") + F.col("more")).cast("double").alias("later"), F.max("q").cast("double").alias("seconds"))
+    named = lambda pairs: sums.select("engine", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs])).alias("m")).select("engine", "m.*")
+    before = named([("lines", F.col("lines")), ("quantity", F.col("quantity")), ("runtime", F.col("seconds"))])
+    after = named([("lines", F.col("lines")), ("quantity", F.col("later")), ("runtime", F.col("seconds") + 1)])
+    return M.metric_changes(before, after.where("NOT (name = 'lines' AND engine = 'R')"), "engine", ["runtime", "memory"])
+
+
+@query("""
+WITH c AS (SELECT p_partkey AS id, (['C','c','D#','E♭','F♯','H','n',' G '])[p_size % 8 + 1] || (['','m','7','maj7','m7','dim','sus4','add9','m9','/E'])[p_partkey % 10 + 1] AS text FROM part),
+t AS (SELECT id, text, replace(replace(trim(text), '♯', '#'), '♭', 'b') AS x FROM c)
+SELECT id, text, CASE WHEN upper(x) = 'N' THEN 'N' WHEN regexp_full_match(x, '[A-G](#|b)?(maj7|m7|sus2|sus4|add9|dim|aug|m|7)?') THEN x END AS label FROM t
+""")
+def manual_labels(spark, sf_dir):
+    roots, forms = (F.array(*[F.lit(x) for x in xs]) for xs in (("C", "c", "D#", "E♭", "F♯", "H", "n", " G "), ("", "m", "7", "maj7", "m7", "dim", "sus4", "add9", "m9", "/E")))
+    text = F.concat(F.element_at(roots, (F.col("p_size") % 8 + 1).cast("int")), F.element_at(forms, (F.col("p_partkey") % 10 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")).withColumn("label", L.manual(F.col("text")))
+
+
+@query("""
+WITH m AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN event_type WHEN event_id % 5 > 1 THEN 'v2' END AS schema, CASE WHEN event_id % 7 = 0 THEN 'v1' ELSE 'v3' END AS pipeline, CASE WHEN event_id % 11 = 0 THEN 'soon' WHEN event_id % 13 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS created FROM events)
+SELECT id, CASE WHEN schema IS DISTINCT FROM 'v2' THEN 'schema ' || coalesce(schema, 'missing') || ' does not match v2' WHEN pipeline <> 'v3' THEN 'pipeline ' || pipeline || ' does not match v3' WHEN created IS NULL OR created = 'soon' THEN 'createdAt is missing or invalid' END AS reason FROM m
+""")
+def stamp_check(spark, sf_dir):
+    """Events as stored metadata, of which some have another version, or a time of creation that is missing or no time."""
+    n = F.col("event_id")
+    created = F.when(n % 11 == 0, "soon").when(n % 13 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = table(spark, sf_dir, "events").select(n.alias("id"), F.when(n % 5 == 0, F.col("event_type")).when(n % 5 > 1, "v2").alias("schema"), F.when(n % 7 == 0, "v1").otherwise("v3").alias("pipeline"), created.alias("created"))
+    return rows.select("id", stamp_problem({"schema": (F.col("schema"), "v2"), "pipeline": (F.col("pipeline"), "v3")}, F.col("created")).alias("reason"))
+
+
+@query("""
+WITH c AS (SELECT user_id, count(*) AS a, count(*) FILTER (value > 20) AS b, count(DISTINCT event_type) AS d FROM events GROUP BY user_id)
+SELECT user_id, 'Final arrangement: ' || b || ' notes' AS main, 'Raw detections: ' || a AS raw, 'After cleanup: ' || b AS cleaned, 'Chord regions: ' || d AS chords FROM c
+""")
+def count_texts(spark, sf_dir):
+    sums = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("a"), F.count_if(F.col("value") > 20).alias("b"), F.count_distinct("event_type").alias("d"))
+    return sums.select("user_id", *words_of({"main": F.col("b"), "raw": F.col("a"), "cleaned": F.col("b"), "chords": F.col("d")}))

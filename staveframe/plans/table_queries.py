@@ -252,6 +252,40 @@ def assigned_splits(spark, sf_dir):
     return C.assigned_splits(rows, "artist", "given", 11)
 
 
+@query("""
+WITH k AS (SELECT sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_key, source FROM documents WHERE text IS NOT NULL)
+SELECT text_key, count(*) AS tracks, list_aggregate(list_sort(list(DISTINCT source)), 'string_agg', ',') AS splits FROM k WHERE text_key <> sha256('') GROUP BY 1 HAVING count(DISTINCT source) > 1
+""")
+def text_leakage(spark, sf_dir):
+    """Documents of which the whole text, without brackets and signs, stands in more than one source, by its digest."""
+    docs = table(spark, sf_dir, "documents")
+    return C.text_leakage(docs, "text", "source").withColumn("splits", F.array_join("splits", ","))
+
+
+@query("""
+WITH g AS (SELECT lower(trim(c_mktsegment)) || ' ' || c_nationkey AS artist, CASE WHEN c_custkey % 41 = 0 THEN 'test' WHEN c_custkey % 23 = 0 THEN 'validation' WHEN c_custkey % 17 = 0 THEN 'development' END AS given FROM customer),
+s AS (SELECT artist, list(DISTINCT given) FILTER (given IS NOT NULL) AS s FROM g GROUP BY 1), h AS (SELECT *, CAST(('0x' || substr(sha256('11:' || artist), 1, 8)) AS BIGINT) % 100 AS k FROM s)
+SELECT artist, coalesce(CASE WHEN list_contains(s, 'test') THEN 'test' WHEN list_contains(s, 'validation') THEN 'validation' WHEN list_contains(s, 'development') THEN 'development' END,
+    CASE WHEN k < 70 THEN 'development' WHEN k < 85 THEN 'validation' ELSE 'test' END) AS split, coalesce(len(s), 0) > 1 AS conflict FROM h
+""")
+def artist_splits(spark, sf_dir):
+    """All customers, of whom few have a split of their own; segment and nation stand for the artist."""
+    k = F.col("c_custkey")
+    given = F.when(k % 41 == 0, "test").when(k % 23 == 0, "validation").when(k % 17 == 0, "development")
+    return C.assigned_splits(table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("artist"), given.alias("given")), "artist", "given", 11)
+
+
+@query("""
+WITH n AS (SELECT user_id, CASE WHEN value > 60 THEN 'long' WHEN value > 5 THEN 'medium' ELSE 'short' END || ' ' || event_type AS name, value FROM events), e AS (SELECT user_id, name, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS seconds FROM n GROUP BY ALL),
+t AS (SELECT a || ' ' || b AS name FROM (VALUES ('long'), ('medium'), ('short')) x(a), (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) y(b)), u AS (SELECT DISTINCT user_id FROM events)
+SELECT u.user_id, t.name, CAST(coalesce(e.n, 0) AS BIGINT) AS n, coalesce(e.seconds, 0)::DOUBLE AS seconds FROM u CROSS JOIN t LEFT JOIN e ON e.user_id = u.user_id AND e.name = t.name
+""")
+def taxonomy_counts(spark, sf_dir):
+    """All events by kind and length, with zeros for the classes that a user lacks."""
+    sizes = F.when(F.col("value") > 60, "long").when(F.col("value") > 5, "medium").otherwise("short")
+    rows = table(spark, sf_dir, "events").select("user_id", F.concat_ws(" ", sizes, "event_type").alias("name"), F.lit(1).cast("long").alias("n"), F.col("value").alias("seconds"))
+    return C.zero_filled(rows, "user_id", [f"{a} {b}" for a in ("long", "medium", "short") for b in KINDS]).withColumn("seconds", F.floor(F.col("seconds") * 100 + 0.5) / 100)
+
 @query("""
 WITH a AS (SELECT 'performer' AS kind, CAST(c_nationkey AS VARCHAR) AS name, count(DISTINCT c_custkey % 5) AS n FROM customer GROUP BY 2 HAVING count(DISTINCT c_custkey % 5) <> 1),
 b AS (SELECT 'track' AS kind, c_name AS name, count(DISTINCT c_custkey % 5) AS n FROM customer GROUP BY 2 HAVING count(DISTINCT c_custkey % 5) <> 1) SELECT * FROM a UNION ALL SELECT * FROM b
