@@ -102,3 +102,10 @@ def manual(label: Column) -> Column:
     """A label as a user may type it, with plain accidentals; null unless it is no chord or one of few plain forms."""
     text = F.replace(F.replace(F.trim(label), F.lit("♯"), F.lit("#")), F.lit("♭"), F.lit("b"))
     return F.when(F.upper(text) == "N", "N").when(text.rlike(MANUAL), text)
+
+
+def annotated_moved(label: Column, semitones: Column) -> Column:
+    """The annotated label with its quality and bass, moved by so many semitones; ``N`` and ``X`` stay."""
+    c = annotated(label)
+    bass = F.when(c["bass"].isNotNull(), F.concat(F.lit("/"), spelled(c["bass"] + semitones))).otherwise("")
+    return F.when(c["is_none"], "N").when(c["is_unknown"], "X").otherwise(F.concat(spelled(c["root"] + semitones), F.lit(":"), F.substring_index(c["detailed"], ":", -1), bass))

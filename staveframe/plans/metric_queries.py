@@ -288,7 +288,12 @@ def local_keys(spark, sf_dir):
     return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR)
 
 
-@query("")
+@query(CHORD_SQL.rstrip() + """,
+f AS (SELECT user_id, "at", (score * 3) % 1 AS a, (score * 5) % 1 AS b, (score * 7) % 1 AS c FROM e WHERE id % 2 = 1),
+m AS (SELECT lc.user_id, lc.id, lc.name, ((e.score * 11) % 1) / 4 AS confidence, avg(f.a) AS a, avg(f.b) AS b, avg(f.c) AS c FROM lc JOIN e ON e.id = lc.id LEFT JOIN f ON f.user_id = lc.user_id AND lc.s <= f."at" AND f."at" < lc.t GROUP BY ALL),
+w AS (SELECT *, greatest(a, b, c) AS top, coalesce(0.35::DOUBLE * greatest(a, b, c) > confidence, false) AS learned FROM m)
+SELECT user_id, id, CASE WHEN NOT learned THEN name WHEN a = top THEN 'C' WHEN b = top THEN 'G' ELSE 'Am' END AS label, learned FROM w
+""")
 def fused_regions(spark, sf_dir):
     rows = notes(spark, sf_dir)
     p = [F.pmod(F.col("score") * k, F.lit(1.0)) for k in (3, 5, 7)]

@@ -14,6 +14,10 @@ LAB_ORDER = ("majmin.lab", "full.lab", "majmininv.lab")
 JAMS = "annotations array<struct<namespace string, data array<struct<time double, duration double, value string, confidence double>>>>, file_metadata struct<title string, artist string, duration double>"
 TRACK = "id string, title string, artist string, split string, duration double, audio_path string, feature_path string, beats array<double>, downbeats array<double>, chords array<struct<start double, end double, label string>>, sections array<struct<start double, end double, name string>>, schema_version int"
 
+SECTION = "id: string, status: string, endSeconds: double, normalization: struct<capo: int, soundingKey: string>, normalizedChordSequence: array<string>, manualStartSeconds: array<double>"
+SONG = f"artist string, title string, split string, status string, audioPath string, referenceUrl string, sections array<struct<{SECTION}>>"
+REFERENCE = "id string, source string, artist string, title string, version double, ratingCount double, averageRating double, capo double, tuning string, key string, genre string, split string, selectionReason string, recordingNotes string"
+
 
 def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     # Spark gives no line numbers; the times in the rows put them in order.
@@ -151,3 +155,52 @@ def write_report(rows: DataFrame, path: str, form: str = "json") -> None:
 def markdown_lines(rows: DataFrame) -> DataFrame:
     """``value``: the rows of a report as lines of a Markdown table (a header has to go before them)."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns]), F.lit(" |")).alias("value"))
+
+
+def read_reference_songs(spark: SparkSession, path: str) -> DataFrame:
+    """``id, artist, title, split, key, duration, audio_path, source_url, chords`` of the verified sections of song files, each
+    a JSON array. A chord lasts until the next one or the section's end (4 s after the last start if not given), 0.1 s at
+    least, and sounds as many semitones higher as the capo sits. Sections without as many starts as chords go; a file that
+    can't be read gives no rows."""
+    songs = spark.read.schema(SONG).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    each = songs.withColumn("s", F.explode("sections")).where("s.status = 'manually-verified'")
+    starts, sequence = F.col("s.manualStartSeconds"), F.col("s.normalizedChordSequence")
+    whole = each.where((F.size(starts) > 0) & (F.size(starts) == F.size(sequence)))
+    final = F.coalesce("s.endSeconds", F.element_at(starts, -1) + 4)
+
+    def chord(pair: Column, i: Column) -> Column:
+        start, following = pair["starts"], F.coalesce(F.get(starts, i + 1), final)
+        end = F.when(following > start, following).otherwise(start + 0.1)
+        return F.struct(F.round(start, 4).alias("start"), F.round(end, 4).alias("end"), L.annotated_moved(pair["labels"], F.coalesce("s.normalization.capo", F.lit(0))).alias("label"))
+
+    chords = F.transform(F.arrays_zip(starts.alias("starts"), sequence.alias("labels")), chord)
+    name = F.coalesce("s.id", F.concat_ws("-", "artist", "title"))
+    rows = whole.select(F.replace(F.lower(name), F.lit(" "), F.lit("-")).alias("id"), "artist", "title", F.coalesce("split", F.lit("development")).alias("split"), F.col("s.normalization.soundingKey").alias("key"), F.coalesce("audioPath", F.lit("")).alias("audio_path"), F.coalesce("referenceUrl", F.lit("")).alias("source_url"), chords.alias("chords"))
+    return rows.withColumn("duration", F.round(F.element_at("chords", -1)["end"] - F.col("chords")[0]["start"], 4))
+
+
+def pending_songs(spark: SparkSession, path: str) -> DataFrame:
+    """``artist, title, status`` of the songs of such files without a verified section."""
+    songs = spark.read.schema(SONG).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    verified = F.exists(F.coalesce("sections", F.array()), lambda s: F.coalesce(s["status"] == "manually-verified", F.lit(False)))
+    return songs.where(~verified).select("artist", "title", F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def manual_references(rows: DataFrame) -> DataFrame:
+    """References as they are stored: texts trimmed and cut to their length, numbers within their bounds, unknown sources
+    and splits by default. Rows without an artist or a title go."""
+    text = lambda c, n, default="": F.substring(F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(default)), 1, n).alias(c)
+    bound = lambda c, most=float("inf"): F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.coalesce(c, F.lit(0.0))))
+    number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    named = rows.withColumns({c: F.trim(c) for c in ("artist", "title")}).where("artist <> '' AND title <> ''")
+    one_of = lambda c, names: F.when(F.col(c).isin(names), F.col(c)).otherwise(names[0]).alias(c)
+    return named.select(
+        "id", one_of("source", ["ultimate-guitar", "timed-research"]), text("artist", 160), text("title", 160), bound(number("version")).alias("version"), bound(number("ratingCount")).alias("ratingCount"), bound(number("averageRating"), 5).alias("averageRating"),
+        bound(number("capo"), 24).alias("capo"), text("tuning", 80, "Standard"), text("key", 32), text("genre", 80, "Unspecified"), one_of("split", ["development", "validation", "test"]), text("selectionReason", 400, "Manually selected chord reference"), text("recordingNotes", 500),
+    )
+
+
+def stored_references(spark: SparkSession, path: str) -> DataFrame:
+    """All references of a folder of JSON files, by artist and title; malformed files are left out."""
+    rows = spark.read.schema(REFERENCE).option("multiLine", "true").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(path)
+    return rows.where(F.col("id").isNotNull()).orderBy("artist", "title")

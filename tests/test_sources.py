@@ -102,3 +102,42 @@ def test_tracks_cache_and_reports(spark, tmp_path):
     assert [(r.start, r.end) for r in A.clipped(regions, F.lit(1.0), F.lit(4.0)).collect()] == [(0.0, 1.0), (1.0, 3.0)]
     (tmp_path / "m.json").write_text(json.dumps({"songs": [{"name": "a", "reference": "r", "prediction": "p"}, {"name": "b", "reference": "r"}]}))
     assert [r.name for r in A.read_pairs(spark, f"{tmp_path}/m.json").collect()] == ["a"]
+
+
+def test_reference_songs(spark, tmp_path):
+    section = {"id": "One Song", "status": "manually-verified", "endSeconds": 9.0, "normalization": {"capo": 2, "soundingKey": "D"}, "normalizedChordSequence": ["C", "Am/C", "N", "?"], "manualStartSeconds": [0.0, 2.5, 5.0, 5.0]}
+    songs = [
+        {"artist": "A", "title": "B", "sections": [section, {**section, "status": "draft"}, {**section, "id": "short", "manualStartSeconds": [0.0]}]},
+        {"artist": "C", "title": "D", "split": "test", "sections": [{**section, "id": None, "endSeconds": None, "normalization": None}]},
+        {"artist": "E", "title": "F", "sections": []}, {"artist": "G", "title": "H", "status": "unclear"},
+    ]
+    (tmp_path / "songs.json").write_text(json.dumps(songs))
+    (tmp_path / "broken.json").write_text('[{"artist": "X", ')
+    got = {r.id: r for r in A.read_reference_songs(spark, str(tmp_path)).collect()}
+    assert set(got) == {"one-song", "c-d"}
+    assert [tuple(c) for c in got["one-song"].chords] == [(0.0, 2.5, "D:maj"), (2.5, 5.0, "B:min/D"), (5.0, 5.1, "N"), (5.0, 9.0, "X")]
+    assert (got["one-song"].split, got["one-song"].key, got["one-song"].duration) == ("development", "D", 9.0)
+    assert [tuple(c) for c in got["c-d"].chords][-1] == (5.0, 9.0, "X") and got["c-d"].chords[1].label == "A:min/C"
+    pending = A.pending_songs(spark, str(tmp_path)).where("artist IS NOT NULL").collect()
+    assert sorted(tuple(r) for r in pending) == [("E", "F", "pending"), ("G", "H", "unclear")]
+
+
+def test_stored_references(spark, tmp_path):
+    for k, artist in enumerate(["Zed", "Abe", "Moe"]):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"id": str(k), "artist": artist, "title": "T", "capo": 3}))
+    (tmp_path / "bad.json").write_text('{"id": "9", "artist": ')
+    (tmp_path / "other.txt").write_text("{}")
+    assert [r.artist for r in A.stored_references(spark, str(tmp_path)).collect()] == ["Abe", "Moe", "Zed"]
+
+
+def test_manual_references(spark):
+    columns = "id string, source string, artist string, title string, version string, ratingCount string, averageRating string, capo string, tuning string, key string, genre string, split string, selectionReason string, recordingNotes string"
+    rows = [
+        ("a", "timed-research", " X ", "t" * 200, "2", "-3", "7.5", "30", None, "k" * 40, "", "test", None, "n" * 600),
+        ("b", "else", "Y", "Z", None, "x", "NaN", "-1", "Drop D", None, "folk", "other", "why", None), ("c", None, "  ", "Z", *[None] * 10), ("d", None, None, "Z", *[None] * 10),
+    ]
+    got = {r.id: r for r in A.manual_references(spark.createDataFrame(rows, columns)).collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert (a.source, a.artist, len(a.title), a.version, a.ratingCount, a.averageRating, a.capo, a.tuning, len(a.key), a.genre, a.split, len(a.recordingNotes)) == ("timed-research", "X", 160, 2.0, 0.0, 5.0, 24.0, "Standard", 32, "Unspecified", "test", 500)
+    assert (b.source, b.version, b.ratingCount, b.averageRating, b.capo, b.tuning, b.key, b.genre, b.split, b.selectionReason, b.recordingNotes) == ("ultimate-guitar", 0.0, 0.0, 0.0, 0.0, "Drop D", "", "folk", "development", "why", "")
