@@ -73,5 +73,25 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: All pairs of usable vectors by their cosine, and what each vector reaches by links.
+OP9_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), usable AS MATERIALIZED (
+    SELECT vec_id, list_transform(x, lambda a: coalesce(a, 0)) AS x FROM vectors WHERE x IS NOT NULL AND len(list_filter(x, lambda a: a IS NULL OR NOT isfinite(a))) = 0 AND len(list_filter(x, lambda a: a <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reached AS (
+    SELECT vec_id AS id, vec_id AS other FROM vectors UNION SELECT reached.id, links.b FROM reached JOIN links ON links.a = reached.other
+), least AS (
+    SELECT id, min(other) AS component_id FROM reached GROUP BY id
+), counted AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vectors.vec_id, coalesce(counted.n, 0) AS n_links, least.component_id, vectors.vec_id = least.component_id AS kept
+FROM vectors JOIN least ON least.id = vectors.vec_id LEFT JOIN counted ON counted.a = vectors.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op9_hnsw": OP9_SQL}

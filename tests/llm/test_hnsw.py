@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from staveframe.llm import hnsw
+from staveframe.llm import hnsw, queries
 
 
 def clustered(n, seed=1, d=32):
@@ -99,3 +100,19 @@ def test_planted_links_across_shards(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
     found = sum(got[1500 + k] == (1, k) for k in range(1500))
     assert found >= 0.99 * 1500 and all(c in (k, k - 1500) for k, (_, c) in got.items())
+
+
+def test_query_like_its_sql(spark, tmp_path):
+    """Planted links and chains of them, equal vectors, and vectors that link with nothing."""
+    x = clustered(600)
+    rows = [(7 * k + 3, v.tolist()) for k, v in enumerate(x)]
+    chain = [x[5] + 0.25 * k * x[9] for k in range(1, 8)]
+    rows += [(10_000 + k, v.tolist()) for k, v in enumerate(chain)] + [(20_000, x[1].tolist()), (20_001, (3 * x[1]).tolist())]
+    rows += [(1, None), (2, [0.0] * 32), (30_000, [None] + [1.0] * 31), (30_001, [float("nan")] + [1.0] * 31), (30_002, [float("inf")] + [1.0] * 31)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in queries.op9_hnsw(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = set(con.sql(queries.OP9_SQL).fetchall())
+    assert len(got) == len(rows) and sum(r[1] > 0 for r in want) > 100
+    assert got == want
