@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from staveframe.functions import labels as L
 from staveframe.functions.scalars import count_texts as words_of
 from staveframe.functions.scalars import half_up, stamp_problem
+from staveframe.operators import fusion
 from staveframe.operators import metrics as M
 from staveframe.operators import tracks as T
 from staveframe.plans.interval_queries import EVENTS_SQL
@@ -279,13 +280,22 @@ def string_sustain(spark, sf_dir):
     return M.clipped_by_lane(notes(spark, sf_dir).withColumnRenamed("label", "lane"), "user_id", "lane", 1000)
 
 
-@query("")
+@query(EVENTS_SQL.rstrip() + f""",
+fr AS (SELECT user_id, "at" AS s, "end" AS t, CAST(floor(score) AS BIGINT) % 12 AS p, score AS x FROM e WHERE id % 2 = 1),
+pr AS (SELECT unnest([{', '.join(f"{{'k': {k}, 'd': {d}, 'w': {w / sum(values)!r}::DOUBLE}}" for k, values in enumerate((fusion.MAJOR, fusion.MINOR)) for d, w in enumerate(values))}], recursive := true)),
+st AS (SELECT l.user_id, l.id, fr.p, sum(fr.x) AS x, count(*) AS c FROM l JOIN fr ON fr.user_id = l.user_id AND fr.s < l.t + {8 * HOUR} AND fr.t > l.s - {8 * HOUR} GROUP BY ALL UNION ALL SELECT user_id, NULL, p, sum(x), count(*) FROM fr GROUP BY ALL),
+sc AS (SELECT q.user_id, q.id, g.tonic, pr.k, sum(q.x * pr.w) / max(q.n) AS s FROM (SELECT *, sum(c) OVER (PARTITION BY user_id, id) AS n FROM st) q, range(12) g(tonic), pr WHERE pr.d = (q.p - g.tonic + 12) % 12 GROUP BY ALL HAVING sum(q.x) > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY s DESC, tonic, k) AS r FROM sc),
+ky AS (SELECT user_id, id, max((['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[tonic + 1] || CASE WHEN k = 0 THEN ' major' ELSE ' minor' END) FILTER (r = 1) AS name, greatest(0, least(1, (max(s) FILTER (r = 1) - max(s) FILTER (r = 2)) / 0.018::DOUBLE)) AS confidence FROM rk GROUP BY user_id, id),
+us AS (SELECT l.user_id, l.id, a.name, a.confidence, b.name AS all_name, b.confidence AS all_confidence, coalesce(a.name IS NOT NULL AND (b.name IS NULL OR a.confidence >= 0.25::DOUBLE), false) AS is_local FROM l LEFT JOIN ky a ON a.user_id = l.user_id AND a.id = l.id LEFT JOIN ky b ON b.user_id = l.user_id AND b.id IS NULL)
+SELECT user_id, id, CASE WHEN is_local THEN name ELSE all_name END AS name, {_half_up('CASE WHEN is_local THEN confidence ELSE all_confidence END', 5)} AS confidence, is_local FROM us
+""")
 def local_keys(spark, sf_dir):
     """The key near each of a user's events on one side, of the other side's events as frames of the pitch classes that they play."""
     rows = notes(spark, sf_dir)
     vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.when(p == F.pmod(F.floor(F.col("score")), F.lit(12)), F.col("score")).otherwise(0.0))
     frames = rows.where("id % 2 = 1").select("user_id", F.col("at").alias("start"), "end", vector.alias("vector"))
-    return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR)
+    return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR).withColumn("confidence", half_up(F.col("confidence"), 5))
 
 
 @query(CHORD_SQL.rstrip() + """,
