@@ -54,3 +54,30 @@ def track_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd events as points: ``user_id, point_id, at``."""
     return notes(spark, sf_dir).where("id % 2 = 1").select("user_id", F.col("id").alias("point_id"), "at")
+
+
+#: Labels of :func:`observations`: four chords and none.
+OBSERVED = ["C", "C7", "Am", "F", "N"]
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events in order as windows of a track, with the scores of a few labels: ``user_id, id, place, at, best,
+    second, best_score, margin, confidence, strength, scores, sevenths, seventh, bass_root, bass_confidence, passing,
+    decoded``. A label leads for about six windows; the rest comes from the event's number."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), place.cast("long").alias("place"))
+    i, k = F.col("id"), F.col("place")
+    base = F.when(i % 23 == 0, F.lit(5)).otherwise((F.col("user_id") + F.floor(k / 6)) % 4 + 1)
+    score = [F.lit(0.4) + (i * (7 * j + 3)) % 101 / F.lit(1000.0) + F.when(base == j, F.lit(0.06) + i % 7 / F.lit(200.0)).otherwise(0.0) for j in range(1, 6)]
+    names = F.array(*[F.lit(n) for n in OBSERVED])
+    rows = rows.withColumn("scores", F.array(*score))
+    top = F.array_position("scores", F.array_max("scores")).cast("int")
+    rows = rows.withColumn("top", top).withColumn("others", F.transform("scores", lambda s, j: F.when(j + 1 == F.col("top"), F.lit(-9.0)).otherwise(s)))
+    second = F.array_position("others", F.array_max("others")).cast("int")
+    root = F.element_at(F.array(*[F.lit(n) for n in ("C", "C", "A", "F", None)]), F.col("top"))
+    return rows.select(
+        "user_id", "id", "place", "at", F.element_at(names, F.col("top")).alias("best"), F.element_at(names, second).alias("second"), F.array_max("scores").alias("best_score"), (F.array_max("scores") - F.array_max("others")).alias("margin"),
+        (i % 10 / F.lit(10.0)).alias("confidence"), F.when(k % 4 == 0, 1.0).when(k % 2 == 0, 0.86).otherwise(0.72).alias("strength"), "scores",
+        F.array(F.lit(None).cast("double"), i % 17 / F.lit(100.0), *[F.lit(None).cast("double")] * 3).alias("sevenths"), F.lit(0.0).alias("seventh"),
+        F.when(i % 3 == 0, root).alias("bass_root"), (i % 50 / F.lit(100.0)).alias("bass_confidence"), (i % 11 == 0).alias("passing"), F.element_at(names, ((F.col("user_id") + F.floor((k + 1) / 6)) % 4 + 1).cast("int")).alias("decoded"),
+    )

@@ -11,11 +11,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from staveframe.plans import interval_queries, metric_queries, note_queries, table_queries
+from staveframe.plans import interval_queries, metric_queries, note_queries, state_queries, table_queries
 
 FOLDER = "/root/testdata/sf0.001"
-OWN = interval_queries.QUERIES | table_queries.QUERIES | note_queries.QUERIES | metric_queries.QUERIES
-SQL = interval_queries.SQL | table_queries.SQL | note_queries.SQL | metric_queries.SQL
+OWN = interval_queries.QUERIES | table_queries.QUERIES | note_queries.QUERIES | metric_queries.QUERIES | state_queries.QUERIES
+SQL = interval_queries.SQL | table_queries.SQL | note_queries.SQL | metric_queries.SQL | state_queries.SQL
 
 
 @pytest.fixture(scope="module")
