@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from staveframe.functions import labels as L
 from staveframe.functions.scalars import clamp, half_up, safe_div
 from staveframe.operators import intervals as I
+from staveframe.operators import scores as S
 from staveframe.operators.fusion import BINS, key_estimate
 
 # Weights and bounds of the learned evidence, and the degrees of the two scales with their triads.
@@ -111,10 +112,13 @@ def overrides(windows: DataFrame, rule: DataFrame, hybrid: DataFrame, reference:
 
 
 def missed_short(reference: DataFrame, detected: DataFrame, key: str, most: float, width: int) -> DataFrame:
-    """``key, short, missed``: reference intervals of at most this length, and those with another label at their middle."""
+    """``key, short, missed``: reference intervals of at most this length, and those with another chord at their middle; two
+    spellings of a symbol, with any bass, are one chord."""
     short = reference.where(F.col("end") - F.col("start") <= most)
     told = labels_at_middle(short, {"found": detected}, key, width).join(short.select(key, "id", "label"), [key, "id"])
-    return told.groupBy(key).agg(F.count("*").alias("short"), F.count_if(F.col("found") != F.col("label")).alias("missed"))
+    pairs = told.groupBy(key, "found", "label").agg(F.count("*").alias("n"))  # so that few labels are read
+    other = _plain_symbol(F.col("found")) != _plain_symbol(F.col("label"))
+    return pairs.groupBy(key).agg(F.sum("n").alias("short"), F.sum(F.when(other, F.col("n")).otherwise(0)).alias("missed"))
 
 
 def bass_evidence(windows: DataFrame, reference: DataFrame, key: str, width: int) -> DataFrame:
@@ -173,25 +177,18 @@ def key_compatibility(root: Column, quality: Column, tonic: Column, mode: Column
     return F.when(tonic.isNull(), 0.0).when(mode == "major", of("major")).otherwise(of("minor"))
 
 
-def local_keys(windows: DataFrame, frames: DataFrame, key: str, reach: int, least: float = 0.25) -> DataFrame:
-    """``key, id, name, confidence, is_local``: the key of the frames ``(key, start, end, vector)`` of pitch classes that overlap
-    a window ``(key, id, start, end)`` widened by ``reach``, if it is sure enough, else that of all the key's frames.
+def local_keys(windows: DataFrame, frames: DataFrame, key: str, reach: int, width: int, least: float = 0.25) -> DataFrame:
+    """``key, id, name, confidence, is_local``: the key of the frames ``(key, id, start, end, vector, level)`` of pitch classes that
+    overlap a window ``(key, id, start, end)`` widened by ``reach``, if it is sure enough, else that of all the key's frames.
 
-    What overlaps a window has begun before its end and not ended by its start: two running sums of one window over the
-    ends of frames and windows, without pairs of these. Where no frame overlaps, the count tells exactly.
+    Frames are summed up as :func:`scores.robust_mean` does it. A median of moving frames has no running form, so windows
+    and frames meet in buckets of time of this ``width``: each window with the frames in its reach, however long the track is.
     """
-    edge = lambda at, begun, ended: frames.select(key, F.col(at).alias("at"), F.lit(1).alias("o"), F.lit(None).cast("long").alias("id"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"), "vector")
-    probe = lambda at, o: windows.select(key, at.alias("at"), F.lit(o).alias("o"), F.col("id").cast("long").alias("id"), F.lit(0).alias("begun"), F.lit(0).alias("ended"))
-    # At one time, a window's end comes before the frames that begin there, and its start after those that end there.
-    rows = edge("start", 1, 0).unionByName(edge("end", 0, 1)).unionByName(probe(F.col("end") + reach, 0), allowMissingColumns=True).unionByName(probe(F.col("start") - reach, 2), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("at", "o").rowsBetween(W.unboundedPreceding, 0)
-    sums = [F.sum(F.when(F.col(c) == 1, F.coalesce(F.col("vector")[i], F.lit(0.0))).otherwise(0.0)).over(w).alias(f"{c}{i}") for c in ("begun", "ended") for i in range(BINS)]
-    run = rows.select(key, "o", "id", F.sum("begun").over(w).alias("b"), F.sum("ended").over(w).alias("e"), *sums).where(F.col("id").isNotNull())
-    high, low = (lambda c: F.max(F.when(F.col("o") == 0, F.col(c)))), (lambda c: F.max(F.when(F.col("o") == 2, F.col(c))))
-    n = high("b") - low("e")
-    mean = F.array(*[F.try_divide(F.greatest(high(f"begun{i}") - low(f"ended{i}"), F.lit(0.0)), n) for i in range(BINS)])
-    local = run.groupBy(key, "id").agg(n.alias("n"), mean.alias("mean")).where("n > 0").select(key, "id", key_estimate(F.col("mean")).alias("local"))
-    whole = I.vector_mean(frames, [key]).select(key, key_estimate(F.col("mean")).alias("all"))
+    wide = windows.select(key, "id", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"))
+    met = I.overlaps(wide, frames, key, width).select(key, F.col("left_id").alias("window"), F.col("right_id").alias("id"))
+    heard = S.robust_mean(met.join(frames.select(key, "id", "level", "vector"), [key, "id"]), [key, "window"])
+    local = heard.select(key, F.col("window").alias("id"), key_estimate(F.col("chroma")).alias("local"))
+    whole = S.robust_mean(frames, [key]).select(key, key_estimate(F.col("chroma")).alias("all"))
     joined = windows.select(key, "id").join(local, [key, "id"], "left").join(whole, key, "left")
     use = F.col("local").isNotNull() & (F.col("all").isNull() | (F.col("local.confidence") >= least))
     pick = lambda f: F.when(use, F.col(f"local.{f}")).otherwise(F.col(f"all.{f}")).alias(f)
@@ -265,14 +262,28 @@ def fused_regions(regions: DataFrame, frames: DataFrame, key: str, width: int, n
 
 
 def shortlist(candidates: DataFrame, group: str, order: list[Column], most: int, always: Column) -> DataFrame:
-    """The first ``most`` candidates of each group, and besides them all that ``always`` holds of."""
-    return candidates.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where((F.col("rank") <= most) | always)
+    """All candidates that ``always`` holds of, and the first ``most`` of the others of each group; ``rank`` counts these."""
+    marked = candidates.withColumn("always", F.coalesce(always, F.lit(False)))
+    place = F.row_number().over(W.partitionBy(group, "always").orderBy(*order))
+    return marked.withColumn("rank", F.when(~F.col("always"), place)).where(F.col("always") | (F.col("rank") <= most)).drop("always")
 
 
 def fnv1a(text: Column, seed: int = 2166136261) -> Column:
-    """The 32-bit FNV-1a hash of a text's code points, as a whole number, from a seed or its usual start."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(seed).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32)))
+    """The 32-bit FNV-1a hash of a text's UTF-16 units as eight hexadecimal digits, from a seed or its usual start."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(F.conv(c, 16, 10).cast("long")) * F.lit(16777619), F.lit(1 << 32))
+    return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(seed).cast("long"), step)), 8, "0"))
+
+
+def frame_agreement(frames: DataFrame, regions: DataFrame, key: str, width: int) -> DataFrame:
+    """``key, scored, share``: the frames ``(key, point_id, at, vector)`` within a region that has a root, and the share of which
+    the greatest bin, the first of equals, is that root. Keys without such frames have a share of 0."""
+    held = I.point_in_interval(frames.select(key, "point_id", "at"), regions.select(key, "start", "end", F.col("id").alias("idx"), "label"), key, width)
+    pairs = held.join(frames.select(key, "point_id", (F.array_position("vector", F.array_max("vector")) - 1).alias("top")), [key, "point_id"]).groupBy(key, "label", "top").agg(F.count("*").alias("n"))
+    read = pairs.withColumn("root", F.when(F.col("label").isNotNull(), L.annotated(F.coalesce("label", F.lit("N")))["root"]))
+    told = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    sums = read.groupBy(key).agg(told(F.col("root").isNotNull()).alias("scored"), told(F.col("root") == F.col("top")).alias("hits"))
+    return sums.select(key, "scored", half_up(safe_div(F.col("hits").cast("double"), F.col("scored").cast("double")), 6).alias("share"))
 
 
 def finite_means(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -281,11 +292,11 @@ def finite_means(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[half_up(F.coalesce(F.avg(ok(m)), F.lit(0.0))).alias(m) for m in metrics])
 
 
-def probability_peaks(frames: DataFrame, key: str, least: float) -> DataFrame:
-    """``key, peaks``: frames ``(key, place, p)`` over ``least`` that are higher than the one before and not lower than the next."""
+def probability_peaks(frames: DataFrame, key: str, over: float = 0.5) -> DataFrame:
+    """``key, peaks``: frames ``(key, place, p)`` above ``over`` that neither neighbour exceeds; every frame of a plateau counts."""
     w = W.partitionBy(key).orderBy("place")
-    before, after = F.coalesce(F.lag("p").over(w), F.lit(-1.0)), F.coalesce(F.lead("p").over(w), F.lit(-1.0))
-    return frames.select(key, ((F.col("p") >= least) & (F.col("p") > before) & (F.col("p") >= after)).alias("peak")).groupBy(key).agg(F.count_if("peak").alias("peaks"))
+    fits = lambda c: c.isNull() | (F.col("p") >= c)
+    return frames.select(key, ((F.col("p") > over) & fits(F.lag("p").over(w)) & fits(F.lead("p").over(w))).alias("peak")).groupBy(key).agg(F.count_if("peak").alias("peaks"))
 
 
 def dataset_manifest(files: DataFrame, group: list[str]) -> DataFrame:

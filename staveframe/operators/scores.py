@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,19 +49,41 @@ def grid_argmin(rows: DataFrame, keys: list[str], grid: list[float], loss) -> Da
 
 
 def skyline(candidates: DataFrame, high: list[str], low: list[str]) -> DataFrame:
-    """Candidates that no other is at least as good as in everything and better in something. Meant for tables of
-    candidates: equal ones are compared once, and the comparison is an anti join of what is distinct."""
+    """Candidates that no other is at least as good as in everything and better in something; those with a null or NaN aim
+    are left out. Each partition keeps its own best points first, so that only these are compared with each other."""
     aims = [*high, *low]
-    points = candidates.select(*aims).distinct()
-    other = points.select(*[F.col(a).alias(f"o_{a}") for a in aims])
+    points = candidates.select(*[F.col(a).cast("double").alias(a) for a in aims]).where(" AND ".join(f"`{a}` IS NOT NULL AND NOT isnan(`{a}`)" for a in aims)).distinct()
+    signs = np.array([1.0] * len(high) + [-1.0] * len(low))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((0, len(aims)))
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(a)) for a in aims], axis=1) * signs if batch.num_rows else kept[:0]
+            kept = _undominated(np.concatenate([kept, rows]))
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kept * signs).T], aims)
+
+    best = points.mapInArrow(run, ", ".join(f"`{a}` double" for a in aims))
+    other = best.select(*[F.col(a).alias(f"o_{a}") for a in aims])
     no_worse = [F.col(f"o_{a}") >= F.col(a) for a in high] + [F.col(f"o_{a}") <= F.col(a) for a in low]
     better = [F.col(f"o_{a}") != F.col(a) for a in aims]
-    every, some = no_worse[0], better[0]
-    for x in no_worse[1:]:
-        every = every & x
-    for x in better[1:]:
-        some = some | x
-    return candidates.join(points.join(other, every & some, "left_anti"), aims, "left_semi")
+    front = best.join(other, reduce(and_, no_worse) & reduce(or_, better), "left_anti")
+    match = reduce(and_, [F.col(f"c.{a}").cast("double") == F.col(f"f.{a}") for a in aims])
+    return candidates.alias("c").join(front.alias("f"), match, "left_semi")
+
+
+def _undominated(rows: np.ndarray) -> np.ndarray:
+    """Rows that none exceeds or equals in every column; equal rows once."""
+    rows = np.unique(rows, axis=0)[::-1]  # a row can only be dominated by one before it
+    kept = rows[:0]
+    for a in range(0, len(rows), 256):
+        part = rows[a : a + 256]
+        for others in (kept[b : b + 4096] for b in range(0, len(kept), 4096)):
+            part = part[~(others[None, :, :] >= part[:, None, :]).all(axis=2).any(axis=1)]
+        inside = (part[None, :, :] >= part[:, None, :]).all(axis=2)
+        np.fill_diagonal(inside, False)
+        kept = np.concatenate([kept, part[~inside.any(axis=1)]])
+    return kept
 
 
 def within_limits(rows: DataFrame, candidate: str, limits: Column) -> DataFrame:
@@ -178,10 +206,21 @@ def fused(rows: DataFrame, weight: Column, temperature: float = 0.12) -> DataFra
     return rows.where(F.size("rules") > 0).select("id", best.alias("m")).select("id", F.col("m.n").alias("label"), (-F.col("m.s")).alias("score"))
 
 
+#: A frame is heard from this level on, and from this share of the loudest frame's.
+HEARD, HEARD_SHARE = 0.004, 0.15
+MEDIAN, MEAN = 0.35, 0.65
+
+
+def _heard(level: Column, peak: Column) -> Column:
+    """Whether a frame counts; where none is loud enough, all do."""
+    return (level >= F.greatest(F.lit(HEARD), HEARD_SHARE * peak)) | (peak < HEARD)
+
+
 def robust_mean(frames: DataFrame, keys: list[str], vector: str = "vector", level: str = "level") -> DataFrame:
     """``keys, chroma``: 0.35 of the median and 0.65 of the level-weighted mean of each element, over frames with a level of
-    0.15 of the loudest or more, made to add up to 1."""
-    loud = frames.join(frames.groupBy(*keys).agg(F.max(level).alias("peak")), keys).where(F.col(level) >= F.greatest(F.lit(0.004), 0.15 * F.col("peak")))
-    each = loud.select(*keys, level, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg((0.35 * F.median("x") + 0.65 * safe_div(F.sum(F.col("x") * F.col(level)), F.sum(level))).alias("x"))
+    0.004 and 0.15 of the loudest or more (over all, if none has), made to add up to 1. Without any level the mean is plain."""
+    loud = frames.join(frames.groupBy(*keys).agg(F.max(level).alias("peak")), keys).where(_heard(F.col(level), F.col("peak")))
+    weighted = F.when(F.sum(level) > 0, safe_div(F.sum(F.col("x") * F.col(level)), F.sum(level))).otherwise(F.avg("x"))
+    each = loud.select(*keys, level, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg((MEDIAN * F.median("x") + MEAN * weighted).alias("x"))
     rows = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
     return rows.select(*keys, F.transform("v", lambda x: safe_div(x, total(F.col("v")))).alias("chroma"))

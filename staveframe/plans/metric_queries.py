@@ -102,11 +102,13 @@ def override_counts(spark, sf_dir):
 
 
 @query(CHORD_SQL.rstrip() + f""",
-m AS (SELECT lc.user_id, lc.name, coalesce(rc.name, 'N') AS found FROM lc LEFT JOIN rc ON rc.user_id = lc.user_id AND 2 * rc.s <= lc.s + lc.t AND lc.s + lc.t < 2 * rc.t WHERE lc.t - lc.s <= {WIDTH})
+m AS (SELECT lc.user_id, lc.sym AS name, coalesce(rc.sym, 'N') AS found FROM lc LEFT JOIN rc ON rc.user_id = lc.user_id AND 2 * rc.s <= lc.s + lc.t AND lc.s + lc.t < 2 * rc.t WHERE lc.t - lc.s <= {WIDTH})
 SELECT user_id, count(*) AS short, count(*) FILTER (found <> name) AS missed FROM m GROUP BY user_id
 """)
 def missed_short_chords(spark, sf_dir):
-    return M.missed_short(chord_timeline(spark, sf_dir, 0), chord_timeline(spark, sf_dir, 1), "user_id", WIDTH, WIDTH)
+    """The detected side spells some chords in another way."""
+    other = F.when(F.col("label") == "Bb", "A#").when(F.col("label") == "A/C#", "A").otherwise(F.col("label"))
+    return M.missed_short(chord_timeline(spark, sf_dir, 0), chord_timeline(spark, sf_dir, 1).withColumn("label", other), "user_id", WIDTH, WIDTH)
 
 
 @query(CHORD_SQL.rstrip() + f""",
@@ -225,32 +227,39 @@ def region_diagnostics(spark, sf_dir):
     return M.region_diagnostics(chord_timeline(spark, sf_dir, 0), "user_id").withColumn("mean", half_up(F.col("mean"), 3))
 
 
-@query(f"""
-WITH v AS (SELECT label, list_position(CAST(embedding AS DOUBLE[])[1:12], list_max(CAST(embedding AS DOUBLE[])[1:12])) - 1 AS top FROM embeddings)
-SELECT label, count(*) AS n, {_half_up('avg(CASE WHEN top = label % 12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 6)} AS share FROM v GROUP BY label
+@query(CHORD_SQL.rstrip() + f""",
+fr AS (SELECT user_id, id, "at", list_transform(range(0, 12), lambda j: (id * (j + 3)) % 17) AS v FROM e WHERE id % 2 = 1),
+ft AS (SELECT user_id, id, "at", list_position(v, list_max(v)) - 1 AS top FROM fr),
+m AS (SELECT ft.user_id, lc.root, ft.top FROM ft LEFT JOIN lc ON lc.user_id = ft.user_id AND lc.s <= ft."at" AND ft."at" < lc.t)
+SELECT user_id, count(root) AS scored, {_half_up('CASE WHEN count(root) = 0 THEN 0::DOUBLE ELSE (count(*) FILTER (root = top))::DOUBLE / count(root)::DOUBLE END', 6)} AS share FROM m GROUP BY user_id
 """)
 def frame_agreement(spark, sf_dir):
-    """Vectors as frames, of which the first twelve elements are bass bins and the label is the annotated root."""
-    bins = F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double"))
-    rows = table(spark, sf_dir, "embeddings").select("label", (F.array_position(bins, F.array_max(bins)) - 1 == F.col("label") % 12).cast("double").alias("right"))
-    return rows.groupBy("label").agg(F.count("*").alias("n"), half_up(F.avg("right"), 6).alias("share"))
+    """The other side's events as frames of bass bins, against the roots of the chords that they fall in."""
+    vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.col("point_id") * (j + 3) % 17)
+    return M.frame_agreement(probes(spark, sf_dir).withColumn("vector", vector), chord_timeline(spark, sf_dir, 0), "user_id", WIDTH)
 
 
 @query("""
-SELECT p_partkey AS id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hash FROM part
+WITH n AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' é漢' WHEN 1 THEN ' ' || chr(128077) ELSE '' END AS name FROM part),
+u AS (SELECT id, flatten(list_transform(string_split(name, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024]::BIGINT[] ELSE [unicode(c)]::BIGINT[] END)) AS cs FROM n)
+SELECT id, lower(printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, cs), lambda h, c: (xor(h, c) * 16777619) % 4294967296))) AS hash FROM u
 """)
 def name_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), M.fnv1a(F.col("p_name")).alias("hash"))
+    """Hashes of names, some of which have characters beyond the first plane."""
+    key = F.col("p_partkey")
+    name = F.concat("p_name", F.when(key % 3 == 0, " é漢").when(key % 3 == 1, " \U0001f44d").otherwise(""))
+    return table(spark, sf_dir, "part").select(key.alias("id"), M.fnv1a(name).alias("hash"))
 
 
 @query("""
-WITH p AS (SELECT user_id, event_id AS id, (value * 3) % 1 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-n AS (SELECT *, coalesce(lag(p) OVER w, -1) AS a, coalesce(lead(p) OVER w, -1) AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY k))
-SELECT user_id, count(*) FILTER (p >= 0.6 AND p > a AND p >= b) AS peaks FROM n GROUP BY user_id
+WITH p AS (SELECT user_id, event_id AS id, floor((value * 3) % 1 * 10) / 10 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+n AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY k))
+SELECT user_id, count(*) FILTER (p > 0.5::DOUBLE AND (a IS NULL OR p >= a) AND (b IS NULL OR p >= b)) AS peaks FROM n GROUP BY user_id
 """)
 def probability_peaks(spark, sf_dir):
-    rows = T.numbered(notes(spark, sf_dir), "user_id").select("user_id", "place", F.pmod(F.col("score") * 3, F.lit(1.0)).alias("p"))
-    return M.probability_peaks(rows, "user_id", 0.6)
+    """Probabilities in steps of a tenth, so that many neighbours are equal."""
+    rows = T.numbered(notes(spark, sf_dir), "user_id").select("user_id", "place", (F.floor(F.pmod(F.col("score") * 3, F.lit(1.0)) * 10) / 10).alias("p"))
+    return M.probability_peaks(rows, "user_id")
 
 
 @query("""
@@ -262,13 +271,13 @@ def dataset_manifest(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT p_partkey AS id, p_brand AS brand, p_retailprice AS price, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part)
-SELECT brand, id, price, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 8 OR id % 500 = 0
+WITH r AS (SELECT p_partkey AS id, p_brand AS brand, p_retailprice AS price, CASE WHEN p_partkey % 100 <> 0 THEN row_number() OVER (PARTITION BY p_brand, p_partkey % 100 = 0 ORDER BY p_retailprice DESC, p_partkey) END AS k FROM part)
+SELECT brand, id, price, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 4 OR id % 100 = 0
 """)
 def shortlist(spark, sf_dir):
-    """A top-k report: the eight best candidates of each group, and the incumbents whatever their rank."""
+    """A top-k report: all incumbents, and the four best of the other candidates of each group."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
-    return M.shortlist(rows, "brand", [F.desc("price"), F.col("id")], 8, F.col("id") % 500 == 0)
+    return M.shortlist(rows, "brand", [F.desc("price"), F.col("id")], 4, F.col("id") % 100 == 0)
 
 
 @query("""
@@ -281,21 +290,26 @@ def string_sustain(spark, sf_dir):
 
 
 @query(EVENTS_SQL.rstrip() + f""",
-fr AS (SELECT user_id, "at" AS s, "end" AS t, CAST(floor(score) AS BIGINT) % 12 AS p, score AS x FROM e WHERE id % 2 = 1),
+fr AS (SELECT user_id, id, "at" AS s, "end" AS t, (id % 20)::DOUBLE / 100.0::DOUBLE AS lv, list_transform(range(0, 12), lambda j: ((id * (j + 3) + j) % 19)::DOUBLE * score) AS v FROM e WHERE id % 2 = 1),
 pr AS (SELECT unnest([{', '.join(f"{{'k': {k}, 'd': {d}, 'w': {w / sum(values)!r}::DOUBLE}}" for k, values in enumerate((fusion.MAJOR, fusion.MINOR)) for d, w in enumerate(values))}], recursive := true)),
-st AS (SELECT l.user_id, l.id, fr.p, sum(fr.x) AS x, count(*) AS c FROM l JOIN fr ON fr.user_id = l.user_id AND fr.s < l.t + {8 * HOUR} AND fr.t > l.s - {8 * HOUR} GROUP BY ALL UNION ALL SELECT user_id, NULL, p, sum(x), count(*) FROM fr GROUP BY ALL),
-sc AS (SELECT q.user_id, q.id, g.tonic, pr.k, sum(q.x * pr.w) / max(q.n) AS s FROM (SELECT *, sum(c) OVER (PARTITION BY user_id, id) AS n FROM st) q, range(12) g(tonic), pr WHERE pr.d = (q.p - g.tonic + 12) % 12 GROUP BY ALL HAVING sum(q.x) > 0),
+mt AS (SELECT l.user_id, l.id, fr.lv, fr.v FROM l JOIN fr ON fr.user_id = l.user_id AND fr.s < l.t + {8 * HOUR} AND fr.t > l.s - {8 * HOUR} UNION ALL SELECT user_id, NULL, lv, v FROM fr),
+pk AS (SELECT *, max(lv) OVER (PARTITION BY user_id, id) AS pk FROM mt),
+hd AS (SELECT user_id, id, lv, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS p FROM pk WHERE lv >= greatest(0.004::DOUBLE, 0.15::DOUBLE * pk) OR pk < 0.004::DOUBLE),
+rb AS (SELECT user_id, id, p, 0.35::DOUBLE * median(x) + 0.65::DOUBLE * CASE WHEN sum(lv) > 0 THEN sum(x * lv) / sum(lv) ELSE avg(x) END AS x FROM hd GROUP BY ALL),
+st AS (SELECT *, x / sum(x) OVER (PARTITION BY user_id, id) AS y, sum(x) OVER (PARTITION BY user_id, id) AS whole FROM rb),
+sc AS (SELECT q.user_id, q.id, g.tonic, pr.k, sum(q.y * pr.w) AS s FROM st q, range(12) g(tonic), pr WHERE pr.d = (q.p - g.tonic + 12) % 12 AND q.whole > 0 GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY s DESC, tonic, k) AS r FROM sc),
 ky AS (SELECT user_id, id, max((['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[tonic + 1] || CASE WHEN k = 0 THEN ' major' ELSE ' minor' END) FILTER (r = 1) AS name, greatest(0, least(1, (max(s) FILTER (r = 1) - max(s) FILTER (r = 2)) / 0.018::DOUBLE)) AS confidence FROM rk GROUP BY user_id, id),
 us AS (SELECT l.user_id, l.id, a.name, a.confidence, b.name AS all_name, b.confidence AS all_confidence, coalesce(a.name IS NOT NULL AND (b.name IS NULL OR a.confidence >= 0.25::DOUBLE), false) AS is_local FROM l LEFT JOIN ky a ON a.user_id = l.user_id AND a.id = l.id LEFT JOIN ky b ON b.user_id = l.user_id AND b.id IS NULL)
 SELECT user_id, id, CASE WHEN is_local THEN name ELSE all_name END AS name, {_half_up('CASE WHEN is_local THEN confidence ELSE all_confidence END', 5)} AS confidence, is_local FROM us
 """)
 def local_keys(spark, sf_dir):
-    """The key near each of a user's events on one side, of the other side's events as frames of the pitch classes that they play."""
-    rows = notes(spark, sf_dir)
-    vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.when(p == F.pmod(F.floor(F.col("score")), F.lit(12)), F.col("score")).otherwise(0.0))
-    frames = rows.where("id % 2 = 1").select("user_id", F.col("at").alias("start"), "end", vector.alias("vector"))
-    return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR).withColumn("confidence", half_up(F.col("confidence"), 5))
+    """The key near each of a user's events on one side, of the other side's events as frames of pitch classes; a twentieth
+    of the frames is silent."""
+    rows = notes(spark, sf_dir).where("id % 2 = 1")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: ((F.col("id") * (j + 3) + j) % 19).cast("double") * F.col("score"))
+    frames = rows.select("user_id", "id", F.col("at").alias("start"), "end", vector.alias("vector"), (F.col("id") % 20 / F.lit(100.0)).alias("level"))
+    return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR, WIDTH).withColumn("confidence", half_up(F.col("confidence"), 5))
 
 
 @query(CHORD_SQL.rstrip() + """,

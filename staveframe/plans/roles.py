@@ -81,3 +81,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit(None).cast("double"), i % 17 / F.lit(100.0), *[F.lit(None).cast("double")] * 3).alias("sevenths"), F.lit(0.0).alias("seventh"),
         F.when(i % 3 == 0, root).alias("bass_root"), (i % 50 / F.lit(100.0)).alias("bass_confidence"), (i % 11 == 0).alias("passing"), F.element_at(names, ((F.col("user_id") + F.floor((k + 1) / 6)) % 4 + 1).cast("int")).alias("decoded"),
     )
+
+
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`observations` with ``start, end`` (half a second each), ``chroma`` that comes again after some bars, and what the
+    duration-aware decoder asks for."""
+    rows = observations(spark, sf_dir)
+    section, i = F.floor(F.col("place") / 4) % 6, F.col("id")
+    chroma = F.array(*[F.lit(1.0) + section * (j + 1) % 7 + i * (j + 1) % 5 / F.lit(10.0) for j in range(12)])
+    return rows.withColumns({
+        "start": F.col("place") * 0.5, "end": (F.col("place") + 1) * 0.5, "chroma": chroma, "uncertain": i % 9 == 0, "root_strength": i % 19 / F.lit(100.0), "tonic": F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 12).cast("int")),
+        "mode": F.when(F.col("user_id") % 2 == 0, "major").otherwise("minor"), "key_confidence": F.lit(0.8), "adjustment": F.lit(0.0),
+    })
