@@ -195,22 +195,28 @@ def local_keys(windows: DataFrame, frames: DataFrame, key: str, reach: int, widt
     return joined.select(key, "id", pick("name"), pick("confidence"), F.coalesce(use, F.lit(False)).alias("is_local"))
 
 
-def learned_weight(frames: Column, top: Column, entropy: Column, margin: Column, confidence: Column, agrees: Column, flicker: Column, full_mix: Column) -> Column:
-    """``array<struct(stage, before, after, limited)>``: the weight of learned evidence through its eleven gates in turn; the
-    last ``after`` is the weight."""
+def gates(frames: Column, top: Column, entropy: Column, margin: Column, confidence: Column, agrees: Column, flicker: Column, full_mix: Column, settings: dict | None = None) -> list:
+    """The eleven steps, in the order of :data:`STAGES`, from a weight to the one after each; ``settings`` may hold other bounds."""
+    of = lambda name, usual: (settings or {}).get(name, F.lit(usual))
+    least, most, protected = of("least_learned", LEAST_LEARNED), of("most_entropy", MOST_ENTROPY), of("protected", PROTECTED)
     ambiguous = 1 - clamp(margin / 0.1)
-    unsure = 1 - clamp(confidence / PROTECTED)
+    unsure = 1 - clamp(confidence / protected)
     room = 0.35 + 0.65 * (ambiguous + unsure) / 2
     by_margin = 0.675 + 0.325 * ambiguous
     gate = lambda ok: (lambda w: F.when(ok, w).otherwise(0.0))
     times = lambda f: (lambda w: w * f)
-    steps = [
-        gate(frames > 0), gate(top >= LEAST_LEARNED), gate(entropy < MOST_ENTROPY), times(0.35 + 0.65 * clamp((top - LEAST_LEARNED) / (1 - LEAST_LEARNED))), times(clamp((MOST_ENTROPY - entropy) / MOST_ENTROPY)),
-        times(by_margin), times(room / by_margin), times(F.when(confidence <= PROTECTED, 1.0).otherwise(clamp((RULE_TOP - confidence) / (RULE_TOP - PROTECTED)))), times(F.when(agrees, 1.1).otherwise(1.0)), times(flicker),
-        lambda w: F.least(F.greatest(w, F.lit(0.0)), F.when(full_mix, MOST_FULL_MIX).otherwise(MOST_GUITAR)),
+    return [
+        gate(frames > 0), gate(top >= least), gate(entropy < most), times(0.35 + 0.65 * clamp((top - least) / (1 - least))), times(clamp((most - entropy) / most)),
+        times(by_margin), times(room / by_margin), times(F.when(confidence <= protected, 1.0).otherwise(clamp((RULE_TOP - confidence) / (RULE_TOP - protected)))), times(F.when(agrees, 1.1).otherwise(1.0)), times(flicker),
+        lambda w: F.least(F.greatest(w, F.lit(0.0)), F.when(full_mix, MOST_FULL_MIX).otherwise(of("most_guitar", MOST_GUITAR))),
     ]
+
+
+def learned_weight(frames: Column, top: Column, entropy: Column, margin: Column, confidence: Column, agrees: Column, flicker: Column, full_mix: Column) -> Column:
+    """``array<struct(stage, before, after, limited)>``: the weight of learned evidence through its eleven gates in turn; the
+    last ``after`` is the weight."""
     out, w = [], F.lit(LEARNED_WEIGHT)
-    for name, step in zip(STAGES, steps, strict=True):
+    for name, step in zip(STAGES, gates(frames, top, entropy, margin, confidence, agrees, flicker, full_mix), strict=True):
         after = step(w)
         out.append(F.struct(F.lit(name).alias("stage"), w.alias("before"), after.alias("after"), (after < w - 1e-9).alias("limited")))
         w = after

@@ -93,3 +93,15 @@ def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "start": F.col("place") * 0.5, "end": (F.col("place") + 1) * 0.5, "chroma": chroma, "uncertain": i % 9 == 0, "root_strength": i % 19 / F.lit(100.0), "tonic": F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 12).cast("int")),
         "mode": F.when(F.col("user_id") % 2 == 0, "major").otherwise("minor"), "key_confidence": F.lit(0.8), "adjustment": F.lit(0.0),
     })
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`observations` with what a learned model says of them: ``user_id, place, seconds, wanted, rules, learned, temperature,
+    frames, top, entropy, margin, confidence, agrees, flicker, full_mix``."""
+    rows, i = observations(spark, sf_dir), F.col("id")
+    votes = F.array(*[(i * (3 * j + 2) % 13 + 1 + F.when(F.col("decoded") == n, 8).otherwise(0)).cast("double") for j, n in enumerate(OBSERVED, 1)])
+    rows = rows.withColumn("votes", votes).withColumn("learned", F.transform("votes", lambda v: v / F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)))
+    return rows.select(
+        "user_id", "place", F.lit(0.5).alias("seconds"), ((F.col("user_id") + F.floor(F.col("place") / 6)) % 4 + 1).alias("wanted"), F.col("scores").alias("rules"), "learned", F.when(F.col("user_id") % 2 == 0, 0.9).otherwise(1.4).alias("temperature"), (i % 9).alias("frames"),
+        (F.array_max("learned") * 2).alias("top"), (i % 10 / F.lit(10.0)).alias("entropy"), "margin", "confidence", (i % 2 == 0).alias("agrees"), F.when(i % 3 == 0, 1.0).when(i % 3 == 1, 0.65).otherwise(0.25).alias("flicker"), (i % 5 < 3).alias("full_mix"),
+    )

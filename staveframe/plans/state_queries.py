@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from staveframe.functions.scalars import half_up
-from staveframe.operators import evidence, regions, rollups, smoothing
-from staveframe.plans.roles import OBSERVED, heard, observations, table
+from staveframe.operators import calibration, evidence, regions, rollups, smoothing
+from staveframe.plans.roles import OBSERVED, heard, judged, observations, table
 from staveframe.sources.store import Store, cut, shared_folder
 from staveframe.streaming import changes
 
@@ -242,3 +242,36 @@ def smoothed_chords(spark, sf_dir):
     """Each user's windows decoded, reinforced by repeated sections and decoded again, with confirmed changes and cleaned up."""
     done = smoothing.smoothed(heard(spark, sf_dir), "user_id", OBSERVED, [0, 0, 9, 5, -1])
     return done.select("user_id", "start", "end", "label", "windows", half_up(F.col("confidence")).alias("confidence"))
+
+
+SEED, DRAWN = 20260725, 32
+_word = lambda a, b: f"(({a}) * (({b}) % 65536) + ((({a}) * (({b}) // 65536)) % 65536) * 65536) % 4294967296"
+_up3 = lambda x: f"floor(({x}) * 1e3::DOUBLE + 0.5::DOUBLE) / 1e3::DOUBLE"
+CANDIDATES_SQL = f"""
+g0 AS (SELECT n, ({SEED} + (n + 1) * 1831565813) % 4294967296 AS v FROM (SELECT unnest(range(0, {DRAWN * calibration.DRAWS})) AS n)),
+g1 AS (SELECT n, {_word('xor(v, v // 32768)', 'v | 1')} AS v FROM g0), g2 AS (SELECT n, xor(v, (v + {_word('xor(v, v // 128)', 'v | 61')}) % 4294967296) AS v FROM g1),
+g3 AS (SELECT n // 8 AS i, list(xor(v, v // 16384)::DOUBLE / 4294967296.0::DOUBLE ORDER BY n) AS r FROM g2 GROUP BY 1),
+cd AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{name}', {level}, {str(adaptive).lower()}, '{kind}', {', '.join(f'{v}::DOUBLE' for v in ({**calibration.BASE, **other}).values())})" for k, (name, other, adaptive, kind, level) in enumerate(calibration.NAMED))}) t(place, id, complexity, adaptive, calibration, lw, ow, aw, ll, me, pr, mx)
+    UNION ALL SELECT i + 6, 'random-' || lpad(CAST(i + 1 AS VARCHAR), 2, '0'), 2, true, CASE WHEN r[8] < 0.25::DOUBLE THEN 'temperature' ELSE 'none' END, {_up3('0.35::DOUBLE + r[1] * 0.5::DOUBLE')}, ([0, 0.1, 0.25]::DOUBLE[])[CAST(floor(r[3] * 3) AS BIGINT) + 1], ([0, 0.15, 0.25]::DOUBLE[])[CAST(floor(r[4] * 3) AS BIGINT) + 1],
+        {_up3('0.35::DOUBLE + r[5] * 0.27::DOUBLE')}, {_up3('0.7::DOUBLE + r[6] * 0.29::DOUBLE')}, {_up3('0.68::DOUBLE + r[7] * 0.2::DOUBLE')}, {_up3(f"greatest({_up3('0.35::DOUBLE + r[1] * 0.5::DOUBLE')}, 0.5::DOUBLE + r[2] * 0.4::DOUBLE)")} FROM g3)
+"""
+
+
+@query(WINDOWS_SQL + "," + CANDIDATES_SQL.rstrip() + """,
+vt AS (SELECT user_id, k, i, sc, cf, mg, (user_id + k // 6) % 4 + 1 AS wanted, CASE WHEN user_id % 2 = 0 THEN 0.9::DOUBLE ELSE 1.4::DOUBLE END AS t, list_transform(range(1, 6), lambda j: (i * (3 * j + 2) % 13 + 1 + CASE WHEN j = de THEN 8 ELSE 0 END)::DOUBLE) AS v FROM ob),
+lp AS (SELECT *, list_transform(v, lambda x: x / list_sum(v)) AS p FROM vt),
+tp2 AS (SELECT *, list_transform(p, lambda x: power(x, 1 / t)) AS q FROM lp),
+wn AS (SELECT *, list_transform(q, lambda x: x / list_sum(q)) AS z, list_max(p) * 2 AS top, (i % 10)::DOUBLE / 10.0::DOUBLE AS en, i % 9 AS fr, CASE WHEN i % 2 = 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS ag, CASE i % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.65::DOUBLE ELSE 0.25::DOUBLE END AS fl, i % 5 < 3 AS fm FROM tp2),
+am AS (SELECT wn.*, cd.*, 1 - greatest(0, least(1, mg / 0.1::DOUBLE)) AS am, 1 - greatest(0, least(1, cf / pr)) AS ac FROM wn, cd),
+ww AS (SELECT *, CASE WHEN NOT adaptive THEN CASE WHEN fr > 0 THEN lw ELSE 0 END WHEN fr > 0 AND top >= ll AND en < me THEN least(greatest(lw * (0.35::DOUBLE + 0.65::DOUBLE * greatest(0, least(1, (top - ll) / (1 - ll)))) * greatest(0, least(1, (me - en) / me)) * (0.675::DOUBLE + 0.325::DOUBLE * am)
+    * ((0.35::DOUBLE + 0.65::DOUBLE * (am + ac) / 2) / (0.675::DOUBLE + 0.325::DOUBLE * am)) * CASE WHEN cf <= pr THEN 1 ELSE greatest(0, least(1, (0.9::DOUBLE - cf) / (0.9::DOUBLE - pr))) END * ag * fl, 0), CASE WHEN fm THEN 0.3::DOUBLE ELSE mx END) ELSE 0 END AS w FROM am),
+mx AS (SELECT user_id, k, id, wanted, list_transform(range(1, 6), lambda j: sc[j] + w * CASE WHEN calibration = 'temperature' THEN z[j] ELSE p[j] END) AS s FROM ww),
+fd AS (SELECT *, list_position(s, list_max(s)) AS found FROM mx),
+ch AS (SELECT *, coalesce(found <> lag(found) OVER (PARTITION BY user_id, id ORDER BY k), false) AS changed, CASE WHEN found <= 2 THEN 1 ELSE found END = CASE WHEN wanted <= 2 THEN 1 ELSE wanted END AS hit FROM fd),
+sm AS (SELECT id, (count(*) FILTER (found = wanted))::DOUBLE / count(*) AS d, (count(*) FILTER (hit))::DOUBLE / count(*) AS r, (count(*) FILTER (changed))::DOUBLE / count(*) AS c FROM ch GROUP BY id)
+SELECT id, floor(d * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS detailed, floor(r * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS root, floor(c * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS change_rate, floor((d + r * 0.25::DOUBLE - c * 0.02::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score FROM sm
+""")
+def candidate_screening(spark, sf_dir):
+    """Six named candidates and 32 drawn ones over every user's windows."""
+    found = calibration.screened(judged(spark, sf_dir), calibration.candidates(spark, SEED, DRAWN), "user_id", [0, 0, 9, 5, None])
+    return found.select("id", *[half_up(F.col(c), 6).alias(c) for c in ("detailed", "root", "change_rate", "score")])
