@@ -22,6 +22,7 @@ from staveframe.llm._lineage import cut
 
 #: Documents of a language that a term must be in; the weight added to each count; parts of the whole; terms told a group.
 DOCUMENTS, ADDED, WHOLE, TERMS = 30, 5, 1_000_000_000, 50
+SALTS = 16
 #: Digests and counts that a task remembers before it hands them on.
 REMEMBERED, HELD = 400_000, 400_000
 
@@ -177,9 +178,10 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     couples = one.join(two, (F.col("one.lang") == F.col("two.lang")) & (F.col("one.source") < F.col("two.source")))
     couples = couples.select(F.col("one.lang").alias("lang"), F.col("one.source").alias("a"), F.col("two.source").alias("b"), F.col("one.absent").alias("a0"), F.col("two.absent").alias("b0"), F.col("one.terms").alias("an"), F.col("two.terms").alias("bn"), F.col("one.v").alias("v"))
 
-    values = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("times"))
-    against = groups.select("lang", F.col("source").alias("other"), F.col("absent").alias("o0"))
-    alone = values.join(against, "lang").where("source <> other").groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("o0")) * F.col("times")).alias("apart"))
+    # One language may hold most groups: its values are spread over salts, and each salt meets the few numbers of all groups.
+    values = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("times")).withColumn("salt", F.pmod(F.xxhash64("source", "p"), F.lit(SALTS)).cast("int"))
+    against = groups.select("lang", F.col("source").alias("other"), F.col("absent").alias("o0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    alone = values.join(against, ["lang", "salt"]).where("source <> other").groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("o0")) * F.col("times")).alias("apart"))
 
     marked = shares.join(groups.select("lang", "source", "absent"), ["lang", "source"]).select("lang", "term", "source", "p", "absent")
     x, y = marked.alias("x"), marked.alias("y")
