@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker. A single longer text is handled alone, whole.
 CHUNK_BYTES = 2 << 20
@@ -18,6 +19,16 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str):
+    """A column by its name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hashed(df) -> list:
+    """The columns that a hash of a row can be made of: all but maps, which have no order."""
+    return [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def give_back() -> None:
     """Returns memory that this worker no longer uses to the system; idle workers stay alive between stages."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,7 @@ host's article if enough of the pages that have it name it; then the rest of a p
 short or its comments are long. Other slots are dropped if, over all pages of the host, they hold mostly links, and in
 elements that HTML defines as menus, headers, footers, sidebars, forms or hidden. Class words only decide between
 what is left below the article's element or outside of any; those of elements around the article count for nothing.
-A host that the template does not have has no slots, and its pages no text.
+Pages of a host that the template does not have speak for themselves.
 
 Occurrence vectors are never gathered: two tokens have the same one if the sums over pages of (count x hash of the
 page) are equal, which Spark adds up by host and token, before and after one shuffle. A host may have any share of the pages.
@@ -339,8 +339,8 @@ def extract(pages: DataFrame, template: DataFrame | None = None, id_col: str = "
     """``page_id, url, text, n_chars`` for every row of ``pages``: the blocks of its main text, joined by line feeds.
 
     Character references are decoded, white space in a block is one blank. Null or empty html gives the empty text, and
-    so do pages that hold nothing but template, and those of hosts that a given ``template`` does not have. A null url
-    counts as the empty host. Repeated rows are extracted once each; other columns are left out.
+    so do pages that hold nothing but template. Of hosts that a given ``template`` does not have, every page speaks for
+    itself. A null url counts as the empty host. Repeated rows are extracted once each; other columns are left out.
     """
     rows = _pages(pages, id_col, url_col, html_col)
     template = templates(rows) if template is None else template
@@ -353,7 +353,7 @@ def extract(pages: DataFrame, template: DataFrame | None = None, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 2 << 20):
             slots = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-            out = ["" if own[0] is None else Page(source or "").main_text(*map(set, own)) for source, own in zip(batch.column("html").to_pylist(), slots, strict=True)]
+            out = [Page(source or "").main_text(*(set(x or ()) for x in own)) for source, own in zip(batch.column("html").to_pylist(), slots, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

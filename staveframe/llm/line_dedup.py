@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from staveframe.llm._batches import chunks, texts
+from staveframe.llm._batches import chunks, quoted, texts
 from staveframe.llm._lineage import cut
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -162,7 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = gone.agg(F.sum(F.size("gone") * 32 + 64)).first()[0] or 0
     gone = (F.broadcast(gone) if held <= BROADCAST_BYTES else gone).select(F.col("doc_id").alias("key"), "gone")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    source = docs.select(F.struct(*columns).alias("doc"), F.col(id_col).cast("long").alias("own"))
+    source = docs.select(F.struct(*map(quoted, columns)).alias("doc"), F.col(id_col).cast("long").alias("own"))
     joined = source.join(gone, F.col("own").eqNullSafe(F.col("key")), "left").select("doc", F.col(f"doc.`{text_col}`").cast("string").alias("text"), "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +173,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = pa.array([1 + (t or "").count("\n") for t in old], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([t for t, _ in new], pa.string()), n, pa.array([k for _, k in new], pa.int64())], ["doc", "text", "n_lines", "n_dropped"])
 
-    schema = f"doc {source.schema['doc'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
+    schema = StructType([source.schema["doc"]]).add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     done = joined.mapInArrow(run, schema)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in columns], "n_lines", "n_dropped")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns], "n_lines", "n_dropped")

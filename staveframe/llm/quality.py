@@ -19,8 +19,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from staveframe.llm._batches import chunks
+from staveframe.llm._batches import chunks, hashed, quoted
 
 # Frequent function words of the languages of the texts.
 STOP = frozenset(
@@ -166,7 +167,7 @@ def fit_scorer(docs: DataFrame, labels: LabelModel, fit_rows: int = FIT_ROWS, te
     all their columns (all, where there are fewer): each row counts as good and as bad with the weights that the
     posterior gives. The rows are fitted in the order of that hash, so that it does not matter how they are dealt."""
     n = docs.count()
-    place = F.xxhash64(*docs.columns)
+    place = F.xxhash64(*hashed(docs))
     drawn = docs.where(F.pmod(place, F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)) if n > fit_rows else docs
     source = drawn.select(place.alias("place"), F.col(text_col).cast("string").alias("text"))
 
@@ -223,6 +224,7 @@ def score(docs: DataFrame, labels: LabelModel | None = None, scorer: tuple[np.nd
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(p), pa.array(scores, pa.float64()), pa.array(keep, pa.bool_())], ["doc", "posterior", "score", "keep"])
 
     columns = [c for c in docs.columns if c not in ("posterior", "score", "keep")]
-    source = docs.select(F.struct(*columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    done = source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, posterior double, score double, keep boolean")
-    return done.select(*[F.col(f"doc.`{c}`") for c in columns], "posterior", "score", "keep")
+    source = docs.select(F.struct(*map(quoted, columns)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([source.schema["doc"]]).add("posterior", "double").add("score", "double").add("keep", "boolean")
+    done = source.mapInArrow(run, schema)
+    return done.select(*[F.col("doc").getField(c).alias(c) for c in columns], "posterior", "score", "keep")

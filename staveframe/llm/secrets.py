@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staveframe.llm._batches import hashed
+
 # The base patterns, in the order in which spans with equal start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 characters or more
@@ -72,7 +74,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, text_col: str = "text") ->
     labelled strings of a kind, the even prior stands for it, which is what random strings are like.
     """
     n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)) if n > fit_rows else docs
+    drawn = docs.where(F.pmod(F.xxhash64(*hashed(docs)), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)) if n > fit_rows else docs
     texts = drawn.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     secret = F.concat(F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 8), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
@@ -156,4 +158,4 @@ def redact(docs: DataFrame, model: list[float] | None = None, mask: str = "[SECR
     tail = lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
     every = F.array_sort(F.concat("base", "added"))
     masked = F.when(F.size(every) == 0, F.col(f"carried.{text_col}")).otherwise(F.aggregate(every, start, step, tail))
-    return rows.select(*[masked.alias(c) if c == text_col else F.col(f"carried.`{c}`") for c in docs.columns])
+    return rows.select(*[masked.alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ def docs(spark, rows):
     from pyspark.sql import functions as F
 
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return made.withColumns({c: F.lit(f"extra {c}") for c in CLASHES.split()})
+    return made.withColumns({c: F.lit(f"extra {c}") for c in CLASHES.split()}).withColumns({"a.b": F.lit("dotted"), "tags": F.create_map(F.lit("k"), F.col("doc_id"))})
 
 
 @pytest.fixture(scope="session")
