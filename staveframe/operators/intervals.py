@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
+def buckets(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
 
 
@@ -24,7 +24,7 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, key: str, width:
         intervals = intervals.join(ends, key).withColumn("shut", F.col("end") == F.col("last")).drop("last")
     else:
         intervals = intervals.withColumn("shut", F.lit(False))
-    spread = intervals.select(key, "start", "end", "idx", "label", "shut", _buckets(F.col("start"), F.col("end"), width).alias("bucket"))
+    spread = intervals.select(key, "start", "end", "idx", "label", "shut", buckets(F.col("start"), F.col("end"), width).alias("bucket"))
     found = points.withColumn("bucket", F.floor(F.col("at") / width)).join(spread, [key, "bucket"], "left")
     holds = (F.col("start") <= F.col("at")) & ((F.col("at") < F.col("end")) | (F.col("shut") & (F.col("at") == F.col("end"))))
     first = F.min(F.when(holds, F.struct("idx", "label")))
@@ -33,8 +33,8 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, key: str, width:
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs ``key, left_id, right_id, seconds`` of intervals ``(key, id, start, end)`` that overlap, each pair once."""
-    a = left.select(key, F.col("id").alias("left_id"), F.col("start").alias("ls"), F.col("end").alias("le"), _buckets(F.col("start"), F.col("end"), width).alias("bucket"))
-    b = right.select(key, F.col("id").alias("right_id"), F.col("start").alias("rs"), F.col("end").alias("re"), _buckets(F.col("start"), F.col("end"), width).alias("bucket"))
+    a = left.select(key, F.col("id").alias("left_id"), F.col("start").alias("ls"), F.col("end").alias("le"), buckets(F.col("start"), F.col("end"), width).alias("bucket"))
+    b = right.select(key, F.col("id").alias("right_id"), F.col("start").alias("rs"), F.col("end").alias("re"), buckets(F.col("start"), F.col("end"), width).alias("bucket"))
     pairs = a.join(b, [key, "bucket"]).where((F.col("ls") < F.col("re")) & (F.col("le") > F.col("rs")))
     # Of the buckets that two intervals share, the first is that of the later start.
     once = pairs.where(F.col("bucket") == F.floor(F.greatest("ls", "rs") / width))
@@ -115,7 +115,7 @@ def max_overlap(intervals: DataFrame, key: str) -> DataFrame:
 def window_frames(frames: DataFrame, windows: DataFrame, key: str, width: int) -> DataFrame:
     """Mean of each element of ``vector`` and largest ``peak`` of the frames ``(key, at, vector, peak)`` in every window
     ``(key, id, start, end)``: ``key, id, mean, peak, n``."""
-    spread = windows.select(key, "id", "start", "end", _buckets(F.col("start"), F.col("end"), width).alias("bucket"))
+    spread = windows.select(key, "id", "start", "end", buckets(F.col("start"), F.col("end"), width).alias("bucket"))
     inside = frames.withColumn("bucket", F.floor(F.col("at") / width)).join(spread, [key, "bucket"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
     return vector_mean(inside, [key, "id"], extra=[F.max("peak").alias("peak")])
 

@@ -256,15 +256,35 @@ def region_diagnostics(regions: DataFrame, key: str) -> DataFrame:
     return flagged.groupBy(key).agg(F.count("*").alias("regions"), F.count_if(F.col("label") == "N").alias("silent"), F.count_if("change").alias("changes"), F.avg("span").alias("mean"))
 
 
-def fused_regions(regions: DataFrame, frames: DataFrame, key: str, width: int, names: list[str], rule_weight: float = 1.0, learned_weight: float = LEARNED_WEIGHT) -> DataFrame:
-    """``key, id, label, learned``: regions ``(key, id, start, end, label, confidence)`` take the likeliest of ``names`` by the
-    mean ``vector`` of their frames ``(key, at, vector)`` where it weighs more than the rule's label; those without frames
-    stay."""
-    mean = I.window_frames(frames.withColumn("peak", F.lit(0.0)), regions, key, width).select(key, "id", "mean")
-    top = F.array_max("mean")
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("mean", top).cast("int"))
-    wins = F.coalesce(learned_weight * top > rule_weight * F.col("confidence"), F.lit(False))
-    return regions.join(mean, [key, "id"], "left").select(key, "id", F.when(wins, label).otherwise(F.col("label")).alias("label"), wins.alias("learned"))
+# Names of the twelve roots and endings of the three qualities that a model tells; boundaries count above this.
+LEARNED_ROOTS, LEARNED_ENDINGS, BOUNDARY = ("C", "C#", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B"), ("", "m", "7"), 0.6
+
+
+def fused_regions(regions: DataFrame, frames: DataFrame, key: str, width: int, back: int | None = None, rule_weight: float = 1.0, learned_weight: float = LEARNED_WEIGHT) -> DataFrame:
+    """``key, id, start, end, label, learned``: regions ``(key, id, start, end, label, confidence)`` take the likeliest root and
+    quality of their frames ``(key, at, roots, qualities, boundary)`` where the product of the two means weighs more than the
+    rule's label; those without frames stay.
+
+    With ``back``, a region with frames begins at the first frame within that time before it that is a boundary, and the
+    region before it ends there if it lasted longer; a key's first region stays where it is.
+    """
+    told = frames.select(key, "at", F.concat("roots", "qualities").alias("vector"), F.lit(0.0).alias("peak"))
+    mean = I.window_frames(told, regions, key, width).select(key, "id", F.slice("mean", 1, 12).alias("r"), F.slice("mean", 13, 3).alias("q"))
+    first = lambda c: F.array_position(c, F.array_max(c)).cast("int")
+    named = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), first(c))
+    learned = mean.select(key, "id", F.concat(named(LEARNED_ROOTS, "r"), named(LEARNED_ENDINGS, "q")).alias("other"), (F.array_max("r") * F.array_max("q")).alias("sure"))
+    order = W.partitionBy(key).orderBy("start", "id")
+    rows = regions.join(learned, [key, "id"], "left").withColumn("moved", F.col("start"))
+    if back is not None:
+        before = regions.select(key, "id", (F.col("start") - back).alias("start"), F.col("start").alias("end"))
+        spread = before.select(key, "id", "start", "end", I.buckets(F.col("start"), F.col("end"), width).alias("bucket"))
+        marks = frames.where(F.col("boundary") > BOUNDARY).select(key, "at", F.floor(F.col("at") / width).alias("bucket"))
+        early = marks.join(spread, [key, "bucket"]).where("start <= at AND at < end").groupBy(key, "id").agg(F.min("at").alias("early"))
+        use = F.col("other").isNotNull() & (F.row_number().over(order) > 1)
+        rows = rows.join(early, [key, "id"], "left").withColumn("moved", F.when(use, F.coalesce("early", "start")).otherwise(F.col("start")))
+    wins = F.coalesce(learned_weight * F.col("sure") > rule_weight * F.col("confidence"), F.lit(False))
+    until = F.least("end", F.lead("moved").over(order))
+    return rows.select(key, "id", F.col("moved").alias("start"), until.alias("end"), F.when(wins, F.col("other")).otherwise(F.col("label")).alias("label"), wins.alias("learned"))
 
 
 def shortlist(candidates: DataFrame, group: str, order: list[Column], most: int, always: Column) -> DataFrame:

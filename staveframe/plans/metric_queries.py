@@ -312,17 +312,23 @@ def local_keys(spark, sf_dir):
     return M.local_keys(timeline(spark, sf_dir, 0), frames, "user_id", 8 * HOUR, WIDTH).withColumn("confidence", half_up(F.col("confidence"), 5))
 
 
-@query(CHORD_SQL.rstrip() + """,
-f AS (SELECT user_id, "at", (score * 3) % 1 AS a, (score * 5) % 1 AS b, (score * 7) % 1 AS c FROM e WHERE id % 2 = 1),
-m AS (SELECT lc.user_id, lc.id, lc.name, ((e.score * 11) % 1) / 4 AS confidence, avg(f.a) AS a, avg(f.b) AS b, avg(f.c) AS c FROM lc JOIN e ON e.id = lc.id LEFT JOIN f ON f.user_id = lc.user_id AND lc.s <= f."at" AND f."at" < lc.t GROUP BY ALL),
-w AS (SELECT *, greatest(a, b, c) AS top, coalesce(0.35::DOUBLE * greatest(a, b, c) > confidence, false) AS learned FROM m)
-SELECT user_id, id, CASE WHEN NOT learned THEN name WHEN a = top THEN 'C' WHEN b = top THEN 'G' ELSE 'Am' END AS label, learned FROM w
+@query(CHORD_SQL.rstrip() + f""",
+f AS (SELECT user_id, "at", list_transform(range(0, 12), lambda j: ((id * (j + 2) % 23) / 32.0::DOUBLE)) AS r, list_transform(range(0, 3), lambda j: ((id * (j + 5) % 11) / 16.0::DOUBLE)) AS q, (score * 3) % 1 AS b FROM e WHERE id % 2 = 1),
+h AS (SELECT lc.user_id, lc.id, f.r, f.q FROM lc JOIN f ON f.user_id = lc.user_id AND lc.s <= f."at" AND f."at" < lc.t),
+m AS (SELECT user_id, id, list_transform(range(1, 13), lambda j: list_avg(list_transform(rs, lambda x: x[j]))) AS r, list_transform(range(1, 4), lambda j: list_avg(list_transform(qs, lambda x: x[j]))) AS q FROM (SELECT user_id, id, list(r) AS rs, list(q) AS qs FROM h GROUP BY user_id, id)),
+y AS (SELECT lc.user_id, lc.id, min(f."at") AS early FROM lc JOIN f ON f.user_id = lc.user_id AND lc.s - {6 * HOUR} <= f."at" AND f."at" < lc.s AND f.b > 0.6::DOUBLE GROUP BY lc.user_id, lc.id),
+z AS (SELECT lc.user_id, lc.id, lc.s, lc.t, lc.name, ((e.score * 11) % 1) / 4 AS confidence, m.r, m.q, CASE WHEN m.r IS NOT NULL AND row_number() OVER (PARTITION BY lc.user_id ORDER BY lc.s, lc.id) > 1 THEN coalesce(y.early, lc.s) ELSE lc.s END AS moved
+    FROM lc JOIN e ON e.id = lc.id LEFT JOIN m ON m.user_id = lc.user_id AND m.id = lc.id LEFT JOIN y ON y.user_id = lc.user_id AND y.id = lc.id),
+w AS (SELECT *, coalesce(0.35::DOUBLE * (list_max(r) * list_max(q)) > confidence, false) AS learned, least(t, coalesce(lead(moved) OVER (PARTITION BY user_id ORDER BY s, id), t)) AS until FROM z)
+SELECT user_id, id, moved AS start, until AS "end", CASE WHEN learned THEN (['C', 'C#', 'D', 'Eb', 'E', 'F', 'F#', 'G', 'Ab', 'A', 'Bb', 'B'])[list_position(r, list_max(r))] || (['', 'm', '7'])[list_position(q, list_max(q))] ELSE name END AS label, learned FROM w
 """)
 def fused_regions(spark, sf_dir):
-    rows = notes(spark, sf_dir)
-    p = [F.pmod(F.col("score") * k, F.lit(1.0)) for k in (3, 5, 7)]
+    """One side's chords against the other side's events as frames of roots and qualities, dated back by up to six hours."""
+    rows, i = notes(spark, sf_dir), F.col("id")
     regions = chord_timeline(spark, sf_dir, 0).join(rows.select("id", (F.pmod(F.col("score") * 11, F.lit(1.0)) / 4).alias("confidence")), "id")
-    return M.fused_regions(regions, rows.where("id % 2 = 1").select("user_id", "at", F.array(*p).alias("vector")), "user_id", WIDTH, ["C", "G", "Am"])
+    each = lambda n, a, m, of: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: i * (j + a) % m / F.lit(of))
+    frames = rows.where("id % 2 = 1").select("user_id", "at", each(12, 2, 23, 32.0).alias("roots"), each(3, 5, 11, 16.0).alias("qualities"), F.pmod(F.col("score") * 3, F.lit(1.0)).alias("boundary"))
+    return M.fused_regions(regions, frames, "user_id", WIDTH, 6 * HOUR)
 
 
 @query(CHORD_SQL.rstrip() + f""",

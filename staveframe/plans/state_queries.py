@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staveframe.functions.scalars import half_up
-from staveframe.operators import calibration, evidence, regions, rollups, smoothing
+from staveframe.operators import calibration, edits, evidence, regions, rollups, smoothing
 from staveframe.plans.roles import OBSERVED, heard, judged, observations, table
 from staveframe.sources.store import Store, cut, shared_folder
 from staveframe.streaming import changes
@@ -275,3 +276,39 @@ def candidate_screening(spark, sf_dir):
     """Six named candidates and 32 drawn ones over every user's windows."""
     found = calibration.screened(judged(spark, sf_dir), calibration.candidates(spark, SEED, DRAWN), "user_id", [0, 0, 9, 5, None])
     return found.select("id", *[half_up(F.col(c), 6).alias(c) for c in ("detailed", "root", "change_rate", "score")])
+
+
+ACTIONS = ("apply", "no-chord", "split", "merge-previous", "merge-next", "unknown")
+
+
+@query("""
+WITH RECURSIVE ev AS (
+    SELECT user_id, event_id AS i, event_type AS label, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS k FROM events
+), rg AS (
+    SELECT user_id, list({'s': k * 2.0::DOUBLE, 'e': (k + 1) * 2.0::DOUBLE, 'l': label, 'z': false} ORDER BY k) AS rs FROM ev WHERE i % 2 = 0 GROUP BY user_id
+), lg AS (
+    SELECT user_id, k, i * 7 % 60 - 3 AS p, i % 6 AS a, CASE WHEN i % 12 > 0 THEN label || '*' END AS label, (i * 7 % 60 - 3) * 2.0::DOUBLE + (i % 9)::DOUBLE / 4.0::DOUBLE AS x, i % 4 = 1 AS z FROM ev WHERE i % 2 = 1
+), fo AS (
+    SELECT user_id, 0::BIGINT AS k, rs FROM rg
+    UNION ALL
+    SELECT user_id, k + 1, CASE WHEN NOT here THEN rs
+        WHEN a = 0 AND label IS NOT NULL THEN rs[1:p] || [{'s': o.s, 'e': o.e, 'l': label, 'z': z}] || rs[p + 2:len(rs)] WHEN a = 1 THEN rs[1:p] || [{'s': o.s, 'e': o.e, 'l': 'N', 'z': true}] || rs[p + 2:len(rs)]
+        WHEN a = 2 AND x > o.s + 0.1::DOUBLE AND x < o.e - 0.1::DOUBLE THEN rs[1:p] || [{'s': o.s, 'e': x, 'l': o.l, 'z': true}, {'s': x, 'e': o.e, 'l': o.l, 'z': true}] || rs[p + 2:len(rs)]
+        WHEN a = 3 AND p > 0 THEN rs[1:p - 1] || [{'s': rs[p].s, 'e': o.e, 'l': o.l, 'z': o.z OR rs[p].z}] || rs[p + 2:len(rs)] WHEN a = 4 AND p + 1 < len(rs) THEN rs[1:p] || [{'s': o.s, 'e': rs[p + 2].e, 'l': o.l, 'z': o.z OR rs[p + 2].z}] || rs[p + 3:len(rs)]
+        ELSE rs END FROM (SELECT fo.user_id, fo.k, fo.rs, lg.p, lg.a, lg.label, lg.x, lg.z, lg.p >= 0 AND lg.p < len(fo.rs) AS here, fo.rs[greatest(lg.p, 0) + 1] AS o FROM fo JOIN lg ON lg.user_id = fo.user_id AND lg.k = fo.k)
+), dn AS (
+    SELECT user_id, rs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM fo) WHERE r = 1
+), un AS (
+    SELECT user_id, unnest(rs) AS o, generate_subscripts(rs, 1) - 1 AS place FROM dn
+)
+SELECT user_id, place, o.s AS start, o.e AS "end", o.l AS label, o.z AS locked FROM un
+""")
+def region_edits(spark, sf_dir):
+    """Each user's even events as regions of two seconds, and the odd ones as edits of them, many of which change nothing."""
+    i, k = F.col("event_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    given = events.where("event_id % 2 = 0").select("user_id", (k * 2.0).alias("start"), ((k + 1) * 2.0).alias("end"), F.col("event_type").alias("label"), F.lit(False).alias("locked"))
+    place = i * 7 % 60 - 3
+    action = F.element_at(F.array(*[F.lit("unknown" if a == "unknown" else a) for a in ACTIONS]), (i % 6 + 1).cast("int"))
+    log = events.where("event_id % 2 = 1").select("user_id", k.alias("seq"), place.alias("place"), action.alias("action"), F.when(i % 12 > 0, F.concat("event_type", F.lit("*"))).alias("label"), (place * 2.0 + i % 9 / F.lit(4.0)).alias("at"), (i % 4 == 1).alias("locked"))
+    return edits.edited(given, log, "user_id")
