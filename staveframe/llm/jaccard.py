@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from staveframe.llm._batches import chunks, give_back, texts
 from staveframe.llm._lineage import cut
@@ -369,7 +370,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     with_id = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"))
     left = with_id.join(F.broadcast(gone) if small else gone, "doc_id", "left").where(F.col("some").isNull() | F.col("some"))
     if gone.where("some").limit(1).count() == 0:  # ids tell rows apart
-        return left.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+        return left.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
     # Rows that share an id, of which some go: they are told apart by their shingles, and equal ones by their place.
     clear = left.where(F.col("some").isNull())
     mixed = left.where(F.col("some")).select("doc", "doc_id", F.col(f"doc.`{text_col}`").cast("string").alias("text"))
@@ -380,8 +381,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             sets = shingler.sets(texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())], ["doc", "doc_id", "digest"])
 
-    told = mixed.mapInArrow(run, f"doc {mixed.schema['doc'].dataType.simpleString()}, doc_id long, digest binary")
+    told = mixed.mapInArrow(run, StructType([mixed.schema["doc"]]).add("doc_id", "long").add("digest", "binary"))
     keepers = found.where("kept and digest is not null").select("doc_id", "digest").distinct()
     one = told.join(keepers, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     rest = told.where(F.col("digest").isNull())
-    return clear.select("doc").unionByName(one.select("doc")).unionByName(rest.select("doc")).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    return clear.select("doc").unionByName(one.select("doc")).unionByName(rest.select("doc")).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
