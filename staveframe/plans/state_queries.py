@@ -124,7 +124,7 @@ def _answers(spark, sf_dir):
 @query(f"""
 WITH e AS (SELECT event_type AS capture, user_id AS track, list(CAST(floor(value) AS BIGINT) % 12) AS pcs, count(*) AS frames, min(event_id) AS a, max(event_id) AS b FROM events WHERE user_id % 6 <> 0 GROUP BY ALL)
 SELECT capture, track, 'p0' || (track % 6) AS performer, CASE WHEN track % 6 % 2 = 0 THEN 'even' ELSE 'odd' END AS fold, CASE WHEN capture = 'click' OR track % 3 = 2 THEN 'miss' WHEN track % 3 = 1 THEN 'invalid' ELSE 'hit' END AS status,
-    array_to_string({VOTES_SQL}, ' ') AS votes, sha256(array_to_string({VOTES_SQL}, ' ')) AS digest, CASE WHEN track = min(track) OVER (PARTITION BY capture) THEN true END AS parity FROM e
+    array_to_string({VOTES_SQL}, ' ') AS votes, sha256(array_to_string({VOTES_SQL}, ' ')) AS digest, CASE WHEN track = min(track) OVER (PARTITION BY capture) THEN 'same' ELSE '' END AS parity FROM e
 """)
 def calibration_evidence(spark, sf_dir):
     """A third of the tracks is in the store, a third with answers that are cut short; for clicks both are of an older model."""
@@ -137,7 +137,7 @@ def calibration_evidence(spark, sf_dir):
     store.upsert(answer(broken).join(broken.select("cache_key", "model"), "cache_key").withColumns({"votes": F.slice("votes", 1, 7), "entry": F.lit(evidence.ENTRY)}))
     performers = spark.createDataFrame([(f"p0{k}", "training" if k < 4 else "development", "odd" if k % 2 else "even") for k in range(1, 6)], "performer string, role string, fold string")
     told = evidence.evidence(requests, performers, store, answer, ["model"], valid, F.sha2(F.concat_ws(" ", F.col("votes").cast("array<string>")), 256), "p00")
-    return told.select("capture", "track", "performer", "fold", "status", F.concat_ws(" ", F.col("votes").cast("array<string>")).alias("votes"), "digest", "parity")
+    return told.select("capture", "track", "performer", "fold", "status", F.concat_ws(" ", F.col("votes").cast("array<string>")).alias("votes"), "digest", F.when(F.col("parity"), "same").otherwise("").alias("parity"))
 
 
 def _song_reports(spark, sf_dir):
@@ -159,12 +159,12 @@ _mean = lambda x: f"floor((sum(CAST({x} AS DECIMAL(28,8))) / count({x}))::DOUBLE
 WITH it AS (SELECT l_orderkey, max(l_discount)::DOUBLE AS root, max(l_tax)::DOUBLE AS fam, max(l_quantity)::DOUBLE AS bnd FROM lineitem GROUP BY 1),
 rp AS (SELECT l_orderkey AS id, 'song ' || o_custkey AS song, coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END, 'Unspecified') AS genre, root, CASE WHEN l_orderkey % 5 <> 0 THEN fam END AS fam, CASE WHEN l_orderkey % 7 <> 0 THEN bnd END AS bnd FROM it JOIN orders ON o_orderkey = l_orderkey),
 cs AS (SELECT 'line ' || l_linenumber AS name, rp.song, l_quantity FROM lineitem JOIN rp ON rp.id = l_orderkey WHERE l_returnflag = 'R')
-SELECT 'metric' AS part, 'rootAccuracy' AS name, '' AS item, count(root) AS songs, NULL::BIGINT AS occurrences, {_mean('root')} AS value, NULL::BOOLEAN AS recurring FROM rp
-UNION ALL SELECT 'metric', 'majorMinorAccuracy', '', count(fam), NULL, {_mean('fam')}, NULL FROM rp HAVING count(fam) > 0 UNION ALL SELECT 'metric', 'meanBoundaryErrorMs', '', count(bnd), NULL, {_mean('bnd')}, NULL FROM rp HAVING count(bnd) > 0
-UNION ALL SELECT 'songs', '', '', count(*), NULL, NULL, NULL FROM rp UNION ALL SELECT 'genre', genre, '', count(*), NULL, NULL, NULL FROM rp GROUP BY genre
-UNION ALL SELECT 'genre', genre, 'rootAccuracy', count(root), NULL, {_mean('root')}, NULL FROM rp GROUP BY genre UNION ALL SELECT 'genre', genre, 'majorMinorAccuracy', count(fam), NULL, {_mean('fam')}, NULL FROM rp GROUP BY genre HAVING count(fam) > 0
-UNION ALL SELECT 'cause', name, '', count(DISTINCT song), count(*), floor(sum(l_quantity)::DOUBLE * 1e3::DOUBLE + 0.5::DOUBLE) / 1e3::DOUBLE, count(DISTINCT song) >= 3 FROM cs GROUP BY name
-UNION ALL SELECT 'confusion', l_returnflag || '>' || l_linestatus, '', count(*), NULL, floor(sum(l_tax)::DOUBLE * 1e3::DOUBLE + 0.5::DOUBLE) / 1e3::DOUBLE, NULL FROM lineitem JOIN rp ON rp.id = l_orderkey GROUP BY 2
+SELECT 'metric' AS part, 'rootAccuracy' AS name, '' AS item, count(root) AS songs, NULL::BIGINT AS occurrences, {_mean('root')} AS value, '' AS recurring FROM rp
+UNION ALL SELECT 'metric', 'majorMinorAccuracy', '', count(fam), NULL, {_mean('fam')}, '' FROM rp HAVING count(fam) > 0 UNION ALL SELECT 'metric', 'meanBoundaryErrorMs', '', count(bnd), NULL, {_mean('bnd')}, '' FROM rp HAVING count(bnd) > 0
+UNION ALL SELECT 'songs', '', '', count(*), NULL, NULL, '' FROM rp UNION ALL SELECT 'genre', genre, '', count(*), NULL, NULL, '' FROM rp GROUP BY genre
+UNION ALL SELECT 'genre', genre, 'rootAccuracy', count(root), NULL, {_mean('root')}, '' FROM rp GROUP BY genre UNION ALL SELECT 'genre', genre, 'majorMinorAccuracy', count(fam), NULL, {_mean('fam')}, '' FROM rp GROUP BY genre HAVING count(fam) > 0
+UNION ALL SELECT 'cause', name, '', count(DISTINCT song), count(*), floor(sum(l_quantity)::DOUBLE * 1e3::DOUBLE + 0.5::DOUBLE) / 1e3::DOUBLE, CASE WHEN count(DISTINCT song) >= 3 THEN 'yes' ELSE 'no' END FROM cs GROUP BY name
+UNION ALL SELECT 'confusion', l_returnflag || '>' || l_linestatus, '', count(*), NULL, floor(sum(l_tax)::DOUBLE * 1e3::DOUBLE + 0.5::DOUBLE) / 1e3::DOUBLE, '' FROM lineitem JOIN rp ON rp.id = l_orderkey GROUP BY 2
 """)
 def refreshed_rollup(spark, sf_dir):
     """Two thirds of the reports are stored first, a part of them in an earlier form; a second refresh brings the rest and
@@ -176,7 +176,8 @@ def refreshed_rollup(spark, sf_dir):
     former = {"song": F.when(early, F.lit("former song")).otherwise(F.col("song")), "genre": F.when(early, F.lit("former")).otherwise(F.col("genre")), "metrics": F.when(early, F.map_from_arrays(F.array(F.lit("rootAccuracy"), F.lit("formerly")), F.array(F.lit(0.5), F.lit(1.5)))).otherwise(F.col("metrics"))}
     rollups.refresh(reports.where("report_id % 3 <> 2").withColumns(former), stored, sums)
     rollups.refresh(reports.where("report_id % 3 = 2 OR report_id % 4 = 1"), stored, sums)
-    return rollups.report(sums.current())
+    recurring = F.when(F.col("recurring"), "yes").when(~F.col("recurring"), "no").otherwise("")
+    return rollups.report(sums.current()).withColumn("recurring", recurring)
 
 
 SECONDS = 0.5

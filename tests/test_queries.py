@@ -64,13 +64,17 @@ def test_imports_without_the_optional_part():
 
 @pytest.mark.parametrize("without_pipeline", [False, True])
 def test_entry_without_the_optional_part(tmp_path, without_pipeline):
-    """With the optional folders deleted, and the pipeline's file too or not, the other queries and their SQL are there."""
+    """With the optional folders deleted, and the pipeline's file too or not, the other queries and their SQL are there and run."""
     root = os.path.dirname(os.path.abspath(entry.__file__))
     gone = shutil.ignore_patterns("llm", ".git", "__pycache__", *(["corpus_pipeline.py"] if without_pipeline else []))
     shutil.copytree(root, tmp_path / "repo", ignore=gone)
-    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=120, check=True)
-    names, sql = (line.split() for line in done.stdout.splitlines())
+    code = """import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print(*[e.queries()[n](spark, "FOLDER").count() > 0 for n in ("weighted_ratio", "region_edits", "viterbi")])""".replace("FOLDER", FOLDER)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(tmp_path / "repo")}  # for Spark's Python workers
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=240, check=True)
+    names, sql, ran = (line.split() for line in done.stdout.splitlines())
     assert names == sorted(OWN)
     assert sql == sorted(SQL)
+    assert ran == ["True"] * 3
