@@ -1,19 +1,23 @@
 """Operator 8: main text of web pages by equivalence-class template deduction.
 
-Each page is cut into tokens: its tags and its blocks of text, each together with the path of elements above it. Tokens
+Each page is cut into tokens: its tags and its blocks of text, each together with the path of elements above it; boxes
+that differ from others below the same element by their place only have their place in the token. Tokens
 of a host that occur equally often in each of its pages (that have the same occurrence vector) are one equivalence
 class. Classes are judged as a whole: one is valid if it occurs in most of the host's pages, has enough tokens, tags
 among them, and leaves slots: below its outermost tags, text that differs must make up a share of all text. Constant
 text without tags or slots of its own (as copies of one article are) is content. Valid classes are nested by the paths
 of their tokens and make up the host's template; what is left of a page are its slots.
 
-The template also tells which slot holds the article. Every page has a vote: going down from its root as long as one
-element holds most of the text that isn't in links, it names the first article or main element that it meets. An element is the
-host's article if enough of the pages that have it name it; then the rest of a page goes, also where its article is
-short or its comments are long. Other slots are dropped if, over all pages of the host, they hold mostly links, and in
-elements that HTML defines as menus, headers, footers, sidebars, forms or hidden. Class words only decide between
-what is left below the article's element or outside of any; those of elements around the article count for nothing.
-Pages of a host that the template does not have speak for themselves.
+The template also tells which slot holds the article. From the root of the template, as long as one element of a
+valid class holds most of the text that varies over the host's pages and isn't in links, it is gone down into; where that ends
+is the article, and the rest of a page goes, also where its article is short or its comments are long. Boxes whose number
+differs from page to page are parts of a text and not gone into. Names of elements and class words only weigh text in this.
+Hosts without such an element leave it to votes: every page names the first article or main element that it meets on
+its own way down, and an element is the article if enough of the pages that have it name it. Other slots are dropped if,
+over all pages of the host, they hold mostly links, and in elements that HTML defines as menus, headers, footers,
+sidebars, forms or hidden. Class words only decide between what is left below the article's element or outside of
+any; those of elements around the article count for nothing. Pages of a host that the template does not have speak for
+themselves.
 
 Occurrence vectors are never gathered: two tokens have the same one if the sums over pages of (count x hash of the
 page) are equal, which Spark adds up by host and token, before and after one shuffle. A host may have any share of the pages.
@@ -26,9 +30,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Set
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staveframe.llm._batches import chunks
@@ -43,6 +48,8 @@ RAW = frozenset("script style noscript template iframe object svg textarea title
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_CONTENT = frozenset("head nav footer aside menu dialog button label fieldset".split())
 GROUPS = frozenset("html body div section center form table tbody tr td article main".split())
+#: Boxes that have their place in their token, as they often have nothing else of their own.
+BOXES = frozenset("div section center form".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("table ul ol dl article section div main body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
@@ -59,6 +66,8 @@ SHARE, ARTICLE_SHARE = 0.5, 0.9
 MOST, ARTICLE_WEIGHT, NAMED_WEIGHT = 0.6, 6.0, 0.05
 #: An element is the article if so many of the pages that have it name it; elements of fewer pages than the second share speak for themselves.
 VOTES, RARE = 0.3, 0.01
+#: Boxes are parts of the template if their mean number below an element is so near to the number of frequent ones.
+STEADY = 0.1
 #: Tokens of a valid class, and the share of the text below its tags that its slots hold: of all text, and of text in articles.
 LEAST_TOKENS, SLOTS, ARTICLE_SLOTS = 3, 0.05, 0.5
 #: Hosts' templates are broadcast while they have fewer tokens than this together; beyond, pages are joined to them by host.
@@ -83,16 +92,19 @@ class Page:
         self.tokens: list[tuple[int, int, int]] = []
         #: Elements as they come: token, node above, shut for good, named as no content. Node 0 is the page.
         self.nodes: list[tuple[int, int, bool, bool]] = [(0, 0, False, False)]
+        #: Tokens of elements: the token without its place, and whether it groups others (1) or holds the page (2).
+        self.bases: dict[int, tuple[int, int]] = {}
+        self.places: Counter = Counter()  # (number of the element above, token without its place)
         #: Tokens of elements: token above, whether it groups others, is an article, is named as no content.
         self.elements: dict[int, tuple[int, bool, bool, bool]] = {}
-        self.stack: list[tuple[str, int, int, bool, bool]] = []  # name, node, path, article, link
+        self.stack: list[tuple[str, int, int, bool, bool, int]] = []  # name, node, path, article, link, number of the block
         self.parts: list[str] = []
         self.linked = 0
         self._read(source)
-        self.times = Counter(token for token, _, _ in self.tokens)
+        self.repeats = Counter(self.bases[token][0] for token, _, _ in self.tokens)
         self.article, self.around = self._article()
         inside, barred = self.marks(self.article)
-        self.tokens += [(token, slot, 2 if inside[node] else 1) for _, token, slot, node, _ in self.blocks if not barred[node]]
+        self.tokens += [(token, slot, 2 if inside[node] and not barred[node] else 1) for _, token, slot, node, _ in self.blocks]
 
     def _flush(self) -> None:
         if self.parts:
@@ -138,7 +150,7 @@ class Page:
                 break
             if best in best_ones:
                 return best, around
-            if self.times[best] > 1:
+            if self.repeats[self.bases[best][0]] > 1:
                 break
             around.add(best)
             at = best
@@ -181,19 +193,24 @@ class Page:
             return
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        _, node, path, article, link = self.stack[-1] if self.stack else ("", 0, 0, False, False)
+        _, node, path, article, link, number = self.stack[-1] if self.stack else ("", 0, 0, False, False, 0)
         is_article = name in ("article", "main") or found.get("role") in ("main", "article")
         shut = name in NO_CONTENT or name == "header" and not article or found.get("role", "") in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", "")
         noise = name == "form" or bool(names) and name not in ("html", "body", "main") and named(names)
         if name in BLOCK:
-            own = xxhash.xxh3_64_intdigest(f"{path}/{name}.{DIGITS.sub('0', names)}") >> 1
+            base = own = xxhash.xxh3_64_intdigest(f"{path}/{name}.{DIGITS.sub('0', names)}") >> 1
+            self.places[number, base] += 1
+            place = self.places[number, base]
+            if place > 1 and name in BOXES and not is_article:
+                own = xxhash.xxh3_64_intdigest(f"{base}@{place}") >> 1
             self.tokens.append((own, path, 0))
+            self.bases.setdefault(own, (base, 2 if name in ("html", "body") else int(name in GROUPS or is_article)))
             self.elements.setdefault(own, (path, name in GROUPS or is_article, is_article and not noise, noise))
-            path = own
+            path, number = own, len(self.tokens)
         if name in BLOCK or shut or noise:
             self.nodes.append((path if name in BLOCK else -1, node, shut, noise))
             node = len(self.nodes) - 1
-        self.stack.append((name, node, path, article or is_article, link or name == "a"))
+        self.stack.append((name, node, path, article or is_article, link or name == "a", number))
 
     def _close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -252,46 +269,92 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``host, token, parent, kind, times, page, chars, linked, below, below_article, vote``: the distinct tokens of every page.
+    """``host, token, parent, kind, base, shape, times, page, chars, linked, below, below_article, mass, vote``: the
+    distinct tokens of every page.
 
+    ``base`` is the token without its place, ``shape`` 1 for elements that group others and 2 for those of the page.
     ``chars`` is how much text a text token holds, or a slot outside articles, of it ``linked`` in links; ``below`` is
-    all text in an element and in those inside it, ``below_article`` that in articles; ``vote`` is 1 for the element that
-    the page names as its article.
+    all text in an element and in those inside it, ``below_article`` that in articles, ``mass`` that outside of links,
+    weighed by what the page's names say (of text tokens: their own); ``vote`` is 1 for the element that the page names as its article.
     """
+    names = ["host", "token", "parent", "kind", "base", "shape", "times", "page", "chars", "linked", "below", "below_article", "mass", "vote"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 2 << 20):
-            out: list[list] = [[] for _ in range(11)]
+            out: list[list] = [[] for _ in names]
             for host, source, mark in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("page").to_pylist(), strict=True):
                 page = Page(source or "")
-                sizes: Counter = Counter()
-                links: Counter = Counter()
-                below: Counter = Counter()
-                below_article: Counter = Counter()
+                sizes, links, below, below_article, mass = Counter(), Counter(), Counter(), Counter(), Counter()
                 inside, barred = page.marks(page.article)
                 for text, token, slot, node, linked in page.blocks:
-                    if not barred[node]:
-                        sizes[token] += len(text)
-                        below[slot] += len(text)
-                        if inside[node]:
-                            below_article[slot] += len(text)
-                        else:
-                            sizes[slot] += len(text)
-                            links[slot] += linked
+                    sizes[token] += len(text)
+                    below[slot] += len(text)
+                    weight = (NAMED_WEIGHT if barred[node] else ARTICLE_WEIGHT if inside[node] else 1.0) * (len(text) - linked)
+                    mass[slot] += weight
+                    mass[token] += weight
+                    if inside[node] and not barred[node]:
+                        below_article[slot] += len(text)
+                    else:
+                        sizes[slot] += len(text)
+                        links[slot] += linked
                 counted = Counter(page.tokens)
                 for token, parent, kind in reversed(counted):  # elements are first met after those around them
                     if kind == 0:
                         below[parent] += below[token]
                         below_article[parent] += below_article[token]
+                        mass[parent] += mass[token]
                 for (token, parent, kind), times in counted.items():
+                    base, shape = page.bases[token] if kind == 0 else (0, 0)
                     of_slot = (links[token], below[token], below_article[token]) if kind == 0 else (0, 0, 0)
-                    for column, value in zip(out, (host, token, parent, kind, times, mark, sizes[token], *of_slot, int(kind == 0 and token == page.article)), strict=True):
+                    for column, value in zip(out, (host, token, parent, kind, base, shape, times, mark, sizes[token], *of_slot, round(mass[token] * 100), int(kind == 0 and token == page.article)), strict=True):
                         column.append(value)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "token", "parent", "kind", "times", "page", "chars", "linked", "below", "below_article", "vote"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     source = rows.select("host", "html", F.xxhash64(F.monotonically_increasing_id(), F.lit(8)).alias("page"))
-    return source.mapInArrow(run, "host string, token long, parent long, kind int, times long, page long, chars long, linked long, below long, below_article long, vote long")
+    return source.mapInArrow(run, "host string, token long, parent long, kind int, base long, shape int, times long, page long, chars long, linked long, below long, below_article long, mass long, vote long")
+
+
+def article_of(tokens: pd.DataFrame) -> pd.DataFrame:
+    """The element of one host's template that its article is in: ``host, found``, or no row where there is none.
+
+    ``tokens`` are the host's tokens of valid classes, which are twice as many as a page has, at most: each is in half
+    of the pages. Text among them is constant and taken off from the elements around it.
+    """
+    tags = tokens[tokens["kind"] == 0]
+    above = dict(zip(tags["token"], tags["parent"], strict=True))
+    mass = Counter(dict(zip(tags["token"], tags["mass"], strict=True)))
+    for token, size in tags.loc[tags["parent"] == 0, ["token", "mass"]].itertuples(index=False):
+        mass[0] += size
+    constant: Counter = Counter()
+    for parent, size in tokens.loc[tokens["kind"] != 0, ["parent", "mass"]].itertuples(index=False):
+        constant[parent] += size
+    depth = {0: 0}
+    order = []
+    for token in above:  # from the token up to one that is known
+        way = []
+        while token in above and token not in depth:
+            way.append(token)
+            token = above[token]
+        for step in reversed(way):
+            depth[step] = depth.get(above[step], 0) + 1
+            order.append(step)
+    for token in sorted(order, key=depth.get, reverse=True):
+        constant[above[token]] += constant[token]
+    steady = tags.groupby("base").agg(n=("token", "size"), met=("pages", "max"), siblings=("of_base", "max"))
+    steady = set(steady.index[(steady["siblings"] / steady["met"] - steady["n"]).abs() <= STEADY * steady["n"]])
+    below: dict[int, list] = {}
+    for row in tags.itertuples(index=False):
+        below.setdefault(row.parent, []).append(row)
+    at, found = 0, None
+    while at in below:
+        best = max(below[at], key=lambda r: (mass[r.token] - constant[r.token], -r.token))
+        own = mass[best.token] - constant[best.token]
+        if best.shape == 0 or best.base not in steady or own <= 0 or own < MOST * (mass[at] - constant[at]):
+            break
+        at = best.token
+        found = at if best.shape == 1 else None
+    return pd.DataFrame({"host": tokens["host"].iloc[:1], "found": [found]}) if found is not None else pd.DataFrame({"host": pd.Series(dtype=str), "found": pd.Series(dtype="int64")})
 
 
 def templates(rows: DataFrame) -> DataFrame:
@@ -300,13 +363,14 @@ def templates(rows: DataFrame) -> DataFrame:
 
     ``class_id`` is a class's occurrence sum (null: tokens of fewer pages); ``within`` is that of the class around it (null for
     the outermost); ``tokens`` are its tokens of text if the class is valid, else empty, and without those in articles if they
-    are most of the text of the articles; ``slots_of_links`` its elements of which the text is mostly links; ``articles`` its
-    elements that enough of the pages that have them name as the article, ``others`` those that fewer pages name.
+    are most of the text of the articles; ``slots_of_links`` its elements of which the text is mostly links; ``articles`` the
+    element that holds the article by :func:`article_of`, for hosts without one those that enough of the pages that have
+    them name; ``others`` those that fewer pages name.
     Shares of pages are counted as if one page more spoke against and one less for it, so that few pages prove little.
     """
     big = "decimal(38,0)"
     vector = F.sum((F.col("times") * F.col("page").cast(big) % F.lit(1 << 61).cast(big)).cast(big))  # equal for equal occurrence vectors
-    each = occurrences(rows).groupBy("host", "token", "parent", "kind").agg(F.count("*").alias("pages"), vector.alias("vector"), *[F.sum(c).alias(c) for c in ("chars", "linked", "below", "below_article", "vote")])
+    each = occurrences(rows).groupBy("host", "token", "parent", "kind").agg(F.count("*").alias("pages"), vector.alias("vector"), F.max("base").alias("base"), F.max("shape").alias("shape"), *[F.sum(c).alias(c) for c in ("times", "chars", "linked", "below", "below_article", "mass", "vote")])
     each = cut(each.where((F.col("pages") > 1) | (F.col("parent") == 0) & (F.col("kind") == 0)))
     # The element that most pages of a host have tells how many pages there are.
     total = each.groupBy("host").agg(F.max("pages").alias("of"))
@@ -321,16 +385,24 @@ def templates(rows: DataFrame) -> DataFrame:
     total_of = lambda c, which: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0)).alias(f"{c}_of")
     held = lambda which, name: F.collect_list(F.when(which, F.col("token"))).alias(name)
     is_article = tag & (F.col("vote") > 0) & (F.col("vote") >= VOTES * F.col("pages"))
-    classes = nested.groupBy("host", F.col("vector").alias("class_id")).agg(
+    classes = cut(nested.groupBy("host", F.col("vector").alias("class_id")).agg(
         F.min(F.when(F.col("outer") != F.col("vector"), F.col("outer"))).alias("within"), held(F.col("kind") == 1, "texts"), held(F.col("kind") == 2, "article_texts"),
         held(links, "slots_of_links"), held(is_article, "articles"), held(tag & (F.col("vote") > 0) & ~is_article, "others"), F.max("pages").alias("pages"), F.count("*").alias("n"), F.count_if(tag).alias("tags"),
         total_of("below", tag & outermost), total_of("below_article", tag & outermost), F.sum(F.when(~tag, F.col("chars")).otherwise(0)).alias("own"), F.sum(F.when(F.col("kind") == 2, F.col("chars")).otherwise(0)).alias("own_article"),
-    )
-    valid = F.col("class_id").isNotNull() & (F.col("n") >= LEAST_TOKENS) & (F.col("tags") > 0) & (F.col("own") <= (1 - SLOTS) * F.col("below_of"))
+    ))
+    leaves = F.col("class_id").isNotNull() & (F.col("tags") > 0) & (F.col("own") <= (1 - SLOTS) * F.col("below_of"))
+    valid = leaves & (F.col("n") >= LEAST_TOKENS)
     small = F.col("own_article") <= (1 - ARTICLE_SLOTS) * F.col("below_article_of")
+    # The tags of classes that leave slots, and the text that is taken for template, tell the article's element.
+    known = classes.select("host", F.col("class_id").alias("vector"), leaves.alias("leaves"), valid.alias("valid"), small.alias("small"))
+    given = nested.join(known, ["host", "vector"]).where(F.when(tag, F.col("leaves")).otherwise(F.col("valid") & ((F.col("kind") == 1) | F.col("small"))))
+    given = given.withColumn("of_base", F.sum(F.when(tag, F.col("times"))).over(Window.partitionBy("host", "base")))
+    found_in = given.select("host", "token", "parent", "kind", "base", "shape", "pages", "of_base", "mass").groupBy("host").applyInPandas(article_of, "host string, found long")
     none = F.array().cast("array<bigint>")
     tokens = F.when(valid, F.concat("texts", F.when(small, F.col("article_texts")).otherwise(none))).otherwise(none)
-    found = classes.select("host", "class_id", "within", tokens.alias("tokens"), "slots_of_links", "articles", "others", "pages")
+    told = classes.join(found_in, "host", "left")
+    articles = F.when(F.col("found").isNull(), F.col("articles")).otherwise(F.array("found"))
+    found = told.select("host", "class_id", "within", tokens.alias("tokens"), "slots_of_links", articles.alias("articles"), "others", "pages")
     bare = rows.select("host").distinct().join(found.select("host").distinct(), "host", "left_anti")
     return found.unionByName(bare.select("host", F.lit(None).cast(big).alias("class_id"), F.lit(None).cast(big).alias("within"), none.alias("tokens"), none.alias("slots_of_links"), none.alias("articles"), none.alias("others"), F.lit(0).cast("long").alias("pages")))
 

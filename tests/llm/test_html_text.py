@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from staveframe.llm import html_text as ht
@@ -103,3 +105,45 @@ def test_very_long_pages(spark):
     long = "<div>" * 20_000 + "<p>word</p>" * 50_000
     got = ht.extract(spark.createDataFrame([(1, "http://a.com", long), (1, "http://a.com", long)], "page_id long, url string, html string")).collect()
     assert [r.text.count("\n") for r in got] == [49_999] * 2
+
+
+def test_template_alone_finds_the_text(spark):
+    """Without any element names and class words the template gives the same texts; the pages alone don't."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(article|nav|footer|aside|header|main|section)\\b", "<$1div"), ' class="[^"]*"', ""))
+    template = ht.templates(ht._pages(bare, "page_id", "url", "html"))
+    first, second, alone = ({r.page_id: r.text for r in x.collect()} for x in (ht.extract(pages), ht.extract(bare, template), ht.extract(bare, template.limit(0))))
+    assert len(first) == pages.count() and first == second
+    assert all(first[k] != alone[k] for k in first if first[k])
+
+
+def test_varying_comments_go_without_hints(spark):
+    shell = "<body><div>Welcome</div><div><div>{}</div><div>{}</div></div><div>Kept by us</div></body>"
+    text = lambda k: "".join(f"<p>Paragraph {j} of page {k}, as long as others are</p>" for j in range(2 + k % 5))
+    rows = [(k, "http://a.com/", shell.format(text(k), f"reader {k} says fine words")) for k in range(40)]
+    # Boxes whose number differs are parts of the text, also where the first is most of it.
+    rows += [(100 + k, "http://b.com/", f"<body><div>Welcome</div><div>{'<div>Long part of page %d, and so on</div>' % k * 3}" + "".join(f"<div>part {j} of {k}</div>" for j in range(k % 4)) + "</div><div>Kept</div></body>") for k in range(40)]
+    got = {r.page_id: r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(40):
+        assert got[k].split("\n") == [f"Paragraph {j} of page {k}, as long as others are" for j in range(2 + k % 5)]
+        assert got[100 + k].split("\n") == [f"Long part of page {k}, and so on"] * 3 + [f"part {j} of {k}" for j in range(k % 4)]
+
+
+def test_classes_against_occurrence_vectors(spark):
+    """The classes are those that come of comparing whole occurrence vectors."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = ht._pages(pages, "page_id", "url", "html")
+    vectors: dict = {}
+    hosts: dict = {}
+    for r in rows.collect():
+        for (token, _, _), times in Counter(ht.Page(r.html or "").tokens).items():
+            vectors.setdefault((r.host, token), {})[r.page_id] = times
+        hosts[r.host] = hosts.get(r.host, 0) + 1
+    groups: dict = {}
+    for (host, token), vector in vectors.items():
+        if len(vector) - 1 >= (hosts[host] + 1) * ht.SHARE:
+            groups.setdefault((host, tuple(sorted(vector.items()))), set()).add(token)
+    found = ht.templates(rows).where("class_id is not null").collect()
+    want = sorted((host, len(vector)) for host, vector in groups)
+    assert want and sorted((r.host, r.pages) for r in found) == want
+    assert all(set(r.tokens) <= next(g for (h, _), g in groups.items() if h == r.host and set(r.tokens) <= g) for r in found if r.tokens)
