@@ -1,3 +1,4 @@
+import math
 import random
 import time
 from itertools import combinations
@@ -37,6 +38,38 @@ def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def wilson(hits, n, z):
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_few_rows_prove_nothing(spark):
+    """A combination of few blocked rows is no rule where most rows are blocked anyway; many rows are."""
+    rows = [([f"t:{k}", "p:x"], True) for k in range(60)] + [([f"t:{k}", "p:x"], False) for k in range(60, 100)] + [(["h:few", "p:x"], True)] * 6 + [(["h:many", "p:x"], True)] * 40
+    frame = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    found = {tuple(r.antecedent) for r in url_filter.mine(frame, 0.02, 0.9)[0].collect()}
+    assert found == {("h:many",)}
+    assert {("h:few",), ("h:many",)} <= {tuple(r.antecedent) for r in url_filter.mine(frame, 0.02, 0.9, deviations=0)[0].collect()}
+
+
+def test_tokens_of_the_deciding_rule_are_left_out(spark):
+    """Explicit rules don't come back as mined rules of half their tokens."""
+    rows = [(k, f"http://s{k % 50}.net/es/{'spam/' if k % 2 else ''}page") for k in range(400)] + [(400 + k, f"http://s{k % 50}.com/es/page") for k in range(400)]
+    rows += [(1000, "http://other.net/de/page"), (1001, "http://other.org/es/page"), (1002, "http://other.org/de/spam/page")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1000] == got[1001] == (None, "allow") and got[1002] == (None, "block") and got[0] == ("net/es/", "block")
+
+
+def test_long_queries_are_mined_whole(spark):
+    """Names of long queries in any subset: each is a rule or frequent in no blocked URL, so that few are combined and none is left out."""
+    rng = random.Random(5)
+    bad, good = [f"q:b{k}" for k in range(30)], [f"q:g{k}" for k in range(30)]
+    rows = [(rng.sample(bad, 20) + ["h:x"], True) for _ in range(300)] + [(rng.sample(good, 20) + ["h:x"], False) for _ in range(300)]
+    began = time.time()
+    found = {tuple(r.antecedent) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, block boolean"))[0].collect()}
+    assert found == {(b,) for b in bad} and time.time() - began < 60
+
+
 def test_against_all_combinations(spark):
     """The mined rules block the URLs that all frequent combinations of tokens with enough confidence would."""
     rng = random.Random(2)
@@ -45,16 +78,17 @@ def test_against_all_combinations(spark):
     for _ in range(400):
         own = {t for t in names[:6] if rng.random() < 0.4} | ({"q:twin", "q:other"} if rng.random() < 0.3 else set())
         rows.append((sorted(own), ("p:a" in own and "h:x" in own) or ("q:twin" in own and "p:d" in own and rng.random() < 0.97)))
-    min_support, min_confidence = 0.02, 0.9
+    min_support, min_confidence, deviations = 0.02, 0.9, 2.58
+    usual = sum(b for _, b in rows) / len(rows)
     rules = []
     for k in range(1, len(names) + 1):
         for part in combinations(names, k):
             held = [b for own, b in rows if set(part) <= set(own)]
-            if sum(held) >= min_support * len(rows) and sum(held) >= min_confidence * len(held):
+            if sum(held) >= min_support * len(rows) and sum(held) >= min_confidence * len(held) and wilson(sum(held), len(held), deviations) > usual:
                 rules.append(set(part))
     assert rules
     frame = spark.createDataFrame(rows, "tokens array<string>, block boolean")
-    mined = url_filter.mine(frame, min_support, min_confidence)
+    mined = url_filter.mine(frame, min_support, min_confidence, deviations=deviations)
     urls = []
     for k in range(200):
         own = {t for t in names if rng.random() < 0.4} - {"h:y"}
