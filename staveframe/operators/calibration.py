@@ -16,6 +16,11 @@ NAMED = [
     ("adaptive-without-entropy-suppression", {"most_entropy": 1.0}, True, "none", 1), ("adaptive-temperature-calibrated", {}, True, "temperature", 1), ("chord-evidence-only", {"boundary_weight": 0.0, "bass_weight": 0.0}, True, "none", 1),
 ]
 BOUNDARIES, BASSES, DRAWS, TEMPERED = (0.0, 0.1, 0.25), (0.0, 0.15, 0.25), 8, 0.25
+#: Engines that are compared: id, other settings, adaptive, calibration, share of the rules, weight of the learned side where it is fixed.
+ENGINES = [
+    ("rule-only", {}, False, "none", 1.0, 0.0), ("learned-only", {}, False, "none", 0.0, 1.0), ("observation-hybrid", {}, True, "none", 1.0, None), ("hybrid-without-adaptive-weighting", {}, False, "none", 1.0, None),
+    ("hybrid-without-rule-protection", {"protected": 0.89}, True, "none", 1.0, None), ("hybrid-without-entropy-suppression", {"most_entropy": 1.0}, True, "none", 1.0, None), ("hybrid-temperature-calibrated", {}, True, "temperature", 1.0, None),
+]
 ROOT_SHARE, CHANGE_SHARE = 0.25, 0.02
 WORD = 1 << 32
 
@@ -58,6 +63,49 @@ def tempered(p: Column, temperature: Column) -> Column:
     return F.transform(F.array(raised), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
 
 
+def _weight(c: Column) -> Column:
+    """The weight of a window's learned side under the settings of a struct."""
+    w = c["learned_weight"]
+    for step in M.gates(F.col("frames"), F.col("top"), F.col("entropy"), F.col("margin"), F.col("confidence"), F.col("agrees"), F.col("flicker"), F.col("full_mix"), {k: c[k] for k in ("least_learned", "most_entropy", "protected", "most_guitar")}):
+        w = step(w)
+    return F.when(c["adaptive"], w).otherwise(F.when(F.col("frames") > 0, c["learned_weight"]).otherwise(0.0))
+
+
+def compared(windows: DataFrame, key: str, roots: list[int | None], engines=ENGINES) -> DataFrame:
+    """``key, engine, seconds, detailed, root, regions, differs, learned, gain, rank`` of every key and engine over windows as
+    :func:`screened` takes them. The first engine is what the others are measured by.
+
+    ``detailed`` and ``root`` are the shares of the time with the wanted label and with its root, ``regions`` the stretches
+    of equal labels, ``differs`` the seconds with another label than the first engine's, ``learned`` the share of windows in
+    which the learned side has a weight, ``gain`` the share of the wanted label beyond the first engine's; ranks go by
+    ``detailed``, ties by the order of the engines. A wanted label that is null is never met. An empty table gives no rows.
+
+    The windows are read once for all engines: each works out all their labels in an array, the array before it in the track tells
+    where regions begin, and what is shuffled are sums by key and engine.
+    """
+    fields = [*BASE, "adaptive", "calibration", "rule_share", "fixed"]
+    listed = [{**BASE, **other, "adaptive": adaptive, "calibration": kind, "rule_share": share, "fixed": fixed} for _, other, adaptive, kind, share, fixed in engines]
+    choices = F.array(*[F.struct(*[F.lit(e[f]).cast("double").alias(f) if f == "fixed" else F.lit(e[f]).alias(f) for f in fields]) for e in listed])
+    rows = windows.withColumn("_tempered", tempered(F.col("learned"), F.col("temperature")))
+    weighed = F.transform(choices, lambda c: F.struct(F.coalesce(c["fixed"], _weight(c)).alias("w"), (c["calibration"] == "temperature").alias("t"), c["rule_share"].alias("rule")))
+    mixed = lambda e: F.zip_with("rules", F.when(e["t"], F.col("_tempered")).otherwise(F.col("learned")), lambda a, b: e["rule"] * a + e["w"] * b)
+    rows = rows.withColumn("_weighed", weighed).withColumn("_found", F.transform("_weighed", lambda e: F.array_position(mixed(e), F.array_max(mixed(e))).cast("int")))
+    before = F.lag("_found").over(Window.partitionBy(key).orderBy("place"))
+    rows = rows.select(key, "seconds", F.col("wanted").cast("int").alias("wanted"), "_weighed", "_found", before.alias("_before"))
+    told = F.transform("_found", lambda f, k: F.struct(f.alias("found"), F.coalesce(f != F.get("_before", k), F.lit(True)).alias("begins"), (f != F.get("_found", F.lit(0))).alias("differs"), (F.get("_weighed", k)["w"] > 0).alias("used")))
+    each = rows.select(key, "seconds", "wanted", F.posexplode(told).alias("k", "e"))
+    of = F.array(*[F.lit(r).cast("int") for r in roots])
+    right = F.col("e.found") == F.col("wanted")
+    near = F.col("wanted").isNotNull() & F.element_at(of, F.col("e.found")).eqNullSafe(F.element_at(of, F.col("wanted")))
+    time = lambda when: F.sum(F.when(when, F.col("seconds")).otherwise(0.0))
+    sums = each.groupBy(key, "k").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"), time(right).alias("d"), time(near).alias("r"), F.count_if("e.begins").alias("regions"), time(F.col("e.differs")).alias("differs"), F.count_if("e.used").alias("used"))
+    shares = sums.select(key, "k", "seconds", safe_div(F.col("d"), F.col("seconds")).alias("detailed"), safe_div(F.col("r"), F.col("seconds")).alias("root"), "regions", "differs", safe_div(F.col("used").cast("double"), F.col("n").cast("double")).alias("learned"))
+    of_key = Window.partitionBy(key)
+    gain = F.col("detailed") - F.max(F.when(F.col("k") == 0, F.col("detailed"))).over(of_key)
+    name = F.element_at(F.array(*[F.lit(e[0]) for e in engines]), F.col("k") + 1)
+    return shares.select(key, name.alias("engine"), "seconds", "detailed", "root", "regions", "differs", "learned", gain.alias("gain"), F.row_number().over(of_key.orderBy(F.desc("detailed"), "k")).alias("rank"))
+
+
 def screened(windows: DataFrame, settings: DataFrame, key: str, roots: list[int | None]) -> DataFrame:
     """``id, detailed, root, change_rate, score`` of every candidate over all windows ``(key, place, seconds, wanted, rules, learned,
     temperature, frames, top, entropy, margin, confidence, agrees, flicker, full_mix)``; ``wanted`` is a place in the arrays, from 1.
@@ -71,13 +119,7 @@ def screened(windows: DataFrame, settings: DataFrame, key: str, roots: list[int
     choices = F.array(*[F.struct(*[F.lit(row[f]).alias(f) for f in fields]) for row in listed])
     rows = windows.withColumn("_tempered", tempered(F.col("learned"), F.col("temperature")))
 
-    def weight(c: Column) -> Column:
-        w = c["learned_weight"]
-        for step in M.gates(F.col("frames"), F.col("top"), F.col("entropy"), F.col("margin"), F.col("confidence"), F.col("agrees"), F.col("flicker"), F.col("full_mix"), {k: c[k] for k in ("least_learned", "most_entropy", "protected", "most_guitar")}):
-            w = step(w)
-        return F.when(c["adaptive"], w).otherwise(F.when(F.col("frames") > 0, c["learned_weight"]).otherwise(0.0))
-
-    weighed = F.transform(choices, lambda c: F.struct(weight(c).alias("w"), (c["calibration"] == "temperature").alias("t")))
+    weighed = F.transform(choices, lambda c: F.struct(_weight(c).alias("w"), (c["calibration"] == "temperature").alias("t")))
     mixed = lambda e: F.zip_with("rules", F.when(e["t"], F.col("_tempered")).otherwise(F.col("learned")), lambda a, b: a + e["w"] * b)
     first = lambda v: F.array_position(v, F.array_max(v)).cast("int")
     rows = rows.withColumn("_weighed", weighed).withColumn("_mixed", F.transform("_weighed", mixed)).withColumn("_found", F.transform("_mixed", first))

@@ -279,6 +279,33 @@ def candidate_screening(spark, sf_dir):
     return found.select("id", *[half_up(F.col(c), 6).alias(c) for c in ("detailed", "root", "change_rate", "score")])
 
 
+ENGINES_SQL = "eg AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({k}, '{name}', {str(adaptive).lower()}, '{kind}', {share}::DOUBLE, {'NULL' if fixed is None else fixed}::DOUBLE, {', '.join(f'{v}::DOUBLE' for v in ({**calibration.BASE, **other}).values())})"
+    for k, (name, other, adaptive, kind, share, fixed) in enumerate(calibration.ENGINES)
+) + ") t(place, id, adaptive, calibration, rs, fx, lw, ow, aw, ll, me, pr, mx)),\n"
+
+
+@query(WINDOWS_SQL + "," + ENGINES_SQL + """vt AS (SELECT user_id, k, i, sc, cf, mg, (user_id + k // 6) % 4 + 1 AS wanted, CASE WHEN user_id % 2 = 0 THEN 0.9::DOUBLE ELSE 1.4::DOUBLE END AS t, list_transform(range(1, 6), lambda j: (i * (3 * j + 2) % 13 + 1 + CASE WHEN j = de THEN 8 ELSE 0 END)::DOUBLE) AS v FROM ob),
+lp AS (SELECT *, list_transform(v, lambda x: x / list_sum(v)) AS p FROM vt),
+tp2 AS (SELECT *, list_transform(p, lambda x: power(x, 1 / t)) AS q FROM lp),
+wn AS (SELECT *, list_transform(q, lambda x: x / list_sum(q)) AS z, list_max(p) * 2 AS top, (i % 10)::DOUBLE / 10.0::DOUBLE AS en, i % 9 AS fr, CASE WHEN i % 2 = 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS ag, CASE i % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.65::DOUBLE ELSE 0.25::DOUBLE END AS fl, i % 5 < 3 AS fm FROM tp2),
+am AS (SELECT wn.*, eg.*, 1 - greatest(0, least(1, mg / 0.1::DOUBLE)) AS am, 1 - greatest(0, least(1, cf / pr)) AS ac FROM wn, eg),
+ww AS (SELECT *, CASE WHEN NOT adaptive THEN CASE WHEN fr > 0 THEN lw ELSE 0 END WHEN fr > 0 AND top >= ll AND en < me THEN least(greatest(lw * (0.35::DOUBLE + 0.65::DOUBLE * greatest(0, least(1, (top - ll) / (1 - ll)))) * greatest(0, least(1, (me - en) / me)) * (0.675::DOUBLE + 0.325::DOUBLE * am)
+    * ((0.35::DOUBLE + 0.65::DOUBLE * (am + ac) / 2) / (0.675::DOUBLE + 0.325::DOUBLE * am)) * CASE WHEN cf <= pr THEN 1 ELSE greatest(0, least(1, (0.9::DOUBLE - cf) / (0.9::DOUBLE - pr))) END * ag * fl, 0), CASE WHEN fm THEN 0.3::DOUBLE ELSE mx END) ELSE 0 END AS w FROM am),
+mx AS (SELECT user_id, k, place, id, wanted, coalesce(fx, w) AS w, list_transform(range(1, 6), lambda j: rs * sc[j] + coalesce(fx, w) * CASE WHEN calibration = 'temperature' THEN z[j] ELSE p[j] END) AS s FROM ww),
+fd AS (SELECT *, list_position(s, list_max(s)) AS found FROM mx),
+ch AS (SELECT *, coalesce(found <> lag(found) OVER (PARTITION BY user_id, id ORDER BY k), true) AS begins, found <> first_value(found) OVER (PARTITION BY user_id, k ORDER BY place) AS differs, CASE WHEN found <= 2 THEN 1 ELSE found END = CASE WHEN wanted <= 2 THEN 1 ELSE wanted END AS hit FROM fd),
+sm AS (SELECT user_id, place, id, count(*) AS n, (count(*) FILTER (found = wanted))::DOUBLE / count(*) AS d, (count(*) FILTER (hit))::DOUBLE / count(*) AS r, count(*) FILTER (begins) AS regions, count(*) FILTER (differs) AS differs, (count(*) FILTER (w > 0))::DOUBLE / count(*) AS u FROM ch GROUP BY ALL),
+fn AS (SELECT *, d - max(d) FILTER (place = 0) OVER (PARTITION BY user_id) AS g, row_number() OVER (PARTITION BY user_id ORDER BY d DESC, place) AS rank FROM sm)
+SELECT user_id, id AS engine, floor(d * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS detailed, floor(r * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS root, regions, floor(differs::DOUBLE / n * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS differs, floor(u * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS learned, floor(g * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS gain, CAST(rank AS INTEGER) AS rank FROM fn
+""")
+def engine_comparison(spark, sf_dir):
+    """Seven engines, rules alone first, on every user's windows in one scan."""
+    found = calibration.compared(judged(spark, sf_dir), "user_id", [0, 0, 9, 5, None])
+    differs = F.col("differs") / F.col("seconds")
+    return found.select("user_id", "engine", *[half_up(F.col(c), 6).alias(c) for c in ("detailed", "root")], "regions", half_up(differs, 6).alias("differs"), *[half_up(F.col(c), 6).alias(c) for c in ("learned", "gain")], "rank")
+
+
 ACTIONS = ("apply", "no-chord", "split", "merge-previous", "merge-next", "unknown")
 
 
