@@ -504,14 +504,16 @@ def beat_grid(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS (SELECT user_id, sum(value) / 100 AS d, CASE WHEN user_id % 3 <> 0 THEN 0.5::DOUBLE + min(value) / 10 END AS beat, max(value) AS phase FROM events GROUP BY user_id),
+WITH t AS (SELECT user_id, CAST(sum(TRY_CAST(value AS DECIMAL(28,8))) AS DOUBLE) / 100 AS d, CASE WHEN user_id % 3 <> 0 THEN 0.5::DOUBLE + min(value) / 10 END AS beat, max(value) AS phase FROM events GROUP BY user_id),
 b AS (SELECT user_id, d, coalesce(beat, 1) AS b, CASE WHEN beat IS NULL THEN 0::DOUBLE ELSE phase % beat END AS p FROM t), l AS (SELECT *, CASE WHEN p > 0.35::DOUBLE * b THEN p ELSE 0::DOUBLE END AS l FROM b),
 n AS (SELECT *, greatest(1, CAST(ceil((d - l) / b - 0.35::DOUBLE) AS BIGINT)) AS n FROM l), k AS (SELECT *, unnest(range(CASE WHEN l > 0 THEN -1 ELSE 0 END, n)) AS k FROM n)
 SELECT user_id, CAST(k + CASE WHEN l > 0 THEN 1 ELSE 0 END AS INTEGER) AS idx, {half_up_sql('CASE WHEN k < 0 OR (k = 0 AND l = 0) THEN 0::DOUBLE ELSE p + k * b END')} AS start, {half_up_sql('CASE WHEN k = n - 1 THEN d ELSE p + (k + 1) * b END')} AS "end",
     CASE WHEN (k + 4) % 4 = 0 THEN 1::DOUBLE WHEN (k + 4) % 2 = 0 THEN 0.86::DOUBLE ELSE 0.72::DOUBLE END AS strength FROM k
 """)
 def beat_windows(spark, sf_dir):
-    tracks = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum("value") / 100).alias("duration"), F.when(F.col("user_id") % 3 != 0, 0.5 + F.min("value") / 10).alias("beat"), F.max("value").alias("phase"))
+    # Decimals: a sum of doubles depends on their order, which decides at 0.35 of a beat.
+    duration = F.sum(F.col("value").try_cast("decimal(28,8)")).cast("double") / 100
+    tracks = table(spark, sf_dir, "events").groupBy("user_id").agg(duration.alias("duration"), F.when(F.col("user_id") % 3 != 0, 0.5 + F.min("value") / 10).alias("beat"), F.max("value").alias("phase"))
     return S.beat_windows(tracks, "user_id").withColumns({"start": X.half_up(F.col("start")), "end": X.half_up(F.col("end"))})
 
 
