@@ -42,3 +42,12 @@ def test_beat_windows_sums_exactly(both):
     got, want = both("beat_windows", events=events(values, 3))
     assert got == want
     assert [(r[0], r[1]) for r in got] == [(1.35, 0)]
+
+
+def test_limits_filter_takes_a_mean_at_the_limit(both):
+    at, over, odd = [0.05] * 38 + [0.06] * 2, [0.05] * 37 + [0.06] * 3, [None, float("nan")]  # at: 2.02 / 40 is the limit
+    assert reduce(add, at) / 40 > 0.0505
+    rows = [(k, flag, d) for k, flag, values in ((1, "R", at), (1, "A", at[::-1]), (2, "R", at), (2, "N", over), (3, "A", [None]), (4, "A", odd), (5, "A", [float("-inf"), 0.01])) for d in values]
+    got, want = both("limits_filter", lineitem=pd.DataFrame(rows, columns=["l_suppkey", "l_returnflag", "l_discount"]))
+    assert got == want
+    assert [r[0] for r in got][:2] == [1, 3] and 2 not in [r[0] for r in got]
