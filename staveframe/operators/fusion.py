@@ -37,7 +37,8 @@ def response_problems(responses: DataFrame) -> DataFrame:
 
 
 def key_estimate(chroma: Column) -> Column:
-    """``struct(name, confidence)`` of the likeliest of the 24 keys of a chroma array; null without energy."""
+    """``struct(name, confidence)`` of the likeliest of the 24 keys of a chroma array, the first of equals from
+    C major and C minor on; null without energy."""
     profiles = []
     for tonic in range(12):
         for mode, values in (("major", MAJOR), ("minor", MINOR)):

@@ -64,13 +64,17 @@ def mismatch_classes(spark, sf_dir):
     return pairs.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_sum = lambda xs: f"list_reduce(list_prepend(0.0::DOUBLE, {xs}), lambda a, x: a + x)"  # noqa: E731  # in the order of the list
+_profiles = [(f"{name} {mode}", [values[(p - tonic) % 12] / sum(values) for p in range(12)]) for tonic, name in enumerate(L.SHARPS) for mode, values in (("major", fusion.MAJOR), ("minor", fusion.MINOR))]
+
+
 @query(V_SQL + f"""
 , c AS (SELECT id, list_transform(vector[1:12], lambda a: greatest(a, 0)) AS c FROM v),
-m AS (SELECT unnest([{', '.join(f"{{'mode': 'major', 'd': {d}, 'w': {w / sum(fusion.MAJOR)!r}::DOUBLE}}" for d, w in enumerate(fusion.MAJOR))}, {', '.join(f"{{'mode': 'minor', 'd': {d}, 'w': {w / sum(fusion.MINOR)!r}::DOUBLE}}" for d, w in enumerate(fusion.MINOR))}], recursive := true)),
-u AS (SELECT id, generate_subscripts(c, 1) - 1 AS p, unnest(c) AS x FROM c), t AS (SELECT CAST(r AS INTEGER) AS tonic FROM range(12) g(r)),
-s AS (SELECT u.id, t.tonic, m.mode, sum(u.x * m.w) AS s FROM u, t, m WHERE m.d = (u.p - t.tonic + 12) % 12 GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC) AS k FROM s)
-SELECT id, max((['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[tonic + 1] || ' ' || mode) FILTER (k = 1) AS key, {half_up_sql('greatest(0, least(1, (max(s) FILTER (k = 1) - max(s) FILTER (k = 2)) / 0.018::DOUBLE))', 5)} AS confidence FROM k GROUP BY id
+m(k, name, w) AS (VALUES {', '.join(f"({k}, '{name}', {w}::DOUBLE[])" for k, (name, w) in enumerate(_profiles))}),
+s AS (SELECT id, k, name, {_sum('c')} > 0 AS heard, {_sum('list_transform(range(1, len(c) + 1), lambda p: c[p] * w[p])')} AS s FROM c, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN isnan(s) THEN 1 ELSE 0 END, s DESC, k) AS r FROM s),
+b AS (SELECT id, max(name) FILTER (r = 1 AND heard) AS key, max(s) FILTER (r = 1 AND heard) - max(s) FILTER (r = 2) AS d FROM r GROUP BY id)
+SELECT id, key, CASE WHEN NOT isnan(d) THEN {half_up_sql('greatest(0, least(1, d / 0.018::DOUBLE))', 5)} END AS confidence FROM b
 """)
 def key_estimate(spark, sf_dir):
     found = _vectors(spark, sf_dir).select("id", fusion.key_estimate(F.transform(F.slice("vector", 1, 12), lambda a: F.greatest(a, F.lit(0.0)))).alias("k"))

@@ -51,3 +51,13 @@ def test_limits_filter_takes_a_mean_at_the_limit(both):
     got, want = both("limits_filter", lineitem=pd.DataFrame(rows, columns=["l_suppkey", "l_returnflag", "l_discount"]))
     assert got == want
     assert [r[0] for r in got][:2] == [1, 3] and 2 not in [r[0] for r in got]
+
+
+def test_key_estimate_without_energy_and_among_equals(both):
+    c_major = [1.0 if p in (0, 4, 7) else 0.0 for p in range(12)]
+    vectors = [[1.0] * 64, [-1.0] * 64, [0.0] * 12, c_major, c_major[:8], [], None, [float("nan")] * 12, [float("inf")] * 12, [None] * 12, [0.0] * 12 + [1.0]]
+    got, want = both("key_estimate", embeddings=pd.DataFrame({"vec_id": range(len(vectors)), "label": 0, "embedding": vectors}))
+    told = lambda rows: {i: (key, confidence) for confidence, i, key in rows}
+    assert told(got) == told(want)
+    assert [k for k, v in told(got).items() if v[0] is None] == [1, 2, 5, 6, 7, 9, 10]  # pandas writes NaN as null
+    assert told(got)[3][0] == told(got)[4][0] == "C major"
