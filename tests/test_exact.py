@@ -61,3 +61,20 @@ def test_key_estimate_without_energy_and_among_equals(both):
     assert told(got) == told(want)
     assert [k for k, v in told(got).items() if v[0] is None] == [1, 2, 5, 6, 7, 9, 10]  # pandas writes NaN as null
     assert told(got)[3][0] == told(got)[4][0] == "C major"
+
+
+def test_region_edits_with_partitions_joined_as_it_runs(spark, both):
+    """Spark joins the small partitions of both sides apart; a user's regions and edits must still meet."""
+    users = [u for u in range(400) for _ in range(40)]
+    frame = events([1.0] * len(users), users)
+    frame.loc[frame["event_id"] % 2 == 0, "event_type"] = "a type with a long name that makes this side larger " * 20
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got, want = both("region_edits", events=frame)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want
