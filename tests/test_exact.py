@@ -78,3 +78,11 @@ def test_region_edits_with_partitions_joined_as_it_runs(spark, both):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == want
+
+
+def test_region_cleanup_rounds_no_sum_by_its_order(both):
+    rows = pd.concat([pd.read_parquet("/root/testdata/sf0.01/events.parquet").assign(part=k) for k in range(6)])
+    rows["user_id"] += rows["part"] * 150  # confidences at half of the last place, by other sums each
+    rows["event_id"] += rows["part"] * 10_000
+    got, want = both("region_cleanup", events=rows.drop(columns=["part", "props"]))
+    assert got == want
