@@ -56,77 +56,97 @@ def plausible(roots: np.ndarray, key: tuple | None) -> np.ndarray:
     return np.where(silent[:, None] | silent[None, :], 0.0, out)
 
 
-def change_costs(w: Windows, t: int, roots: np.ndarray, usual: np.ndarray) -> np.ndarray:
-    """Cost of going from each label (rows) to each other at window ``t``."""
+def change_costs(w: Windows, t, roots: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Cost of going from each label (rows) to each other at window ``t``; at many windows at once if that is an array."""
     s = w.scores[t]
-    gain = s[None, :] - s[:, None]
-    cost = np.full(gain.shape, CHANGE + OFF_BEAT * (1 - w.strength[t]))
-    cost += np.where(gain < MARGIN, WEAK * np.minimum(3.0, 1 + (MARGIN - gain) / MARGIN), 0.0)
+    at = lambda x: np.asarray(x)[..., None, None]
+    gain = s[..., None, :] - s[..., :, None]
+    cost = at(CHANGE + OFF_BEAT * (1 - w.strength[t])) + np.where(gain < MARGIN, WEAK * np.minimum(3.0, 1 + (MARGIN - gain) / MARGIN), 0.0)
     pitched = roots >= 0
-    if w.uncertain[t]:
-        cost[:, pitched] += WEAK
-    if w.bass[t, 0] >= 0.18 or w.bass[t, 1] >= 0.2:
-        cost[:, ~pitched] += NO_CHORD
-    return np.maximum(0.0, cost - COMMON * usual - np.clip(w.adjustment[t], 0, MOST_ADJUSTMENT))
+    cost = cost + np.where(at(w.uncertain[t]) & pitched, WEAK, 0.0)
+    cost = cost + np.where(at((w.bass[t, 0] >= 0.18) | (w.bass[t, 1] >= 0.2)) & ~pitched, NO_CHORD, 0.0)
+    return np.maximum(0.0, cost - COMMON * usual - at(np.clip(w.adjustment[t], 0, MOST_ADJUSTMENT)))
 
 
 def lasting_path(w: Windows, roots: np.ndarray) -> np.ndarray:
     """Label of each window along the best path, where a state is a label and for how many windows it has lasted (up to
     the number that the least duration takes). Leaving early and changing cost; the first state wins ties."""
-    n, labels = w.scores.shape
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    length = w.end - w.start
-    typical = float(np.median(length[length > 0])) if (length > 0).any() else FALLBACK_WINDOW
-    ages = max(NEEDED, int(np.ceil(LEAST_SECONDS / typical)))
-    best = np.full((labels, ages), -np.inf)
-    best[:, 0] = w.scores[0]
-    back = np.full((n, labels, ages), -1, dtype=np.int32)
+    return lasting_paths(w, np.array([0, len(w.scores)]), roots)
+
+
+def lasting_paths(w: Windows, cuts: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """:func:`lasting_path` of many tracks, which begin and end at ``cuts``: their windows of one number are worked out
+    at once, so that the steps are as many as the longest has windows."""
+    path = np.zeros(len(w.scores), dtype=np.int64)
+    begins, sizes = cuts[:-1], np.diff(cuts)
+    every_length, lasts = w.end - w.start, np.zeros(len(begins), dtype=np.int64)
+    for k, (a, n) in enumerate(zip(begins.tolist(), sizes.tolist(), strict=True)):
+        length = every_length[a : a + n]
+        typical = float(np.median(length[length > 0])) if (length > 0).any() else FALLBACK_WINDOW
+        lasts[k] = max(NEEDED, int(np.ceil(LEAST_SECONDS / typical)))
+    number: dict = {}
+    keys = np.array([number.setdefault(k, len(number)) for k in w.key], dtype=np.int64)
+    usual = np.stack([plausible(roots, k) for k in number]) if number else None
+    for ages in np.unique(lasts).tolist():
+        of = np.flatnonzero((lasts == ages) & (sizes > 0))
+        if len(of):
+            of = of[np.argsort(-sizes[of], kind="stable")]
+            _lasting(w, begins[of], sizes[of], ages, roots, keys, usual, path)
+    return path
+
+
+def _lasting(w: Windows, begins: np.ndarray, sizes: np.ndarray, ages: int, roots: np.ndarray, keys: np.ndarray, usual: np.ndarray, path: np.ndarray) -> None:
+    """Fills in the paths of tracks, the longest first, whose states last up to ``ages`` windows."""
+    labels, n = w.scores.shape[1], int(sizes[0])
+    every, diagonal = np.arange(labels), np.eye(labels, dtype=bool)
+    best = np.full((len(begins), labels, ages), -np.inf)
+    best[:, :, 0] = w.scores[begins]
     early = SHORT * np.maximum(0, ages - np.arange(1, ages + 1)) / ages
-    every = np.arange(labels)
-    usual: dict = {}
+    going = (len(sizes) - np.searchsorted(sizes[::-1], np.arange(n), side="right")).tolist()  # tracks that have a window t
+    backs: list = [None] * n
     for t in range(1, n):
-        if w.key[t] not in usual:
-            usual[w.key[t]] = plausible(roots, w.key[t])
-        new = np.full_like(best, -np.inf)
-        new[:, 1:] = best[:, :-1]
-        back[t, :, 1:] = every[:, None] * ages + np.arange(ages - 1)
-        older = best[:, -1] > new[:, -1]  # the last age holds all longer ones too
-        new[older, -1] = best[older, -1]
-        back[t, older, -1] = every[older] * ages + ages - 1
-        leave = best - early
-        age = np.argmax(leave, axis=1)
-        gain = leave[every, age][:, None] - change_costs(w, t, roots, usual[w.key[t]])
-        np.fill_diagonal(gain, -np.inf)
-        source = np.argmax(gain, axis=0)
-        new[:, 0] = gain[source, every]
-        back[t, :, 0] = source * ages + age[source]
-        best = new + w.scores[t][:, None]
-    path, state = np.empty(n, dtype=np.int64), int(np.argmax(best))
+        rows = begins[: going[t]] + t
+        old = best[: len(rows)]
+        new, back = np.full_like(old, -np.inf), np.empty(old.shape, dtype=np.int32)
+        new[:, :, 1:] = old[:, :, :-1]
+        back[:, :, 1:] = every[:, None] * ages + np.arange(ages - 1)
+        older = old[:, :, -1] > new[:, :, -1]  # the last age holds all longer ones too
+        new[:, :, -1] = np.where(older, old[:, :, -1], new[:, :, -1])
+        back[:, :, -1] = np.where(older, every * ages + ages - 1, back[:, :, -1])
+        leave = old - early
+        age = np.argmax(leave, axis=2)
+        gain = np.take_along_axis(leave, age[:, :, None], 2) - change_costs(w, rows, roots, usual[keys[rows]])
+        gain[:, diagonal] = -np.inf
+        source = np.argmax(gain, axis=1)
+        new[:, :, 0] = np.take_along_axis(gain, source[:, None, :], 1)[:, 0]
+        back[:, :, 0] = source * ages + np.take_along_axis(age, source, 1)
+        best[: len(rows)] = new + w.scores[rows][:, :, None]
+        backs[t] = back.reshape(len(rows), -1)
+    state = np.argmax(best.reshape(len(begins), -1), axis=1)
     for t in range(n - 1, -1, -1):
-        path[t] = state // ages
-        state = int(back[t].ravel()[state])
-    return path
+        m = going[t]
+        path[begins[:m] + t] = state[:m] // ages
+        if t:
+            state[:m] = backs[t][np.arange(m), state[:m]]
 
 
 def supported_changes(w: Windows, path: np.ndarray, none: int) -> np.ndarray:
     """The path with changes only where ``NEEDED`` windows in a row support one by score, confidence and margin, and then
     from the first of these on."""
-    out = path.copy()
-    current, rival, since = path[0] if len(path) else 0, -1, 0
-    for k in range(1, len(path)):
-        want, out[k] = path[k], current
-        gain = w.scores[k, want] - w.scores[k, current]
-        sure = want == none or (w.confidence[k] >= LEAST_CONFIDENCE and w.margin[k] >= LEAST_MARGIN)
-        if want == current or gain < MARGIN or not sure:
+    out = path.tolist()
+    scores, confidence, margin = w.scores.tolist(), w.confidence.tolist(), w.margin.tolist()
+    current, rival, since = out[0] if out else 0, -1, 0
+    for k, want in enumerate(out[1:], 1):
+        out[k] = current
+        if want == current or scores[k][want] - scores[k][current] < MARGIN or not (want == none or (confidence[k] >= LEAST_CONFIDENCE and margin[k] >= LEAST_MARGIN)):
             rival = -1
             continue
         if want != rival:
             rival, since = want, k
         if k - since + 1 >= NEEDED:
             current, rival = want, -1
-            out[since : k + 1] = current
-    return out
+            out[since : k + 1] = [current] * (k + 1 - since)
+    return np.array(out, dtype=path.dtype)
 
 
 def label_costs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -194,7 +214,8 @@ def lead_voice(groups: list[list[tuple[float, float, int, float]]], least: float
     goes along where it is about as sure as the lead.
     """
     levels = np.arange(LOWEST, HIGHEST + 1)
-    free = len(levels)
+    free, places = len(levels), np.arange(len(levels) + 1)
+    leaps: dict[int, np.ndarray] = {}
     prior = np.full(free + 1, -np.inf)
     prior[free] = 0.0
     back, played = np.full((len(groups), free + 1), -1), np.full((len(groups), free + 1), -1)
@@ -202,14 +223,16 @@ def lead_voice(groups: list[list[tuple[float, float, int, float]]], least: float
         if g and group[0][0] - groups[g - 1][0][1] > REST:
             prior[free] = prior.max()
         new = prior - SKIP
-        back[g, np.isfinite(prior)] = np.flatnonzero(np.isfinite(prior))
+        back[g] = np.where(np.isfinite(prior), places, -1)
         top = int(np.argmax(prior))
         if prior[top] - RESET > new[free]:
             new[free], back[g, free] = prior[top] - RESET, top
         for k, (start, end, midi, confidence) in enumerate(group):
             if LOWEST <= midi <= HIGHEST:
-                leap = np.abs(np.r_[levels, midi] - midi)
-                gain = prior + max(-0.2, (confidence - least) * 2.2) + min(0.35, max(0.0, end - start)) - (leap * LEAP + np.maximum(0, leap - WIDE_FROM) * WIDE_LEAP)
+                if midi not in leaps:
+                    leap = np.abs(np.r_[levels, midi] - midi)
+                    leaps[midi] = leap * LEAP + np.maximum(0, leap - WIDE_FROM) * WIDE_LEAP
+                gain = prior + max(-0.2, (confidence - least) * 2.2) + min(0.35, max(0.0, end - start)) - leaps[midi]
                 source, state = int(np.argmax(gain)), midi - LOWEST
                 if gain[source] > new[state]:
                     new[state], back[g, state], played[g, state] = gain[source], source, k
@@ -284,13 +307,20 @@ def chord_shapes(groups: list[list[tuple[float, float, int, float, int]]], posit
     """``(id, string, fret)`` of the notes ``(start, end, midi, confidence, id)`` of onset groups, each group one shape of
     the hand; the least sure notes go until a group is playable. ``positions(midi)`` lists where a note can be played."""
     hand = hand or Hand()
-    planned = []
+    planned, known = [], {}
+
+    def playable(notes: list) -> list:
+        levels = tuple(x[2] for x in notes)
+        if levels not in known:
+            known[levels] = shapes_of([positions(m) for m in levels], hand)
+        return known[levels]
+
     for group in groups:
         notes = sorted(sorted((x for x in group if positions(x[2])), key=lambda x: -x[3])[: hand.voices], key=lambda x: x[2])
-        shapes = shapes_of([positions(x[2]) for x in notes], hand) if notes else []
+        shapes = playable(notes) if notes else []
         while not shapes and len(notes) > 1:
             notes.remove(min(notes, key=lambda x: x[3]))
-            shapes = shapes_of([positions(x[2]) for x in notes], hand)
+            shapes = playable(notes)
         if shapes:
             planned.append((notes, shapes))
     if not planned:
