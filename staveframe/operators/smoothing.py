@@ -13,6 +13,10 @@ from staveframe.streaming import changes
 # what it adds, and the share of the margin that bounds it too.
 BAR, BARS, ALIKE, WEIGHT, MOST, MARGIN_SHARE = 4, 16, 0.9, 0.035, 0.015, 0.5
 
+#: Columns of the windows that some pass reads, besides the key.
+USED = ("place", "start", "end", "scores", "strength", "uncertain", "confidence", "margin", "bass_confidence", "root_strength", "tonic", "mode", "key_confidence", "adjustment", "chroma", *(c for c in changes.COLUMNS if c != "decoded"))
+USED = tuple(dict.fromkeys(USED))
+
 
 def repeats(windows: DataFrame, key: str, label: str, bounded: bool = True) -> DataFrame:
     """Windows ``(key, place, chroma, margin, …)`` with ``prior, prior_label, bonus``: of the windows a whole number of bars
@@ -51,10 +55,11 @@ def reinforced(windows: DataFrame, key: str, names: list[str], label: str, bound
 def smoothed(windows: DataFrame, key: str, names: list[str], roots: list[int], reduced: bool = True) -> DataFrame:
     """Regions of a track's windows (see :func:`tracks.decoded_windows`, :data:`changes.FIELDS` and ``chroma``): decoded,
     reinforced and decoded again; labels by confirmed changes, or without ``reduced`` by supported ones; cleaned up."""
-    decode = lambda w: T.decoded_windows(w.drop("decoded"), key, names, roots)
-    first = windows.drop("decoded").join(decode(windows).select(key, "place", "decoded"), [key, "place"])
-    again = reinforced(first, key, names, "decoded", bounded=reduced)
-    second = again.drop("decoded").join(decode(again).select(key, "place", "decoded", F.col("label").alias("stable")), [key, "place"])
+    # Both passes add their columns to the windows as they stream through: a join would shuffle them twice more.
+    told = {"decoded", "label", "stable", "final"}
+    decode = lambda w: T.decoded_windows(w.drop("decoded"), key, names, roots, [c for c in w.columns if c not in told])
+    again = reinforced(decode(windows.select(key, *[c for c in USED if c in windows.columns])).drop("label"), key, names, "decoded", bounded=reduced)
+    second = decode(again.drop("chroma")).withColumnRenamed("label", "stable")
     if reduced:
         labels = changes.confirmed(second, key, names).select(key, "place", F.col("label").alias("final"))
         second = second.join(labels, [key, "place"])
