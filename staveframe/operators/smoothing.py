@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staveframe.operators import regions
@@ -18,51 +21,109 @@ USED = ("place", "start", "end", "scores", "strength", "uncertain", "confidence"
 USED = tuple(dict.fromkeys(USED))
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices, added up from the first column on."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists as rows of numbers with zeros at their ends, their lengths, and whether they are whole: no null within or instead."""
+    sizes = column.combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.list_flatten(column).combine_chunks()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    out, whole = np.zeros((len(sizes), int(sizes.max(initial=0)))), ~column.is_null().to_numpy(zero_copy_only=False)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values.cast(pa.float64()).fill_null(0.0).to_numpy()
+    whole[rows[values.is_null().to_numpy(zero_copy_only=False)]] = False
+    return out, sizes, whole
+
+
+def repeater(label: str, bounded: bool):
+    """The step of :func:`tracks.whole_tracks` that :func:`repeats` takes: each lag is one pass over all tracks of a table."""
+    above = lambda a, b: (a > b) | (np.isnan(a) & ~np.isnan(b))  # noqa: E731  # as Spark has it, NaN is above all numbers
+
+    def step(table: pa.Table, cuts: list[int]) -> pa.Table:
+        chroma, sizes, whole = _matrix(table["chroma"])
+        norm = _dot(chroma, chroma)
+        sounds = whole & above(norm, np.zeros(len(norm)))
+        place = np.arange(len(norm)) - np.repeat(cuts[:-1], np.diff(cuts))
+        best, lag = np.zeros(len(norm)), np.zeros(len(norm), dtype=np.int64)
+        for back in range(BAR, BAR * BARS + 1, BAR):
+            i = np.flatnonzero((place >= back) & sounds)
+            i = i[sounds[i - back] & (sizes[i] == sizes[i - back])]
+            alike = _dot(chroma[i], chroma[i - back]) / np.sqrt(norm[i] * norm[i - back])
+            more = above(alike, best[i])
+            best[i[more]], lag[i[more]] = alike[more], back
+        bonus = WEIGHT * best
+        if bounded:
+            margin = table["margin"].cast(pa.float64()).fill_null(float("nan")).to_numpy()
+            bonus = np.fmin(bonus, np.fmax(0.0, np.fmin(MOST, margin * MARGIN_SHARE)))
+        named = table[label].take(pa.array(np.arange(len(lag)) - lag))
+        chord = pc.fill_null(pc.not_equal(named, changes.NONE), False).to_numpy()
+        use = ~(best < ALIKE) & chord & above(bonus, np.zeros(len(bonus)))
+        prior = pc.subtract(table["place"].cast(pa.int64()), pa.array(lag))
+        for name, x in (("prior", prior), ("prior_label", named), ("bonus", pa.array(bonus))):
+            table = table.append_column(name, pc.if_else(pa.array(use), x, pa.scalar(None, x.type)))
+        return table
+
+    return step
+
+
+def reinforcer(names: list[str]):
+    """The step of :func:`tracks.whole_tracks` that adds the bonus of :func:`repeater` to the ``scores``."""
+
+    def step(table: pa.Table, cuts: list[int]) -> pa.Table:
+        kind = table.schema.field("scores").type
+        scores = table["scores"].combine_chunks()
+        sizes = scores.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        values = scores.flatten().cast(pa.float64())
+        number, null = values.fill_null(-1.0).to_numpy().copy(), values.is_null().to_numpy(zero_copy_only=False).copy()
+        at = pc.index_in(table["prior_label"], pa.array(names, pa.string())).fill_null(-1).to_numpy().astype(np.int64)
+        rows = np.flatnonzero((at >= 0) & (at < sizes))
+        rows = rows[table["prior_label"].is_valid().to_numpy()[rows]]
+        spots = (ends - sizes + at)[rows]
+        number[spots] += table["bonus"].fill_null(0.0).to_numpy()[rows]
+        null[spots] = False
+        given = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(number, mask=null), mask=scores.is_null())
+        return table.set_column(table.schema.get_field_index("scores"), "scores", given.cast(kind)).drop_columns(["prior", "prior_label", "bonus"])
+
+    return step
+
+
+def _schema(windows: DataFrame, columns: list[str], *more: str) -> str:
+    return ", ".join([*(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in columns), *more])
+
+
 def repeats(windows: DataFrame, key: str, label: str, bounded: bool = True) -> DataFrame:
     """Windows ``(key, place, chroma, margin, …)`` with ``prior, prior_label, bonus``: of the windows a whole number of bars
     before, up to sixteen, the most similar one (the nearest of equals), if it is similar enough and has a chord.
 
-    The lags are offsets of one window over the track, so each row meets sixteen others and no pairs are formed. Places must
+    The lags are offsets in the track, so each row meets sixteen others and no pairs are formed. Places must
     be whole and without gaps. ``bounded`` limits the bonus by half the margin and a most; the rest has a bonus of null.
     """
-    order = Window.partitionBy(key).orderBy("place")
-    add = lambda a, x: a + x
-    norm = F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x * x)
-    rows = windows.withColumn("_norm", norm)
-    lags = [F.struct(F.lag("chroma", BAR * k).over(order).alias("c"), F.lag("_norm", BAR * k).over(order).alias("n"), F.lag(label, BAR * k).over(order).alias("label"), F.lit(BAR * k).alias("lag")) for k in range(1, BARS + 1)]
-    rows = rows.withColumn("_lags", F.array(*lags))
-    dot = lambda c: F.aggregate(F.zip_with("chroma", c, lambda a, b: a * b), F.lit(0.0), add)
-    alike = F.transform("_lags", lambda p: F.struct(F.coalesce(F.when((p["n"] > 0) & (F.col("_norm") > 0), dot(p["c"]) / F.sqrt(F.col("_norm") * p["n"])), F.lit(0.0)).alias("alike"), p["label"].alias("label"), p["lag"].alias("lag")))
-    rows = rows.withColumn("_alike", alike)
-    best = F.aggregate("_alike", F.struct(F.lit(0.0).alias("alike"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("lag")), lambda a, x: F.when(x["alike"] > a["alike"], x).otherwise(a))
-    rows = rows.withColumn("_best", best)
-    bonus = WEIGHT * F.col("_best.alike")
-    if bounded:
-        bonus = F.least(bonus, F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.col("margin") * MARGIN_SHARE)))
-    use = (F.col("_best.alike") >= ALIKE) & (F.col("_best.label") != changes.NONE) & (bonus > 0)
-    told = {"prior": F.when(use, F.col("place") - F.col("_best.lag")), "prior_label": F.when(use, F.col("_best.label")), "bonus": F.when(use, bonus)}
-    return rows.withColumns(told).drop("_norm", "_lags", "_alike", "_best")
+    return T.whole_tracks(windows, key, [repeater(label, bounded)], _schema(windows, windows.columns, "prior long", "prior_label string", "bonus double"))
 
 
 def reinforced(windows: DataFrame, key: str, names: list[str], label: str, bounded: bool = True) -> DataFrame:
     """The windows with the bonus of :func:`repeats` in their ``scores``; a score that is null counts as -1 before."""
-    given = repeats(windows, key, label, bounded)
-    position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("prior_label")) - 1
-    scores = F.transform("scores", lambda s, j: F.when(F.coalesce(j == position, F.lit(False)), F.coalesce(s, F.lit(-1.0)) + F.col("bonus")).otherwise(s))
-    return given.withColumn("scores", scores).drop("prior", "prior_label", "bonus")
+    return T.whole_tracks(windows, key, [repeater(label, bounded), reinforcer(names)], _schema(windows, windows.columns))
 
 
 def smoothed(windows: DataFrame, key: str, names: list[str], roots: list[int], reduced: bool = True) -> DataFrame:
     """Regions of a track's windows (see :func:`tracks.decoded_windows`, :data:`changes.FIELDS` and ``chroma``): decoded,
     reinforced and decoded again; labels by confirmed changes, or without ``reduced`` by supported ones; cleaned up."""
-    # Both passes add their columns to the windows as they stream through: a join would shuffle them twice more.
-    told = {"decoded", "label", "stable", "final"}
-    decode = lambda w: T.decoded_windows(w.drop("decoded"), key, names, roots, [c for c in w.columns if c not in told])
-    again = reinforced(decode(windows.select(key, *[c for c in USED if c in windows.columns])).drop("label"), key, names, "decoded", bounded=reduced)
-    second = decode(again.drop("chroma")).withColumnRenamed("label", "stable")
-    if reduced:
-        labels = changes.confirmed(second, key, names).select(key, "place", F.col("label").alias("final"))
-        second = second.join(labels, [key, "place"])
+    # All passes over a track run while it is at hand: each of their own would shuffle the wide rows once more.
+    given = windows.select(key, *[c for c in USED if c in windows.columns])
+    kept = [c for c in given.columns if c not in ("label", "stable", "final")]
+    last = [c for c in kept if c != "chroma"]
+    steps = [T.decoder(names, roots, kept), repeater("decoded", reduced), reinforcer(names), lambda t, _: t.drop_columns(["decoded", "label"]), T.decoder(names, roots, last)]
+    if reduced:  # windows without a key or a place are of no track
+        given = given.where(F.col(key).isNotNull() & F.col("place").isNotNull())
+        steps.append(changes.confirmer(key, names))
     else:
-        second = second.withColumn("final", F.col("stable"))
-    return regions.cleaned(regions.labelled_regions(second, key, names, "final"), key, names, reduced)
+        steps.append(lambda t, _: t.append_column("final", t["label"]))
+    found = T.whole_tracks(given, key, [*steps, regions.labeller(key, names, "final")], regions.labelled_schema(given, key))
+    return regions.cleaned(found, key, names, reduced)
