@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staveframe.functions.labels import SHARPS
-from staveframe.functions.scalars import clamp, dot, entropy, rolled, total
+from staveframe.functions.scalars import clamp, entropy, rolled, total
+from staveframe.operators.tracks import matrix
 
 # Limits of the contract, and profiles of the two modes from the tonic on.
 MOST_FRAMES, MOST_SECONDS, BINS, SUM_ERROR = 200_000, 1_800, 12, 0.001
@@ -36,16 +39,32 @@ def response_problems(responses: DataFrame) -> DataFrame:
     return responses.select("id", F.explode(found).alias("problem"))
 
 
+MODES = ("major", "minor")
+#: The profiles of the 24 keys, each mode of a tonic in turn, from C on.
+PROFILES = np.array([[values[(p - tonic) % 12] / sum(values) for p in range(12)] for tonic in range(12) for values in (MAJOR, MINOR)])
+
+
 def key_estimate(chroma: Column) -> Column:
     """``struct(name, confidence)`` of the likeliest of the 24 keys of a chroma array, the first of equals from
     C major and C minor on; null without energy."""
-    profiles = []
-    for tonic in range(12):
-        for mode, values in (("major", MAJOR), ("minor", MINOR)):
-            turned = [values[(p - tonic) % 12] / sum(values) for p in range(12)]
-            profiles.append(F.struct((-dot(chroma, F.array(*[F.lit(v) for v in turned]))).alias("s"), F.lit(len(profiles)).alias("k"), F.lit(f"{SHARPS[tonic]} {mode}").alias("name")))
-    ranked = F.array_sort(F.array(*profiles))
-    return F.when(total(chroma) > 0, F.struct(ranked[0]["name"].alias("name"), clamp((ranked[1]["s"] - ranked[0]["s"]) / 0.018).alias("confidence")))
+
+    @F.arrow_udf("name string, confidence double")
+    def estimated(column: pa.Array) -> pa.Array:
+        xs, sizes = matrix(pa.chunked_array([column]))
+        whole = np.where(np.arange(xs.shape[1]) < sizes[:, None], xs, 0.0).sum(axis=1)
+        scores = np.zeros((len(xs), len(PROFILES)))
+        for p in range(min(12, xs.shape[1])):
+            scores += np.where(p < sizes, xs[:, p], 0.0)[:, None] * PROFILES[:, p]
+        found, place = ~np.isnan(scores).any(axis=1) & (whole > 0), np.arange(len(xs))
+        scores[~found] = 0.0
+        first = np.argmax(scores, axis=1)
+        top = scores[place, first]
+        scores[place, first] = -np.inf
+        with np.errstate(invalid="ignore"):
+            lead = np.clip((top - scores.max(axis=1)) / 0.018, 0.0, 1.0)  # NaN between infinite ones
+        return pa.StructArray.from_arrays([pa.array([f"{SHARPS[k // 2]} {MODES[k % 2]}" for k in first], pa.string()), pa.array(lead, mask=np.isnan(lead))], ["name", "confidence"], mask=pa.array(~found))
+
+    return estimated(chroma)
 
 
 def pitch_turned(chroma: Column, semitones: int) -> Column:

@@ -29,23 +29,15 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lists as rows of numbers with zeros at their ends, their lengths, and whether they are whole: no null within or instead."""
-    sizes = column.combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = pc.list_flatten(column).combine_chunks()
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    out, whole = np.zeros((len(sizes), int(sizes.max(initial=0)))), ~column.is_null().to_numpy(zero_copy_only=False)
-    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values.cast(pa.float64()).fill_null(0.0).to_numpy()
-    whole[rows[values.is_null().to_numpy(zero_copy_only=False)]] = False
-    return out, sizes, whole
-
-
 def repeater(label: str, bounded: bool):
     """The step of :func:`tracks.whole_tracks` that :func:`repeats` takes: each lag is one pass over all tracks of a table."""
     above = lambda a, b: (a > b) | (np.isnan(a) & ~np.isnan(b))  # noqa: E731  # as Spark has it, NaN is above all numbers
 
     def step(table: pa.Table, cuts: list[int]) -> pa.Table:
-        chroma, sizes, whole = _matrix(table["chroma"])
+        chroma, sizes = T.matrix(table["chroma"])
+        inside = np.arange(chroma.shape[1]) < sizes[:, None]
+        whole = ~(np.isnan(chroma) & inside).any(axis=1)  # NaN is no chroma, like null
+        chroma = np.where(inside, chroma, 0.0)
         norm = _dot(chroma, chroma)
         sounds = whole & above(norm, np.zeros(len(norm)))
         place = np.arange(len(norm)) - np.repeat(cuts[:-1], np.diff(cuts))

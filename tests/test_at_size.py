@@ -36,3 +36,18 @@ def test_repeats_keep_odd_rows(spark):
     assert {p: (r.prior, r.prior_label, r.bonus) for p, r in found.items() if r.bonus is not None} == {8: (0, "C", 0.015), 20: (8, "C", 0.01)}
     scores = {r.place: r.scores for r in smoothing.reinforced(frame, "k", ["C", "N"], "label").collect()}
     assert scores[20] == [-1.0 + 0.01, 0.5] and scores[19] == [None, 0.5] and len(scores) == 24
+
+
+def test_robust_means_are_one_map(spark):
+    """Whole groups in Arrow instead of a row and a hash table of values for each element; nulls and uneven lengths as in SQL."""
+    from staveframe.operators import scores
+
+    rows = [("a", 0.5, [1.0, 2.0]), ("a", 0.1, [3.0, None]), ("a", 0.01, [99.0, 99.0]), ("b", 0.0, [1.0]), ("b", 0.001, [3.0, 5.0]), ("b", None, [2.0, 1.0]), (None, 0.2, [4.0]), (None, 0.2, None), ("c", None, [1.0]), ("d", 1.0, [None, 1.0])]
+    found = scores.robust_mean(spark.createDataFrame(rows, "k string, level double, vector array<double>"), ["k"])
+    assert "MapInArrow" in plan(found) and "Generate" not in plan(found)
+    a = [0.35 * 2.0 + 0.65 * (0.5 + 0.3) / 0.6, 0.35 * 2.0 + 0.65 * 1.0 / 0.6]
+    b = [0.35 * 2.0 + 0.65 * 3.0, 0.35 * 3.0 + 0.65 * 5.0]
+    want = {"a": [x / sum(a) for x in a], "b": [x / sum(b) for x in b], None: [1.0], "d": [0.0, 0.0]}
+    got = {r.k: r.chroma for r in found.collect()}
+    assert set(got) == set(want)
+    assert all(abs(x - y) < 1e-12 and len(got[k]) == len(want[k]) for k in want for x, y in zip(got[k], want[k], strict=True))
