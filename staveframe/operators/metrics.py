@@ -73,8 +73,11 @@ def confusion(reference: DataFrame, detected: DataFrame, key: str) -> DataFrame:
 
 def mismatch_runs(reference: DataFrame, detected: DataFrame, key: str) -> DataFrame:
     """``key, start, end, reference, detected``: stretches of one wrong symbol for one right symbol, neighbours merged."""
-    read = judged_segments(reference, detected, key).select(key, "start", "end", _plain_symbol(F.col("reference")).alias("reference"), _plain_symbol(F.col("detected")).alias("detected"))
-    named = read.where(F.col("reference") != F.col("detected"))
+    cut = judged_segments(reference, detected, key).drop("span").withColumnsRenamed({"reference": "_r", "detected": "_d"})
+    # So that few labels are read. Those of a pair come as its maximum: a condition on what it is grouped by would be moved below it, to every segment.
+    told = cut.groupBy("_r", "_d").agg(F.max("_r").alias("r"), F.max("_d").alias("d"))
+    pairs = told.select("_r", "_d", _plain_symbol(F.col("r")).alias("reference"), _plain_symbol(F.col("d")).alias("detected"))
+    named = cut.join(pairs.where(F.col("reference") != F.col("detected")), ["_r", "_d"]).drop("_r", "_d")
     w = W.partitionBy(key).orderBy("start")
     same = (F.lag("end").over(w) == F.col("start")) & (F.lag("reference").over(w) == F.col("reference")) & (F.lag("detected").over(w) == F.col("detected"))
     marked = named.withColumn("begins", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))

@@ -51,3 +51,17 @@ def test_robust_means_are_one_map(spark):
     got = {r.k: r.chroma for r in found.collect()}
     assert set(got) == set(want)
     assert all(abs(x - y) < 1e-12 and len(got[k]) == len(want[k]) for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_mismatches_read_labels_once_a_pair(spark):
+    """No label is parsed in the scan of the segments: the parsing stands above the distinct pairs."""
+    from staveframe.operators import metrics
+
+    line = lambda rows: spark.createDataFrame(rows, "k string, id long, start long, end long, label string")
+    left, right = line([("a", 1, 0, 4, "C"), ("a", 2, 4, 9, "G7"), ("b", 3, 0, 2, "X?")]), line([("a", 4, 1, 6, "Am"), ("a", 5, 6, 9, "G7"), ("b", 6, 0, 2, "C/E")])
+    found = metrics.mismatch_runs(left, right, "k")
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 0, 1, "C", "N"), ("a", 1, 4, "C", "Am"), ("a", 4, 6, "G7", "Am"), ("b", 0, 2, "N", "C")]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().lower().splitlines()
+    at = [k for k, line in enumerate(lines) if "aggregate [_r#" in line]
+    reads = lambda part: any("regexp" in x or "rlike" in x for x in part)
+    assert len(at) == 1 and reads(lines[: at[0]]) and not reads(lines[at[0] :])
