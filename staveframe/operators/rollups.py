@@ -1,16 +1,18 @@
 """The corpus report of stored song reports, kept up to date by what changes.
 
-Every report adds rows ``(kind, name, song, reports, occurrences, total)``; their sums by kind, name and song are kept.
+Every report adds rows ``(kind, name, song, reports, occurrences, amount)``; their sums by kind, name and song are kept.
 A refresh adds what new reports give and takes off what the replaced ones gave before, so that it reads the new reports
 and the buckets of the store with their earlier forms, and no others. Sums are decimals, so adding and taking off is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staveframe.functions.scalars import half_up
+from staveframe.functions.scalars import decimal_sum, half_up
 from staveframe.sources.store import Store, cut
 
 #: A metric's mean counts for a genre if it is one of these; songs that make an error a recurring one.
@@ -21,60 +23,71 @@ KEYS = ("kind", "name", "song")
 
 def contributions(reports: DataFrame) -> DataFrame:
     """What each report ``(report_id, song, genre, metrics map, mismatches array of (error_type, duration), confusions array
-    of (pair, seconds))`` adds. Reports without metrics add nothing; values that are null or not finite don't count."""
+    of (pair, seconds))`` adds, with an ``amount`` that is a double. Reports without metrics add nothing; values that are null or not finite don't count.
+
+    Each kind is a plain explode of the columns that it needs, so that no lambda runs for a row; the reports are read once
+    for each kind. An error's rows are one for each time, and one more for the report."""
     good = reports.where(F.col("metrics").isNotNull())
     genre = F.coalesce(F.when(F.col("genre") != "", F.col("genre")), F.lit("Unspecified"))
-    none, nil, one = F.lit(""), F.lit(0).cast("long"), F.lit(1).cast("long")
-    finite = F.map_filter("metrics", lambda _, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    none = F.lit("")
 
-    def row(kind, name, song, n, occurrences, total):
-        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), song.alias("song"), n.alias("reports"), occurrences.alias("occurrences"), total.cast(TOTAL).alias("total"))
+    def rows(of, kind, name, song=none, n=1, occurrences=0, amount=None):
+        return of.select(F.lit(kind).alias("kind"), name.alias("name"), song.alias("song"), F.lit(n).cast("long").alias("reports"), F.lit(occurrences).cast("long").alias("occurrences"), (F.lit(0.0) if amount is None else amount).alias("amount"))
 
-    each = F.transform(F.map_entries(finite), lambda e: row("metric", e["key"], none, one, nil, e["value"]))
-    of_genre = F.transform(F.filter(F.map_entries(finite), lambda e: e["key"].isin(*GENRE_METRICS)), lambda e: row("genre", F.concat(genre, F.lit("\t"), e["key"]), none, one, nil, e["value"]))
-    count = F.array(row("songs", none, none, one, nil, F.lit(0)), row("genre", F.concat(genre, F.lit("\t")), none, one, nil, F.lit(0)))
-    wrong = F.coalesce("mismatches", F.array().cast(reports.schema["mismatches"].dataType))
-    causes = F.transform(F.array_distinct(F.transform(wrong, lambda m: m["error_type"])), lambda t: _cause(t, wrong, row))
-    confused = F.transform(F.coalesce("confusions", F.array().cast(reports.schema["confusions"].dataType)), lambda c: row("confusion", c["pair"], none, one, nil, F.coalesce(c["seconds"], F.lit(0.0))))
-    return good.select(F.explode(F.concat(each, of_genre, count, causes, confused)).alias("c")).select("c.*").where("name IS NOT NULL")
+    value = F.col("value")
+    values = good.select(genre.alias("genre"), F.explode("metrics").alias("metric", "value")).where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+    wrong = good.select("song", F.explode("mismatches").alias("m"))
+    confused = good.select(F.explode("confusions").alias("c"))
+    parts = [
+        rows(values, "metric", F.col("metric"), amount=value), rows(values.where(F.col("metric").isin(*GENRE_METRICS)), "genre", F.concat("genre", F.lit("\t"), "metric"), amount=value),
+        rows(good, "songs", none), rows(good, "genre", F.concat(genre, F.lit("\t"))),
+        rows(good.select("song", F.explode(F.array_distinct("mismatches.error_type")).alias("e")), "cause", F.col("e"), F.col("song")),
+        rows(wrong, "cause", F.col("m.error_type"), F.col("song"), 0, 1, F.coalesce("m.duration", F.lit(0.0))),
+        rows(confused, "confusion", F.col("c.pair"), amount=F.coalesce("c.seconds", F.lit(0.0))),
+    ]
+    return reduce(DataFrame.unionByName, parts).where("name IS NOT NULL")
 
 
-def _cause(error, wrong, row):
-    own = F.filter(wrong, lambda m: m["error_type"] == error)
-    seconds = F.aggregate(own, F.lit(0).cast(TOTAL), lambda a, m: (a + F.coalesce(m["duration"], F.lit(0.0)).cast(TOTAL)).cast(TOTAL))
-    return row("cause", error, F.col("song"), F.lit(1).cast("long"), F.size(own).cast("long"), seconds)
+def _summed(rows: DataFrame, total: Column, *more: Column) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("reports").alias("reports"), F.sum("occurrences").alias("occurrences"), total.cast(TOTAL).alias("total"), *more)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.sum("reports").alias("reports"), F.sum("occurrences").alias("occurrences"), F.sum("total").cast(TOTAL).alias("total"))
+def _taken_off(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: -F.col(c) for c in ("reports", "occurrences", "amount")})
 
 
-def _signed(rows: DataFrame, sign: int) -> DataFrame:
-    return rows.select(*KEYS, *[(F.col(c) * sign).cast(kind).alias(c) for c, kind in (("reports", "long"), ("occurrences", "long"), ("total", TOTAL))])
+def _keyed(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("sum_key", F.concat_ws("\x1f", *KEYS))
 
 
 def refresh(reports: DataFrame, stored: Store, sums: Store) -> None:
     """Stores the reports (of one ``report_id`` the last version holds; within a call they must be equal) and brings the
-    sums up to date. A failure between the two steps is made good by :func:`rebuild`."""
-    new = cut(reports.dropDuplicates(["report_id"]))
+    sums up to date. Reports without an id aren't kept and add nothing. A failure between the two steps is made good by
+    :func:`rebuild`.
+
+    The reports are written once, into the store; what they add is read from there, column by column, before they become current."""
+    staged = stored.stage(reports)
+    new = stored.staged(staged)
+    if new is None:
+        return
     change = contributions(new)
-    touched = [r.b for r in new.select(stored.bucket(F.col("report_id")).alias("b")).distinct().collect()]  # at most one a bucket
-    before = stored.current(touched)
+    before = stored.current([r.bucket for r in new.select("bucket").distinct().collect()])  # at most one a bucket
     if before is not None:
-        change = _signed(change, 1).unionByName(_signed(contributions(before.join(new.select("report_id"), "report_id", "left_semi")), -1))
-    change = cut(_summed(change).withColumn("sum_key", F.concat_ws("\x1f", *KEYS)))
-    keys = [r.b for r in change.select(sums.bucket(F.col("sum_key")).alias("b")).distinct().collect()]
-    held = sums.current(keys)
+        replaced = cut(before.join(new.select("report_id"), "report_id", "left_semi"))  # each kind reads it
+        change = change.unionByName(_taken_off(contributions(replaced)))
+    change = cut(_summed(change, decimal_sum(F.col("amount"))).withColumn("fresh", F.lit(True)))
+    held = sums.current([r.b for r in _keyed(change).select(sums.bucket(F.col("sum_key")).alias("b")).distinct().collect()])
     if held is not None:
-        change = _summed(change.drop("sum_key").unionByName(held.join(change.select("sum_key"), "sum_key", "left_semi").drop("sum_key")))
-        change = cut(change.withColumn("sum_key", F.concat_ws("\x1f", *KEYS)))
-    stored.upsert(new)
-    sums.upsert(change)
+        both = change.unionByName(held.drop("sum_key").withColumn("fresh", F.lit(False)))
+        change = _summed(both, F.sum("total"), F.bool_or("fresh").alias("fresh")).where("fresh")  # what nothing was added to stays as it is
+    summed = sums.stage(_keyed(change.drop("fresh")), unique=True)
+    stored.commit(staged)
+    sums.commit(summed)
 
 
 def rebuild(stored: Store, sums: Store) -> None:
     """The sums anew from all stored reports; sums that no report gives any more become zero."""
-    everything = _summed(contributions(stored.current())).withColumn("sum_key", F.concat_ws("\x1f", *KEYS))
+    everything = _keyed(_summed(contributions(stored.current()), decimal_sum(F.col("amount"))))
     held = sums.current()
     if held is not None:
         gone = held.join(everything.select("sum_key"), "sum_key", "left_anti")
@@ -85,14 +98,13 @@ def rebuild(stored: Store, sums: Store) -> None:
 def report(sums: DataFrame) -> DataFrame:
     """``part, name, item, songs, occurrences, value, recurring`` from the sums: the mean of each metric, of the genre metrics in
     each genre and its number of songs, and for each cause and confusion what it comes to."""
-    live = sums.where("reports > 0")
-    mean = half_up((F.col("total") / F.col("reports")).cast("double"))
-    no = F.lit(None)
-    metrics = live.where("kind = 'metric'").select(F.lit("metric").alias("part"), "name", F.lit("").alias("item"), F.col("reports").alias("songs"), no.cast("long").alias("occurrences"), mean.alias("value"), no.cast("boolean").alias("recurring"))
-    songs = live.where("kind = 'songs'").select(F.lit("songs").alias("part"), F.lit("").alias("name"), F.lit("").alias("item"), F.col("reports").alias("songs"), no.cast("long").alias("occurrences"), no.cast("double").alias("value"), no.cast("boolean").alias("recurring"))
-    split = F.split("name", "\t")
-    genres = live.where("kind = 'genre'").select(F.lit("genre").alias("part"), split[0].alias("name"), split[1].alias("item"), F.col("reports").alias("songs"), no.cast("long").alias("occurrences"), F.when(split[1] != "", mean).alias("value"), no.cast("boolean").alias("recurring"))
-    causes = live.where("kind = 'cause'").groupBy("name").agg(F.count("*").alias("songs"), F.sum("occurrences").alias("occurrences"), half_up(F.sum("total").cast("double"), 3).alias("value"))
-    causes = causes.select(F.lit("cause").alias("part"), "name", F.lit("").alias("item"), "songs", "occurrences", "value", (F.col("songs") >= RECURRING).alias("recurring"))
-    confused = live.where("kind = 'confusion'").select(F.lit("confusion").alias("part"), "name", F.lit("").alias("item"), F.col("reports").alias("songs"), no.cast("long").alias("occurrences"), half_up(F.col("total").cast("double"), 3).alias("value"), no.cast("boolean").alias("recurring"))
-    return metrics.unionByName(songs).unionByName(genres).unionByName(causes).unionByName(confused)
+    # One pass over the sums, which are many where there are many songs; of all kinds but causes a name has one row.
+    by_name = sums.where("reports > 0").groupBy("kind", "name").agg(F.count("*").alias("songs"), F.sum("reports").alias("reports"), F.sum("occurrences").alias("occurrences"), F.sum("total").cast(TOTAL).alias("total"))
+    kind, total = F.col("kind"), F.col("total")
+    genre, cause, split = kind == "genre", kind == "cause", F.split("name", "\t")
+    mean, seconds = half_up((total / F.col("reports")).cast("double")), half_up(total.cast("double"), 3)
+    value = F.when((kind == "metric") | genre & (F.get(split, F.lit(1)) != ""), mean).when(cause | (kind == "confusion"), seconds)
+    return by_name.select(
+        kind.alias("part"), F.when(genre, F.get(split, F.lit(0))).otherwise(F.col("name")).alias("name"), F.when(genre, F.get(split, F.lit(1))).otherwise("").alias("item"), F.when(cause, F.col("songs")).otherwise(F.col("reports")).alias("songs"),
+        F.when(cause, F.col("occurrences")).alias("occurrences"), value.alias("value"), F.when(cause, F.col("songs") >= RECURRING).alias("recurring"),
+    )

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,15 @@ class ChangedMeanwhile(RuntimeError):
     """Another writer has committed since this one began; nothing was changed."""
 
 
+class Staged(NamedTuple):
+    """Rows that are written, but not yet current: their version and path, whether they are all rows, and the commits they rest on."""
+
+    version: int
+    path: str
+    whole: bool
+    held: list
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where it is unset and all runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -79,21 +89,40 @@ class Store:
 
     def upsert(self, rows: DataFrame) -> int:
         """Makes the rows current in place of those with the same keys, and gives the new version."""
-        held = self.commits()
-        version = self._write(rows, held, False)
-        if len(held) + 1 >= MERGE_AFTER:
-            version = self._write(self.current(), self.commits(), True)
+        return self.commit(self.stage(rows))
+
+    def stage(self, rows: DataFrame, unique: bool = False) -> Staged:
+        """Writes the rows without making them current: :meth:`staged` reads them back and :meth:`commit` makes them
+        current. ``unique`` says that no key comes twice, which saves finding out."""
+        return self._stage(rows, self.commits(), False, unique)
+
+    def staged(self, staged: Staged) -> DataFrame | None:
+        """The rows of a stage with their ``bucket``; None if there are none."""
+        rows = self.spark.read.parquet(f"{self.root}/{staged.path}")
+        return rows if rows.columns else None
+
+    def commit(self, staged: Staged) -> int:
+        """Makes the rows of a stage current, and gives the new version."""
+        version = self._commit(staged)
+        if len(staged.held) + 1 >= MERGE_AFTER:
+            held = self.commits()
+            version = self._commit(self._stage(self.current(), held, True, True))
         return version
 
-    def _write(self, rows: DataFrame, held: list, whole: bool) -> int:
+    def _stage(self, rows: DataFrame, held: list, whole: bool, unique: bool) -> Staged:
         version = (held[-1][0] if held else 0) + 1
         path = f"data/{version}-{uuid.uuid4().hex}"
-        kept = rows.where(F.col(self.key).isNotNull()).dropDuplicates([self.key]).withColumn("bucket", self.bucket(F.col(self.key)))
+        kept = rows.where(F.col(self.key).isNotNull())
+        kept = (kept if unique else kept.dropDuplicates([self.key])).withColumn("bucket", self.bucket(F.col(self.key)))
         kept.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
-        if [c[0] for c in self.commits()] != [c[0] for c in held]:
+        return Staged(version, path, whole or not held, held)
+
+    def _commit(self, staged: Staged) -> int:
+        version = staged.version
+        if [c[0] for c in self.commits()] != [c[0] for c in staged.held]:
             raise ChangedMeanwhile(f"version {version} was committed by another writer")
-        if not self.spark.read.parquet(f"{self.root}/{path}").columns:  # no rows at all: nothing to read back
+        if self.staged(staged) is None:  # no rows at all: nothing to read back
             return version - 1
-        commit = self.spark.createDataFrame([(version, path, whole or not held)], "version long, path string, whole boolean")
+        commit = self.spark.createDataFrame([(version, staged.path, staged.whole)], "version long, path string, whole boolean")
         commit.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         return version

@@ -65,3 +65,35 @@ def test_mismatches_read_labels_once_a_pair(spark):
     at = [k for k, line in enumerate(lines) if "aggregate [_r#" in line]
     reads = lambda part: any("regexp" in x or "rlike" in x for x in part)
     assert len(at) == 1 and reads(lines[: at[0]]) and not reads(lines[at[0] :])
+
+
+def test_rollup_reads_its_sums_once(spark, tmp_path):
+    """What reports add comes from plain explodes without casts to decimals for each row, and the report is one pass over the sums."""
+    from staveframe.operators import rollups
+    from staveframe.sources.store import Store
+
+    kind = "report_id string, song string, genre string, metrics map<string,double>, mismatches array<struct<error_type:string,duration:double>>, confusions array<struct<pair:string,seconds:double>>"
+    rows = [("r1", "s1", "x", {"rootAccuracy": 0.5, "z": None}, [("late", 1.5), ("late", None), (None, 2.0), None], None), (None, "s2", None, {"rootAccuracy": 9.0}, [("late", 1.0)], []), ("r3", None, None, {}, None, [("C>G", 0.25), (None, 1.0), None])]
+    reports = spark.createDataFrame(rows, kind)
+    told = plan(rollups.contributions(reports)).lower()
+    assert "lambda" not in told and "decimal" not in told
+    stored, sums = Store(spark, str(tmp_path / "r"), "report_id", 4), Store(spark, str(tmp_path / "s"), "sum_key", 2)
+    for _ in range(2):  # the second time the same reports are replaced
+        rollups.refresh(reports, stored, sums)
+        found = rollups.report(sums.current())
+        want = {("metric", "rootAccuracy", "", 1, None, 0.5), ("songs", "", "", 2, None, None), ("genre", "x", "rootAccuracy", 1, None, 0.5), ("genre", "x", "", 1, None, None), ("genre", "Unspecified", "", 1, None, None), ("cause", "late", "", 1, 2, 1.5), ("confusion", "C>G", "", 1, None, 0.25)}
+        assert {(r.part, r.name, r.item, r.songs, r.occurrences, r.value) for r in found.collect()} == want
+    assert plan(rollups.report(sums.current())).count("FileScan parquet") == len(sums.commits()) == 2
+
+
+def test_decimal_sums_are_those_of_casts(spark):
+    from pyspark.sql import functions as F
+
+    from staveframe.functions.scalars import decimal_sum
+
+    odd = [0.0, -0.0, 0.1, 0.07, 1e-9, 4.9e-9, 5e-9, 5.1e-9, -5e-9, 1.000000005, -1.000000005, 2.675, 10995.11627776, 10995.11627775, 12345.678901235, -12345.678901235, 1e15 + 0.1, 3e19, 50.0, -7.123456789, None]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(odd)] + [(99, None)], "k long, x double").union(spark.range(2000).select(F.lit(100).cast("long"), F.rand(3) * F.pow(F.lit(10.0), F.col("id") % 9 - 3) * F.when(F.col("id") % 2 == 0, -1).otherwise(1)))
+    cast = F.coalesce(F.sum(F.col("x").cast("decimal(28,8)")), F.lit(0)).cast("decimal(28,8)")
+    assert frame.groupBy("k").agg(decimal_sum(F.col("x")).alias("a"), cast.alias("b")).where("a <> b OR a IS NULL").collect() == []
+    many = spark.range(1 << 20).select(F.lit(10995.0).alias("x"))
+    assert str(many.agg(decimal_sum(F.col("x"))).first()[0]) == "11529093120.00000000"
