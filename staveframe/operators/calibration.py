@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staveframe.functions.scalars import half_up, safe_div
 from staveframe.operators import metrics as M
+from staveframe.operators import tracks as T
+from staveframe.operators.folds import arrow_schema
 
 # The step of the generator, the settings that candidates start from, and what the drawn ones choose from.
 STEP = 0x6D2B79F5
@@ -57,18 +63,86 @@ def candidates(spark: SparkSession, seed: int, drawn: int) -> DataFrame:
     return named.unionByName(told)
 
 
-def tempered(p: Column, temperature: Column) -> Column:
-    """Probabilities to the power of 1 / temperature, made to add up to 1."""
-    raised = F.transform(p, lambda x: F.pow(F.greatest(x, F.lit(1e-12)), 1 / temperature))
-    return F.transform(F.array(raised), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
-
-
-def _weight(c: Column) -> Column:
-    """The weight of a window's learned side under the settings of a struct."""
-    w = c["learned_weight"]
-    for step in M.gates(F.col("frames"), F.col("top"), F.col("entropy"), F.col("margin"), F.col("confidence"), F.col("agrees"), F.col("flicker"), F.col("full_mix"), {k: c[k] for k in ("least_learned", "most_entropy", "protected", "most_guitar")}):
-        w = step(w)
-    return F.when(c["adaptive"], w).otherwise(F.when(F.col("frames") > 0, c["learned_weight"]).otherwise(0.0))
+#: What the labels of a window rest on.
+READ = ("seconds", "wanted", "rules", "learned", "temperature", "frames", "top", "entropy", "margin", "confidence", "agrees", "flicker", "full_mix")
+SUMS = "k int, seconds double, n long, d double, r double, begins long, changes long, differs double, used long"
+
+
+def tempered(p: np.ndarray, inside: np.ndarray, temperature: np.ndarray) -> np.ndarray:
+    """Rows of probabilities to the power of 1 / temperature, made to add up to 1; NaN where a row has no element."""
+    raised = np.where(inside, np.fmax(p, 1e-12) ** (1 / temperature)[:, None], 0.0)
+    whole = np.zeros(len(p))
+    for x in raised.T:
+        whole = whole + x
+    return np.where(inside, raised, np.nan) / whole[:, None]
+
+
+def _weights(w: dict[str, np.ndarray], settings: dict) -> np.ndarray:
+    """The weights of windows' learned sides under one candidate's settings: the steps of :func:`metrics.gates` in their
+    order. Null is NaN here, which comparisons refuse and ``fmin`` and ``fmax`` pass over, as SQL does with null."""
+    clamp = lambda x: np.fmax(np.fmin(x, 1.0), 0.0)
+    start, heard = settings["learned_weight"], w["frames"] > 0
+    if not settings["adaptive"]:
+        return np.where(heard, start, 0.0)
+    least, most, protected = settings["least_learned"], settings["most_entropy"], settings["protected"]
+    top, entropy, confidence = w["top"], w["entropy"], w["confidence"]
+    ambiguous, unsure = 1 - clamp(w["margin"] / 0.1), 1 - clamp(confidence / protected)
+    room, by_margin = 0.35 + 0.65 * (ambiguous + unsure) / 2, 0.675 + 0.325 * ambiguous
+    out = np.where(heard & (top >= least) & (entropy < most), start, 0.0)
+    out = np.where(out == 0, 0.0, out * (0.35 + 0.65 * clamp((top - least) / (1 - least))) * clamp((most - entropy) / most) * by_margin * (room / by_margin))
+    out = out * np.where(confidence <= protected, 1.0, clamp((M.RULE_TOP - confidence) / (M.RULE_TOP - protected))) * np.where(w["agrees"], 1.1, 1.0) * w["flicker"]
+    return np.fmin(np.fmax(out, 0.0), np.where(w["full_mix"], M.MOST_FULL_MIX, settings["most_guitar"]))
+
+
+def _sums(windows: DataFrame, key: str, roots: list[int | None], listed: list[dict], by_key: bool) -> DataFrame:
+    """:data:`SUMS` of every candidate ``k`` in parts, by key or not: ``d`` and ``r`` the seconds with the wanted label and root,
+    ``begins`` and ``changes`` the windows with another label than the one before, with or without the first of a track,
+    ``differs`` the seconds with another label than the first candidate's, ``used`` the windows with a weight.
+
+    A window of Spark deals the tracks and puts them in order, then a map works out a batch of windows at once, one candidate
+    after the other. It holds one batch and the labels of the row before, and hands on sums alone. NaN counts as null.
+    """
+    of_track = Window.partitionBy(key).orderBy("place")
+    rows = windows.withColumn("_first", F.lag(F.lit(True)).over(of_track).isNull()).sortWithinPartitions(key, "place")  # sorted already
+    root = np.array([np.iinfo(np.int64).min if r is None else r for r in (None, *roots)])
+    schema = (f"`{key}` {windows.schema[key].dataType.simpleString()}, " if by_key else "") + SUMS
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flag = lambda c: batch[c].fill_null(False).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            number = lambda c: batch[c].cast(pa.float64()).fill_null(float("nan")).to_numpy()  # noqa: B023, E731
+            w = {c: number(c) for c in ("frames", "top", "entropy", "margin", "confidence", "flicker")} | {c: flag(c) for c in ("agrees", "full_mix")}
+            (rules, _), (learned, sizes) = (T.matrix(pa.chunked_array([batch[c]])) for c in ("rules", "learned"))
+            size = max(rules.shape[1], learned.shape[1], 1)
+            rules, learned = (np.pad(x, ((0, 0), (0, size - x.shape[1])), constant_values=np.nan) for x in (rules, learned))
+            warm = tempered(learned, np.arange(size) < sizes[:, None], number("temperature"))
+            seconds, wanted, first = np.nan_to_num(number("seconds")), batch["wanted"].cast(pa.int64()).fill_null(0).to_numpy(), flag("_first")
+            last = np.zeros(len(listed), dtype=np.int64) if last is None else last
+            cuts = np.flatnonzero(first | (np.arange(len(first)) == 0)) if by_key else np.array([0])
+            total = lambda x: np.add.reduceat(x, cuts)  # noqa: B023, E731
+            base, parts = None, []
+            for k, settings in enumerate(listed):
+                weight = _weights(w, settings) if settings.get("fixed") is None else np.full(len(first), settings["fixed"])
+                mixed = settings.get("rule_share", 1.0) * rules + weight[:, None] * (warm if settings["calibration"] == "temperature" else learned)
+                none = np.isnan(mixed)
+                found = np.where(none.all(axis=1), 0, np.where(none, -np.inf, mixed).argmax(axis=1) + 1)
+                base = found if base is None else base
+                before = np.r_[last[k], found[:-1]]
+                last[k] = found[-1]
+                changed, told = (found != before) & ~first, (found > 0) & (before > 0)
+                right, near = (found > 0) & (found == wanted), root[found] == root[wanted]
+                if by_key:
+                    near &= wanted != 0
+                differs = (found != base) & (found > 0) & (base > 0)
+                of_k = [total(seconds), total(np.ones(len(first), np.int64)), total(seconds * right), total(seconds * near), total((first | changed | ~told).astype(np.int64)), total((changed & told).astype(np.int64)), total(seconds * differs), total((weight > 0).astype(np.int64))]
+                parts.append(pa.RecordBatch.from_arrays([*([batch[key].take(pa.array(cuts))] if by_key else []), pa.array(np.full(len(cuts), k, np.int32)), *map(pa.array, of_k)], schema=target))
+            yield from parts
+
+    return rows.select(key, *READ, "_first").mapInArrow(run, schema)
 
 
 def compared(windows: DataFrame, key: str, roots: list[int | None], engines=ENGINES) -> DataFrame:
@@ -80,25 +154,10 @@ def compared(windows: DataFrame, key: str, roots: list[int | None], engines=ENGI
     which the learned side has a weight, ``gain`` the share of the wanted label beyond the first engine's; ranks go by
     ``detailed``, ties by the order of the engines. A wanted label that is null is never met. An empty table gives no rows.
 
-    The windows are read once for all engines: each works out all their labels in an array, the array before it in the track tells
-    where regions begin, and what is shuffled are sums by key and engine.
+    The windows are read once for all engines (see :func:`_sums`), and what is shuffled after them are sums by key and engine.
     """
-    fields = [*BASE, "adaptive", "calibration", "rule_share", "fixed"]
     listed = [{**BASE, **other, "adaptive": adaptive, "calibration": kind, "rule_share": share, "fixed": fixed} for _, other, adaptive, kind, share, fixed in engines]
-    choices = F.array(*[F.struct(*[F.lit(e[f]).cast("double").alias(f) if f == "fixed" else F.lit(e[f]).alias(f) for f in fields]) for e in listed])
-    rows = windows.withColumn("_tempered", tempered(F.col("learned"), F.col("temperature")))
-    weighed = F.transform(choices, lambda c: F.struct(F.coalesce(c["fixed"], _weight(c)).alias("w"), (c["calibration"] == "temperature").alias("t"), c["rule_share"].alias("rule")))
-    mixed = lambda e: F.zip_with("rules", F.when(e["t"], F.col("_tempered")).otherwise(F.col("learned")), lambda a, b: e["rule"] * a + e["w"] * b)
-    rows = rows.withColumn("_weighed", weighed).withColumn("_found", F.transform("_weighed", lambda e: F.array_position(mixed(e), F.array_max(mixed(e))).cast("int")))
-    before = F.lag("_found").over(Window.partitionBy(key).orderBy("place"))
-    rows = rows.select(key, "seconds", F.col("wanted").cast("int").alias("wanted"), "_weighed", "_found", before.alias("_before"))
-    told = F.transform("_found", lambda f, k: F.struct(f.alias("found"), F.coalesce(f != F.get("_before", k), F.lit(True)).alias("begins"), (f != F.get("_found", F.lit(0))).alias("differs"), (F.get("_weighed", k)["w"] > 0).alias("used")))
-    each = rows.select(key, "seconds", "wanted", F.posexplode(told).alias("k", "e"))
-    of = F.array(*[F.lit(r).cast("int") for r in roots])
-    right = F.col("e.found") == F.col("wanted")
-    near = F.col("wanted").isNotNull() & F.element_at(of, F.col("e.found")).eqNullSafe(F.element_at(of, F.col("wanted")))
-    time = lambda when: F.sum(F.when(when, F.col("seconds")).otherwise(0.0))
-    sums = each.groupBy(key, "k").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"), time(right).alias("d"), time(near).alias("r"), F.count_if("e.begins").alias("regions"), time(F.col("e.differs")).alias("differs"), F.count_if("e.used").alias("used"))
+    sums = _sums(windows, key, roots, listed, True).groupBy(key, "k").agg(*[F.sum(c).alias(c) for c in ("seconds", "n", "d", "r", "differs", "used")], F.sum("begins").alias("regions"))
     shares = sums.select(key, "k", "seconds", safe_div(F.col("d"), F.col("seconds")).alias("detailed"), safe_div(F.col("r"), F.col("seconds")).alias("root"), "regions", "differs", safe_div(F.col("used").cast("double"), F.col("n").cast("double")).alias("learned"))
     of_key = Window.partitionBy(key)
     gain = F.col("detailed") - F.max(F.when(F.col("k") == 0, F.col("detailed"))).over(of_key)
@@ -110,26 +169,11 @@ def screened(windows: DataFrame, settings: DataFrame, key: str, roots: list[int
     """``id, detailed, root, change_rate, score`` of every candidate over all windows ``(key, place, seconds, wanted, rules, learned,
     temperature, frames, top, entropy, margin, confidence, agrees, flicker, full_mix)``; ``wanted`` is a place in the arrays, from 1.
 
-    The windows are read once: each works out the label of every candidate in an array, the array before it in the track
-    tells the changes, and sums by candidate are built before anything is shuffled. The candidates are a list on the driver,
-    as many as were asked for.
+    The windows are read once (see :func:`_sums`), and what is shuffled after them are sums by candidate. The candidates are a
+    list on the driver, as many as were asked for.
     """
-    listed = settings.orderBy("place").collect()
-    fields = [*BASE, "adaptive", "calibration"]
-    choices = F.array(*[F.struct(*[F.lit(row[f]).alias(f) for f in fields]) for row in listed])
-    rows = windows.withColumn("_tempered", tempered(F.col("learned"), F.col("temperature")))
-
-    weighed = F.transform(choices, lambda c: F.struct(_weight(c).alias("w"), (c["calibration"] == "temperature").alias("t")))
-    mixed = lambda e: F.zip_with("rules", F.when(e["t"], F.col("_tempered")).otherwise(F.col("learned")), lambda a, b: a + e["w"] * b)
-    first = lambda v: F.array_position(v, F.array_max(v)).cast("int")
-    rows = rows.withColumn("_weighed", weighed).withColumn("_mixed", F.transform("_weighed", mixed)).withColumn("_found", F.transform("_mixed", first))
-    before = F.lag("_found").over(Window.partitionBy(key).orderBy("place"))
-    of = F.array(*[F.lit(r).cast("int") for r in roots])
-    rows = rows.select("seconds", F.col("wanted").cast("int").alias("wanted"), "_found", before.alias("_before"))
-    told = F.transform("_found", lambda f, k: F.struct(f.alias("found"), F.coalesce(f != F.get("_before", k), F.lit(False)).alias("changed")))
-    each = rows.select("seconds", "wanted", F.posexplode(told).alias("k", "e"))
-    right = (F.col("e.found") == F.col("wanted"), F.element_at(of, F.col("e.found")).eqNullSafe(F.element_at(of, F.col("wanted"))))
-    sums = each.groupBy("k").agg(F.sum("seconds").alias("all"), F.count("*").alias("n"), F.count_if("e.changed").alias("changes"), *[F.sum(F.when(ok, F.col("seconds")).otherwise(0.0)).alias(name) for ok, name in zip(right, ("d", "r"), strict=True)])
+    listed = [row.asDict() for row in settings.orderBy("place").collect()]
+    sums = _sums(windows, key, roots, listed, False).groupBy("k").agg(F.sum("seconds").alias("all"), *[F.sum(c).alias(c) for c in ("n", "d", "r", "changes")])
     share = [safe_div(F.col("d"), F.col("all")), safe_div(F.col("r"), F.col("all")), safe_div(F.col("changes").cast("double"), F.col("n").cast("double"))]
     scored = sums.select("k", share[0].alias("detailed"), share[1].alias("root"), share[2].alias("change_rate"), (share[0] + share[1] * ROOT_SHARE - share[2] * CHANGE_SHARE).alias("score"))
     names = windows.sparkSession.createDataFrame([(k, row["id"]) for k, row in enumerate(listed)], "k int, id string")

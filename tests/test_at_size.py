@@ -97,3 +97,32 @@ def test_decimal_sums_are_those_of_casts(spark):
     assert frame.groupBy("k").agg(decimal_sum(F.col("x")).alias("a"), cast.alias("b")).where("a <> b OR a IS NULL").collect() == []
     many = spark.range(1 << 20).select(F.lit(10995.0).alias("x"))
     assert str(many.agg(decimal_sum(F.col("x"))).first()[0]) == "11529093120.00000000"
+
+
+def test_candidates_are_screened_in_arrays(spark):
+    """No lambda runs for a candidate, only sums leave the map, and labels go on from batch to batch; nulls as in SQL."""
+    from pyspark.sql import functions as F
+
+    from staveframe.operators import calibration as C
+    from staveframe.plans.roles import judged
+
+    roots, windows = [0, 0, 9, 5, None], judged(spark, SMALL)
+    told = plan(C.screened(windows, C.candidates(spark, 7, 20), "user_id", roots))
+    assert told.count("MapInArrow") == 1 and "Generate" not in told and told.count("Sort [user_id") == 2  # of the numbers and of the order of places
+    one = windows.agg(F.min("user_id")).first()[0]
+    odd = windows.where((F.col("user_id") == one) & (F.col("place") < 5)).withColumns({"user_id": F.lit(None).cast("long"), "rules": F.when(F.col("place") % 2 == 0, F.array(F.lit(None).cast("double"), F.lit(0.4)))})
+    nulls = {c: F.lit(None).cast(windows.schema[c].dataType) for c in ("wanted", "margin", "flicker", "agrees", "full_mix", "confidence")}
+    windows = windows.unionByName(odd).unionByName(windows.where((F.col("user_id") == one) & (F.col("place") < 3)).withColumns({"user_id": F.lit(-5), **nulls}))
+    want = None
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = C.screened(windows, C.candidates(spark, 7, 20), "user_id", roots)
+            got = {(r.id, round(r.detailed, 9), round(r.root, 9), round(r.change_rate, 9)) for r in found.collect()}
+            engines = {(r.user_id, r.engine, r.seconds, r.detailed, r.root, r.regions, r.differs, r.learned) for r in C.compared(windows, "user_id", roots).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want = want or (got, engines)
+        assert (got, engines) == want and len(got) == 26
+    of_null = {e: (seconds, regions) for user, e, seconds, _, _, regions, _, _ in want[1] if user is None}
+    assert set(of_null.values()) == {(2.5, 5)}  # every other window has no label
